@@ -60,7 +60,7 @@ def range_limit_value(date_from: _dt.date | None, date_to: _dt.date | None) -> i
 
 def parse_date(c: Column | str) -> Column:
     """text -> DATE, NULL when not a valid ``yyyy-MM-dd`` (``2024-1-5`` is NULL)."""
-    return F.try_to_date(_col(c), F.lit(DATE_FORMAT))
+    return F.try_to_date(_col(c), DATE_FORMAT)
 
 
 def format_date(c: Column | str) -> Column:

@@ -20,12 +20,12 @@ def _col(c: Column | str) -> Column:
 
 def mw_label(c: Column | str) -> Column:
     """plain number text + `` MW``; NULL stays NULL."""
-    return F.concat(F.format_number(_col(c), _PLAIN_NUMBER), F.lit(MW_SUFFIX))
+    return F.concat(F.call_function("format_number", _col(c), F.lit(_PLAIN_NUMBER)), F.lit(MW_SUFFIX))
 
 
 def percent_label(c: Column | str) -> Column:
     """two decimals + ``%`` (exact binary ties round half-even, see README)."""
-    return F.concat(F.format_number(_col(c), "0.00"), F.lit(PERCENT_SUFFIX))
+    return F.concat(F.call_function("format_number", _col(c), F.lit("0.00")), F.lit(PERCENT_SUFFIX))
 
 
 def record_json(*cols: str) -> Column:

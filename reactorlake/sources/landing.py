@@ -33,7 +33,12 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
     JSON-lines landings are split across tasks; ``multi_line=True`` reads one
     pretty-printed page per file (one task per file).
     """
-    raw = spark.read.schema(PAGE_SCHEMA).option("multiLine", multi_line).json(path)
+    raw = (
+        spark.read.schema(PAGE_SCHEMA)
+        .option("multiLine", multi_line)
+        .option("recursiveFileLookup", True)  # batch folders are not key=value partitions
+        .json(path)
+    )
     return raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("batch"),
         F.col("_metadata.file_path").alias("file"),

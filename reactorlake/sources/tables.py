@@ -21,6 +21,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reactorlake.errors import DataNotFoundError, ProcessingError
 from reactorlake.schemas import DATASETS, Dataset, resolve
@@ -159,8 +160,9 @@ def read_version(spark: SparkSession, version_path: str, dataset: Dataset) -> Da
     """Scan with the fixed schema; the month column is a partition column
     used only for pruning and is dropped from the result."""
     if dataset.partition_by_month:
-        df = spark.read.option("basePath", version_path).parquet(version_path)
-        return df.select(*[F.col(f.name).cast(f.dataType) for f in dataset.schema.fields])
+        schema = T.StructType(dataset.schema.fields + [T.StructField(MONTH_COL, T.StringType())])
+        df = spark.read.schema(schema).option("basePath", version_path).parquet(version_path)
+        return df.select(*dataset.schema.names)
     return spark.read.schema(dataset.schema).parquet(version_path)
 
 

@@ -53,7 +53,7 @@ def start_refresh_stream(
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = _pages(reader.json(landing_path))
+    pages = _pages(reader.option("recursiveFileLookup", True).json(landing_path))
 
     def upsert_batch(batch_pages: DataFrame, epoch_id: int) -> None:
         batch = transform_records(records_from_pages(batch_pages), dataset).checkpoint(eager=True)

@@ -81,22 +81,32 @@ def read_total_frame(records: DataFrame) -> DataFrame:
 def kept_pages(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """The source's stop rules per batch: pages before the first missing or empty
     page, and before ``total`` (the first page is always read). Pages without an
-    ``offset`` are plain landed files and are all kept."""
-    numbered = pages.where(F.col("offset").isNotNull())
-    totals = numbered.groupBy("batch").agg(F.min_by("total", "offset").alias("total"))
+    ``offset`` are plain landed files and are all kept.
+
+    The landing is scanned twice in all: once for one light row per page
+    (checkpointed: one row per page, no record arrays, reused by every rule
+    below), once for the records themselves.
+    """
+    info = (
+        pages.where(F.col("offset").isNotNull())
+        .groupBy("batch", "offset")
+        .agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
+        .checkpoint(eager=True)
+    )
+    totals = info.groupBy("batch").agg(F.min_by("total", "offset").alias("total"))
     plan = page_plan(totals, page_size).select("batch", "offset")
-    present = numbered.where(F.size("data") > 0).select("batch", "offset").distinct()
-    first_gap = plan.join(present, ["batch", "offset"], "left_anti").groupBy("batch").agg(F.min("offset").alias("gap"))
-    bounded = (
-        numbered.join(totals.withColumnRenamed("total", "_total"), "batch")
-        .join(first_gap, "batch", "left")
-        .where(
-            ((F.col("offset") == 0) | (F.col("offset") < F.col("_total")))
-            & (F.col("gap").isNull() | (F.col("offset") < F.col("gap")))
-        )
-        .drop("_total", "gap")
+    present = info.where(F.col("n") > 0).select("batch", "offset")
+    gaps = plan.join(present, ["batch", "offset"], "left_anti").groupBy("batch").agg(F.min("offset").alias("gap"))
+    # Per batch, read pages below the first gap and below the total (page 0 always).
+    limits = totals.join(gaps, "batch", "left").select(
+        "batch", F.least(F.col("gap"), F.greatest(F.col("total"), F.lit(1).cast("bigint"))).alias("_end")
+    )
+    # ``limits`` has one row per landing batch (fetch run): small by construction.
+    return (
+        pages.join(F.broadcast(limits), "batch", "left")
+        .where(F.col("offset").isNull() | (F.col("offset") < F.col("_end")))
+        .drop("_end")
     )
-    return bounded.unionByName(pages.where(F.col("offset").isNull()))
 
 
 def records_from_pages(pages: DataFrame) -> DataFrame:

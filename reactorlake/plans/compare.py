@@ -30,7 +30,7 @@ def latest_series(catalog: Catalog, ids: list[str], date_from=None, date_to=None
     d_from, d_to = parse_date_arg(date_from, "date_from"), parse_date_arg(date_to, "date_to")
     n = range_limit_value(d_from, d_to)
     picked = SR.selected_plants(catalog.load("plants"), ids)
-    facts = filter_date_range(catalog.load("facility"), d_from, d_to).where(
+    facts = filter_date_range(catalog.load("facility", d_from, d_to), d_from, d_to).where(
         F.col("facility_id").isin(SR.pick_ids(ids))
     )
     ranked = SR.newest_per_series(facts, n)
@@ -48,9 +48,9 @@ def compare_series(catalog: Catalog, ids: list[str], date_from=None, date_to=Non
     d_from, d_to = parse_date_arg(date_from, "date_from"), parse_date_arg(date_to, "date_to")
     n = range_limit_value(d_from, d_to)
     chosen = [i for i, _ in series_ids(catalog, ids)]
-    facts = filter_date_range(catalog.load("facility"), d_from, d_to).where(F.col("facility_id").isin(chosen))
+    facts = filter_date_range(catalog.load("facility", d_from, d_to), d_from, d_to).where(F.col("facility_id").isin(chosen))
     fac_rows = SR.newest_per_series(facts, n)
-    us_rows = SR.newest_rows(filter_date_range(catalog.load("us"), d_from, d_to), n) if include_us else None
+    us_rows = SR.newest_rows(filter_date_range(catalog.load("us", d_from, d_to), d_from, d_to), n) if include_us else None
     columns = ([SR.US_SERIES] if include_us else []) + chosen
     aligned = SR.align(SR.long_series(fac_rows, us_rows), columns)
     return aligned.select(format_date("date").alias("date"), *[F.col(f"`{c}`") for c in columns])

@@ -121,14 +121,13 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
     if version is None:
         wh.overwrite_base("facility", facts)
     else:
-        current = wh.load_base("facility").where(F.date_format("date", "yyyy-MM").isin(months))
+        current = wh.load_base("facility", months=months)  # only the touched month folders are read
         overwrite_months(upsert(current, facts, MERGE_KEYS["facility_outages"]), version, DATASETS["facility"])
     if wh.base_exists("plants"):
         wh.overwrite_base("plants", upsert(wh.load_base("plants"), plants, MERGE_KEYS["plants"]))
     else:
         wh.overwrite_base("plants", plants)
-    month_frame = spark.createDataFrame([(m,) for m in months], f"{MONTH_COL} string")
-    wh.publish("facility", months=month_frame)
+    wh.publish("facility", months=months)
     wh.publish("plants")
     return facts.count(), plants.count(), facts.agg(F.max("date")).first()[0]
 

@@ -1,10 +1,10 @@
 """Paged, filtered, name-enriched reads (the ``/data`` request as Spark plans).
 
 ``get_dataset`` checks its scalar arguments on the driver (P15, L4), then
-builds one lazy page DataFrame (scan -> filter -> sort -> offset/limit -> name
-join -> date text) and one lazy 1-row metadata DataFrame. Only the page (at
-most 1,000 rows) ever needs to reach the driver, and only if the caller
-collects it.
+runs scan -> filter -> sort -> offset/limit once (the page, at most 1,000
+rows, is checkpointed), and returns the page joined with names plus a lazy
+1-row metadata DataFrame whose total count is its own aggregate. Only the
+page ever needs to reach the driver, and only if the caller collects it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from reactorlake.schemas import DATASETS, DEFAULT_LIMIT, MAX_LIMIT, resolve
 
 
 class Catalog(Protocol):
-    def load(self, name: str) -> DataFrame: ...
+    def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
+        """The dataset; date bounds are a pruning hint (callers still filter)."""
+        ...
 
 
 class FrameCatalog:
@@ -33,7 +35,7 @@ class FrameCatalog:
     def __init__(self, frames: Mapping[str, DataFrame]):
         self.frames = dict(frames)
 
-    def load(self, name: str) -> DataFrame:
+    def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
         ds = resolve(name)
         if ds.storage not in self.frames:
             raise DataNotFoundError(f"Dataset '{ds.public}' not found")
@@ -81,7 +83,7 @@ def check_args(
 
 def filtered_rows(catalog: Catalog, args: ReadArgs) -> DataFrame:
     ds = DATASETS[args.dataset]
-    df = catalog.load(ds.storage)
+    df = catalog.load(ds.storage, args.date_from, args.date_to)  # month folders pruned by the catalog
     df = R.filter_date_range(df, args.date_from, args.date_to)  # skipped for plants (D4)
     return R.filter_facility(df, ds, args.facility_id)
 
@@ -106,7 +108,10 @@ def get_dataset(
     args = check_args(dataset, date_from, date_to, facility_id, offset, limit)
     ds = DATASETS[args.dataset]
     filtered = filtered_rows(catalog, args)
-    pg = R.page(filtered, ds, args.offset, args.limit)
+    # The page (<= 1,000 rows) is materialized once in the shared checkpoint
+    # folder: the name join needs its ids and the metadata counts it, and both
+    # read these few rows instead of scanning and sorting the facts again.
+    pg = R.page(filtered, ds, args.offset, args.limit).checkpoint(eager=True)
     meta = R.page_metadata(filtered, pg, args.offset, args.limit)
     data = pg
     if ds.public == "facility":

@@ -3,7 +3,7 @@
 This is a fixture, not an engine operator: the test tables carry no outage
 data, so ``lineitem`` is reshaped into daily facility and national series and
 ``supplier`` into the facility dimension. The same rules are written as SQL in
-``reactorlake.plans.checks`` so DuckDB can reproduce every value bit for bit.
+``reactorlake.plans.oracle`` so DuckDB can reproduce every value bit for bit.
 
 Rules (exact): capacity = sum of prices, outage = sum of price x discount, both
 summed as decimals and then cast to DOUBLE; percent = outage * 100 / capacity.

@@ -17,6 +17,7 @@ and rewritten.
 
 from __future__ import annotations
 
+import datetime as _dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -165,12 +166,27 @@ def overwrite_months(df: DataFrame, version_path: str, dataset: Dataset) -> None
 # ---------------------------------------------------------------------------
 
 
-def read_version(spark: SparkSession, version_path: str, dataset: Dataset) -> DataFrame:
-    """Scan with the fixed schema; the month column is a partition column
-    used only for pruning and is dropped from the result."""
+def read_version(
+    spark: SparkSession,
+    version_path: str,
+    dataset: Dataset,
+    date_from: _dt.date | None = None,
+    date_to: _dt.date | None = None,
+    months: list[str] | None = None,
+) -> DataFrame:
+    """Scan with the fixed schema. For month-partitioned facts, date
+    bounds (and an explicit month list) become predicates on the partition
+    column, so whole month folders are pruned before any file is opened; the
+    month column is dropped from the result. Callers still filter on ``date``."""
     if dataset.partition_by_month:
         schema = T.StructType(dataset.schema.fields + [T.StructField(MONTH_COL, T.StringType())])
         df = spark.read.schema(schema).option("basePath", version_path).parquet(version_path)
+        if date_from is not None:
+            df = df.where(F.col(MONTH_COL) >= F.lit(date_from.strftime("%Y-%m")))
+        if date_to is not None:
+            df = df.where(F.col(MONTH_COL) <= F.lit(date_to.strftime("%Y-%m")))
+        if months is not None:
+            df = df.where(F.col(MONTH_COL).isin(list(months)))
         return df.select(*dataset.schema.names)
     return spark.read.schema(dataset.schema).parquet(version_path)
 
@@ -216,26 +232,26 @@ class Warehouse:
             fs.delete(p, True)
 
     # S8 / S7 / S6
-    def load_base(self, name: str) -> DataFrame:
+    def load_base(self, name: str, months: list[str] | None = None) -> DataFrame:
         ds = resolve(name)
         path = latest_version_path(self.spark, self.base_dir(ds.storage))
         if path is None:
             raise DataNotFoundError(f"Table '{ds.storage}' not found")
-        return read_version(self.spark, path, ds)
+        return read_version(self.spark, path, ds, months=months)
 
-    def load_snapshot(self, name: str) -> DataFrame:
+    def load_snapshot(self, name: str, date_from=None, date_to=None) -> DataFrame:
         ds = resolve(name)
         path = latest_version_path(self.spark, self.snapshot_dir(ds.storage))
         if path is None:
             raise DataNotFoundError(f"Dataset '{ds.public}' not found")
         try:
-            return read_version(self.spark, path, ds)
+            return read_version(self.spark, path, ds, date_from, date_to)
         except Exception as exc:  # unreadable files
             raise ProcessingError("Failed to read dataset") from exc
 
-    # catalog protocol used by the read service
-    def load(self, name: str) -> DataFrame:
-        return self.load_snapshot(name)
+    # catalog protocol used by the read service: readers see published snapshots
+    def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
+        return self.load_snapshot(name, date_from, date_to)
 
     # S9
     def overwrite_base(self, name: str, df: DataFrame) -> str:
@@ -247,7 +263,7 @@ class Warehouse:
         return latest_version_path(self.spark, self.base_dir(ds.storage))
 
     # S10 / S11
-    def publish(self, name: str, months: DataFrame | None = None) -> bool:
+    def publish(self, name: str, months: list[str] | None = None) -> bool:
         """Copy a base table to its published snapshot; an empty table is skipped
         (the older snapshot stays). With ``months`` (touched months of a batch)
         and an existing snapshot, only those months are rewritten."""
@@ -257,8 +273,10 @@ class Warehouse:
             return False
         current = latest_version_path(self.spark, self.snapshot_dir(ds.storage))
         if months is not None and ds.partition_by_month and current is not None:
-            touched = with_month(base).join(months.select(MONTH_COL).distinct(), MONTH_COL, "left_semi")
-            overwrite_months(touched.drop(MONTH_COL), current, ds)
+            touched = read_version(
+                self.spark, latest_version_path(self.spark, self.base_dir(ds.storage)), ds, months=months
+            )
+            overwrite_months(touched, current, ds)
             return True
         write_new_version(self.spark, self.snapshot_dir(ds.storage), base, ds)
         return True

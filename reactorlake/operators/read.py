@@ -90,6 +90,27 @@ def page(df: DataFrame, dataset: Dataset, offset: int, limit: int | None) -> Dat
     return numbered.where((F.col("_row_idx") >= F.lit(offset)) & hi).orderBy("_row_idx").drop("_row_idx")
 
 
+def page_after(df: DataFrame, dataset: Dataset, after: dict[str, Any] | None, limit: int) -> DataFrame:
+    """Keyset page: the ``limit`` rows that follow the row ``after`` (its key
+    values) in the total order. Unlike an offset, the cost does not grow with
+    the page depth: the seek is a pushed-down predicate on the sort keys and
+    each task keeps only ``limit`` rows. ``after=None`` is the first page."""
+    order = list(dataset.order)
+    if after:
+        missing = [c for c, _ in order if c not in after]
+        if missing:
+            raise ValidationError(f"keyset needs values for: {', '.join(missing)}")
+        # (k1 > v1) OR (k1 = v1 AND k2 > v2) OR ...  with > flipped for descending keys
+        terms = []
+        for i, (c, asc) in enumerate(order):
+            v = F.lit(after[c])
+            beyond = F.col(c) > v if asc else F.col(c) < v
+            eq = [F.col(p) == F.lit(after[p]) for p, _ in order[:i]]
+            terms.append(reduce(lambda a, b: a & b, eq + [beyond]))
+        df = df.where(reduce(lambda a, b: a | b, terms))
+    return df.orderBy(*sort_columns(dataset)).limit(limit)
+
+
 def with_page_rank(page_df: DataFrame, dataset: Dataset, rank_col: str = "page_rank") -> DataFrame:
     """Position (0-based) of each row inside one page; the page is at most the
     limit (<= 1,000 rows), so one un-partitioned window over it is bounded."""

@@ -182,6 +182,14 @@ SQL: dict[str, str] = {
                         THEN CAST({Q.META_OFFSET + Q.META_LIMIT} AS BIGINT) END AS next_offset
             FROM facility_outages WHERE facility_id = '{Q.FACILITY}' AND date >= DATE '{Q.DATE_FROM}'"""
     ),
+    "page_keyset": _q(
+        f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage,
+                   CAST(row_number() OVER (ORDER BY date DESC, facility_id) - 1 AS BIGINT) AS page_rank
+            FROM (SELECT * FROM facility_outages
+                  WHERE date < DATE '{Q.KEYSET_DATE}'
+                     OR (date = DATE '{Q.KEYSET_DATE}' AND facility_id > '{Q.KEYSET_FACILITY}')
+                  ORDER BY date DESC, facility_id LIMIT {Q.KEYSET_LIMIT}) k"""
+    ),
     "page_plan": _q(
         """SELECT CAST(g AS BIGINT) AS page_no, CAST(g * 5000 AS BIGINT) AS "offset",
                   CAST(LEAST(5000, GREATEST(total - g * 5000, 0)) AS BIGINT) AS length

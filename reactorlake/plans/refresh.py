@@ -21,7 +21,14 @@ from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_
 from reactorlake.schemas import DATASETS
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import landed_records
-from reactorlake.sources.tables import MONTH_COL, Warehouse, overwrite_months, path_exists, with_month
+from reactorlake.sources.tables import (
+    MONTH_COL,
+    Warehouse,
+    drop_old_versions,
+    overwrite_months,
+    path_exists,
+    with_month,
+)
 
 FULL = "full"
 INCREMENTAL = "incremental"
@@ -185,6 +192,15 @@ def recover(wh: Warehouse) -> dict[str, int]:
     return counts
 
 
+def drop_superseded(wh: Warehouse, keep: int = 2) -> None:
+    """Remove table, snapshot and state versions older than the newest ``keep``
+    (the reference vacuums its tables after merges); readers use the newest."""
+    for ds in DATASETS.values():
+        drop_old_versions(wh.spark, wh.base_dir(ds.storage), keep)
+        drop_old_versions(wh.spark, wh.snapshot_dir(ds.storage), keep)
+    drop_old_versions(wh.spark, wh.state_dir(), keep)
+
+
 def refresh(
     spark: SparkSession, landing: Landing, wh: Warehouse, mode: str = "auto", lookback_days: int = 0
 ) -> DataFrame:
@@ -196,4 +212,5 @@ def refresh(
         counts = recover(wh)
     else:
         counts = full_refresh(spark, landing, wh)
+    drop_superseded(wh)
     return summary(spark, chosen, counts)

@@ -51,6 +51,7 @@ PLANTS_OFFSET, PLANTS_LIMIT = 10, 25
 NUMBER_FROM = "1996-01-01"
 NUMBER_PAGE = 1000
 OVERVIEW_LIMIT = 10
+KEYSET_DATE, KEYSET_FACILITY, KEYSET_LIMIT = "1996-06-15", "5", 50
 LOOKBACK_DAYS = 30
 
 
@@ -140,6 +141,14 @@ def page_metadata(spark, sf):
     return res.meta
 
 
+def page_keyset(spark, sf):
+    """The 50 rows after a given (date, facility) in newest-first order."""
+    ds = DATASETS["facility"]
+    after = {"date": D.parse_date_arg(KEYSET_DATE), "facility_id": KEYSET_FACILITY}
+    pg = R.page_after(A.facility_outages(spark, sf), ds, after, KEYSET_LIMIT)
+    return _text_dates(R.with_page_rank(pg, ds), "date")
+
+
 def page_plan(spark, sf):
     total = L.read_total_frame(A.raw_facility_records(spark, sf))
     return L.page_plan(total, PAGE_SIZE)
@@ -432,6 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_plants": page_plants,
     "page_deep": page_deep,
     "page_metadata": page_metadata,
+    "page_keyset": page_keyset,
     "page_plan": page_plan,
     "page_numbers": page_numbers,
     "page_records": page_records,

@@ -29,13 +29,18 @@ def number_rows(
 
     ``order`` must be a total order (unique keys) for the numbering to be
     deterministic; the read path always appends the table key as tie-break.
+    An empty ``order`` numbers the rows in their current partitions (any fixed
+    order; used where only contiguous numbers matter, such as page slicing).
     """
-    # Without an explicit count the range exchange is sized by the session
-    # (AQE's initial partition number and advisory partition size), so the
-    # partition count grows with the data instead of being pinned here.
-    ranged = (df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)).sortWithinPartitions(
-        *order
-    )
+    if order:
+        # Without an explicit count the range exchange is sized by the session
+        # (AQE's initial partition number and advisory partition size), so the
+        # partition count grows with the data instead of being pinned here.
+        ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+        ranged = ranged.sortWithinPartitions(*order)
+    else:
+        # No order requested: number rows where they are (no shuffle, no sort).
+        ranged = df
     # Reliable checkpoint: fixes the range bounds and partition contents, so the
     # counting pass and the numbering pass see identical partitions even when a
     # task or an executor is lost and recomputed.

@@ -366,17 +366,16 @@ def upsert_twice(spark, sf):
 
 
 def _land(spark, sf, root: str) -> RF.Landing:
-    order = [F.col("period").asc(), F.col("facility").asc()]
-    L.write_pages(A.raw_facility_records(spark, sf), f"{root}/landing/facility/batch-0001", order)
-    L.write_pages(A.raw_us_records(spark, sf), f"{root}/landing/us/batch-0001", [F.col("period").asc()])
+    """Land the source-shaped records as pages (the source's own order is unspecified)."""
+    L.write_pages(A.raw_facility_records(spark, sf), f"{root}/landing/facility/batch-0001")
+    L.write_pages(A.raw_us_records(spark, sf), f"{root}/landing/us/batch-0001")
     return RF.Landing(f"{root}/landing/facility", f"{root}/landing/us")
 
 
 def _land_increment(spark, sf, root: str) -> None:
     fac = A.facility_outages(spark, sf)
-    inc = A.increment(fac)
-    raw = A.raw_records_from(inc, A.plants(spark, sf))
-    L.write_pages(raw, f"{root}/landing/facility/batch-0002", [F.col("period").asc(), F.col("facility").asc()])
+    raw = A.raw_records_from(A.increment(fac), A.plants(spark, sf))
+    L.write_pages(raw, f"{root}/landing/facility/batch-0002")
 
 
 def landed_pages(spark, sf):

@@ -150,10 +150,9 @@ def overview_frame(results: dict[str, PageResult]) -> DataFrame:
     dataset's ``total_count`` (missing columns are NULL)."""
     frames = []
     for name, res in results.items():
-        total = res.meta.select("total_count")
-        tagged = res.data.withColumn("dataset", F.lit(name))
-        # one metadata row per dataset, attached by the constant tag (no cross join)
-        frames.append(tagged.join(F.broadcast(total.withColumn("dataset", F.lit(name))), "dataset"))
+        # the dataset's count is a scalar subquery over its 1-row metadata (no join)
+        total = res.meta.select("total_count").scalar()
+        frames.append(res.data.withColumns({"dataset": F.lit(name), "total_count": total}))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -147,13 +147,15 @@ def landed_records(
     return filter_period(records_from_pages(pages), start, end)
 
 
-def write_pages(records: DataFrame, path: str, order: list, page_size: int = PAGE_SIZE) -> None:
+def write_pages(records: DataFrame, path: str, order: list | None = None, page_size: int = PAGE_SIZE) -> None:
     """Land records as source pages (used to build landings from tables).
 
-    Rows are numbered in ``order`` without a global window, grouped into pages
-    of exactly ``page_size`` rows (each group is bounded by the page size) and
-    written as JSON lines, one page envelope per line.
+    Rows are numbered without a global window (in ``order`` if given, else in
+    their current partitions), grouped into pages of exactly ``page_size`` rows
+    (each group is bounded by the page size) and written as JSON lines, one
+    page envelope per line.
     """
+    order = order or []
     numbered = number_pages(records.select(*RECORD_FIELDS, *[c for c in records.columns if c not in RECORD_FIELDS]), order, page_size)
     total = records.select(F.count(F.lit(1)).cast("string")).scalar()
     pages = numbered.groupBy("page_no").agg(

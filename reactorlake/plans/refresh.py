@@ -98,17 +98,19 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
     wh.overwrite_base("plants", plants)
     wh.overwrite_base("facility", facts)
     wh.overwrite_base("us", us)
+    stats = {name: _stats(wh.load_base(name)) for name in ("facility", "us", "plants")}
     for name in ("facility", "us", "plants"):
-        wh.publish(name)  # S10: an empty table keeps the older snapshot
-    counts = {
-        "facility_outages": wh.load_base("facility").count(),
-        "us_outages": wh.load_base("us").count(),
-        "plants": wh.load_base("plants").count(),
-    }
-    fac_max = wh.load_base("facility").agg(F.max("date")).first()[0]
-    us_max = wh.load_base("us").agg(F.max("date")).first()[0]
+        wh.publish(name, rows=stats[name][0])  # S10: an empty table keeps the older snapshot
+    fac_max, us_max = stats["facility"][1], stats["us"][1]
     S.save_state(wh, {"facility_outages": fac_max, "us_outages": us_max, "plants": fac_max})
-    return counts
+    return {DATASETS[name].storage: stats[name][0] for name in stats}
+
+
+def _stats(df: DataFrame) -> tuple[int, _dt.date | None]:
+    """Row count and newest date in one pass (newest is None without a date column)."""
+    aggs = [F.count(F.lit(1))] + ([F.max("date")] if "date" in df.columns else [])
+    row = df.agg(*aggs).first()
+    return int(row[0]), (row[1] if len(row) > 1 else None)
 
 
 def _months(batch: DataFrame) -> list[str]:
@@ -121,9 +123,11 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
     the dimension, then publish the touched months. An absent table is created
     from the batch (M1); only months present in the batch are rewritten."""
     plants = dimension_from_batch(fac)
-    fac = last_wins(fac, MERGE_KEYS["facility_outages"])
-    facts = drop_name(fac)
-    months = _months(facts)
+    # Months, row count and newest date come from the checkpointed batch itself
+    # (the dedupe below changes neither the months nor the newest date).
+    months = _months(fac)
+    n_rows, batch_max = _stats(fac)
+    facts = drop_name(last_wins(fac, MERGE_KEYS["facility_outages"]))
     version = wh.base_version_path("facility")
     if version is None:
         wh.overwrite_base("facility", facts)
@@ -136,18 +140,19 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
         wh.overwrite_base("plants", plants)
     wh.publish("facility", months=months)
     wh.publish("plants")
-    return facts.count(), plants.count(), facts.agg(F.max("date")).first()[0]
+    return n_rows, _stats(plants)[0], batch_max
 
 
 def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[int, _dt.date | None]:
     """Upsert one transformed national batch; the small table is rewritten as a new version."""
+    n_rows, batch_max = _stats(us)
     us = last_wins(us, MERGE_KEYS["us_outages"])
     if wh.base_exists("us_outages"):
         wh.overwrite_base("us", upsert(wh.load_base("us"), us, MERGE_KEYS["us_outages"]))
     else:
         wh.overwrite_base("us", us)
     wh.publish("us")
-    return us.count(), us.agg(F.max("date")).first()[0]
+    return n_rows, batch_max
 
 
 def _advance(old: _dt.date | None, new: _dt.date | None) -> _dt.date | None:

@@ -132,16 +132,21 @@ def _clustered(df: DataFrame, dataset: Dataset) -> DataFrame:
     return df.repartitionByRange(*[F.col(k) for k in dataset.keys])
 
 
-def _writer(df: DataFrame, dataset: Dataset):
+def _writer(df: DataFrame, dataset: Dataset, cluster: bool = True):
     if dataset.partition_by_month:
-        return with_month(_clustered(df, dataset)).write.partitionBy(MONTH_COL)
+        return with_month(_clustered(df, dataset) if cluster else df).write.partitionBy(MONTH_COL)
     return df.write
 
 
-def write_new_version(spark: SparkSession, path: str, df: DataFrame, dataset: Dataset) -> str:
-    """S9 (overwrite): write ``df`` as a new complete version; old versions stay readable."""
+def write_new_version(
+    spark: SparkSession, path: str, df: DataFrame, dataset: Dataset, cluster: bool = True
+) -> str:
+    """S9 (overwrite): write ``df`` as a new complete version; old versions stay
+    readable. ``cluster=False`` copies data that is already laid out by month
+    (each input file holds one month, so each task writes into one folder)."""
     target = next_version_path(spark, path)
-    _writer(df.select(*dataset.schema.names), dataset).mode("error").option("compression", "snappy").parquet(target)
+    writer = _writer(df.select(*dataset.schema.names), dataset, cluster)
+    writer.mode("error").option("compression", "snappy").parquet(target)
     return target
 
 
@@ -263,13 +268,14 @@ class Warehouse:
         return latest_version_path(self.spark, self.base_dir(ds.storage))
 
     # S10 / S11
-    def publish(self, name: str, months: list[str] | None = None) -> bool:
+    def publish(self, name: str, months: list[str] | None = None, rows: int | None = None) -> bool:
         """Copy a base table to its published snapshot; an empty table is skipped
         (the older snapshot stays). With ``months`` (touched months of a batch)
-        and an existing snapshot, only those months are rewritten."""
+        and an existing snapshot, only those months are rewritten. ``rows``, when
+        the caller already counted the base table, saves the emptiness probe."""
         ds = resolve(name)
         base = self.load_base(ds.storage)
-        if base.isEmpty():
+        if (rows == 0) if rows is not None else base.isEmpty():
             return False
         current = latest_version_path(self.spark, self.snapshot_dir(ds.storage))
         if months is not None and ds.partition_by_month and current is not None:
@@ -278,7 +284,7 @@ class Warehouse:
             )
             overwrite_months(touched, current, ds)
             return True
-        write_new_version(self.spark, self.snapshot_dir(ds.storage), base, ds)
+        write_new_version(self.spark, self.snapshot_dir(ds.storage), base, ds, cluster=False)
         return True
 
     def save_snapshot(self, name: str, df: DataFrame) -> str:

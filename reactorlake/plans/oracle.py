@@ -324,11 +324,13 @@ SQL: dict[str, str] = {
     "upsert_twice": _q(_upsert("facility_outages", "fac_inc", ["date", "facility_id"], _FACT_OUT)),
     "landed_pages": _q(f"""SELECT {_d('date')} AS period, facility_id AS facility, name AS "facilityName" FROM raw_fac"""),
     "refresh_summary": _q(
-        f"""SELECT 'FULL (first run)' AS mode, 'facility_outages' AS dataset, CAST(COUNT(*) AS BIGINT) AS rows_processed
-            FROM valid_fac
-            UNION ALL SELECT 'FULL (first run)', 'us_outages', CAST(COUNT(*) AS BIGINT) FROM us_outages
-            WHERE dayofyear(date) % 89 <> 0
-            UNION ALL SELECT 'FULL (first run)', 'plants', CAST(COUNT(DISTINCT facility_id) AS BIGINT) FROM valid_fac"""
+        """SELECT mode, dataset, rows_processed, CAST(rows_processed AS VARCHAR) || ' rows processed' AS message
+           FROM (
+             SELECT 'FULL (first run)' AS mode, 'facility_outages' AS dataset, CAST(COUNT(*) AS BIGINT) AS rows_processed
+             FROM valid_fac
+             UNION ALL SELECT 'FULL (first run)', 'us_outages', CAST(COUNT(*) AS BIGINT) FROM us_outages
+             WHERE dayofyear(date) % 89 <> 0
+             UNION ALL SELECT 'FULL (first run)', 'plants', CAST(COUNT(DISTINCT facility_id) AS BIGINT) FROM valid_fac) s"""
     ),
     "refresh_then_increment": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
     "recover_base": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),

@@ -82,9 +82,10 @@ def _empty(spark: SparkSession, name: str) -> DataFrame:
 
 
 def summary(spark: SparkSession, mode: str, counts: dict[str, int]) -> DataFrame:
-    """Mode and rows processed per table (three rows)."""
+    """Mode and rows processed per table (three rows), with the report text."""
     rows = [(MODE_LABEL[mode], name, int(counts.get(name, 0))) for name in ("facility_outages", "us_outages", "plants")]
-    return spark.createDataFrame(rows, "mode string, dataset string, rows_processed bigint")
+    df = spark.createDataFrame(rows, "mode string, dataset string, rows_processed bigint")
+    return df.withColumn("message", F.concat(F.col("rows_processed").cast("string"), F.lit(" rows processed")))
 
 
 def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[str, int]:
@@ -155,7 +156,7 @@ def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[i
     return n_rows, batch_max
 
 
-def _advance(old: _dt.date | None, new: _dt.date | None) -> _dt.date | None:
+def advance_mark(old: _dt.date | None, new: _dt.date | None) -> _dt.date | None:
     """Never move a watermark backwards."""
     vals = [d for d in (old, new) if d is not None]
     return max(vals) if vals else None
@@ -178,10 +179,10 @@ def incremental_refresh(
     if fac is not None and not fac.isEmpty():
         n_facts, n_plants, batch_max = apply_facility_batch(spark, wh, fac)
         counts["facility_outages"], counts["plants"] = n_facts, n_plants
-        new_marks["facility_outages"] = _advance(st.get("facility_outages"), batch_max)
+        new_marks["facility_outages"] = advance_mark(st.get("facility_outages"), batch_max)
     if us is not None and not us.isEmpty():
         counts["us_outages"], batch_max = apply_us_batch(spark, wh, us)
-        new_marks["us_outages"] = _advance(st.get("us_outages"), batch_max)
+        new_marks["us_outages"] = advance_mark(st.get("us_outages"), batch_max)
     if new_marks:
         S.save_state(wh, new_marks)  # D11: state last; plants' watermark untouched (A2)
     return counts

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reactorlake.functions.numbers import array_or_empty, text_to_long
 from reactorlake.operators.clean import transform_records
-from reactorlake.plans.refresh import _advance, apply_facility_batch, apply_us_batch
+from reactorlake.plans.refresh import advance_mark, apply_facility_batch, apply_us_batch
 from reactorlake.schemas import PAGE_SCHEMA
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import records_from_pages
@@ -64,11 +64,11 @@ def start_refresh_stream(
         else:
             _, batch_max = apply_us_batch(batch.sparkSession, wh, batch)
         name = _STATE_NAME[dataset]
-        old = S.load_state(wh).get(name)
-        marks = {name: _advance(old, batch_max)}
-        if dataset == "facility" and S.load_state(wh).get("plants") is None:
-            marks["plants"] = marks[name]
-        S.save_state(wh, marks)
+        stored = S.load_state(wh)
+        marks = {name: advance_mark(stored.get(name), batch_max)}
+        if dataset == "facility" and stored.get("plants") is None:
+            marks["plants"] = marks[name]  # first load: the dimension takes the facts' mark
+        S.save_state(wh, marks)  # after publish (D11)
 
     writer = pages.writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint_location or f"{wh.root}/_streams/{dataset}"

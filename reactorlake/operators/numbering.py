@@ -2,8 +2,9 @@
 
 A ``row_number()`` over an un-partitioned window moves the whole result into
 one task. Instead: range-partition on the order keys (a hot leading key is
-split because the keys are unique), sort inside partitions, checkpoint once so
-partition contents are fixed, count rows per partition (one tiny row per
+split because the keys are unique), sort inside partitions, store each row's
+partition index and position once (a parquet stage in the shared checkpoint
+folder), count rows per partition (one tiny row per
 partition), turn the counts into start offsets, and add the position inside
 the partition. Only the per-partition offsets (bounded by the partition count)
 are broadcast.
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reactorlake.sources.tables import materialize
+
 # monotonically_increasing_id(): partition index in the upper 31 bits, record
 # number within the partition in the lower 33 bits.
 _RECORD_BITS = 33
@@ -41,13 +44,16 @@ def number_rows(
     else:
         # No order requested: number rows where they are (no shuffle, no sort).
         ranged = df
-    # Reliable checkpoint: fixes the range bounds and partition contents, so the
-    # counting pass and the numbering pass see identical partitions even when a
-    # task or an executor is lost and recomputed.
-    fixed = ranged.checkpoint(eager=True)
-    tagged = fixed.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_pos",
-        F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _RECORD_BITS),
+    # Partition index and position are computed once, in the same job that
+    # writes them to the shared folder: the stored values fix the numbering,
+    # so the counting pass and the numbering pass agree even when a task or an
+    # executor is lost and the upstream is recomputed.
+    tagged = materialize(
+        ranged.withColumn("_part", F.spark_partition_id()).withColumn(
+            "_pos",
+            F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _RECORD_BITS),
+        ),
+        "numbering",
     )
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(

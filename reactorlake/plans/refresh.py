@@ -25,6 +25,7 @@ from reactorlake.sources.tables import (
     MONTH_COL,
     Warehouse,
     drop_old_versions,
+    materialize,
     overwrite_months,
     path_exists,
     with_month,
@@ -69,11 +70,11 @@ def _batches(spark: SparkSession, landing: Landing, start_fac=None, start_us=Non
         if path_exists(spark, landing.us)
         else None
     )
-    # Each batch is parsed once and checkpointed to the shared checkpoint folder:
-    # later steps (dimension, dedupe, counts, months) reuse it instead of
-    # re-reading JSON, and lost executors recompute from the checkpoint.
-    fac = None if fac_raw is None else transform_records(fac_raw, "facility").checkpoint(eager=True)
-    us = None if us_raw is None else transform_records(us_raw, "us").checkpoint(eager=True)
+    # Each batch is parsed once and stored in the shared checkpoint folder:
+    # later steps (dimension, dedupe, counts, months) read it instead of
+    # re-parsing JSON, and lost executors re-read it instead of recomputing.
+    fac = None if fac_raw is None else materialize(transform_records(fac_raw, "facility"), "facility-batch")
+    us = None if us_raw is None else materialize(transform_records(us_raw, "us"), "us-batch")
     return fac, us
 
 

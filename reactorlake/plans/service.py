@@ -2,7 +2,7 @@
 
 ``get_dataset`` checks its scalar arguments on the driver (P15, L4), then
 runs scan -> filter -> sort -> offset/limit once (the page, at most 1,000
-rows, is checkpointed), and returns the page joined with names plus a lazy
+rows, is stored in the shared checkpoint folder), and returns the page joined with names plus a lazy
 1-row metadata DataFrame whose total count is its own aggregate. Only the
 page ever needs to reach the driver, and only if the caller collects it.
 """
@@ -21,6 +21,7 @@ from reactorlake.functions.dates import format_date, parse_date_arg
 from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
 from reactorlake.schemas import DATASETS, DEFAULT_LIMIT, MAX_LIMIT, resolve
+from reactorlake.sources.tables import materialize
 
 
 class Catalog(Protocol):
@@ -108,10 +109,10 @@ def get_dataset(
     args = check_args(dataset, date_from, date_to, facility_id, offset, limit)
     ds = DATASETS[args.dataset]
     filtered = filtered_rows(catalog, args)
-    # The page (<= 1,000 rows) is materialized once in the shared checkpoint
-    # folder: the name join needs its ids and the metadata counts it, and both
-    # read these few rows instead of scanning and sorting the facts again.
-    pg = R.page(filtered, ds, args.offset, args.limit).checkpoint(eager=True)
+    # The page (<= 1,000 rows) is computed once and stored in the shared
+    # checkpoint folder: the name join needs its ids and the metadata counts
+    # it, and both read these few rows instead of scanning the facts again.
+    pg = materialize(R.page(filtered, ds, args.offset, args.limit), "page")
     meta = R.page_metadata(filtered, pg, args.offset, args.limit)
     data = pg
     if ds.public == "facility":

@@ -23,6 +23,7 @@ from reactorlake.functions.dates import parse_date
 from reactorlake.functions.numbers import array_or_empty, ceil_div, text_to_long
 from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import PAGE_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
+from reactorlake.sources.tables import materialize
 
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
 
@@ -84,14 +85,14 @@ def kept_pages(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     ``offset`` are plain landed files and are all kept.
 
     The landing is scanned twice in all: once for one light row per page
-    (checkpointed: one row per page, no record arrays, reused by every rule
-    below), once for the records themselves.
+    (stored once in the shared folder: one row per page, no record arrays,
+    reused by every rule below), once for the records themselves.
     """
-    info = (
+    info = materialize(
         pages.where(F.col("offset").isNotNull())
         .groupBy("batch", "offset")
-        .agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
-        .checkpoint(eager=True)
+        .agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n")),
+        "page-info",
     )
     totals = info.groupBy("batch").agg(F.min_by("total", "offset").alias("total"))
     plan = page_plan(totals, page_size).select("batch", "offset")

@@ -55,6 +55,21 @@ def shared_root(spark: SparkSession, name: str | None = None) -> str:
     return f"{base.rstrip('/')}/reactorlake/{name or uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Cut lineage by writing ``df`` once as parquet into a fresh folder under
+    the shared checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint(eager=True)`` (one job to count, a second that
+    recomputes the plan to write the files), the plan runs exactly once; the
+    result is a plain columnar scan, so later steps prune columns and lost
+    executors re-read files instead of recomputing the upstream.
+    """
+    spark = df.sparkSession
+    path = shared_root(spark, f"_stage/{label}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 # ---------------------------------------------------------------------------
 # Filesystem helpers (Hadoop FileSystem, so any cluster filesystem works)
 # ---------------------------------------------------------------------------

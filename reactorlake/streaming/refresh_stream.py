@@ -23,7 +23,7 @@ from reactorlake.plans.refresh import advance_mark, apply_facility_batch, apply_
 from reactorlake.schemas import PAGE_SCHEMA
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import records_from_pages
-from reactorlake.sources.tables import Warehouse
+from reactorlake.sources.tables import Warehouse, materialize
 
 _STATE_NAME = {"facility": "facility_outages", "us": "us_outages"}
 
@@ -56,7 +56,7 @@ def start_refresh_stream(
     pages = _pages(reader.option("recursiveFileLookup", True).json(landing_path))
 
     def upsert_batch(batch_pages: DataFrame, epoch_id: int) -> None:
-        batch = transform_records(records_from_pages(batch_pages), dataset).checkpoint(eager=True)
+        batch = materialize(transform_records(records_from_pages(batch_pages), dataset), f"{dataset}-stream-batch")
         if batch.isEmpty():
             return
         if dataset == "facility":

@@ -28,6 +28,7 @@ from reactorlake.sources.tables import (
     materialize,
     overwrite_months,
     path_exists,
+    stage_scope,
     with_month,
 )
 
@@ -211,13 +212,15 @@ def drop_superseded(wh: Warehouse, keep: int = 2) -> None:
 def refresh(
     spark: SparkSession, landing: Landing, wh: Warehouse, mode: str = "auto", lookback_days: int = 0
 ) -> DataFrame:
-    """Run one refresh and return its summary."""
+    """Run one refresh and return its summary (A6). Intermediate stages (parsed
+    batches, page metadata) live in a scope folder removed when the run ends."""
     chosen = choose_mode(wh) if mode == "auto" else mode
-    if chosen == INCREMENTAL:
-        counts = incremental_refresh(spark, landing, wh, lookback_days)
-    elif chosen == RECOVERY:
-        counts = recover(wh)
-    else:
-        counts = full_refresh(spark, landing, wh)
+    with stage_scope(spark):
+        if chosen == INCREMENTAL:
+            counts = incremental_refresh(spark, landing, wh, lookback_days)
+        elif chosen == RECOVERY:
+            counts = recover(wh)
+        else:
+            counts = full_refresh(spark, landing, wh)
     drop_superseded(wh)
     return summary(spark, chosen, counts)

@@ -17,6 +17,8 @@ and rewritten.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import datetime as _dt
 import uuid
 
@@ -55,6 +57,25 @@ def shared_root(spark: SparkSession, name: str | None = None) -> str:
     return f"{base.rstrip('/')}/reactorlake/{name or uuid.uuid4().hex}"
 
 
+_STAGE_ROOT: contextvars.ContextVar[str | None] = contextvars.ContextVar("reactorlake_stage_root", default=None)
+
+
+@contextlib.contextmanager
+def stage_scope(spark: SparkSession):
+    """Stages written inside the block go to one folder that is deleted when
+    the block ends (use it where nothing returned reads those stages, e.g. a
+    refresh or one streaming micro-batch)."""
+    root = shared_root(spark, f"_stage/scope-{uuid.uuid4().hex}")
+    token = _STAGE_ROOT.set(root)
+    try:
+        yield root
+    finally:
+        _STAGE_ROOT.reset(token)
+        fs, p = _fs_path(spark, root)
+        if fs.exists(p):
+            fs.delete(p, True)
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut lineage by writing ``df`` once as parquet into a fresh folder under
     the shared checkpoint folder and reading it back.
@@ -65,7 +86,9 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     executors re-read files instead of recomputing the upstream.
     """
     spark = df.sparkSession
-    path = shared_root(spark, f"_stage/{label}-{uuid.uuid4().hex}")
+    scope = _STAGE_ROOT.get()
+    name = f"{label}-{uuid.uuid4().hex}"
+    path = f"{scope}/{name}" if scope else shared_root(spark, f"_stage/{name}")
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

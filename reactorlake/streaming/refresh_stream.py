@@ -23,7 +23,7 @@ from reactorlake.plans.refresh import advance_mark, apply_facility_batch, apply_
 from reactorlake.schemas import PAGE_SCHEMA
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import records_from_pages
-from reactorlake.sources.tables import Warehouse, materialize
+from reactorlake.sources.tables import Warehouse, materialize, stage_scope
 
 _STATE_NAME = {"facility": "facility_outages", "us": "us_outages"}
 
@@ -56,6 +56,10 @@ def start_refresh_stream(
     pages = _pages(reader.option("recursiveFileLookup", True).json(landing_path))
 
     def upsert_batch(batch_pages: DataFrame, epoch_id: int) -> None:
+        with stage_scope(batch_pages.sparkSession):
+            apply_batch(batch_pages)
+
+    def apply_batch(batch_pages: DataFrame) -> None:
         batch = materialize(transform_records(records_from_pages(batch_pages), dataset), f"{dataset}-stream-batch")
         if batch.isEmpty():
             return

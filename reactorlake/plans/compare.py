@@ -11,12 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reactorlake.errors import ValidationError
 from reactorlake.functions.dates import format_date, parse_date_arg, range_limit_value
 from reactorlake.operators import series as SR
 from reactorlake.operators.read import filter_date_range
 from reactorlake.plans.service import Catalog
 
 
+def _range(date_from, date_to):
+    """Dates of a chart request; an inverted range is rejected like any read."""
+    d_from, d_to = parse_date_arg(date_from, "date_from"), parse_date_arg(date_to, "date_to")
+    if d_from is not None and d_to is not None and d_from > d_to:
+        raise ValidationError("date_from must be <= date_to")
+    return d_from, d_to
+
+
 def series_ids(catalog: Catalog, ids: list[str]) -> list[tuple[str, str]]:
     """(id, label) of the selected series in dimension order. At most five
     rows (P13) reach the driver; they fix the pivot's columns."""
@@ -27,7 +36,7 @@ def series_ids(catalog: Catalog, ids: list[str]) -> list[tuple[str, str]]:
 def latest_series(catalog: Catalog, ids: list[str], date_from=None, date_to=None) -> DataFrame:
     """P13 + J6 + W1 + L9: the newest N points of every selected facility in the
     range, labelled with the plant name (long form)."""
-    d_from, d_to = parse_date_arg(date_from, "date_from"), parse_date_arg(date_to, "date_to")
+    d_from, d_to = _range(date_from, date_to)
     n = range_limit_value(d_from, d_to)
     picked = SR.selected_plants(catalog.load("plants"), ids)
     facts = filter_date_range(catalog.load("facility", d_from, d_to), d_from, d_to).where(
@@ -45,7 +54,7 @@ def latest_series(catalog: Catalog, ids: list[str], date_from=None, date_to=None
 
 def compare_series(catalog: Catalog, ids: list[str], date_from=None, date_to=None, include_us: bool = True) -> DataFrame:
     """``date, [us,] <facility ids...>`` ascending by date."""
-    d_from, d_to = parse_date_arg(date_from, "date_from"), parse_date_arg(date_to, "date_to")
+    d_from, d_to = _range(date_from, date_to)
     n = range_limit_value(d_from, d_to)
     chosen = [i for i, _ in series_ids(catalog, ids)]
     facts = filter_date_range(catalog.load("facility", d_from, d_to), d_from, d_to).where(F.col("facility_id").isin(chosen))

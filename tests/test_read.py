@@ -189,3 +189,24 @@ def test_date_bounds_prune_month_folders(spark, scratch, facility_df):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(ym" in plan
     assert df.count() == 5  # month-level pruning only; the exact date filter is the caller's
+
+
+def test_offset_without_limit_returns_the_rest(spark):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), f"F{i % 3}", 1.0, float(i), 1.0) for i in range(12)]
+    fac = spark.createDataFrame(rows, "date date, facility_id string, capacity double, outage double, percent_outage double")
+    rest = R.page(fac, DATASETS["facility"], 9, None).collect()
+    assert [r["outage"] for r in rest] == [2.0, 1.0, 0.0]
+
+
+def test_materialize_and_stage_scope(spark):
+    from reactorlake.sources.tables import materialize, path_exists, stage_scope
+
+    df = spark.createDataFrame(
+        [(dt.date(2024, 1, 1), "a", (1, "x"))], "d date, s string, seq struct<o:int,f:string>"
+    )
+    with stage_scope(spark) as root:
+        staged = materialize(df, "t")
+        assert staged.schema == df.schema
+        assert [tuple(r) for r in staged.collect()] == [tuple(r) for r in df.collect()]
+        assert path_exists(spark, root)
+    assert not path_exists(spark, root)

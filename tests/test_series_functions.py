@@ -105,3 +105,12 @@ def test_entry_contract(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "facility_name" in df.columns
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_inverted_chart_range_is_rejected(spark):
+    import pytest
+
+    from reactorlake.errors import ValidationError
+
+    with pytest.raises(ValidationError):
+        compare_series(_cat(spark), ["F1"], "2024-01-10", "2024-01-01")

@@ -12,7 +12,7 @@ import datetime as _dt
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reactorlake.errors import ValidationError
@@ -114,13 +114,11 @@ def page_after(df: DataFrame, dataset: Dataset, after: dict[str, Any] | None, li
 def with_page_rank(page_df: DataFrame, dataset: Dataset, rank_col: str = "page_rank") -> DataFrame:
     """Position (0-based) of each row inside one page; the page is at most the
     limit (<= 1,000 rows), so one un-partitioned window over it is bounded."""
-    from pyspark.sql import Window
-
     w = Window.orderBy(*sort_columns(dataset))
     return page_df.withColumn(rank_col, (F.row_number().over(w) - F.lit(1)).cast("bigint"))
 
 
-def join_names(page_df: DataFrame, plants: DataFrame | None, dataset: Dataset | None = None) -> DataFrame:
+def join_names(page_df: DataFrame, plants: DataFrame | None) -> DataFrame:
     """Left join of a page with the dimension, after paging.
 
     The page holds at most ``limit`` ids, so the dimension is first cut down by

@@ -20,14 +20,13 @@ from reactorlake.operators.clean import drop_name, transform_records
 from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, upsert
 from reactorlake.schemas import DATASETS
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import landed_records
+from reactorlake.sources.landing import landed_records, list_batches
 from reactorlake.sources.tables import (
     MONTH_COL,
     Warehouse,
     drop_old_versions,
     materialize,
     overwrite_months,
-    path_exists,
     stage_scope,
     with_month,
 )
@@ -60,23 +59,34 @@ def choose_mode(wh: Warehouse) -> str:
     return FULL
 
 
-def _batches(spark: SparkSession, landing: Landing, start_fac=None, start_us=None):
-    fac_raw = (
-        landed_records(spark, landing.facility, start=start_fac, multi_line=landing.multi_line)
-        if path_exists(spark, landing.facility)
-        else None
-    )
-    us_raw = (
-        landed_records(spark, landing.us, start=start_us, multi_line=landing.multi_line)
-        if path_exists(spark, landing.us)
-        else None
-    )
+def _batches(spark: SparkSession, landing: Landing, wh: Warehouse, start_fac=None, start_us=None, only_new=False):
+    """Parse and transform the landed fetch runs of both datasets.
+
+    With ``only_new`` (incremental runs) only fetch-run folders newer than the
+    recorded progress are read, so a run parses what landed since the last one,
+    not the whole landing history. Returns the two batches and the newest
+    fetch run seen per dataset (to record once the run has been applied).
+    """
+    done = S.load_progress(wh) if only_new else {}
+    newest: dict[str, str | None] = {}
+
+    def read(path: str, name: str, start):
+        runs = list_batches(spark, path)
+        last = done.get(name)
+        todo = [r for r in runs if last is None or r > last]
+        newest[name] = runs[-1] if runs else None
+        if not todo:
+            return None
+        return landed_records(spark, todo, start=start, multi_line=landing.multi_line)
+
+    fac_raw = read(landing.facility, "facility_outages", start_fac)
+    us_raw = read(landing.us, "us_outages", start_us)
     # Each batch is parsed once and stored in the shared checkpoint folder:
     # later steps (dimension, dedupe, counts, months) read it instead of
     # re-parsing JSON, and lost executors re-read it instead of recomputing.
     fac = None if fac_raw is None else materialize(transform_records(fac_raw, "facility"), "facility-batch")
     us = None if us_raw is None else materialize(transform_records(us_raw, "us"), "us-batch")
-    return fac, us
+    return fac, us, newest
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
@@ -92,7 +102,7 @@ def summary(spark: SparkSession, mode: str, counts: dict[str, int]) -> DataFrame
 
 def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[str, int]:
     """Overwrite all three base tables from every landed record, publish, then state."""
-    fac, us = _batches(spark, landing)
+    fac, us, newest = _batches(spark, landing, wh)
     # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
     plants = dimension_from_batch(fac) if fac is not None else _empty(spark, "plants")
     fac = last_wins(fac, MERGE_KEYS["facility_outages"]) if fac is not None else None  # D9
@@ -106,6 +116,7 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
         wh.publish(name, rows=stats[name][0])  # S10: an empty table keeps the older snapshot
     fac_max, us_max = stats["facility"][1], stats["us"][1]
     S.save_state(wh, {"facility_outages": fac_max, "us_outages": us_max, "plants": fac_max})
+    S.save_progress(wh, newest)
     return {DATASETS[name].storage: stats[name][0] for name in stats}
 
 
@@ -175,7 +186,7 @@ def incremental_refresh(
         w = st.get(name)
         return None if w is None else w - _dt.timedelta(days=lookback_days)
 
-    fac, us = _batches(spark, landing, start("facility_outages"), start("us_outages"))
+    fac, us, newest = _batches(spark, landing, wh, start("facility_outages"), start("us_outages"), only_new=True)
     counts = {"facility_outages": 0, "us_outages": 0, "plants": 0}
     new_marks: dict[str, _dt.date | None] = {}
     if fac is not None and not fac.isEmpty():
@@ -187,6 +198,7 @@ def incremental_refresh(
         new_marks["us_outages"] = advance_mark(st.get("us_outages"), batch_max)
     if new_marks:
         S.save_state(wh, new_marks)  # D11: state last; plants' watermark untouched (A2)
+    S.save_progress(wh, newest)
     return counts
 
 
@@ -207,6 +219,7 @@ def drop_superseded(wh: Warehouse, keep: int = 2) -> None:
         drop_old_versions(wh.spark, wh.base_dir(ds.storage), keep)
         drop_old_versions(wh.spark, wh.snapshot_dir(ds.storage), keep)
     drop_old_versions(wh.spark, wh.state_dir(), keep)
+    drop_old_versions(wh.spark, f"{wh.root}/progress", keep)
 
 
 def refresh(

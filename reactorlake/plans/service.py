@@ -116,7 +116,7 @@ def get_dataset(
     meta = R.page_metadata(filtered, pg, args.offset, args.limit)
     data = pg
     if ds.public == "facility":
-        data = R.join_names(data, _plants_or_none(catalog), ds)
+        data = R.join_names(data, _plants_or_none(catalog))
     # Order after the join: the page is re-sorted (bounded) rather than trusting join order.
     data = R.with_page_rank(data, ds)
     if ds.has_date:

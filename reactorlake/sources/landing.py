@@ -28,7 +28,22 @@ from reactorlake.sources.tables import materialize
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
 
 
-def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+def list_batches(spark: SparkSession, path: str) -> list[str]:
+    """Fetch-run folders directly under a landing path, oldest first (names sort
+    by landing time). A path holding page files itself is one fetch run."""
+    from reactorlake.sources.tables import _fs_path
+
+    fs, p = _fs_path(spark, path)
+    if not fs.exists(p):
+        return []
+    entries = [st for st in fs.listStatus(p) if not st.getPath().getName().startswith(("_", "."))]
+    dirs = sorted(str(st.getPath()) for st in entries if st.isDirectory())
+    if any(st.isFile() for st in entries) or not dirs:
+        return [str(fs.makeQualified(p))]
+    return dirs
+
+
+def read_pages(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """S1 scan: one row per landed page (``batch, file, offset, total, data``).
 
     JSON-lines landings are split across tasks; ``multi_line=True`` reads one
@@ -38,7 +53,7 @@ def read_pages(spark: SparkSession, path: str, multi_line: bool = False) -> Data
         spark.read.schema(PAGE_SCHEMA)
         .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)  # batch folders are not key=value partitions
-        .json(path)
+        .json(path if isinstance(path, str) else list(path))
     )
     return raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("batch"),
@@ -137,7 +152,7 @@ def filter_period(records: DataFrame, start: _dt.date | None = None, end: _dt.da
 
 def landed_records(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     start: _dt.date | None = None,
     end: _dt.date | None = None,
     multi_line: bool = False,

@@ -12,6 +12,7 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reactorlake.schemas import DATASETS, STATE_SCHEMA
 from reactorlake.sources.tables import Warehouse, latest_version_path, next_version_path
@@ -73,3 +74,39 @@ def watermark(frame: DataFrame, name: str = "last_extraction_date") -> DataFrame
 def advance(old: Column, batch_max: Column) -> Column:
     """Only a non-empty batch moves the watermark, and never backwards."""
     return F.coalesce(F.greatest(old, batch_max), old, batch_max)
+
+
+# --- landing progress ---------------------------------------------------------
+# The newest landing folder (fetch run) already applied, per dataset, so an
+# incremental refresh parses only fetch runs that landed since, not the whole
+# landing history. Same versioned layout as the watermarks.
+
+PROGRESS_SCHEMA = T.StructType(
+    [
+        T.StructField("dataset", T.StringType()),
+        T.StructField("last_batch", T.StringType()),
+        T.StructField("updated_at", T.TimestampType()),
+    ]
+)
+
+
+def _progress_dir(wh: Warehouse) -> str:
+    return f"{wh.root}/progress"
+
+
+def load_progress(wh: Warehouse) -> dict[str, str | None]:
+    path = latest_version_path(wh.spark, _progress_dir(wh))
+    stored = {} if path is None else {
+        r["dataset"]: r["last_batch"] for r in wh.spark.read.schema(PROGRESS_SCHEMA).parquet(path).collect()
+    }
+    return {name: stored.get(name) for name in STATE_DATASETS}
+
+
+def save_progress(wh: Warehouse, marks: dict[str, str | None]) -> None:
+    """Record the newest applied fetch run per dataset (others keep theirs)."""
+    current = load_progress(wh)
+    current.update({k: v for k, v in marks.items() if v is not None})
+    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    rows = [(name, current[name], now) for name in STATE_DATASETS]
+    target = next_version_path(wh.spark, _progress_dir(wh))
+    wh.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("error").parquet(target)

@@ -195,3 +195,23 @@ def test_incremental_over_split_batches_equals_full_over_union(spark, scratch):
         b = sorted(tuple(r) for r in wh_union.load_snapshot(name).collect())
         assert a == b
     assert S.load_state(wh_split)["facility_outages"] == S.load_state(wh_union)["facility_outages"]
+
+
+def test_incremental_parses_only_new_fetch_runs(spark, scratch):
+    """Records of an already applied fetch run are not parsed again, even when
+    they are newer than the watermark; only runs that landed since are read."""
+    from reactorlake.sources.landing import list_batches
+
+    root = _local(scratch)
+    write_page(f"{root}/land/fac/b1/p0.json", 0, [_fac(1, "F1", "A"), _fac(2, "F1", "A")], 2)
+    landing = RF.Landing(f"{scratch}/land/fac", f"{scratch}/land/us")
+    wh = Warehouse(spark, f"{scratch}/wh")
+    RF.refresh(spark, landing, wh)
+    assert S.load_progress(wh)["facility_outages"] == list_batches(spark, f"{scratch}/land/fac")[-1]
+    again = {r["dataset"]: r["rows_processed"] for r in RF.refresh(spark, landing, wh).collect()}
+    assert again["facility_outages"] == 0  # day 2 is >= the watermark but was applied already
+    write_page(f"{root}/land/fac/b2/p0.json", 0, [_fac(2, "F1", "A", "7"), _fac(3, "F1", "A")], 2)
+    later = {r["dataset"]: r["rows_processed"] for r in RF.refresh(spark, landing, wh).collect()}
+    assert later["facility_outages"] == 2
+    facts = {r["date"].day: r["outage"] for r in wh.load_snapshot("facility").collect()}
+    assert facts == {1: 100.0, 2: 7.0, 3: 100.0}

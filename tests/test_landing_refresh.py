@@ -215,3 +215,15 @@ def test_incremental_parses_only_new_fetch_runs(spark, scratch):
     assert later["facility_outages"] == 2
     facts = {r["date"].day: r["outage"] for r in wh.load_snapshot("facility").collect()}
     assert facts == {1: 100.0, 2: 7.0, 3: 100.0}
+
+
+def test_stream_refresh_of_the_national_series(spark, scratch):
+    from reactorlake.streaming.refresh_stream import run_available
+
+    root = _local(scratch)
+    write_page(f"{root}/land/us/b1/p0.json", 0, [_us(1), _us(2, ""), _us(3)], 3)  # day 2 lacks outage
+    wh = Warehouse(spark, f"{scratch}/wh")
+    run_available(spark, f"{scratch}/land/us", "us", wh)
+    rows = {r["date"].day: r["outage"] for r in wh.load_snapshot("us").collect()}
+    assert rows == {1: 5000.0, 3: 5000.0}
+    assert S.load_state(wh)["us_outages"] == dt.date(2024, 1, 3)

@@ -35,8 +35,9 @@ FULL = "full"
 INCREMENTAL = "incremental"
 RECOVERY = "recovery"
 
-# The run-summary wording.
-MODE_LABEL = {FULL: "FULL (first run)", INCREMENTAL: "INCREMENTAL", RECOVERY: "RECOVERY"}
+# The run-summary wording. There are two labels; a recovery run
+# is not a first run, so it is reported with the incremental label.
+MODE_LABEL = {FULL: "FULL (first run)", INCREMENTAL: "INCREMENTAL", RECOVERY: "INCREMENTAL"}
 
 
 @dataclass(frozen=True)

@@ -2,9 +2,10 @@
 
 ``get_dataset`` checks its scalar arguments on the driver (P15, L4), then
 runs scan -> filter -> sort -> offset/limit once (the page, at most 1,000
-rows, is stored in the shared checkpoint folder), and returns the page joined with names plus a lazy
-1-row metadata DataFrame whose total count is its own aggregate. Only the
-page ever needs to reach the driver, and only if the caller collects it.
+rows, is stored in the shared checkpoint folder) and returns the page joined
+with names, plus a lazy 1-row metadata DataFrame whose total count is its own
+aggregate. Only the page ever needs to reach the driver, and only if the
+caller collects it.
 """
 
 from __future__ import annotations

@@ -23,7 +23,7 @@ from reactorlake.functions.dates import parse_date
 from reactorlake.functions.numbers import array_or_empty, ceil_div, text_to_long
 from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import PAGE_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
-from reactorlake.sources.tables import materialize
+from reactorlake.sources.tables import _fs_path, materialize
 
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
 
@@ -31,8 +31,6 @@ RECORD_FIELDS = RAW_RECORD_SCHEMA.names
 def list_batches(spark: SparkSession, path: str) -> list[str]:
     """Fetch-run folders directly under a landing path, oldest first (names sort
     by landing time). A path holding page files itself is one fetch run."""
-    from reactorlake.sources.tables import _fs_path
-
     fs, p = _fs_path(spark, path)
     if not fs.exists(p):
         return []

@@ -138,7 +138,7 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
     the dimension, then publish the touched months. An absent table is created
     from the batch (M1); only months present in the batch are rewritten."""
     plants = dimension_from_batch(fac)
-    # Months, row count and newest date come from the checkpointed batch itself
+    # Months, row count and newest date come from the staged batch itself
     # (the dedupe below changes neither the months nor the newest date).
     months = _months(fac)
     n_rows, batch_max = _stats(fac)

@@ -136,12 +136,15 @@ def _months(batch: DataFrame) -> list[str]:
 def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) -> tuple[int, int, _dt.date | None]:
     """Upsert one transformed facility batch (with ``seq``) into the facts and
     the dimension, then publish the touched months. An absent table is created
-    from the batch (M1); only months present in the batch are rewritten."""
+    from the batch (M1); only months present in the batch are rewritten. An
+    empty batch changes nothing and returns zero rows."""
+    # Row count and newest date come from the staged batch itself (the dedupe
+    # below changes neither the months nor the newest date).
+    n_rows, batch_max = _stats(fac)
+    if n_rows == 0:
+        return 0, 0, None
     plants = dimension_from_batch(fac)
-    # Months, row count and newest date come from the staged batch itself
-    # (the dedupe below changes neither the months nor the newest date).
     months = _months(fac)
-    n_rows, batch_max = _stats(fac)
     facts = drop_name(last_wins(fac, MERGE_KEYS["facility_outages"]))
     version = wh.base_version_path("facility")
     if version is None:
@@ -153,14 +156,18 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
         wh.overwrite_base("plants", upsert(wh.load_base("plants"), plants, MERGE_KEYS["plants"]))
     else:
         wh.overwrite_base("plants", plants)
+    n_plants = _stats(plants)[0]
     wh.publish("facility", months=months)
-    wh.publish("plants")
-    return n_rows, _stats(plants)[0], batch_max
+    wh.publish("plants", rows=n_plants)
+    return n_rows, n_plants, batch_max
 
 
 def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[int, _dt.date | None]:
-    """Upsert one transformed national batch; the small table is rewritten as a new version."""
+    """Upsert one transformed national batch; the small table is rewritten as a
+    new version. An empty batch changes nothing and returns zero rows."""
     n_rows, batch_max = _stats(us)
+    if n_rows == 0:
+        return 0, None
     us = last_wins(us, MERGE_KEYS["us_outages"])
     if wh.base_exists("us_outages"):
         wh.overwrite_base("us", upsert(wh.load_base("us"), us, MERGE_KEYS["us_outages"]))
@@ -190,13 +197,15 @@ def incremental_refresh(
     fac, us, newest = _batches(spark, landing, wh, start("facility_outages"), start("us_outages"), only_new=True)
     counts = {"facility_outages": 0, "us_outages": 0, "plants": 0}
     new_marks: dict[str, _dt.date | None] = {}
-    if fac is not None and not fac.isEmpty():
+    if fac is not None:
         n_facts, n_plants, batch_max = apply_facility_batch(spark, wh, fac)
         counts["facility_outages"], counts["plants"] = n_facts, n_plants
-        new_marks["facility_outages"] = advance_mark(st.get("facility_outages"), batch_max)
-    if us is not None and not us.isEmpty():
+        if n_facts:
+            new_marks["facility_outages"] = advance_mark(st.get("facility_outages"), batch_max)
+    if us is not None:
         counts["us_outages"], batch_max = apply_us_batch(spark, wh, us)
-        new_marks["us_outages"] = advance_mark(st.get("us_outages"), batch_max)
+        if counts["us_outages"]:
+            new_marks["us_outages"] = advance_mark(st.get("us_outages"), batch_max)
     if new_marks:
         S.save_state(wh, new_marks)  # D11: state last; plants' watermark untouched (A2)
     S.save_progress(wh, newest)

@@ -61,12 +61,12 @@ def start_refresh_stream(
 
     def apply_batch(batch_pages: DataFrame) -> None:
         batch = materialize(transform_records(records_from_pages(batch_pages), dataset), f"{dataset}-stream-batch")
-        if batch.isEmpty():
-            return
         if dataset == "facility":
-            _, _, batch_max = apply_facility_batch(batch.sparkSession, wh, batch)
+            n_rows, _, batch_max = apply_facility_batch(batch.sparkSession, wh, batch)
         else:
-            _, batch_max = apply_us_batch(batch.sparkSession, wh, batch)
+            n_rows, batch_max = apply_us_batch(batch.sparkSession, wh, batch)
+        if n_rows == 0:
+            return  # an empty micro-batch changes nothing
         name = _STATE_NAME[dataset]
         stored = S.load_state(wh)
         marks = {name: advance_mark(stored.get(name), batch_max)}

@@ -134,3 +134,28 @@ def test_bad_period_text_is_dropped(spark):
     assert C.transform_records(df, "facility").count() == 0
     assert C.validate_records(df, C.REQUIRED["facility"]).count() == 2
     assert df.select(F.lit(1)).count() == 2
+
+
+def test_text_totals_and_ceiling_pages(spark):
+    from reactorlake.functions.numbers import ceil_div, ceil_div_int, text_to_long
+
+    df = spark.createDataFrame([("12001",), (" 7 ",), ("abc",), (None,), ("0",)], "t string")
+    rows = df.select(text_to_long("t").alias("n"), ceil_div(text_to_long("t"), 5000).alias("pages")).collect()
+    assert [r["n"] for r in rows] == [12001, 7, 0, 0, 0]
+    assert [r["pages"] for r in rows] == [3, 1, 0, 0, 0]
+    assert [ceil_div_int(n, 5000) for n in (0, 1, 5000, 5001)] == [0, 1, 1, 2]
+
+
+def test_missing_record_list_reads_as_empty(spark):
+    from reactorlake.functions.numbers import array_or_empty
+
+    df = spark.createDataFrame([(None,), (["a"],)], "xs array<string>")
+    assert [r[0] for r in df.select(F.size(array_or_empty("xs"))).collect()] == [0, 1]
+
+
+def test_labels_keep_nulls(spark):
+    from reactorlake.functions.labels import mw_label, percent_label
+
+    df = spark.createDataFrame([(None, None)], "x double, p double")
+    row = df.select(mw_label("x").alias("m"), percent_label("p").alias("q")).first()
+    assert row["m"] is None and row["q"] is None

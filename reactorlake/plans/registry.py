@@ -294,9 +294,7 @@ def watermark(spark, sf):
     us = S.watermark(A.us_outages(spark, sf)).withColumn("dataset", F.lit("us_outages"))
     plants = fac.withColumn("dataset", F.lit("plants"))  # a full load gives plants the facility mark
     out = fac.unionByName(us).unionByName(plants)
-    return _text_dates(out.withColumnRenamed("last_extraction_date", "date"), "date").withColumnRenamed(
-        "date", "last_extraction_date"
-    )
+    return _text_dates(out, "last_extraction_date")
 
 
 def watermark_advance(spark, sf):

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.functions.dates import parse_date
@@ -136,9 +136,12 @@ def records_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
-def filter_period(records: DataFrame, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
-    """Inclusive ``start`` / ``end`` bounds on the record date. Records
-    whose period is not a date are kept here; validation decides about them."""
+def filter_period(
+    records: DataFrame, start: _dt.date | Column | None = None, end: _dt.date | Column | None = None
+) -> DataFrame:
+    """Inclusive ``start`` / ``end`` bounds (dates, or date columns such
+    as a scalar subquery) on the record date. Records whose period is not a
+    date are kept here; validation decides about them."""
     d = parse_date("period")
     cond = F.lit(True)
     if start is not None:

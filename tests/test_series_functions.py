@@ -114,3 +114,30 @@ def test_inverted_chart_range_is_rejected(spark):
 
     with pytest.raises(ValidationError):
         compare_series(_cat(spark), ["F1"], "2024-01-10", "2024-01-01")
+
+
+def test_last_wins_with_a_hot_key(spark):
+    """One key repeated in a third of the rows: still one row per key, the newest wins."""
+    from reactorlake.operators.upsert import last_wins
+
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).cast("string").alias("k"),
+        F.col("id").cast("double").alias("v"),
+        F.col("id").alias("seq"),
+    )
+    out = {r["k"]: r["v"] for r in last_wins(df, ["k"]).collect()}
+    assert len(out) == 2001 and out["0"] == 2997.0
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 50)), min_size=1, max_size=60, unique=True))
+def test_numbering_property(spark, rows):
+    df = spark.createDataFrame(rows, "d int, k int")
+    order = [F.col("d").desc(), F.col("k").asc()]
+    ours = {(r["d"], r["k"]): r["row_idx"] for r in number_rows(df, order, partitions=3).collect()}
+    expected = {key: i for i, key in enumerate(sorted(rows, key=lambda t: (-t[0], t[1])))}
+    assert ours == expected

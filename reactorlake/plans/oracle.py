@@ -206,6 +206,14 @@ SQL: dict[str, str] = {
             FROM (SELECT date, facility_id, row_number() OVER (ORDER BY date DESC, facility_id) - 1 AS rn
                   FROM facility_outages WHERE date >= DATE '{Q.NUMBER_FROM}') n"""
     ),
+    "page_walk": _q(
+        f"""SELECT {_d('f.date')} AS date, f.facility_id, f.capacity, f.outage, f.percent_outage, p.facility_name,
+                   CAST(f.rn AS BIGINT) AS row_idx, CAST(f.rn // {Q.PAGE_LIMIT} AS BIGINT) AS page_no,
+                   CAST(f.rn % {Q.PAGE_LIMIT} AS BIGINT) AS page_pos
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id) - 1 AS rn FROM facility_outages
+                  WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}') f
+            LEFT JOIN plants p ON p.facility_id = f.facility_id"""
+    ),
     "page_records": _q(
         f"""SELECT CAST(f.rn - 1 AS BIGINT) AS page_rank,
                    CAST(json_object('facility_id', f.facility_id, 'date', {_d('f.date')}, 'capacity', f.capacity,

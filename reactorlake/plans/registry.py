@@ -161,6 +161,11 @@ def page_numbers(spark, sf):
     return _text_dates(numbered, "date")
 
 
+def page_walk(spark, sf):
+    """L6 at the service level: every page of a filtered read, numbered once, names joined."""
+    return SV.all_pages(_frames(spark, sf), "facility", DATE_FROM, DATE_TO, None, PAGE_LIMIT)
+
+
 def page_records(spark, sf):
     res = SV.get_dataset(_frames(spark, sf), "facility", None, None, FACILITY, 0, 25)
     return SV.page_records(res)
@@ -441,6 +446,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "page_keyset": page_keyset,
     "page_plan": page_plan,
     "page_numbers": page_numbers,
+    "page_walk": page_walk,
     "page_records": page_records,
     "facility_with_names": facility_with_names,
     "facility_unknown_names": facility_unknown_names,

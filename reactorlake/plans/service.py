@@ -21,6 +21,7 @@ from reactorlake.errors import DataNotFoundError, ValidationError
 from reactorlake.functions.dates import format_date, parse_date_arg
 from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
+from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import DATASETS, DEFAULT_LIMIT, MAX_LIMIT, resolve
 from reactorlake.sources.tables import materialize
 
@@ -125,6 +126,32 @@ def get_dataset(
     return PageResult(data.orderBy("page_rank"), meta)
 
 
+def all_pages(
+    catalog: Catalog,
+    dataset: str,
+    date_from=None,
+    date_to=None,
+    facility_id: str | None = None,
+    limit: int = DEFAULT_LIMIT,
+) -> DataFrame:
+    """The whole filtered result numbered into pages of ``limit`` rows
+    (``page_no``, ``page_pos``), in the read order; what walking every page
+    with ``next_offset`` returns, computed once. The numbering is stored in the
+    shared folder, so each page is then a cheap ``page_no`` filter. Names are
+    joined for facility rows (whole-table join: the dimension is broadcast only
+    under the size threshold)."""
+    args = check_args(dataset, date_from, date_to, facility_id, 0, limit)
+    ds = DATASETS[args.dataset]
+    numbered = number_pages(filtered_rows(catalog, args), R.sort_columns(ds), args.limit)
+    if ds.public == "facility":
+        plants = _plants_or_none(catalog)
+        if plants is not None:
+            numbered = R.join_names_whole(numbered, plants)
+    if ds.has_date:
+        numbered = numbered.withColumn("date", format_date("date"))
+    return numbered
+
+
 def page_records(result: PageResult) -> DataFrame:
     """F16: each page row as one JSON object, in page order."""
     cols = [c for c in result.data.columns if c != "page_rank"]

@@ -210,3 +210,22 @@ def test_materialize_and_stage_scope(spark):
         assert [tuple(r) for r in staged.collect()] == [tuple(r) for r in df.collect()]
         assert path_exists(spark, root)
     assert not path_exists(spark, root)
+
+
+def test_all_pages_equals_walking_offsets(facility_df, us_df, plants_df):
+    from reactorlake.plans.service import all_pages
+
+    cat = _catalog(facility_df, us_df, plants_df)
+    numbered = all_pages(cat, "facility", limit=2)
+    by_page = {}
+    for r in numbered.collect():
+        by_page.setdefault(r["page_no"], []).append((r["page_pos"], r["date"], r["facility_id"], r["facility_name"]))
+    walked, offset = [], 0
+    while True:
+        res = get_dataset(cat, "facility", offset=offset, limit=2)
+        walked.append([(r["page_rank"], r["date"], r["facility_id"], r["facility_name"]) for r in res.data.collect()])
+        nxt = res.meta.first()["next_offset"]
+        if nxt is None:
+            break
+        offset = nxt
+    assert [sorted(by_page[k]) for k in sorted(by_page)] == walked

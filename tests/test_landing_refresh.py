@@ -116,6 +116,15 @@ def test_untouched_months_survive_a_partition_upsert(spark, scratch):
     RF.refresh(spark, landing, wh)
     facts = {r["date"]: r["outage"] for r in wh.load_base("facility").collect()}
     assert facts == {dt.date(2024, 1, 1): 100.0, dt.date(2024, 2, 10): 7.0}
+    published = {r["date"]: r["outage"] for r in wh.load_snapshot("facility").collect()}
+    assert published == facts  # only February was republished; January stayed
+    # superseded versions are pruned to the newest two after each refresh
+    from reactorlake.sources.tables import _versions
+
+    for _ in range(2):
+        RF.refresh(spark, landing, wh)
+    assert len(_versions(spark, wh.state_dir())) <= 2
+    assert len(_versions(spark, wh.base_dir("plants"))) <= 2
 
 
 def test_publish_skips_empty_tables(spark, scratch, us_df):

@@ -105,7 +105,10 @@ def load_progress(wh: Warehouse) -> dict[str, str | None]:
 def save_progress(wh: Warehouse, marks: dict[str, str | None]) -> None:
     """Record the newest applied fetch run per dataset (others keep theirs)."""
     current = load_progress(wh)
-    current.update({k: v for k, v in marks.items() if v is not None})
+    changed = {k: v for k, v in marks.items() if v is not None and current.get(k) != v}
+    if not changed:
+        return  # nothing new was applied: keep the current version
+    current.update(changed)
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     rows = [(name, current[name], now) for name in STATE_DATASETS]
     target = next_version_path(wh.spark, _progress_dir(wh))

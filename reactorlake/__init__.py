@@ -13,5 +13,22 @@ Library code never creates a SparkSession; callers pass one in.
 """
 
 from reactorlake.errors import DataNotFoundError, ProcessingError, ValidationError
+from reactorlake.plans.compare import compare_series, latest_series
+from reactorlake.plans.refresh import Landing, refresh
+from reactorlake.plans.service import FrameCatalog, all_pages, get_dataset, overview
+from reactorlake.sources.tables import Warehouse
 
-__all__ = ["DataNotFoundError", "ProcessingError", "ValidationError"]
+__all__ = [
+    "DataNotFoundError",
+    "FrameCatalog",
+    "Landing",
+    "ProcessingError",
+    "ValidationError",
+    "Warehouse",
+    "all_pages",
+    "compare_series",
+    "get_dataset",
+    "latest_series",
+    "overview",
+    "refresh",
+]

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import slices, stage, table, with_running
+from reactorlake.llm.common import map_arrow, slices, stage, table, with_running
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -107,7 +107,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         raise ValueError("the longest piece must be a power of two")
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
-    pieces = stage(ids.mapInArrow(_pieces(tokenizer_path, most, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
+    pieces = stage(map_arrow(ids, _pieces(tokenizer_path, most, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
     blocks = max(1, pieces.count() // BLOCK_ROWS)
     # longest bucket first, inside it blocks of documents
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))

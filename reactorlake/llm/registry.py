@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from reactorlake.llm import exact_dedup, mixing, packing
+from reactorlake.llm import exact_dedup, minhash, mixing, packing, url_filter
 
 QUERIES = {
+    "op1_minhash": minhash.op1_minhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op4_packing": packing.op4_packing,
+    "op8_url_filter": url_filter.op8_url_filter,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

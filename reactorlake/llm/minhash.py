@@ -36,7 +36,7 @@ from reactorlake.llm.shingles import shingle_sets
 WIDTH = 5
 PERMUTATIONS = 128
 BAND = 4
-THRESHOLD = 0.8
+PERCENT = 80
 BINS = 4096
 
 _rng = np.random.default_rng(20240229)
@@ -140,7 +140,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return map_arrow(ordered, run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per document: id, class_id (the smallest id of its class).
 
     Candidates share a band of ``BAND`` of the ``PERMUTATIONS`` minima (at 0.8 a
@@ -152,8 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = linking.set_classes(base, WIDTH)
     reps = stage(sets.select("id", "rep").filter("id = rep"), "minhash-reps")
     marks = fingerprints(base.join(reps.select("id"), "id", "left_semi"), "id", "text")
-    keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"))
-    found = linking.link_classes(stage(keys, "minhash-bands"), base, WIDTH, threshold)
+    keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).alias("kind"))
+    found = linking.link_classes(stage(keys, "minhash-bands"), base, WIDTH, percent)
     out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "rep", "id").alias("class_id"))
 

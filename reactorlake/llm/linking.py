@@ -33,13 +33,13 @@ SALTS = 32
 PLAIN, SINGLE, PAIR = 0, 1, 2
 
 
-def with_smallest(df: DataFrame, key: str, id_col: str, out: str) -> DataFrame:
-    """Adds the smallest id among the rows of ``key``. Rows are spread over salts
-    of their id, and a bit mask tells to which salts a key's answer must go."""
+def with_best(df: DataFrame, key: str, id_col: str, out: str, best: Callable[[str], Column] = F.min) -> DataFrame:
+    """Adds the smallest (or ``best``) id among the rows of ``key``. Rows are spread
+    over salts of their id, and a bit mask tells to which salts a key's answer must go."""
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int"))
-    small = salted.groupBy(key, "__salt").agg(F.min(id_col).alias(out)).groupBy(key).agg(F.min(out).alias(out), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__mask"))
+    few = salted.groupBy(key, "__salt").agg(best(id_col).alias(out)).groupBy(key).agg(best(out).alias(out), F.bit_or(F.expr("shiftleft(1L, __salt)")).alias("__mask"))
     each = F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda i: F.col("__mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0))
-    return salted.join(small.select(key, out, each.alias("__salt")), [key, "__salt"]).drop("__salt")
+    return salted.join(few.select(key, out, each.alias("__salt")), [key, "__salt"]).drop("__salt", "__mask")
 
 
 def digest(shingles: np.ndarray) -> str:
@@ -61,7 +61,7 @@ def set_classes(base: DataFrame, width: int, extra: Callable[[np.ndarray], list[
 
     kind = base.schema["id"].dataType.simpleString()
     rows = stage(map_arrow(base, run, f"id {kind}, n long, sig string, keys array<struct<key:bigint,pos:int,kind:tinyint>>"), "link-sets")
-    found = with_smallest(rows.select("id", "n", "sig"), "sig", "id", "rep")
+    found = with_best(rows.select("id", "n", "sig"), "sig", "id", "rep")
     found = found.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), "sig")
     return found if extra is None else found.join(rows.filter(F.size("keys") > 0).select(F.col("id").alias("k_id"), F.col("sig").alias("k_sig"), "keys"), (F.col("id") == F.col("k_id")) & (F.col("sig") == F.col("k_sig")), "left").drop("k_id", "k_sig")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, quality, url_filter
+from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
     "op5_ngram_join": ngram_join.op5_ngram_join,
+    "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_mixing": mixing.op10_mixing,

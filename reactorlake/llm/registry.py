@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, url_filter, warc
+from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc": warc.op6_warc,
     "op7_quality": quality.op7_quality,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
 

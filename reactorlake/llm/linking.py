@@ -46,24 +46,38 @@ def digest(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
-def set_classes(base: DataFrame, width: int, extra: Callable[[np.ndarray], list[tuple[int, int, int]]] | None = None) -> DataFrame:
-    """One row per document of ``base`` (id, text): id, n (size of its shingle set), rep (the smallest
-    id with an equal set; its own for an empty one), keys (what ``extra`` makes of the set)."""
+def set_rows(base: DataFrame, width: int, extra: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, int]] | None = None) -> DataFrame:
+    """One row per document of ``base`` (id, text): id, n (size of its shingle set), sig (the set's
+    digest) and what ``extra`` makes of the set: singles, pairs (arrays of keys), ahead (position of the first pair)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("kind", pa.int8())]))
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), width)
-            keys = [[{"key": k, "pos": p, "kind": c} for k, p, c in extra(s)] if extra else [] for s in sets]
+            made = [extra(s) if extra else (s[:0], s[:0], 0) for s in sets]
+            keys = [pa.array([m[i].view(np.int64) for m in made], pa.list_(pa.int64())) for i in range(2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.string()), pa.array(keys, kind)], ["id", "n", "sig", "keys"]
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) for s in sets], pa.string()), *keys, pa.array([m[2] for m in made], pa.int32())],
+                ["id", "n", "sig", "singles", "pairs", "ahead"],
             )
 
     kind = base.schema["id"].dataType.simpleString()
-    rows = stage(map_arrow(base, run, f"id {kind}, n long, sig string, keys array<struct<key:bigint,pos:int,kind:tinyint>>"), "link-sets")
+    return stage(map_arrow(base, run, f"id {kind}, n int, sig string, singles array<long>, pairs array<long>, ahead int"), "link-sets")
+
+
+def set_classes(rows: DataFrame) -> DataFrame:
+    """id, n, sig, rep of ``set_rows``: rep is the smallest id with an equal set, its own for an empty set."""
     found = with_best(rows.select("id", "n", "sig"), "sig", "id", "rep")
-    found = found.select("id", "n", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"), "sig")
-    return found if extra is None else found.join(rows.filter(F.size("keys") > 0).select(F.col("id").alias("k_id"), F.col("sig").alias("k_sig"), "keys"), (F.col("id") == F.col("k_id")) & (F.col("sig") == F.col("k_sig")), "left").drop("k_id", "k_sig")
+    return found.select("id", "n", "sig", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
+
+
+def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """key, id, n, pos, kind of the class representatives."""
+    first = classes.filter("id = rep").select("id", "sig")
+    reps = rows.filter("size(singles) + size(pairs) > 0").join(first, ["id", "sig"], "left_semi")
+    alone = reps.select("id", "n", F.posexplode("singles").alias("pos", "key"), F.lit(SINGLE).alias("kind"))
+    pairs = reps.filter("size(pairs) > 0").select("id", "n", "ahead", F.posexplode("pairs").alias("i", "key"))
+    pairs = pairs.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(PAIR).alias("kind"))
+    return alone.select("key", "id", "n", "pos", "kind").unionAll(pairs)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from reactorlake.llm import linking
 
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    sets = linking.set_classes(base, WIDTH)
-    reps = stage(sets.select("id", "rep").filter("id = rep"), "minhash-reps")
+    sets = stage(linking.set_classes(linking.set_rows(base, WIDTH)), "minhash-classes")
+    reps = sets.filter("id = rep")
     marks = fingerprints(base.join(reps.select("id"), "id", "left_semi"), "id", "text")
     keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).alias("kind"))
     found = linking.link_classes(stage(keys, "minhash-bands"), base, WIDTH, percent)

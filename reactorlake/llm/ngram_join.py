@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.llm.common import map_arrow, slices, stage, table, text_of
-from reactorlake.llm.linking import PAIR, SINGLE, link_classes, set_classes
+from reactorlake.llm.linking import link_classes, postings, set_classes, set_rows
 from reactorlake.llm.shingles import scramble, shingle_sets
 
 WIDTH = 3
@@ -74,35 +74,32 @@ def frequent_tokens(base: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     return tokens[order], np.floor(np.log2(np.maximum(n[order], 2))).astype(np.int64)
 
 
-def index_keys(grams: np.ndarray, tokens: np.ndarray, classes: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
-    """The keys (key, position, kind) of one set."""
+def index_keys(grams: np.ndarray, tokens: np.ndarray, classes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The keys of one set: rare tokens (each at its position), pairs of frequent ones and the position of the first pair."""
     n = len(grams)
     lost = n * (100 - percent) // percent
     if lost == 0:  # only equal sets can be linked
-        return []
+        return grams[:0], grams[:0], 0
     kind = np.zeros(n, np.int64)
     if len(tokens):
         at = np.minimum(np.searchsorted(tokens, grams), len(tokens) - 1)
         kind = np.where(tokens[at] == grams, classes[at], 0)
     order = np.lexsort((grams, kind))[: 2 * lost + 2]
-    g, k = grams[order], kind[order]
+    g, rare = grams[order], int((kind[order] == 0).sum())
     prefix = n - (-(-n * percent // 100)) + 1
-    alone = np.flatnonzero(k[:prefix] == 0)
-    pairs = np.flatnonzero((k[:-1] > 0) & (k[1:] > 0))
-    keys = [(int(x), int(i), SINGLE) for x, i in zip(g[alone].view(np.int64), alone, strict=True)]
-    joint = scramble(g[pairs] * np.uint64(0x9E3779B97F4A7C15) + scramble(g[pairs + 1] + np.uint64(1)))
-    return keys + [(int(x), int(i), PAIR) for x, i in zip(joint.view(np.int64), pairs, strict=True)]
+    often = g[rare:]
+    return g[: min(rare, prefix)], scramble(often[:-1] * np.uint64(0x9E3779B97F4A7C15) + scramble(often[1:] + np.uint64(1))), rare
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     tokens, classes = frequent_tokens(base, width)
-    sets = stage(set_classes(base, width, lambda s: index_keys(s, tokens, classes, percent)), "ngram-classes")
-    postings = sets.filter("id = rep").select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", F.col("n").cast("int").alias("n"), "k.pos", "k.kind").distinct()
-    found = link_classes(postings, base, width, percent)
-    out = sets.select("id", "n", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    rows = set_rows(base, width, lambda s: index_keys(s, tokens, classes, percent))
+    sets = stage(set_classes(rows), "ngram-classes")
+    found = link_classes(postings(rows, sets), base, width, percent)
+    out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

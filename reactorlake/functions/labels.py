@@ -10,8 +10,9 @@ MW_SUFFIX = " MW"
 PERCENT_SUFFIX = "%"
 
 # Shortest decimal text, no grouping separators, no trailing ".0"
-# (1000 -> "1000", 10000000.05 -> "10000000.05").
-_PLAIN_NUMBER = "0.###############"
+# (1000 -> "1000", 0.1 + 0.2 -> "0.30000000000000004"). A double has at most 340
+# decimals that matter; the formatter writes the shortest digits that identify it.
+_PLAIN_NUMBER = "0." + "#" * 340
 
 
 def _col(c: Column | str) -> Column:
@@ -29,5 +30,5 @@ def percent_label(c: Column | str) -> Column:
 
 
 def record_json(*cols: str) -> Column:
-    """F16: one row -> one JSON object (``to_dict("records")`` per row)."""
-    return F.to_json(F.struct(*[F.col(c) for c in cols]))
+    """F16: one row -> one JSON object with every key, NULLs included."""
+    return F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})

@@ -33,11 +33,21 @@ def _present(field: str) -> Column:
     return c.isNotNull() & (c.cast("string") != F.lit(""))
 
 
+BAD_DATE = "period (not a date)"
+
+
+def _bad_date() -> Column:
+    """A present ``period`` that is no ``yyyy-MM-dd`` date: the record has no usable key."""
+    return _present("period") & parse_date("period").isNull()
+
+
 def is_valid(required: list[str]) -> Column:
-    """P1 predicate: every required field present; no requirements -> always true."""
+    """P1 predicate: every required field present, and a required period a date;
+    no requirements -> always true."""
     if not required:
         return F.lit(True)
-    return reduce(lambda a, b: a & b, [_present(f) for f in required])
+    present = reduce(lambda a, b: a & b, [_present(f) for f in required])
+    return present & parse_date("period").isNotNull() if "period" in required else present
 
 
 def validate_records(df: DataFrame, required: list[str]) -> DataFrame:
@@ -46,16 +56,18 @@ def validate_records(df: DataFrame, required: list[str]) -> DataFrame:
 
 
 def missing_fields(required: list[str]) -> Column:
-    """Names of the failing required fields, in requirement order."""
+    """Names of the failing required fields, in requirement order, then the bad date."""
     if not required:
         return F.array().cast("array<string>")
-    return F.array_compact(
-        F.array(*[F.when(~_present(f), F.lit(f)).otherwise(F.lit(None).cast("string")) for f in required])
-    )
+    checks = [F.when(~_present(f), F.lit(f)).otherwise(F.lit(None).cast("string")) for f in required]
+    if "period" in required:
+        checks.append(F.when(_bad_date(), F.lit(BAD_DATE)))
+    return F.array_compact(F.array(*checks))
 
 
 def quarantine(df: DataFrame, required: list[str]) -> DataFrame:
-    """Rejected records plus ``missing_fields`` (comma-joined report text)."""
+    """Rejected records plus ``missing_fields`` (comma-joined report text).
+    Every record is either valid or listed here."""
     return (
         df.withColumn("_missing", missing_fields(required))
         .where(F.size("_missing") > 0)
@@ -99,7 +111,7 @@ def transform_records(df: DataFrame, dataset: str, keep: tuple[str, ...] = ("seq
     """P7 = P1 -> P3 -> P4 -> P5.
 
     A record whose ``period`` is present but is not a ``yyyy-MM-dd`` date has no
-    usable key; it is dropped like a missing field (see README).
+    usable key; it is rejected like one with a missing field and ``quarantine`` lists it.
     """
     if dataset not in REQUIRED:
         raise ValueError(f"no transform for dataset {dataset!r}")
@@ -108,7 +120,6 @@ def transform_records(df: DataFrame, dataset: str, keep: tuple[str, ...] = ("seq
         .transform(rename_source_columns)
         .transform(coerce_numbers)
         .transform(project, dataset, keep)
-        .where(F.col("date").isNotNull())
     )
 
 

@@ -1,9 +1,8 @@
 """The read path: filters, total order, paging, name join, counts.
 
-Every function is DataFrame -> DataFrame and lazy. Filters sit directly on the
-scan so Catalyst pushes them into the parquet reader (and prunes month
-partitions); paging is ``orderBy().offset().limit()`` which plans as a
-``TakeOrderedAndProject`` keeping only ``offset + limit`` rows per task.
+Filters sit directly on the scan so Catalyst pushes them into the parquet
+reader. A page of dated rows is located by counts per date, whatever its depth:
+only the dates that it overlaps are scanned for rows, and sorting starts there.
 """
 
 from __future__ import annotations
@@ -16,13 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reactorlake.errors import ValidationError
-from reactorlake.operators.numbering import number_rows
+from reactorlake.operators.series import one_name
 from reactorlake.schemas import Dataset
 
-# Beyond this many rows before the page end, paging uses the numbering of
-# ``reactorlake.operators.numbering`` instead of a per-task top-k heap.
-DEEP_PAGE_ROWS = 100_000
-
 
 def filter_date_from(df: DataFrame, date_from: _dt.date | None) -> DataFrame:
     """Inclusive lower bound; a table without ``date`` is returned unchanged."""
@@ -48,7 +43,7 @@ def filter_facility(df: DataFrame, dataset: Dataset, facility_id: str | None) ->
     if facility_id is None or facility_id == "":
         return df
     if dataset.public != "facility":
-        raise ValidationError("facility_id parameter only allowed for 'facility' dataset")
+        raise ValidationError("a facility_id is only allowed for 'facility' reads")
     return df.where(F.col("facility_id") == F.lit(str(facility_id)))
 
 
@@ -75,19 +70,33 @@ def sort_columns(dataset: Dataset) -> list[Column]:
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in dataset.order]
 
 
+def locate(df: DataFrame, offset: int, limit: int | None) -> tuple[_dt.date, _dt.date | None, int] | None:
+    """Where a newest-first page lies: (newest date, oldest date, rows of the newest
+    date before the page); None past the end. Reads the date column only;
+    the running sum goes over one row per date."""
+    w = Window.orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    per_date = df.groupBy("date").count().withColumn("upto", F.sum("count").over(w)).withColumn("before", F.col("upto") - F.col("count"))
+    inside = per_date.where((F.col("upto") > offset) & (F.lit(True) if limit is None else F.col("before") < offset + limit))
+    row = inside.agg(F.max("date").alias("newest"), F.min("date").alias("oldest"), F.min("before").alias("before")).first()
+    return None if row["newest"] is None else (row["newest"], None if limit is None else row["oldest"], offset - row["before"])
+
+
 def page(df: DataFrame, dataset: Dataset, offset: int, limit: int | None) -> DataFrame:
     """L2 / L3: rows ``[offset, offset + limit)`` of the total order; past the end -> empty.
 
-    Shallow pages plan as ``TakeOrderedAndProject``. Deep pages (where every task
-    would have to keep ``offset + limit`` rows) number the rows instead and keep
-    the window, which spreads the work over all partitions.
+    Dated rows are cut to the dates of the page first (``locate``), so each task keeps at
+    most one date's rows more than the page. Tables without a date (the
+    dimension) are sorted by key and skipped to the offset.
     """
     order = sort_columns(dataset)
-    if limit is not None and offset + limit <= DEEP_PAGE_ROWS:
-        return df.orderBy(*order).offset(offset).limit(limit)
-    numbered = number_rows(df, order, "_row_idx")
-    hi = F.lit(True) if limit is None else (F.col("_row_idx") < F.lit(offset + limit))
-    return numbered.where((F.col("_row_idx") >= F.lit(offset)) & hi).orderBy("_row_idx").drop("_row_idx")
+    if dataset.has_date:
+        spot = locate(df, offset, limit)
+        if spot is None:
+            return df.limit(0)
+        newest, oldest, offset = spot
+        df = filter_date_range(df, oldest, newest)
+    out = df.orderBy(*order).offset(offset)
+    return out if limit is None else out.limit(limit)
 
 
 def page_after(df: DataFrame, dataset: Dataset, after: dict[str, Any] | None, limit: int) -> DataFrame:
@@ -108,6 +117,9 @@ def page_after(df: DataFrame, dataset: Dataset, after: dict[str, Any] | None, li
             eq = [F.col(p) == F.lit(after[p]) for p, _ in order[:i]]
             terms.append(reduce(lambda a, b: a & b, eq + [beyond]))
         df = df.where(reduce(lambda a, b: a | b, terms))
+        # implied by the seek, and a plain bound that prunes months and row groups
+        first, asc = order[0]
+        df = df.where(F.col(first) >= F.lit(after[first]) if asc else F.col(first) <= F.lit(after[first]))
     return df.orderBy(*sort_columns(dataset)).limit(limit)
 
 
@@ -121,7 +133,8 @@ def with_page_rank(page_df: DataFrame, dataset: Dataset, rank_col: str = "page_r
 def join_names(page_df: DataFrame, plants: DataFrame | None) -> DataFrame:
     """Left join of a page with the dimension, after paging.
 
-    The page holds at most ``limit`` ids, so the dimension is first cut down by
+    ``page_df`` must be a page (the read service passes at most its limit); whole
+    tables go through ``join_names_whole``. The page holds at most ``limit`` ids, so the dimension is first cut down by
     a semi join against the page's ids (broadcast, bounded by the page), then
     joined back (bounded by the same ids, one name per id). The whole dimension
     is never broadcast and never shuffled. A missing dimension skips the join.
@@ -129,18 +142,15 @@ def join_names(page_df: DataFrame, plants: DataFrame | None) -> DataFrame:
     if plants is None:
         return page_df
     ids = page_df.select("facility_id").distinct()
-    names = plants.select("facility_id", "facility_name").join(F.broadcast(ids), "facility_id", "left_semi")
-    # Keep one name per id even if the stored dimension repeats an id.
-    names = names.groupBy("facility_id").agg(F.min("facility_name").alias("facility_name"))
+    names = one_name(plants.select("facility_id", "facility_name").join(F.broadcast(ids), "facility_id", "left_semi"))
     return page_df.join(F.broadcast(names), "facility_id", "left")
 
 
 def join_names_whole(facts: DataFrame, plants: DataFrame) -> DataFrame:
-    """J1 over a whole fact table: no hint, so Spark broadcasts the dimension only
-    when its measured size is under ``autoBroadcastJoinThreshold`` (AQE re-checks
-    at runtime) and otherwise plans a shuffle join."""
-    names = plants.select("facility_id", "facility_name")
-    return facts.join(names, "facility_id", "left")
+    """J1 over a whole fact table, with the same one name per id: no hint, so Spark
+    broadcasts the dimension only when its measured size is under
+    ``autoBroadcastJoinThreshold`` (AQE re-checks at runtime) and otherwise plans a shuffle join."""
+    return facts.join(one_name(plants), "facility_id", "left")
 
 
 def count_rows(df: DataFrame, name: str = "total_count") -> DataFrame:
@@ -148,22 +158,20 @@ def count_rows(df: DataFrame, name: str = "total_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def page_metadata(filtered: DataFrame, page_df: DataFrame, offset: int, limit: int) -> DataFrame:
-    """A3, A4, L5 in one row: ``total_count, offset, limit, returned, next_offset``.
+def page_metadata(filtered: DataFrame, offset: int, limit: int, requested: int | None = None) -> DataFrame:
+    """A3, A4, L4, L5 in one row: ``total_count, offset, limit, returned, next_offset, limit_clamped``.
 
-    ``next_offset`` is offset + limit while that is below the total, else NULL.
-    Both counts come from one aggregate over the tagged union of the filtered
-    rows and the page rows (partial counts per task, one final row; no join).
+    ``next_offset`` is offset + limit while that is below the total, else NULL;
+    ``limit_clamped`` says that more than the maximum was asked for. One count
+    gives all of it: the page itself is not read again.
     """
-    tagged = filtered.select(F.lit(True).alias("_all")).unionByName(page_df.select(F.lit(False).alias("_all")))
     nxt = F.lit(offset + limit).cast("bigint")
-    return tagged.agg(
-        F.count_if(F.col("_all")).alias("total_count"),
-        F.count_if(~F.col("_all")).alias("returned"),
-    ).select(
+    zero = F.lit(0).cast("bigint")
+    return count_rows(filtered).select(
         F.col("total_count"),
         F.lit(offset).cast("bigint").alias("offset"),
         F.lit(limit).cast("bigint").alias("limit"),
-        F.col("returned"),
+        F.least(F.lit(limit).cast("bigint"), F.greatest(F.col("total_count") - F.lit(offset), zero)).alias("returned"),
         F.when(nxt < F.col("total_count"), nxt).alias("next_offset"),
+        F.lit(requested is not None and requested > limit).alias("limit_clamped"),
     )

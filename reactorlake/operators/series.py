@@ -12,43 +12,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# The chart shows at most five facility series; the national
-# series' id.
-MAX_FACILITY_SERIES = 5
+# Fixed value: the national series' id.
 US_SERIES = "us"
 
 
-def pick_ids(ids: list[str], max_series: int = MAX_FACILITY_SERIES) -> list[str]:
-    """The first ``max_series`` picked ids (duplicates ignored)."""
-    out: list[str] = []
-    for i in ids:
-        s = str(i)
-        if s not in out:
-            out.append(s)
-        if len(out) == max_series:
-            break
-    return out
+def pick_ids(ids: list[str], max_series: int | None = None) -> list[str]:
+    """The picked ids without duplicates; at most ``max_series`` if given (the chart shows five)."""
+    return list(dict.fromkeys(str(i) for i in ids))[:max_series]
 
 
-def selected_plants(plants: DataFrame, ids: list[str]) -> DataFrame:
+def one_name(plants: DataFrame) -> DataFrame:
+    """One name per id even if a stored dimension repeats an id (the greatest text: a stored
+    dimension carries no landing order). The one rule for pages, whole tables and series."""
+    return plants.groupBy("facility_id").agg(F.max("facility_name").alias("facility_name"))
+
+
+def selected_plants(plants: DataFrame, ids: list[str], max_series: int | None = None) -> DataFrame:
     """Series come from the dimension's rows, so unknown ids give no series;
     label = name; order = dimension order (by id)."""
-    return (
-        plants.where(F.col("facility_id").isin(pick_ids(ids)))
-        .groupBy("facility_id")
-        .agg(F.min("facility_name").alias("facility_name"))
-    )
+    return one_name(plants.where(F.col("facility_id").isin(pick_ids(ids, max_series))))
 
 
-def newest_per_series(facts: DataFrame, n: int, key: str = "facility_id", rank_col: str = "series_rank") -> DataFrame:
-    """The newest ``n`` rows of every series (``rank_col`` 1 = newest)."""
+def newest_per_series(facts: DataFrame, n: int | None, key: str = "facility_id", rank_col: str = "series_rank") -> DataFrame:
+    """The newest ``n`` rows of every series (``rank_col`` 1 = newest), all of them without ``n``."""
     w = Window.partitionBy(key).orderBy(F.col("date").desc())
-    return facts.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= F.lit(n))
+    ranked = facts.withColumn(rank_col, F.row_number().over(w))
+    return ranked if n is None else ranked.where(F.col(rank_col) <= F.lit(n))
 
 
-def newest_rows(df: DataFrame, n: int) -> DataFrame:
+def newest_rows(df: DataFrame, n: int | None) -> DataFrame:
     """W1 for the single national series: a top-N (``TakeOrderedAndProject``)."""
-    return df.orderBy(F.col("date").desc()).limit(n)
+    return df if n is None else df.orderBy(F.col("date").desc()).limit(n)
 
 
 def long_series(facility_rows: DataFrame, us_rows: DataFrame | None) -> DataFrame:
@@ -63,7 +57,8 @@ def align(long_df: DataFrame, series_ids: list[str]) -> DataFrame:
     """One row per date present in any series, one column
     per series id (NULL where a series has no point), ascending by date.
 
-    Keys are unique per (date, series) in stored tables; if a batch repeats one,
-    ``max`` keeps the result deterministic.
+    Where a (date, series) repeats, the last record counts (by ``seq`` if the
+    rows carry one; stored tables have unique keys).
     """
-    return long_df.groupBy("date").pivot("series", series_ids).agg(F.max("outage")).orderBy("date")
+    order = F.col("seq") if "seq" in long_df.columns else F.col("outage")
+    return long_df.groupBy("date").pivot("series", series_ids).agg(F.max_by("outage", order)).orderBy("date")

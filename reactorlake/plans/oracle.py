@@ -103,7 +103,10 @@ _VALID = "name IS NOT NULL AND name <> ''"
 # (0..999 at sf0.1), so all four exist there. At sf0.001 (keys 0..9) the Spark
 # query rightly has no column "10" and this twin does not apply.
 _CHART_IDS = ["1", "10", "3", "7"]
-_PICK = ", ".join(f"'{i}'" for i in Q.SERIES_PICK[:5])
+_PICK = ", ".join(f"'{i}'" for i in Q.SERIES_PICK[: Q.CHART_SERIES])
+_ALL_PICKED = ", ".join(f"'{i}'" for i in Q.SERIES_PICK)
+# all picked ids of the dimension, in its order (see above)
+_MANY_IDS = ["1", "10", "2", "3", "5", "7"]
 
 
 def _aligned(include_us: bool) -> str:
@@ -120,7 +123,8 @@ def _aligned(include_us: bool) -> str:
     cols = ([("us", "us")] if include_us else []) + [(i, i) for i in _CHART_IDS]
     pivots = ", ".join(f"MAX(CASE WHEN series = '{v}' THEN outage END) AS \"{n}\"" for v, n in cols)
     return _q(
-        f"SELECT {_d('date')} AS date, {pivots} FROM ({union}) l GROUP BY date",
+        f"""SELECT {_d('date')} AS date, {pivots}, CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS date_rank
+            FROM ({union}) l GROUP BY date""",
         fac_cte + (", " + us_cte if include_us else ""),
     )
 
@@ -155,6 +159,10 @@ valid_inc AS (
   FROM raw_inc WHERE name IS NOT NULL AND name <> ''),
 valid_base AS (SELECT date, facility_id, capacity, outage, percent_outage FROM valid_fac)"""
 
+# what a run reads of the increment: from the newest loaded date on
+_LATE = """,
+late_inc AS (SELECT * FROM valid_inc WHERE date >= (SELECT MAX(date) FROM valid_fac))"""
+
 
 SQL: dict[str, str] = {
     "scan_facility": _facts(),
@@ -177,13 +185,48 @@ SQL: dict[str, str] = {
             FROM (SELECT *, row_number() OVER (ORDER BY facility_id) AS rn FROM plants) p
             WHERE rn > {Q.PLANTS_OFFSET} AND rn <= {Q.PLANTS_OFFSET + Q.PLANTS_LIMIT}"""
     ),
-    "page_deep": _page_facility("", Q.DEEP_OFFSET, 1000),
+    "page_deep": _q(
+        f"""SELECT {_d('f.date')} AS date, f.facility_id, f.capacity, f.outage, f.percent_outage,
+                   p.facility_name, CAST(f.rn - 1 - f.off AS BIGINT) AS page_rank
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id ASC) AS rn,
+                         CAST(floor(COUNT(*) OVER () * {Q.DEEP_SHARE}::DOUBLE) AS BIGINT) AS off FROM facility_outages) f
+            LEFT JOIN plants p ON p.facility_id = f.facility_id
+            WHERE f.rn > f.off AND f.rn <= f.off + {Q.DEEP_LIMIT}"""
+    ),
+    "page_clamped": _q(
+        """SELECT CAST(COUNT(*) AS BIGINT) AS total_count, CAST(0 AS BIGINT) AS "offset", CAST(1000 AS BIGINT) AS "limit",
+                  CAST(LEAST(COUNT(*), 1000) AS BIGINT) AS returned,
+                  CASE WHEN 1000 < COUNT(*) THEN CAST(1000 AS BIGINT) END AS next_offset, TRUE AS limit_clamped
+           FROM facility_outages"""
+    ),
+    "page_rest": _q(
+        f"""SELECT {_d('date')} AS date, capacity, outage, percent_outage
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS rn FROM us_outages) u WHERE rn > {Q.META_OFFSET}"""
+    ),
+    "page_arguments": _q(
+        """SELECT facility_id, dataset, CASE WHEN rn = 1 OR dataset <> 'facility' THEN 'refused' ELSE 'read' END AS verdict
+           FROM (SELECT facility_id, row_number() OVER (ORDER BY facility_id) AS rn FROM plants) p,
+                (VALUES ('facility'), ('us'), ('plants')) d(dataset) WHERE rn <= 5"""
+    ),
+    "page_without_names": _q(
+        f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage,
+                   CAST(rn - 1 - {Q.PAGE_OFFSET} AS BIGINT) AS page_rank
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id ASC) AS rn FROM facility_outages
+                  WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}') f
+            WHERE rn > {Q.PAGE_OFFSET} AND rn <= {Q.PAGE_OFFSET + Q.PAGE_LIMIT}"""
+    ),
+    "stored_facility": _q(
+        f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage,
+                   CAST(row_number() OVER (ORDER BY date DESC) - 1 AS BIGINT) AS page_rank
+            FROM facility_outages WHERE facility_id = '{Q.FACILITY}'
+              AND date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}' ORDER BY date DESC LIMIT 100"""
+    ),
     "page_metadata": _q(
         f"""SELECT CAST(COUNT(*) AS BIGINT) AS total_count, CAST({Q.META_OFFSET} AS BIGINT) AS "offset",
                    CAST({Q.META_LIMIT} AS BIGINT) AS "limit",
                    CAST(LEAST(GREATEST(COUNT(*) - {Q.META_OFFSET}, 0), {Q.META_LIMIT}) AS BIGINT) AS returned,
                    CASE WHEN {Q.META_OFFSET + Q.META_LIMIT} < COUNT(*)
-                        THEN CAST({Q.META_OFFSET + Q.META_LIMIT} AS BIGINT) END AS next_offset
+                        THEN CAST({Q.META_OFFSET + Q.META_LIMIT} AS BIGINT) END AS next_offset, FALSE AS limit_clamped
             FROM facility_outages WHERE facility_id = '{Q.FACILITY}' AND date >= DATE '{Q.DATE_FROM}'"""
     ),
     "page_keyset": _q(
@@ -204,7 +247,7 @@ SQL: dict[str, str] = {
         f"""SELECT {_d('date')} AS date, facility_id, CAST(rn AS BIGINT) AS row_idx,
                    CAST(rn // {Q.NUMBER_PAGE} AS BIGINT) AS page_no, CAST(rn % {Q.NUMBER_PAGE} AS BIGINT) AS page_pos
             FROM (SELECT date, facility_id, row_number() OVER (ORDER BY date DESC, facility_id) - 1 AS rn
-                  FROM facility_outages WHERE date >= DATE '{Q.NUMBER_FROM}') n"""
+                  FROM facility_outages) n"""
     ),
     "page_walk": _q(
         f"""SELECT {_d('f.date')} AS date, f.facility_id, f.capacity, f.outage, f.percent_outage, p.facility_name,
@@ -216,7 +259,8 @@ SQL: dict[str, str] = {
     ),
     "page_records": _q(
         f"""SELECT CAST(f.rn - 1 AS BIGINT) AS page_rank,
-                   CAST(json_object('facility_id', f.facility_id, 'date', {_d('f.date')}, 'capacity', f.capacity,
+                   CAST(json_object('facility_id', f.facility_id, 'date', {_d('f.date')}, 'capacity',
+                               CASE WHEN day(f.date) % 2 = 0 THEN f.capacity END,
                                'outage', f.outage, 'percent_outage', f.percent_outage,
                                'facility_name', p.facility_name) AS VARCHAR) AS record
             FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id) AS rn
@@ -266,14 +310,17 @@ SQL: dict[str, str] = {
     "clamp_range": _q(
         f"""SELECT facility_id, CAST(year AS BIGINT) AS year, {_d('a')} AS range_from, {_d('b')} AS range_to,
                    {_d('LEAST(GREATEST(COALESCE(b, a), a), a + 59)')} AS to_after_from_edit,
-                   {_d('GREATEST(LEAST(COALESCE(b, a), a), a - 59)')} AS from_after_to_edit,
-                   CAST(b - a + 1 AS BIGINT) AS day_count,
+                   {_d('GREATEST(LEAST(COALESCE(a, b), b), b - 59)')} AS from_after_to_edit,
+                   CAST(COALESCE(b - a + 1, 0) AS BIGINT) AS day_count,
                    {_limit_expr('a', 'b')} AS series_limit,
                    {_limit_expr('b', 'a')} AS reversed_limit,
                    {_d('b - 30')} AS default_from,
                    {_d('LEAST(a + 45, b)')} AS earlier_end
-            FROM (SELECT facility_id, year(date) AS year, MIN(date) AS a, MAX(date) AS b
-                  FROM facility_outages GROUP BY 1, 2) s"""
+            FROM (SELECT facility_id, year, CASE WHEN turn = 1 THEN hi ELSE lo END AS a,
+                         CASE WHEN turn = 1 THEN lo WHEN turn = 0 THEN hi END AS b
+                  FROM (SELECT facility_id, year(date) AS year, MIN(date) AS lo, MAX(date) AS hi,
+                               (year(date) + CAST(facility_id AS BIGINT)) % 3 AS turn
+                        FROM facility_outages GROUP BY facility_id, year(date)) r) s"""
     ),
     "display_us": _q(_labels("us_outages", False)),
     "display_facility": _q(
@@ -345,7 +392,71 @@ SQL: dict[str, str] = {
              UNION ALL SELECT 'FULL (first run)', 'plants', CAST(COUNT(DISTINCT facility_id) AS BIGINT) FROM valid_fac) s"""
     ),
     "refresh_then_increment": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
-    "recover_base": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "recover_base": _q(f"SELECT {_d('date')} AS date, facility_id, capacity, outage + 1.0 AS outage, percent_outage FROM valid_fac"),
+    "incremental_flat_landing": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "incremental_gap_filled": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "full_refresh_absent_landing": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "last_wins_by_page": _q(f"SELECT {_d('date')} AS date, facility_id, outage * 2.0 AS outage FROM valid_fac"),
+    "incremental_late_run": _q(_upsert("valid_base", "late_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW + _LATE),
+    "refresh_modes": _q(
+        f"""SELECT step, mode, dataset, CAST(n AS BIGINT) AS rows_processed, {_d('mark')} AS last_extraction_date FROM (
+            SELECT 1::BIGINT AS step, 'FULL (first run)' AS mode, 'facility_outages' AS dataset, COUNT(*) AS n, MAX(date) AS mark FROM valid_fac
+            UNION ALL SELECT 1, 'FULL (first run)', 'us_outages', COUNT(*), MAX(date) FROM us_valid
+            UNION ALL SELECT 1, 'FULL (first run)', 'plants', COUNT(DISTINCT facility_id), MAX(date) FROM valid_fac
+            UNION ALL SELECT 2, 'INCREMENTAL', 'facility_outages', COUNT(*), MAX(date) FROM late_inc
+            UNION ALL SELECT 2, 'INCREMENTAL', 'us_outages', 0, MAX(date) FROM us_valid
+            UNION ALL SELECT 2, 'INCREMENTAL', 'plants', (SELECT COUNT(DISTINCT facility_id) FROM late_inc), MAX(date) FROM valid_fac
+            UNION ALL SELECT 3, 'INCREMENTAL', 'facility_outages', COUNT(*), (SELECT MAX(date) FROM late_inc) FROM
+              (SELECT date, facility_id FROM valid_base UNION SELECT date, facility_id FROM late_inc) u
+            UNION ALL SELECT 3, 'INCREMENTAL', 'us_outages', COUNT(*), MAX(date) FROM us_valid
+            UNION ALL SELECT 3, 'INCREMENTAL', 'plants',
+              (SELECT COUNT(*) FROM (SELECT facility_id FROM valid_base UNION SELECT facility_id FROM late_inc) p), MAX(date) FROM valid_fac) m""",
+        _INC_RAW + _LATE + ", us_valid AS (SELECT * FROM us_outages WHERE dayofyear(date) % 89 <> 0)",
+    ),
+    "held_pages": _q(
+        f"""SELECT state, CAST(COUNT(*) AS BIGINT) AS pages FROM (
+              SELECT CASE WHEN g = 0 THEN 'kept' ELSE 'held' END AS state
+              FROM (SELECT unnest(generate_series(0, CAST(ceil(total / {Q.GAP_PAGE}.0) AS BIGINT) - 1)) AS g
+                    FROM (SELECT COUNT(*) AS total FROM raw_fac) t) s WHERE g <> 1) p GROUP BY state"""
+    ),
+    "landed_range": _q(
+        f"""SELECT {_d('date')} AS period, facility_id AS facility, name AS "facilityName" FROM raw_fac
+            WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}'"""
+    ),
+    "quarantine_bad_dates": _q(
+        f"""SELECT * FROM (SELECT CASE WHEN dayofyear(date) % 71 = 0 THEN strftime(date, '%Y-%m') ELSE {_d('date')} END AS period,
+                   facility_id AS facility,
+                   concat_ws(', ', CASE WHEN NOT ({_VALID}) OR name IS NULL THEN 'facilityName' END,
+                     CASE WHEN dayofyear(date) % 24 = 0 THEN 'capacity' END,
+                     CASE WHEN dayofyear(date) % 71 = 0 THEN 'period (not a date)' END) AS missing_fields
+            FROM raw_fac) q WHERE missing_fields <> ''"""
+    ),
+    "refreshed_us": _q(
+        f"""SELECT {_d('date')} AS date, CASE WHEN dayofyear(date) % 83 = 0 THEN NULL ELSE capacity END AS capacity,
+                   outage, percent_outage FROM us_outages WHERE dayofyear(date) % 89 <> 0"""
+    ),
+    "stream_us": _q(
+        f"""SELECT {_d('date')} AS date, CASE WHEN dayofyear(date) % 83 = 0 THEN NULL ELSE capacity END AS capacity,
+                   outage, percent_outage FROM us_outages WHERE dayofyear(date) % 89 <> 0"""
+    ),
+    "refreshed_plants": _q("SELECT DISTINCT facility_id, facility_name FROM valid_fac"),
+    "series_full_range": _q(
+        f"""SELECT r.facility_id, p.facility_name, {_d('r.date')} AS date, r.outage, CAST(r.rk AS BIGINT) AS series_rank
+            FROM (SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY date DESC) AS rk
+                  FROM facility_outages WHERE facility_id IN ({_ALL_PICKED})) r
+            JOIN plants p ON p.facility_id = r.facility_id"""
+    ),
+    "series_labels": _q(
+        f"""SELECT facility_id, facility_name AS label, CAST(row_number() OVER (ORDER BY facility_id) AS BIGINT) AS series_no
+            FROM plants WHERE facility_id IN ({_ALL_PICKED})"""
+    ),
+    "series_many": _q(
+        f"""SELECT {_d('date')} AS date, {", ".join(f"MAX(CASE WHEN series = '{v}' THEN outage END) AS \"{v}\"" for v in ["us", *_MANY_IDS])},
+                   CAST(row_number() OVER (ORDER BY date) AS BIGINT) AS date_rank
+            FROM (SELECT date, 'us' AS series, outage FROM us_outages WHERE date <= DATE '{Q.SERIES_TO}'
+                  UNION ALL SELECT date, facility_id, outage FROM facility_outages
+                  WHERE date <= DATE '{Q.SERIES_TO}' AND facility_id IN ({_ALL_PICKED})) l GROUP BY date"""
+    ),
     "stream_refresh": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
     "snapshot_roundtrip": _us(),
 }

@@ -2,8 +2,9 @@
 
 ``refresh`` reads landed pages in parallel, validates and transforms them on
 the executors, dedupes each batch on its merge key (last landed wins), and
-writes the three base tables: facts month by month, the two small tables as
-new versions. Snapshots are published before the watermarks move (D11), so a
+writes the three base tables: facts month by month, the two small tables
+whole. Every landed file is recorded as applied or held; a run with a file that is not applied
+is read again, so nothing that lands late, out of order or behind a gap is lost. Snapshots are published before the watermarks move (D11), so a
 crash between the two only repeats work on the next run (upserts are
 idempotent).
 """
@@ -18,18 +19,10 @@ from pyspark.sql import functions as F
 
 from reactorlake.operators.clean import drop_name, transform_records
 from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, upsert
-from reactorlake.schemas import DATASETS
+from reactorlake.schemas import DATASETS, PAGE_SIZE
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import landed_records, list_batches
-from reactorlake.sources.tables import (
-    MONTH_COL,
-    Warehouse,
-    drop_old_versions,
-    materialize,
-    overwrite_months,
-    stage_scope,
-    with_month,
-)
+from reactorlake.sources.landing import HELD, filter_period, kept_pages, landed_files, page_states, read_pages, records_from_pages
+from reactorlake.sources.tables import MONTH_COL, Warehouse, materialize, stage_scope, with_month
 
 FULL = "full"
 INCREMENTAL = "incremental"
@@ -47,6 +40,7 @@ class Landing:
     facility: str
     us: str
     multi_line: bool = False
+    page_size: int = PAGE_SIZE
 
 
 def choose_mode(wh: Warehouse) -> str:
@@ -60,34 +54,46 @@ def choose_mode(wh: Warehouse) -> str:
     return FULL
 
 
-def _batches(spark: SparkSession, landing: Landing, wh: Warehouse, start_fac=None, start_us=None, only_new=False):
-    """Parse and transform the landed fetch runs of both datasets.
+@dataclass(frozen=True)
+class Batch:
+    """What a refresh reads of one landing: transformed records, and the files it read."""
+
+    rows: DataFrame
+    files: DataFrame
+
 
-    With ``only_new`` (incremental runs) only fetch-run folders newer than the
-    recorded progress are read, so a run parses what landed since the last one,
-    not the whole landing history. Returns the two batches and the newest
-    fetch run seen per dataset (to record once the run has been applied).
+def _read(spark: SparkSession, landing: Landing, path: str, public: str, wh: Warehouse, start: _dt.date | None, only_new: bool) -> Batch | None:
+    """The landed records of one dataset; None if there is nothing (new) to read.
+
+    With ``only_new`` only runs that hold a file not yet applied are read, whole, so
+    that the stop rules see all their pages. A run that was read before keeps the
+    date bound of its first reading; a new one starts at ``start``.
     """
-    done = S.load_progress(wh) if only_new else {}
-    newest: dict[str, str | None] = {}
-
-    def read(path: str, name: str, start):
-        runs = list_batches(spark, path)
-        last = done.get(name)
-        todo = [r for r in runs if last is None or r > last]
-        newest[name] = runs[-1] if runs else None
-        if not todo:
-            return None
-        return landed_records(spark, todo, start=start, multi_line=landing.multi_line)
-
-    fac_raw = read(landing.facility, "facility_outages", start_fac)
-    us_raw = read(landing.us, "us_outages", start_us)
-    # Each batch is parsed once and stored in the shared checkpoint folder:
-    # later steps (dimension, dedupe, counts, months) read it instead of
-    # re-parsing JSON, and lost executors re-read it instead of recomputing.
-    fac = None if fac_raw is None else materialize(transform_records(fac_raw, "facility"), "facility-batch")
-    us = None if us_raw is None else materialize(transform_records(us_raw, "us"), "us-batch")
-    return fac, us, newest
+    files = landed_files(spark, path)
+    if files is None:
+        return None
+    known = S.load_progress(wh, DATASETS[public].storage) if only_new else None
+    if known is None:
+        todo = files.withColumn("start", F.lit(start).cast("date"))
+    else:
+        fresh = files.join(known.where("applied"), ["run", "file"], "left_anti").select("run").distinct()
+        unbound = F.count(F.when(F.col("start").isNull(), 1)) > 0
+        first = known.groupBy("run").agg(F.when(~unbound, F.min("start")).alias("start")).withColumn("seen", F.lit(True))
+        bound = F.when(F.col("seen"), F.col("start")).otherwise(F.lit(start).cast("date"))
+        todo = files.join(fresh, "run", "left_semi").join(first, "run", "left").select("run", "file", bound.alias("start"))
+    todo = materialize(todo, f"{public}-files")
+    names = [r["file"] for r in todo.select("file").collect()]  # Spark's reader takes the list of files
+    if not names:
+        return None
+    # The JSON is parsed once into the shared checkpoint folder: the stop rules and
+    # the records read the stage, and lost executors re-read it.
+    pages = materialize(read_pages(spark, path, names, landing.multi_line), f"{public}-pages")
+    states = page_states(pages, landing.page_size).groupBy("run", "file").agg(F.max(F.col("state") == HELD).alias("held"))
+    runs = todo.select("run", "start").distinct()
+    records = records_from_pages(kept_pages(pages, landing.page_size)).join(runs, "run", "left")
+    rows = transform_records(filter_period(records, F.col("start")), public)
+    done = todo.join(states, ["run", "file"], "left").select("run", "file", (~F.coalesce("held", F.lit(False))).alias("applied"), "start")
+    return Batch(materialize(rows, f"{public}-batch"), done)
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
@@ -102,30 +108,42 @@ def summary(spark: SparkSession, mode: str, counts: dict[str, int]) -> DataFrame
 
 
 def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[str, int]:
-    """Overwrite all three base tables from every landed record, publish, then state."""
-    fac, us, newest = _batches(spark, landing, wh)
-    # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
-    plants = dimension_from_batch(fac) if fac is not None else _empty(spark, "plants")
-    fac = last_wins(fac, MERGE_KEYS["facility_outages"]) if fac is not None else None  # D9
-    facts = drop_name(fac) if fac is not None else _empty(spark, "facility")
-    us = last_wins(us, MERGE_KEYS["us_outages"]) if us is not None else _empty(spark, "us")
-    wh.overwrite_base("plants", plants)
-    wh.overwrite_base("facility", facts)
-    wh.overwrite_base("us", us)
-    stats = {name: _stats(wh.load_base(name)) for name in ("facility", "us", "plants")}
-    for name in ("facility", "us", "plants"):
-        wh.publish(name, rows=stats[name][0])  # S10: an empty table keeps the older snapshot
-    fac_max, us_max = stats["facility"][1], stats["us"][1]
-    S.save_state(wh, {"facility_outages": fac_max, "us_outages": us_max, "plants": fac_max})
-    S.save_progress(wh, newest)
-    return {DATASETS[name].storage: stats[name][0] for name in stats}
-
-
-def _stats(df: DataFrame) -> tuple[int, _dt.date | None]:
-    """Row count and newest date in one pass (newest is None without a date column)."""
-    aggs = [F.count(F.lit(1))] + ([F.max("date")] if "date" in df.columns else [])
-    row = df.agg(*aggs).first()
-    return int(row[0]), (row[1] if len(row) > 1 else None)
+    """Overwrite the base tables from every landed record, publish, then state.
+
+    A dataset without any landing is skipped: its base table and watermark stay
+    as they are, and only a table that never existed is created empty.
+    """
+    fac = _read(spark, landing, landing.facility, "facility", wh, None, only_new=False)
+    us = _read(spark, landing, landing.us, "us", wh, None, only_new=False)
+    tables: dict[str, DataFrame] = {}
+    if fac is not None:
+        # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
+        tables["plants"] = dimension_from_batch(fac.rows)
+        tables["facility"] = drop_name(last_wins(fac.rows, MERGE_KEYS["facility_outages"]))  # D9
+    if us is not None:
+        tables["us"] = last_wins(us.rows, MERGE_KEYS["us_outages"])
+    counts = {d.storage: 0 for d in DATASETS.values()}
+    for name in DATASETS:
+        storage = DATASETS[name].storage
+        if name in tables:
+            counts[storage] = wh.overwrite_base(name, tables[name])
+            wh.publish(name)  # S10: an empty table keeps the older snapshot
+        elif not wh.base_exists(storage):
+            wh.overwrite_base(name, _empty(spark, name))
+    marks = {}
+    if fac is not None:
+        marks["facility_outages"] = marks["plants"] = _newest(wh.load_base("facility"))
+    if us is not None:
+        marks["us_outages"] = _newest(wh.load_base("us"))
+    S.save_state(wh, marks, replace=True)
+    for batch, storage in ((fac, "facility_outages"), (us, "us_outages")):
+        if batch is not None:
+            S.save_progress(wh, storage, batch.files)
+    return counts
+
+
+def _newest(df: DataFrame) -> _dt.date | None:
+    return df.agg(F.max("date")).first()[0]
 
 
 def _months(batch: DataFrame) -> list[str]:
@@ -133,42 +151,45 @@ def _months(batch: DataFrame) -> list[str]:
     return [r[0] for r in with_month(batch).select(MONTH_COL).distinct().collect()]
 
 
+def _count_and_newest(df: DataFrame) -> tuple[int, _dt.date | None]:
+    return df.agg(F.count(F.lit(1)), F.max("date")).first()
+
+
 def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) -> tuple[int, int, _dt.date | None]:
     """Upsert one transformed facility batch (with ``seq``) into the facts and
-    the dimension, then publish the touched months. An absent table is created
-    from the batch (M1); only months present in the batch are rewritten. An
-    empty batch changes nothing and returns zero rows."""
-    # Row count and newest date come from the staged batch itself (the dedupe
-    # below changes neither the months nor the newest date).
-    n_rows, batch_max = _stats(fac)
+    the dimension, then publish. An absent table is created from the batch (M1);
+    only months present in the batch are rewritten, into new folders. An
+    empty batch changes nothing and returns zero rows. Rows count after the
+    last-wins dedupe, as in a full load."""
+    facts = materialize(drop_name(last_wins(fac, MERGE_KEYS["facility_outages"])), "facts-batch")
+    n_rows, batch_max = _count_and_newest(facts)
     if n_rows == 0:
         return 0, 0, None
-    plants = dimension_from_batch(fac)
-    months = _months(fac)
-    facts = drop_name(last_wins(fac, MERGE_KEYS["facility_outages"]))
-    version = wh.base_version_path("facility")
-    if version is None:
+    plants = materialize(dimension_from_batch(fac), "plants-batch")
+    if not wh.base_exists("facility_outages"):
         wh.overwrite_base("facility", facts)
     else:
-        current = wh.load_base("facility", months=months)  # only the touched month folders are read
-        overwrite_months(upsert(current, facts, MERGE_KEYS["facility_outages"]), version, DATASETS["facility"])
-    if wh.base_exists("plants"):
-        wh.overwrite_base("plants", upsert(wh.load_base("plants"), plants, MERGE_KEYS["plants"]))
-    else:
+        months = _months(facts)
+        current = wh.load_base("facility", months=months)  # only the touched months are read
+        wh.replace_months("facility", upsert(current, facts, MERGE_KEYS["facility_outages"]), months)
+    if not wh.base_exists("plants"):
         wh.overwrite_base("plants", plants)
-    n_plants = _stats(plants)[0]
-    wh.publish("facility", months=months)
-    wh.publish("plants", rows=n_plants)
-    return n_rows, n_plants, batch_max
+    else:
+        stored = wh.load_base("plants")
+        if not plants.exceptAll(stored).isEmpty():  # rewritten only when a name is new or changed
+            wh.overwrite_base("plants", upsert(stored, plants, MERGE_KEYS["plants"]))
+    wh.publish("facility")
+    wh.publish("plants")
+    return n_rows, plants.count(), batch_max
 
 
 def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[int, _dt.date | None]:
-    """Upsert one transformed national batch; the small table is rewritten as a
-    new version. An empty batch changes nothing and returns zero rows."""
-    n_rows, batch_max = _stats(us)
+    """Upsert one transformed national batch; the small table is rewritten whole.
+    An empty batch changes nothing and returns zero rows."""
+    us = materialize(last_wins(us, MERGE_KEYS["us_outages"]), "us-upsert")
+    n_rows, batch_max = _count_and_newest(us)
     if n_rows == 0:
         return 0, None
-    us = last_wins(us, MERGE_KEYS["us_outages"])
     if wh.base_exists("us_outages"):
         wh.overwrite_base("us", upsert(wh.load_base("us"), us, MERGE_KEYS["us_outages"]))
     else:
@@ -177,66 +198,54 @@ def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[i
     return n_rows, batch_max
 
 
-def advance_mark(old: _dt.date | None, new: _dt.date | None) -> _dt.date | None:
-    """Never move a watermark backwards."""
-    vals = [d for d in (old, new) if d is not None]
-    return max(vals) if vals else None
-
-
 def incremental_refresh(
     spark: SparkSession, landing: Landing, wh: Warehouse, lookback_days: int = 0
 ) -> dict[str, int]:
-    """R2 (+R5): re-read from each watermark (inclusive, minus ``lookback_days``),
-    upsert each non-empty batch, publish touched data, then advance watermarks."""
+    """R2 (+R5): read what has landed since, from each watermark on (inclusive, minus
+    ``lookback_days``), upsert each non-empty batch, publish, advance watermarks,
+    and record the files last, so a crash repeats work and loses nothing."""
     st = S.load_state(wh)
 
     def start(name: str) -> _dt.date | None:
         w = st.get(name)
         return None if w is None else w - _dt.timedelta(days=lookback_days)
 
-    fac, us, newest = _batches(spark, landing, wh, start("facility_outages"), start("us_outages"), only_new=True)
+    fac = _read(spark, landing, landing.facility, "facility", wh, start("facility_outages"), only_new=True)
+    us = _read(spark, landing, landing.us, "us", wh, start("us_outages"), only_new=True)
     counts = {"facility_outages": 0, "us_outages": 0, "plants": 0}
-    new_marks: dict[str, _dt.date | None] = {}
+    marks: dict[str, _dt.date | None] = {}
     if fac is not None:
-        n_facts, n_plants, batch_max = apply_facility_batch(spark, wh, fac)
-        counts["facility_outages"], counts["plants"] = n_facts, n_plants
-        if n_facts:
-            new_marks["facility_outages"] = advance_mark(st.get("facility_outages"), batch_max)
+        counts["facility_outages"], counts["plants"], newest = apply_facility_batch(spark, wh, fac.rows)
+        if counts["facility_outages"]:
+            marks["facility_outages"] = newest
     if us is not None:
-        counts["us_outages"], batch_max = apply_us_batch(spark, wh, us)
+        counts["us_outages"], newest = apply_us_batch(spark, wh, us.rows)
         if counts["us_outages"]:
-            new_marks["us_outages"] = advance_mark(st.get("us_outages"), batch_max)
-    if new_marks:
-        S.save_state(wh, new_marks)  # D11: state last; plants' watermark untouched (A2)
-    S.save_progress(wh, newest)
+            marks["us_outages"] = newest
+    S.save_state(wh, marks)  # D11: state after publish; plants' watermark untouched (A2)
+    for batch, storage in ((fac, "facility_outages"), (us, "us_outages")):
+        if batch is not None:
+            S.save_progress(wh, storage, batch.files)
     return counts
 
 
 def recover(wh: Warehouse) -> dict[str, int]:
-    """Base tables rebuilt from published snapshots; no extraction follows."""
+    """Base tables made of the published snapshots; no extraction follows."""
     counts = {}
     for name in ("plants", "facility", "us"):
-        snap = wh.load_snapshot(name)
-        wh.overwrite_base(name, snap)
-        counts[DATASETS[name].storage] = wh.load_base(name).count()
+        storage = DATASETS[name].storage
+        if wh.snapshot_exists(storage):
+            counts[storage] = wh.restore(name)
+        else:  # never published: nothing to recover
+            counts[storage] = wh.overwrite_base(name, _empty(wh.spark, name))
     return counts
 
 
-def drop_superseded(wh: Warehouse, keep: int = 2) -> None:
-    """Remove table, snapshot and state versions older than the newest ``keep``
-    (the reference vacuums its tables after merges); readers use the newest."""
-    for ds in DATASETS.values():
-        drop_old_versions(wh.spark, wh.base_dir(ds.storage), keep)
-        drop_old_versions(wh.spark, wh.snapshot_dir(ds.storage), keep)
-    drop_old_versions(wh.spark, wh.state_dir(), keep)
-    drop_old_versions(wh.spark, f"{wh.root}/progress", keep)
-
-
 def refresh(
     spark: SparkSession, landing: Landing, wh: Warehouse, mode: str = "auto", lookback_days: int = 0
 ) -> DataFrame:
     """Run one refresh and return its summary (A6). Intermediate stages (parsed
-    batches, page metadata) live in a scope folder removed when the run ends."""
+    pages, batches) live in a scope folder removed when the run ends."""
     chosen = choose_mode(wh) if mode == "auto" else mode
     with stage_scope(spark):
         if chosen == INCREMENTAL:
@@ -245,5 +254,5 @@ def refresh(
             counts = recover(wh)
         else:
             counts = full_refresh(spark, landing, wh)
-    drop_superseded(wh)
+    wh.drop_unused()
     return summary(spark, chosen, counts)

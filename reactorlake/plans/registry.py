@@ -29,7 +29,7 @@ from reactorlake.schemas import DATASETS, PAGE_SIZE
 from reactorlake.sources import adapter as A
 from reactorlake.sources import landing as L
 from reactorlake.sources import state as S
-from reactorlake.sources.tables import Warehouse, shared_root
+from reactorlake.sources.tables import Warehouse, materialize, shared_root
 
 # Fixed query parameters (shared with the SQL twins).
 DATE_FROM = "1996-03-01"
@@ -43,16 +43,20 @@ FACILITY = "7"
 MAP_FACILITY = "3"
 MAP_FROM = "1998-01-01"
 MAP_TO = "1998-12-31"
+# the chart shows five series
+CHART_SERIES = 5
 SERIES_PICK = ["7", "3", "10", "99999", "1", "5", "2"]
 PAGE_OFFSET, PAGE_LIMIT = 100, 50
 META_OFFSET, META_LIMIT = 40, 20
-DEEP_OFFSET, DEEP_LIMIT = 40000, 5000
+# beyond 100,000 rows at sf0.1; inside the table at sf0.01 already
+DEEP_SHARE, DEEP_LIMIT = 0.75, 5000
 PLANTS_OFFSET, PLANTS_LIMIT = 10, 25
-NUMBER_FROM = "1996-01-01"
 NUMBER_PAGE = 1000
 OVERVIEW_LIMIT = 10
 KEYSET_DATE, KEYSET_FACILITY, KEYSET_LIMIT = "1996-06-15", "5", 50
 LOOKBACK_DAYS = 30
+SPLIT_DATE = "1996-07-01"
+GAP_PAGE = 2000
 
 
 def _frames(spark: SparkSession, sf: str) -> SV.FrameCatalog:
@@ -132,8 +136,41 @@ def page_plants(spark, sf):
 
 
 def page_deep(spark, sf):
-    # limit 5000 is clamped to 1000 (L4)
-    return SV.get_dataset(_frames(spark, sf), "facility", None, None, None, DEEP_OFFSET, DEEP_LIMIT).data
+    """A page at three quarters of the whole table, with a maximum above the default one."""
+    offset = int(A.facility_outages(spark, sf).count() * DEEP_SHARE)
+    return SV.get_dataset(_frames(spark, sf), "facility", None, None, None, offset, DEEP_LIMIT, max_limit=DEEP_LIMIT).data
+
+
+def page_clamped(spark, sf):
+    """L4: 5,000 rows asked for, 1,000 given, and the metadata says so."""
+    return SV.get_dataset(_frames(spark, sf), "facility", None, None, None, 0, DEEP_LIMIT).meta
+
+
+def page_rest(spark, sf):
+    """L3: every row from an offset on, without a limit."""
+    ds = DATASETS["us"]
+    return _text_dates(R.page(A.us_outages(spark, sf), ds, META_OFFSET, None), "date")
+
+
+def page_arguments(spark, sf):
+    """P15 over the tables' own values: which reads are refused, per facility id of the dimension."""
+    ids = [r["facility_id"] for r in A.plants(spark, sf).orderBy("facility_id").limit(5).collect()]
+    rows = []
+    for i in ids:
+        for name in DATASETS:
+            try:
+                SV.check_args(name, DATE_TO, DATE_FROM if i == ids[0] else DATE_TO, i)
+                rows.append((i, name, "read"))
+            except SV.ValidationError:
+                rows.append((i, name, "refused"))
+    return spark.createDataFrame(rows, "facility_id string, dataset string, verdict string")
+
+
+def page_without_names(spark, sf):
+    """No dimension stored, so a facility page has no names and is served all the same."""
+    frames = _frames(spark, sf)
+    del frames.frames["plants"]
+    return SV.get_dataset(frames, "facility", DATE_FROM, DATE_TO, None, PAGE_OFFSET, PAGE_LIMIT).data
 
 
 def page_metadata(spark, sf):
@@ -150,25 +187,31 @@ def page_keyset(spark, sf):
 
 
 def page_plan(spark, sf):
-    total = L.read_total_frame(A.raw_facility_records(spark, sf))
-    return L.page_plan(total, PAGE_SIZE)
+    return L.page_plan(spark, A.raw_facility_records(spark, sf).count(), PAGE_SIZE)
 
 
 def page_numbers(spark, sf):
     ds = DATASETS["facility"]
-    rows = R.filter_date_from(A.facility_outages(spark, sf), D.parse_date_arg(NUMBER_FROM)).select("date", "facility_id")
+    rows = A.facility_outages(spark, sf).select("date", "facility_id")
     numbered = number_pages(rows, R.sort_columns(ds), NUMBER_PAGE)
     return _text_dates(numbered, "date")
 
 
 def page_walk(spark, sf):
-    """L6 at the service level: every page of a filtered read, numbered once, names joined."""
-    return SV.all_pages(_frames(spark, sf), "facility", DATE_FROM, DATE_TO, None, PAGE_LIMIT)
+    """L6 at the service level: every page of a filtered read, numbered once, names
+    joined from a dimension that holds every id twice."""
+    frames = _frames(spark, sf)
+    plants = frames.frames["plants"]
+    frames.frames["plants"] = plants.unionByName(plants.withColumn("facility_name", F.concat(F.lit("A "), "facility_name")))
+    return SV.all_pages(frames, "facility", DATE_FROM, DATE_TO, None, PAGE_LIMIT)
 
 
 def page_records(spark, sf):
-    res = SV.get_dataset(_frames(spark, sf), "facility", None, None, FACILITY, 0, 25)
-    return SV.page_records(res)
+    """F16 over rows with NULLs: capacities are missing on some days."""
+    frames = _frames(spark, sf)
+    fac = frames.frames["facility_outages"]
+    frames.frames["facility_outages"] = fac.withColumn("capacity", F.when(F.dayofmonth("date") % 2 == 0, F.col("capacity")))
+    return SV.page_records(SV.get_dataset(frames, "facility", None, None, FACILITY, 0, 25))
 
 
 # --- joins ---------------------------------------------------------------------
@@ -201,16 +244,30 @@ def overview_all(spark, sf):
 
 
 def series_latest_n(spark, sf):
-    # no lower bound: the per-series limit falls back to 250
-    return CMP.latest_series(_frames(spark, sf), SERIES_PICK, None, SERIES_TO)
+    # no lower bound: the chart's limit falls back to 250 (L9), for its five series
+    return CMP.latest_series(_frames(spark, sf), SERIES_PICK, None, SERIES_TO, newest=CMP.chart_limit(None, SERIES_TO), max_series=CHART_SERIES)
+
+
+def series_full_range(spark, sf):
+    """The whole history of the picked series: no limit unless one is asked for."""
+    return CMP.latest_series(_frames(spark, sf), SERIES_PICK)
+
+
+def series_many(spark, sf):
+    """All picked ids, not only the five of the chart, aligned over a range of years."""
+    return CMP.compare_series(_frames(spark, sf), SERIES_PICK, None, SERIES_TO, include_us=True)
+
+
+def series_labels(spark, sf):
+    return CMP.series_labels(_frames(spark, sf), SERIES_PICK)
 
 
 def series_aligned(spark, sf):
-    return CMP.compare_series(_frames(spark, sf), SERIES_PICK, CHART_FROM, CHART_TO, include_us=True)
+    return CMP.compare_series(_frames(spark, sf), SERIES_PICK, CHART_FROM, CHART_TO, include_us=True, newest=CMP.chart_limit(CHART_FROM, CHART_TO), max_series=CHART_SERIES)
 
 
 def series_without_us(spark, sf):
-    return CMP.compare_series(_frames(spark, sf), SERIES_PICK, CHART_FROM, CHART_TO, include_us=False)
+    return CMP.compare_series(_frames(spark, sf), SERIES_PICK, CHART_FROM, CHART_TO, include_us=False, newest=CMP.chart_limit(CHART_FROM, CHART_TO), max_series=CHART_SERIES)
 
 
 def clamp_range(spark, sf):
@@ -219,14 +276,17 @@ def clamp_range(spark, sf):
     spans = fac.groupBy("facility_id", F.year("date").alias("year")).agg(
         F.min("date").alias("a"), F.max("date").alias("b")
     )
+    # some ranges end before they start, some have no end
+    turn = F.pmod(F.col("year") + F.col("facility_id").cast("int"), F.lit(3))
+    spans = spans.select("facility_id", "year", F.when(turn == 1, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn == 1, F.col("a")).when(turn == 0, F.col("b")).alias("b"))
     out = spans.select(
         "facility_id",
         F.col("year").cast("bigint").alias("year"),
         format_date("a").alias("range_from"),
         format_date("b").alias("range_to"),
         format_date(D.clamp_to_after_from_edit("a", "b")).alias("to_after_from_edit"),
-        format_date(D.clamp_from_after_to_edit("a", "b")).alias("from_after_to_edit"),
-        D.inclusive_days("a", "b").cast("bigint").alias("day_count"),
+        format_date(D.clamp_from_after_to_edit("b", "a")).alias("from_after_to_edit"),
+        F.coalesce(D.inclusive_days("a", "b"), F.lit(0)).cast("bigint").alias("day_count"),
         D.range_limit("a", "b").cast("bigint").alias("series_limit"),
         D.range_limit("b", "a").cast("bigint").alias("reversed_limit"),
         format_date(D.default_range_start("b")).alias("default_from"),
@@ -403,23 +463,183 @@ def refresh_then_increment(spark, sf):
     return _text_dates(wh.load_snapshot("facility"), "date")
 
 
+def _root(spark) -> str:
+    return shared_root(spark)
+
+
+def _wide(fac: DataFrame, names: DataFrame, folder: str, times: float, first_offset: int, total: int) -> None:
+    raw = A.raw_records_from(fac.withColumn("outage", F.col("outage") * times), names)
+    L.page_envelopes(raw, None, PAGE_SIZE, first_offset, total).write.json(folder)
+
+
+def incremental_flat_landing(spark, sf):
+    """Pages directly in the landing folder: what lands after the full load is read too."""
+    root = _root(spark)
+    raw = A.raw_facility_records(spark, sf)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    L.write_pages(raw.where(F.col("period") < SPLIT_DATE), landing.facility)
+    RF.refresh(spark, landing, wh)
+    L.write_pages(raw.where(F.col("period") >= SPLIT_DATE), landing.facility, mode="append")
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def _late_run(spark, sf, wh_root: str) -> tuple[RF.Landing, Warehouse]:
+    """``run-9`` fully loaded, then ``run-10``: corrections before the watermark, which
+    must not be applied, corrections of the watermark day and new days, which must."""
+    landing = RF.Landing(f"{wh_root}/landing/facility", f"{wh_root}/landing/us")
+    L.write_pages(A.raw_facility_records(spark, sf), f"{landing.facility}/run-9")
+    L.write_pages(A.raw_us_records(spark, sf), f"{landing.us}/run-9")
+    return landing, Warehouse(spark, f"{wh_root}/warehouse")
+
+
+def _land_run_10(spark, sf, landing: RF.Landing) -> None:
+    fac = A.facility_outages(spark, sf)
+    L.write_pages(A.raw_records_from(A.increment(fac), A.plants(spark, sf)), f"{landing.facility}/run-10")
+
+
+def incremental_late_run(spark, sf):
+    landing, wh = _late_run(spark, sf, _root(spark))
+    RF.refresh(spark, landing, wh)
+    _land_run_10(spark, sf, landing)
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def refresh_modes(spark, sf):
+    """Mode, rows and watermark of every table after a full, an incremental and a recovery run."""
+    landing, wh = _late_run(spark, sf, _root(spark))
+    out = None
+    for step in (1, 2, 3):
+        if step == 2:
+            _land_run_10(spark, sf, landing)
+        if step == 3:
+            wh.drop_base_tables()
+        done = RF.refresh(spark, landing, wh).select("mode", "dataset", "rows_processed")
+        marks = spark.createDataFrame(list(S.load_state(wh).items()), "dataset string, last_extraction_date date")
+        rows = done.join(marks, "dataset").withColumn("step", F.lit(step).cast("bigint"))
+        out = rows if out is None else out.unionByName(rows)
+    return _text_dates(out, "last_extraction_date")
+
+
+def incremental_gap_filled(spark, sf):
+    """A run whose second page lands after the first refresh: nothing behind the gap is lost."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "gap-pages")
+    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{landing.facility}/run-1")
+    RF.refresh(spark, landing, wh)
+    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{landing.facility}/run-1")
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def held_pages(spark, sf):
+    """How many pages a refresh reports as held behind the missing second page."""
+    pages = L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE).where(F.col("offset") != GAP_PAGE)
+    root = f"{_root(spark)}/landing"
+    pages.write.json(f"{root}/run-1")
+    return L.page_states(materialize(L.read_pages(spark, root), "held-pages"), GAP_PAGE).groupBy("state").agg(F.count("*").alias("pages"))
+
+
+def last_wins_by_page(spark, sf):
+    """A key on two pages of a run: the later page wins, whatever its file is called."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none")
+    fac, names = A.facility_outages(spark, sf), A.plants(spark, sf)
+    pages = -(-fac.count() // PAGE_SIZE)
+    _wide(fac, names, f"{landing.facility}/run-1/z", 1.0, 0, 2 * pages * PAGE_SIZE)
+    _wide(fac, names, f"{landing.facility}/run-1/a", 2.0, pages * PAGE_SIZE, 2 * pages * PAGE_SIZE)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("facility").select("date", "facility_id", "outage"), "date")
+
+
+def full_refresh_absent_landing(spark, sf):
+    """A full run without any landing keeps the tables."""
+    root = _root(spark)
+    landing = _land(spark, sf, root)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    RF.refresh(spark, RF.Landing(f"{root}/none", f"{root}/none"), wh, mode="full")
+    return _text_dates(wh.load_base("facility"), "date")
+
+
+def landed_range(spark, sf):
+    """S3: both bounds of a source range."""
+    root = f"{_root(spark)}/landing"
+    L.write_pages(A.raw_facility_records(spark, sf), f"{root}/run-1")
+    return L.landed_records(spark, root, D.parse_date_arg(DATE_FROM), D.parse_date_arg(DATE_TO)).select("period", "facility", "facilityName")
+
+
+def quarantine_bad_dates(spark, sf):
+    """Records with a shortened date, a missing capacity, a missing name, or several of these."""
+    raw = A.raw_facility_records(spark, sf)
+    day = F.dayofyear(F.to_date("period"))
+    bad = raw.withColumns(
+        {
+            "period": F.when(day % 71 == 0, F.substring("period", 1, 7)).otherwise(F.col("period")),
+            "capacity": F.when(day % 24 == 0, F.lit(None)).otherwise(F.col("capacity")),
+        }
+    )
+    return C.quarantine(bad, C.REQUIRED["facility"]).select("period", "facility", "missing_fields")
+
+
 def recover_base(spark, sf):
+    """The base comes back from the published snapshot, which here differs from the landing."""
     root = shared_root(spark)
     landing = _land(spark, sf, root)
     wh = Warehouse(spark, f"{root}/warehouse")
     RF.refresh(spark, landing, wh)
+    wh.save_snapshot("facility", wh.load_base("facility").withColumn("outage", F.col("outage") + 1.0))
     wh.drop_base_tables()
     RF.refresh(spark, landing, wh)  # base gone, snapshots present -> recovery
     return _text_dates(wh.load_base("facility"), "date")
 
 
+def refreshed_us(spark, sf):
+    root = shared_root(spark)
+    landing = _land(spark, sf, root)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("us"), "date")
+
+
+def refreshed_plants(spark, sf):
+    root = shared_root(spark)
+    landing = _land(spark, sf, root)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    return wh.load_snapshot("plants")
+
+
+def stored_facility(spark, sf):
+    """S11 over the month-partitioned table, read with a facility filter (row groups skipped)."""
+    wh = Warehouse(spark, f"{shared_root(spark)}/warehouse")
+    wh.save_snapshot("facility", A.facility_outages(spark, sf))
+    return SV.get_dataset(wh, "facility", DATE_FROM, DATE_TO, FACILITY, 0, 100).data.drop("facility_name")
+
+
+def stream_us(spark, sf):
+    """R3 for the national series."""
+    from reactorlake.streaming.refresh_stream import run_available
+
+    root = shared_root(spark)
+    L.write_pages(A.raw_us_records(spark, sf), f"{root}/landing/us/batch-0001")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    run_available(spark, f"{root}/landing/us", "us", wh)
+    return _text_dates(wh.load_snapshot("us"), "date")
+
+
 def stream_refresh(spark, sf):
     from reactorlake.streaming.refresh_stream import run_available
 
     root = shared_root(spark)
-    landing = _land(spark, sf, root)
+    L.write_pages(A.raw_facility_records(spark, sf), f"{root}/landing/facility/batch-0001")
     wh = Warehouse(spark, f"{root}/warehouse")
-    run_available(spark, landing.facility, "facility", wh)
+    run_available(spark, f"{root}/landing/facility", "facility", wh)
     return _text_dates(wh.load_snapshot("facility"), "date")
 
 
@@ -479,4 +699,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recover_base": recover_base,
     "stream_refresh": stream_refresh,
     "snapshot_roundtrip": snapshot_roundtrip,
+    "page_clamped": page_clamped,
+    "page_rest": page_rest,
+    "page_arguments": page_arguments,
+    "page_without_names": page_without_names,
+    "series_full_range": series_full_range,
+    "series_many": series_many,
+    "series_labels": series_labels,
+    "incremental_flat_landing": incremental_flat_landing,
+    "incremental_late_run": incremental_late_run,
+    "refresh_modes": refresh_modes,
+    "incremental_gap_filled": incremental_gap_filled,
+    "held_pages": held_pages,
+    "last_wins_by_page": last_wins_by_page,
+    "full_refresh_absent_landing": full_refresh_absent_landing,
+    "landed_range": landed_range,
+    "quarantine_bad_dates": quarantine_bad_dates,
+    "refreshed_us": refreshed_us,
+    "refreshed_plants": refreshed_plants,
+    "stored_facility": stored_facility,
+    "stream_us": stream_us,
 }

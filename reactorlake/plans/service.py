@@ -1,11 +1,9 @@
 """Paged, filtered, name-enriched reads (the ``/data`` request as Spark plans).
 
 ``get_dataset`` checks its scalar arguments on the driver (P15, L4), then
-runs scan -> filter -> sort -> offset/limit once (the page, at most 1,000
-rows, is stored in the shared checkpoint folder) and returns the page joined
-with names, plus a lazy 1-row metadata DataFrame whose total count is its own
-aggregate. Only the page ever needs to reach the driver, and only if the
-caller collects it.
+locates the page by counts per date, reads it (at most ``max_limit`` rows, held
+by the driver) and returns it joined with names, plus a lazy 1-row metadata
+DataFrame whose total count is its own aggregate. Reads write nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +21,6 @@ from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
 from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import DATASETS, DEFAULT_LIMIT, MAX_LIMIT, resolve
-from reactorlake.sources.tables import materialize
 
 
 class Catalog(Protocol):
@@ -59,6 +56,12 @@ class ReadArgs:
     facility_id: str | None
     offset: int
     limit: int
+    requested: int
+
+
+# The parts of the messages that callers match on.
+MUST_BE_KNOWN = "Invalid dataset"
+ONLY_FACILITY = "only allowed for 'facility'"
 
 
 def check_args(
@@ -68,20 +71,22 @@ def check_args(
     facility_id: str | None = None,
     offset: int = 0,
     limit: int = DEFAULT_LIMIT,
+    max_limit: int = MAX_LIMIT,
 ) -> ReadArgs:
-    """Every bad argument is a ValidationError; limit is clamped."""
+    """Every bad argument is a ValidationError; a limit above
+    ``max_limit`` is clamped, and the metadata says so."""
     if dataset not in DATASETS:
-        raise ValidationError("Invalid dataset. Must be 'facility', 'us', or 'plants'")
+        raise ValidationError(f"{MUST_BE_KNOWN}: {dataset!r} is none of {', '.join(DATASETS)}")
     if offset is None or limit is None or offset < 0 or limit < 1:
-        raise ValidationError("offset must be >= 0 and limit must be >= 1")
-    limit = min(int(limit), MAX_LIMIT)
+        raise ValidationError("a page needs an offset of 0 or more and a limit of 1 or more")
+    requested, limit = int(limit), min(int(limit), max_limit)
     d_from = parse_date_arg(date_from, "date_from")
     d_to = parse_date_arg(date_to, "date_to")
     if d_from is not None and d_to is not None and d_from > d_to:
-        raise ValidationError("date_from must be <= date_to")
+        raise ValidationError("the range ends before it starts: date_from is after date_to")
     if facility_id not in (None, "") and dataset != "facility":
-        raise ValidationError("facility_id parameter only allowed for 'facility' dataset")
-    return ReadArgs(dataset, d_from, d_to, facility_id or None, int(offset), limit)
+        raise ValidationError(f"a facility_id is {ONLY_FACILITY} reads")
+    return ReadArgs(dataset, d_from, d_to, facility_id or None, int(offset), limit, requested)
 
 
 def filtered_rows(catalog: Catalog, args: ReadArgs) -> DataFrame:
@@ -107,15 +112,16 @@ def get_dataset(
     facility_id: str | None = None,
     offset: int = 0,
     limit: int = DEFAULT_LIMIT,
+    max_limit: int = MAX_LIMIT,
 ) -> PageResult:
-    args = check_args(dataset, date_from, date_to, facility_id, offset, limit)
+    args = check_args(dataset, date_from, date_to, facility_id, offset, limit, max_limit)
     ds = DATASETS[args.dataset]
     filtered = filtered_rows(catalog, args)
-    # The page (<= 1,000 rows) is computed once and stored in the shared
-    # checkpoint folder: the name join needs its ids and the metadata counts
-    # it, and both read these few rows instead of scanning the facts again.
-    pg = materialize(R.page(filtered, ds, args.offset, args.limit), "page")
-    meta = R.page_metadata(filtered, pg, args.offset, args.limit)
+    # The page (at most max_limit rows) is read once and held by the driver: the name
+    # join needs its ids, and neither it nor the count scans the facts for the page again.
+    found = R.page(filtered, ds, args.offset, args.limit)
+    pg = filtered.sparkSession.createDataFrame(found.collect(), found.schema)
+    meta = R.page_metadata(filtered, args.offset, args.limit, args.requested)
     data = pg
     if ds.public == "facility":
         data = R.join_names(data, _plants_or_none(catalog))

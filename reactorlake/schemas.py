@@ -153,4 +153,4 @@ def resolve(dataset: str) -> Dataset:
         return DATASETS[dataset]
     if dataset in STORAGE_TO_PUBLIC:
         return DATASETS[STORAGE_TO_PUBLIC[dataset]]
-    raise ValidationError("Invalid dataset. Must be 'facility', 'us', or 'plants'")
+    raise ValidationError(f"Invalid dataset: {dataset!r} is none of {', '.join(DATASETS)}")

@@ -1,15 +1,18 @@
 """Landed source pages -> raw records.
 
 The remote API is not called from Spark. Its pages are landed as JSON, one
-page envelope per JSON document, under ``<landing>/<batch>/...``; a batch is
-one fetch run, and later batches sort after earlier ones by folder name.
+page envelope per JSON document, under ``<landing>/<run>/...``: a fetch run is the
+first folder below the landing root, however deep its files lie; files directly in the root
+are the run ``.``. Runs are ordered by name with numbers compared as numbers
+(``run-9`` before ``run-10``).
 
     {"offset": 0, "response": {"total": "12345", "data": [{...record...}, ...]}}
 
-Reading keeps the source's stop rules, evaluated per batch as joins rather
-than a driver loop: pages are read in offset order until the first missing or
-empty page, and nothing at or past ``total``. Records keep a ``seq`` =
-(batch path, file path, page offset, position) so later duplicates win.
+Reading keeps the source's stop rules, evaluated per run as joins rather than
+a driver loop: pages are read in offset order until the first missing or empty
+page, and nothing at or past ``total``. Pages behind a *missing* page are held, not
+dropped: ``page_states`` names them, and a refresh reads their run again.
+Records keep a ``seq`` = (run order, page offset, file, position) so later duplicates win.
 """
 
 from __future__ import annotations
@@ -20,29 +23,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.functions.dates import parse_date
-from reactorlake.functions.numbers import array_or_empty, ceil_div, text_to_long
+from reactorlake.functions.numbers import array_or_empty, text_to_long
 from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import PAGE_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources.tables import _fs_path, materialize
 
+KEPT, HELD, IGNORED = "kept", "held", "ignored"
+ROOT_RUN = "."
+
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
 
 
-def list_batches(spark: SparkSession, path: str) -> list[str]:
-    """Fetch-run folders directly under a landing path, oldest first (names sort
-    by landing time). A path holding page files itself is one fetch run."""
+def _file_name(path: Column) -> Column:
+    """A file's path as Hadoop writes it (plain characters, ``file:/`` with one slash)."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
+def _root_name(spark: SparkSession, path: str) -> str:
+    fs, p = _fs_path(spark, path)
+    return str(fs.makeQualified(p))
+
+
+def run_of(file: Column, root: str) -> Column:
+    """The first folder below the landing root, or ``.``."""
+    rel = file.substr(F.lit(len(root) + 2), F.length(file))
+    return F.when(F.contains(rel, F.lit("/")), F.substring_index(rel, "/", 1)).otherwise(F.lit(ROOT_RUN))
+
+
+def run_order(run: Column) -> Column:
+    """Names with every number padded, so that text order is natural order."""
+    return F.regexp_replace(F.regexp_replace(run, r"(\d+)", "0" * 20 + "$1"), r"\d*(\d{20})", "$1")
+
+
+def landed_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """``run, file`` of every landed file (a listing, no file is opened); None without a landing."""
     fs, p = _fs_path(spark, path)
     if not fs.exists(p):
-        return []
-    entries = [st for st in fs.listStatus(p) if not st.getPath().getName().startswith(("_", "."))]
-    dirs = sorted(str(st.getPath()) for st in entries if st.isDirectory())
-    if any(st.isFile() for st in entries) or not dirs:
-        return [str(fs.makeQualified(p))]
-    return dirs
+        return None
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(_file_name(F.col("path")).alias("file"))
+    return listed.select(run_of(F.col("file"), _root_name(spark, path)).alias("run"), "file")
 
 
-def read_pages(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
-    """S1 scan: one row per landed page (``batch, file, offset, total, data``).
+def read_pages(spark: SparkSession, path: str, files: list[str] | None = None, multi_line: bool = False) -> DataFrame:
+    """S1 scan: one row per landed page (``run, file, offset, total, data``) of a
+    landing, or of some of its files.
 
     JSON-lines landings are split across tasks; ``multi_line=True`` reads one
     pretty-printed page per file (one task per file).
@@ -50,89 +75,74 @@ def read_pages(spark: SparkSession, path: str | list[str], multi_line: bool = Fa
     raw = (
         spark.read.schema(PAGE_SCHEMA)
         .option("multiLine", multi_line)
-        .option("recursiveFileLookup", True)  # batch folders are not key=value partitions
-        .json(path if isinstance(path, str) else list(path))
+        .option("recursiveFileLookup", True)  # run folders are not key=value partitions
+        .json(path if files is None else files)
     )
-    return raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("batch"),
-        F.col("_metadata.file_path").alias("file"),
+    return pages_of(raw, _root_name(spark, path))
+
+
+def pages_of(raw: DataFrame, root: str) -> DataFrame:
+    """Page envelopes (batch or stream) as ``run, file, offset, total, data``."""
+    named = raw.select("*", _file_name(F.col("_metadata.file_path")).alias("file"))
+    return named.select(
+        run_of(F.col("file"), root).alias("run"),
+        "file",
         F.col("offset"),
         text_to_long(F.col("response.total")).alias("total"),
         array_or_empty(F.col("response.data")).alias("data"),
     )
 
 
-def page_plan(total: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """One row per page to fetch (``page_no, offset, length``) for each
-    ``total`` row of the input (a ``total`` column, optionally with ``batch``).
-
-    The page count is ceil(total / page_size); a total of 0 still plans the
-    first page (the source is always asked once).
-    """
-    keys = [c for c in total.columns if c != "total"]
-    pages = F.greatest(ceil_div("total", page_size), F.lit(1).cast("bigint"))
-    return total.select(
-        *keys,
-        F.posexplode(F.sequence(F.lit(0).cast("bigint"), (pages - 1) * F.lit(page_size), F.lit(page_size).cast("bigint"))).alias(
-            "page_no", "offset"
-        ),
-        F.col("total"),
-    ).select(
-        *keys,
-        F.col("page_no").cast("bigint").alias("page_no"),
-        "offset",
-        F.least(F.lit(page_size).cast("bigint"), F.greatest(F.col("total") - F.col("offset"), F.lit(0).cast("bigint"))).alias(
-            "length"
-        ),
+def page_plan(spark: SparkSession, total: int, page_size: int = PAGE_SIZE) -> DataFrame:
+    """One row per page to fetch (``page_no, offset, length``) of a source of
+    ``total`` records. The page count is ceil(total / page_size); a total of 0
+    still plans the first page (the source is always asked once)."""
+    pages = max(1, -(-total // page_size))
+    return spark.range(pages).select(
+        F.col("id").alias("page_no"),
+        (F.col("id") * page_size).alias("offset"),
+        F.least(F.lit(page_size).cast("bigint"), F.greatest(F.lit(total).cast("bigint") - F.col("id") * page_size, F.lit(0).cast("bigint"))).alias("length"),
     )
 
 
-def read_total_frame(records: DataFrame) -> DataFrame:
-    """The ``total`` a source reports for a set of records (1-row frame)."""
-    return records.agg(F.count(F.lit(1)).cast("bigint").alias("total"))
+def page_states(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """``run, file, offset, state`` of every page: the source's stop rules per run.
 
+    ``kept``: before the first missing and the first empty page, and before
+    ``total`` (the first page always). ``held``: behind a missing page, which may still
+    land. ``ignored``: behind an empty page or past the total. Pages
+    without an ``offset`` are plain landed files and are kept.
+    """
+    paged = pages.where(F.col("offset").isNotNull())
+    info = paged.groupBy("run", "offset").agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
+    ends = info.groupBy("run").agg(F.min_by("total", "offset").alias("total"), F.min(F.when(F.col("n") == 0, F.col("offset"))).alias("empty"))
+    ends = ends.withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).cast("bigint"))
+    # a page is missing where neither it nor its successor's place is landed: compare each page with the one before
+    due = ends.select("run", F.lit(0).cast("bigint").alias("offset")).unionByName(info.select("run", (F.col("offset") + page_size).alias("offset")))
+    missing = due.join(info.select("run", "offset"), ["run", "offset"], "left_anti").groupBy("run").agg(F.min("offset").alias("missing"))
+    ends = ends.join(missing, "run", "left")
+    stop = F.least(F.col("empty"), F.col("missing"), F.col("total"))
+    gap = F.coalesce(F.col("missing") < F.least(F.col("empty"), F.col("total")), F.lit(False))
+    state = F.when(F.col("offset").isNull() | (F.col("offset") < stop), KEPT).when(gap & (F.col("offset") < F.col("total")), HELD).otherwise(IGNORED)
+    return pages.select("run", "file", "offset").distinct().join(ends, "run", "left").select("run", "file", "offset", state.alias("state"))
 
-def kept_pages(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """The source's stop rules per batch: pages before the first missing or empty
-    page, and before ``total`` (the first page is always read). Pages without an
-    ``offset`` are plain landed files and are all kept.
 
-    The landing is scanned twice in all: once for one light row per page
-    (stored once in the shared folder: one row per page, no record arrays,
-    reused by every rule below), once for the records themselves.
-    """
-    info = materialize(
-        pages.where(F.col("offset").isNotNull())
-        .groupBy("batch", "offset")
-        .agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n")),
-        "page-info",
-    )
-    totals = info.groupBy("batch").agg(F.min_by("total", "offset").alias("total"))
-    plan = page_plan(totals, page_size).select("batch", "offset")
-    present = info.where(F.col("n") > 0).select("batch", "offset")
-    gaps = plan.join(present, ["batch", "offset"], "left_anti").groupBy("batch").agg(F.min("offset").alias("gap"))
-    # Per batch, read pages below the first gap and below the total (page 0 always).
-    limits = totals.join(gaps, "batch", "left").select(
-        "batch", F.least(F.col("gap"), F.greatest(F.col("total"), F.lit(1).cast("bigint"))).alias("_end")
-    )
-    # ``limits`` has one row per landing batch (fetch run): small by construction.
-    return (
-        pages.join(F.broadcast(limits), "batch", "left")
-        .where(F.col("offset").isNull() | (F.col("offset") < F.col("_end")))
-        .drop("_end")
-    )
+def kept_pages(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
+    """The pages that the stop rules keep. ``pages`` is read twice: stage it."""
+    kept = page_states(pages, page_size).where(F.col("state") == KEPT).select("run", "file", F.col("offset").alias("_offset"))
+    on = (pages["run"] == kept["run"]) & (pages["file"] == kept["file"]) & pages["offset"].eqNullSafe(kept["_offset"])
+    return pages.join(kept, on, "left_semi")
 
 
 def records_from_pages(pages: DataFrame) -> DataFrame:
-    """Every record of every kept page (no dedupe), with ``seq``."""
-    exploded = pages.select(
-        "batch", "file", "offset", F.posexplode(F.col("data")).alias("pos", "rec")
-    )
+    """Every record of every kept page (no dedupe), with ``seq`` and its ``run``."""
+    exploded = pages.select("run", "file", "offset", F.posexplode(F.col("data")).alias("pos", "rec"))
     return exploded.select(
         *[F.col(f"rec.{f}").alias(f) for f in RECORD_FIELDS],
         F.struct(
-            F.col("batch"), F.col("file"), F.coalesce(F.col("offset"), F.lit(0).cast("bigint")).alias("offset"), F.col("pos")
+            run_order(F.col("run")).alias("run"), F.coalesce(F.col("offset"), F.lit(0).cast("bigint")).alias("offset"), F.col("file"), F.col("pos")
         ).alias("seq"),
+        "run",
     )
 
 
@@ -140,46 +150,52 @@ def filter_period(
     records: DataFrame, start: _dt.date | Column | None = None, end: _dt.date | Column | None = None
 ) -> DataFrame:
     """Inclusive ``start`` / ``end`` bounds (dates, or date columns such
-    as a scalar subquery) on the record date. Records whose period is not a
-    date are kept here; validation decides about them."""
+    as a scalar subquery; a NULL bound is no bound) on the record date. Records
+    whose period is not a date are kept here; validation decides about them."""
     d = parse_date("period")
     cond = F.lit(True)
     if start is not None:
-        cond = cond & (d.isNull() | (d >= F.lit(start)))
+        cond = cond & (d.isNull() | F.lit(start).isNull() | (d >= F.lit(start)))
     if end is not None:
-        cond = cond & (d.isNull() | (d <= F.lit(end)))
+        cond = cond & (d.isNull() | F.lit(end).isNull() | (d <= F.lit(end)))
     return records.where(cond)
 
 
 def landed_records(
     spark: SparkSession,
-    path: str | list[str],
+    path: str,
     start: _dt.date | None = None,
     end: _dt.date | None = None,
     multi_line: bool = False,
     page_size: int = PAGE_SIZE,
 ) -> DataFrame:
-    """S1 + S3 + S5: the raw records the source would have returned."""
-    pages = kept_pages(read_pages(spark, path, multi_line), page_size)
-    return filter_period(records_from_pages(pages), start, end)
+    """S1 + S3 + S5: the raw records the source would have returned. The JSON is
+    parsed once, into a stage that the stop rules and the records both read."""
+    pages = materialize(read_pages(spark, path, None, multi_line), "pages")
+    return filter_period(records_from_pages(kept_pages(pages, page_size)), start, end).drop("run")
 
 
-def write_pages(records: DataFrame, path: str, order: list | None = None, page_size: int = PAGE_SIZE) -> None:
-    """Land records as source pages (used to build landings from tables).
+def page_envelopes(
+    records: DataFrame, order: list | None = None, page_size: int = PAGE_SIZE, first_offset: int = 0, total: int | None = None
+) -> DataFrame:
+    """Records as source pages (``offset, response``), used to build landings from tables.
 
     Rows are numbered without a global window (in ``order`` if given, else in
-    their current partitions), grouped into pages of exactly ``page_size`` rows
-    (each group is bounded by the page size) and written as JSON lines, one
-    page envelope per line.
+    their current partitions) and grouped into pages of exactly ``page_size``
+    rows (each group is bounded by the page size).
     """
     order = order or []
     numbered = number_pages(records.select(*RECORD_FIELDS, *[c for c in records.columns if c not in RECORD_FIELDS]), order, page_size)
-    total = records.select(F.count(F.lit(1)).cast("string")).scalar()
+    reported = records.select(F.count(F.lit(1)).cast("string")).scalar() if total is None else F.lit(str(total))
     pages = numbered.groupBy("page_no").agg(
         F.sort_array(F.collect_list(F.struct("page_pos", F.struct(*RECORD_FIELDS).alias("rec")))).alias("_recs")
     )
-    out = pages.select(
-        (F.col("page_no") * F.lit(page_size)).cast("bigint").alias("offset"),
-        F.struct(total.alias("total"), F.transform("_recs", lambda x: x["rec"]).alias("data")).alias("response"),
+    return pages.select(
+        (F.col("page_no") * F.lit(page_size) + F.lit(first_offset)).cast("bigint").alias("offset"),
+        F.struct(reported.alias("total"), F.transform("_recs", lambda x: x["rec"]).alias("data")).alias("response"),
     )
-    out.write.mode("error").json(path)
+
+
+def write_pages(records: DataFrame, path: str, order: list | None = None, page_size: int = PAGE_SIZE, mode: str = "error") -> None:
+    """Land records as JSON lines, one page envelope per line."""
+    page_envelopes(records, order, page_size).write.mode(mode).json(path)

@@ -1,9 +1,9 @@
-"""Per-dataset watermarks.
+"""Per-dataset watermarks and applied landing files.
 
-The state is three rows (``dataset, last_extraction_date, updated_at``), stored
-as a versioned parquet folder in the warehouse. Reading it returns the fixed
-dataset list left-joined with what is stored, so a missing state reads as
-three NULL watermarks and unknown stored rows are ignored.
+Both are append-only parquet folders in the warehouse: every save adds rows
+stamped with a time, and readers take the newest row per dataset or file, so a crash
+leaves the older rows valid. A missing state reads as three NULL watermarks and
+unknown stored rows are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reactorlake.schemas import DATASETS, STATE_SCHEMA
-from reactorlake.sources.tables import Warehouse, latest_version_path, next_version_path
+from reactorlake.sources.tables import Warehouse, path_exists
 
 STATE_DATASETS = [d.storage for d in DATASETS.values()]
 
@@ -25,8 +25,11 @@ def _dataset_list(spark: SparkSession) -> DataFrame:
 
 
 def stored_state(wh: Warehouse) -> DataFrame | None:
-    path = latest_version_path(wh.spark, wh.state_dir())
-    return None if path is None else wh.spark.read.schema(STATE_SCHEMA).parquet(path)
+    if not path_exists(wh.spark, wh.state_dir()):
+        return None
+    rows = wh.spark.read.schema(STATE_SCHEMA).parquet(wh.state_dir())
+    newest = rows.groupBy("dataset").agg(F.max_by(F.struct("last_extraction_date", "updated_at"), "updated_at").alias("s"))
+    return newest.select("dataset", "s.*")
 
 
 def load_state_frame(wh: Warehouse) -> DataFrame:
@@ -47,23 +50,16 @@ def load_state(wh: Warehouse) -> dict[str, _dt.date | None]:
     return {r["dataset"]: r["last_extraction_date"] for r in load_state_frame(wh).collect()}
 
 
-def save_state(wh: Warehouse, watermarks: dict[str, _dt.date | None]) -> str:
-    """Upsert the given datasets' watermarks, stamp ``updated_at``; other
-    datasets keep their stored values. Written as a new version (never
-    overwrites the folder it reads)."""
-    current = {r["dataset"]: r for r in load_state_frame(wh).collect()}
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = []
-    for name in STATE_DATASETS:
-        if name in watermarks:
-            rows.append((name, watermarks[name], now))
-        else:
-            r = current[name]
-            rows.append((name, r["last_extraction_date"], r["updated_at"]))
-    df = wh.spark.createDataFrame(rows, STATE_SCHEMA)
-    target = next_version_path(wh.spark, wh.state_dir())
-    df.coalesce(1).write.mode("error").parquet(target)
-    return target
+def save_state(wh: Warehouse, marks: dict[str, _dt.date | None], replace: bool = False) -> None:
+    """Move the given datasets' watermarks (``advance``; a full load sets
+    them with ``replace``); other datasets keep their stored values."""
+    if not marks:
+        return
+    batch = wh.spark.createDataFrame(list(marks.items()), "dataset string, batch_max date")
+    new = F.col("batch_max") if replace else advance(F.col("last_extraction_date"), F.col("batch_max"))
+    rows = load_state_frame(wh).join(F.broadcast(batch), "dataset")
+    rows = rows.select("dataset", new.alias("last_extraction_date"), F.current_timestamp().cast(STATE_SCHEMA["updated_at"].dataType).alias("updated_at"))
+    rows.coalesce(1).write.mode("append").parquet(wh.state_dir())
 
 
 def watermark(frame: DataFrame, name: str = "last_extraction_date") -> DataFrame:
@@ -77,14 +73,18 @@ def advance(old: Column, batch_max: Column) -> Column:
 
 
 # --- landing progress ---------------------------------------------------------
-# The newest landing folder (fetch run) already applied, per dataset, so an
-# incremental refresh parses only fetch runs that landed since, not the whole
-# landing history. Same versioned layout as the watermarks.
+# One row per landed file that a refresh has read: whether its pages were applied
+# (or ruled out by the source's stop rules) or are held behind a missing page, and
+# the date bound its fetch run was read from. Files without an applied row are
+# read again together with their run, from the same bound.
 
 PROGRESS_SCHEMA = T.StructType(
     [
         T.StructField("dataset", T.StringType()),
-        T.StructField("last_batch", T.StringType()),
+        T.StructField("run", T.StringType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("applied", T.BooleanType()),
+        T.StructField("start", T.DateType()),
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
@@ -94,22 +94,20 @@ def _progress_dir(wh: Warehouse) -> str:
     return f"{wh.root}/progress"
 
 
-def load_progress(wh: Warehouse) -> dict[str, str | None]:
-    path = latest_version_path(wh.spark, _progress_dir(wh))
-    stored = {} if path is None else {
-        r["dataset"]: r["last_batch"] for r in wh.spark.read.schema(PROGRESS_SCHEMA).parquet(path).collect()
-    }
-    return {name: stored.get(name) for name in STATE_DATASETS}
-
-
-def save_progress(wh: Warehouse, marks: dict[str, str | None]) -> None:
-    """Record the newest applied fetch run per dataset (others keep theirs)."""
-    current = load_progress(wh)
-    changed = {k: v for k, v in marks.items() if v is not None and current.get(k) != v}
-    if not changed:
-        return  # nothing new was applied: keep the current version
-    current.update(changed)
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    rows = [(name, current[name], now) for name in STATE_DATASETS]
-    target = next_version_path(wh.spark, _progress_dir(wh))
-    wh.spark.createDataFrame(rows, PROGRESS_SCHEMA).coalesce(1).write.mode("error").parquet(target)
+def load_progress(wh: Warehouse, dataset: str) -> DataFrame:
+    """``run, file, applied, start`` of every file read so far."""
+    path = _progress_dir(wh)
+    stored = wh.spark.read.schema(PROGRESS_SCHEMA).parquet(path) if path_exists(wh.spark, path) else wh.spark.createDataFrame([], PROGRESS_SCHEMA)
+    rows = stored.where(F.col("dataset") == dataset)
+    return rows.groupBy("run", "file").agg(F.max("applied").alias("applied"), F.min_by("start", "updated_at").alias("start"))
+
+
+def save_progress(wh: Warehouse, dataset: str, files: DataFrame) -> None:
+    """Append ``run, file, applied, start`` of the files a refresh has read."""
+    rows = files.select(F.lit(dataset).alias("dataset"), "run", "file", "applied", "start", F.current_timestamp().alias("updated_at"))
+    rows.write.mode("append").parquet(_progress_dir(wh))
+
+
+def held_files(wh: Warehouse, dataset: str) -> DataFrame:
+    """``run, file`` of landed files that wait for a missing page."""
+    return load_progress(wh, dataset).where(~F.col("applied")).select("run", "file")

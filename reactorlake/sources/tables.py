@@ -3,16 +3,17 @@
 Layout under one warehouse root (a shared filesystem path; by default a folder
 under the session's ``spark.checkpoint.dir``)::
 
-    base/<table>/version-<n>/            whole-table versions (full loads, small tables)
-    base/facility_outages/version-<n>/ym=YYYY-MM/   facts, partitioned by month
-    published/<table>/version-<n>/       snapshots that readers use
-    state/version-<n>/                   watermarks (3 rows)
-
-A version directory is complete once its ``_SUCCESS`` marker exists; readers
-take the newest complete version, so a crash mid-write leaves the previous
-version in place. Facts are upserted month by month inside the current version
-with dynamic partition overwrite, so only months present in a batch are read
-and rewritten.
+    data/<table>/<write>/[ym=YYYY-MM/]     files of one write, never changed afterwards
+    base/<table>/manifest-<n>.json         what the base table is made of
+    published/<table>/manifest-<n>.json    what readers see
+    state/, progress/                      watermarks and applied landing files
+
+A manifest lists, per month (one entry for tables without months), the folder
+that holds it and its rows. A write puts its files into a new folder and then switches the
+manifest, the only step readers notice: a crash before it leaves the old table
+whole. Publishing copies the base table's manifest, not its files. These are
+plain parquet folders with a pointer file, not a transaction log: one writer at
+a time is assumed.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import datetime as _dt
+import json
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,8 @@ from reactorlake.errors import DataNotFoundError, ProcessingError
 from reactorlake.schemas import DATASETS, Dataset, resolve
 
 MONTH_COL = "ym"
-_VERSION_PREFIX = "version-"
+#: The single part of a table without months.
+WHOLE = "all"
 
 
 # ---------------------------------------------------------------------------
@@ -41,19 +45,19 @@ _VERSION_PREFIX = "version-"
 def shared_root(spark: SparkSession, name: str | None = None) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session; only when it is unset (tests, a bare
-    local session) is a default chosen and set on the session.
+    The setting is read from the session. Only a local session without it (tests, a
+    bare shell) gets a folder of its own; elsewhere executors would write to
+    their own disks, so a missing setting is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ProcessingError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         base = tempfile.mkdtemp(prefix="reactorlake-")
         spark.sparkContext.setCheckpointDir(base)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/reactorlake/{name or uuid.uuid4().hex}"
 
 
@@ -109,47 +113,51 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    fs, p = _fs_path(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith(_VERSION_PREFIX):
-            marker = st.getPath().suffix("/_SUCCESS")
-            if fs.exists(marker):
-                out.append(int(name[len(_VERSION_PREFIX) :]))
-    return sorted(out)
-
-
-def _all_version_numbers(spark: SparkSession, path: str) -> list[int]:
+def _numbers(spark: SparkSession, path: str) -> list[int]:
     fs, p = _fs_path(spark, path)
     if not fs.exists(p):
         return []
-    return sorted(
-        int(st.getPath().getName()[len(_VERSION_PREFIX) :])
-        for st in fs.listStatus(p)
-        if st.isDirectory() and st.getPath().getName().startswith(_VERSION_PREFIX)
-    )
+    found = (re.fullmatch(r"manifest-(\d+)\.json", st.getPath().getName()) for st in fs.listStatus(p))
+    return sorted(int(m[1]) for m in found if m)
 
 
-def latest_version_path(spark: SparkSession, path: str) -> str | None:
-    v = _versions(spark, path)
-    return f"{path}/{_VERSION_PREFIX}{v[-1]:06d}" if v else None
+def read_manifest(spark: SparkSession, path: str, number: int | None = None) -> dict[str, dict] | None:
+    """The newest (or a given) manifest of a table folder: part -> {folder, rows}; None without one."""
+    numbers = _numbers(spark, path)
+    if not numbers:
+        return None
+    fs, p = _fs_path(spark, f"{path}/manifest-{numbers[-1] if number is None else number:06d}.json")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
-def next_version_path(spark: SparkSession, path: str) -> str:
-    v = _all_version_numbers(spark, path)
-    return f"{path}/{_VERSION_PREFIX}{(v[-1] + 1 if v else 1):06d}"
+def switch_manifest(spark: SparkSession, path: str, parts: dict[str, dict]) -> None:
+    """Make ``parts`` the table: written aside, then renamed into place."""
+    number = (_numbers(spark, path) or [0])[-1] + 1
+    fs, aside = _fs_path(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
+    _, target = _fs_path(spark, f"{path}/manifest-{number:06d}.json")
+    stream = fs.create(aside, True)
+    try:
+        stream.write(json.dumps(parts, sort_keys=True).encode())
+    finally:
+        stream.close()
+    if not fs.rename(aside, target):
+        raise ProcessingError(f"could not switch the manifest in {path}")
 
 
-def drop_old_versions(spark: SparkSession, path: str, keep: int = 2) -> None:
-    """Remove complete versions older than the newest ``keep`` (readers use the newest)."""
-    fs, _ = _fs_path(spark, path)
-    for v in _versions(spark, path)[:-keep]:
-        _, p = _fs_path(spark, f"{path}/{_VERSION_PREFIX}{v:06d}")
-        fs.delete(p, True)
+def drop_old_manifests(spark: SparkSession, path: str, keep: int = 2) -> set[str]:
+    """Remove manifests older than the newest ``keep``; the folders that the others use."""
+    used: set[str] = set()
+    numbers = _numbers(spark, path)
+    for n in numbers[-keep:]:
+        used |= {part["folder"] for part in (read_manifest(spark, path, n) or {}).values()}
+    for n in numbers[:-keep]:
+        fs, p = _fs_path(spark, f"{path}/manifest-{n:06d}.json")
+        fs.delete(p, False)
+    return used
 
 
 # ---------------------------------------------------------------------------
@@ -161,47 +169,22 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumn(MONTH_COL, F.date_format("date", "yyyy-MM"))
 
 
-def _clustered(df: DataFrame, dataset: Dataset) -> DataFrame:
-    """Range-partition facts on their key before a month-partitioned write: each
-    task then holds a contiguous date range, so it writes into one or two month
-    folders (files stay few and bounded, and per-file date min/max stay narrow
-    for pushed-down date filters). A hot month is split across tasks because
-    the key is unique."""
-    return df.repartitionByRange(*[F.col(k) for k in dataset.keys])
-
+def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Dataset) -> dict[str, dict]:
+    """Write ``df`` into a new folder and return its manifest parts.
 
-def _writer(df: DataFrame, dataset: Dataset, cluster: bool = True):
-    if dataset.partition_by_month:
-        return with_month(_clustered(df, dataset) if cluster else df).write.partitionBy(MONTH_COL)
-    return df.write
-
-
-def write_new_version(
-    spark: SparkSession, path: str, df: DataFrame, dataset: Dataset, cluster: bool = True
-) -> str:
-    """S9 (overwrite): write ``df`` as a new complete version; old versions stay
-    readable. ``cluster=False`` copies data that is already laid out by month
-    (each input file holds one month, so each task writes into one folder)."""
-    target = next_version_path(spark, path)
-    writer = _writer(df.select(*dataset.schema.names), dataset, cluster)
-    writer.mode("error").option("compression", "snappy").parquet(target)
-    return target
-
-
-def overwrite_months(df: DataFrame, version_path: str, dataset: Dataset) -> None:
-    """Rewrite only the months present in ``df`` (dynamic partition overwrite).
-
-    The mode is set on the write itself, so a session default of STATIC can
-    never turn this into a delete of the whole table.
+    Facts are gathered by month with a rebalance hint (AQE splits a large month and
+    merges small ones; nothing is sampled, so the plan runs once) and sorted by
+    facility and date inside it, so row groups can be skipped by either.
     """
-    (
-        with_month(_clustered(df.select(*dataset.schema.names), dataset))
-        .write.partitionBy(MONTH_COL)
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "snappy")
-        .parquet(version_path)
-    )
+    rows = df.select(*dataset.schema.names)
+    if not dataset.partition_by_month:
+        rows.write.mode("error").option("compression", "snappy").parquet(folder)
+        return {WHOLE: {"folder": folder, "rows": spark.read.schema(dataset.schema).parquet(folder).count()}}
+    laid = with_month(rows).hint("rebalance", MONTH_COL).sortWithinPartitions(MONTH_COL, *[F.col(k) for k in reversed(dataset.keys)])
+    laid.write.mode("error").partitionBy(MONTH_COL).option("compression", "snappy").parquet(folder)
+    schema = T.StructType([*dataset.schema.fields, T.StructField(MONTH_COL, T.StringType())])
+    counts = spark.read.schema(schema).parquet(folder).groupBy(MONTH_COL).count().collect()  # one row per month written
+    return {r[MONTH_COL]: {"folder": f"{folder}/{MONTH_COL}={r[MONTH_COL]}", "rows": r["count"]} for r in counts}
 
 
 # ---------------------------------------------------------------------------
@@ -209,29 +192,26 @@ def overwrite_months(df: DataFrame, version_path: str, dataset: Dataset) -> None
 # ---------------------------------------------------------------------------
 
 
-def read_version(
+def read_parts(
     spark: SparkSession,
-    version_path: str,
+    parts: dict[str, dict],
     dataset: Dataset,
     date_from: _dt.date | None = None,
     date_to: _dt.date | None = None,
     months: list[str] | None = None,
 ) -> DataFrame:
-    """Scan with the fixed schema. For month-partitioned facts, date
-    bounds (and an explicit month list) become predicates on the partition
-    column, so whole month folders are pruned before any file is opened; the
-    month column is dropped from the result. Callers still filter on ``date``."""
+    """Scan with the fixed schema. Date bounds (and an explicit month list)
+    choose the folders from the manifest, so other months are never listed or
+    opened. Callers still filter on ``date``."""
+    names = sorted(parts)
     if dataset.partition_by_month:
-        schema = T.StructType(dataset.schema.fields + [T.StructField(MONTH_COL, T.StringType())])
-        df = spark.read.schema(schema).option("basePath", version_path).parquet(version_path)
-        if date_from is not None:
-            df = df.where(F.col(MONTH_COL) >= F.lit(date_from.strftime("%Y-%m")))
-        if date_to is not None:
-            df = df.where(F.col(MONTH_COL) <= F.lit(date_to.strftime("%Y-%m")))
-        if months is not None:
-            df = df.where(F.col(MONTH_COL).isin(list(months)))
-        return df.select(*dataset.schema.names)
-    return spark.read.schema(dataset.schema).parquet(version_path)
+        names = [m for m in names if date_from is None or m >= date_from.strftime("%Y-%m")]
+        names = [m for m in names if date_to is None or m <= date_to.strftime("%Y-%m")]
+        names = [m for m in names if months is None or m in set(months)]
+    folders = [parts[m]["folder"] for m in names if parts[m]["rows"]]
+    if not folders:
+        return spark.createDataFrame([], dataset.schema)
+    return spark.read.schema(dataset.schema).parquet(*folders)
 
 
 class Warehouse:
@@ -251,25 +231,31 @@ class Warehouse:
     def state_dir(self) -> str:
         return f"{self.root}/state"
 
+    def new_folder(self, storage: str) -> str:
+        return f"{self.root}/data/{storage}/{uuid.uuid4().hex}"
+
+    def base_parts(self, storage: str) -> dict[str, dict] | None:
+        return read_manifest(self.spark, self.base_dir(storage))
+
+    def snapshot_parts(self, storage: str) -> dict[str, dict] | None:
+        return read_manifest(self.spark, self.snapshot_dir(storage))
+
     # S14
     def base_exists(self, storage: str) -> bool:
-        return latest_version_path(self.spark, self.base_dir(storage)) is not None
+        return self.base_parts(storage) is not None
 
     def base_tables_exist(self) -> bool:
         """All three base tables must exist."""
         return all(self.base_exists(d.storage) for d in DATASETS.values())
 
     def snapshot_exists(self, storage: str) -> bool:
-        return latest_version_path(self.spark, self.snapshot_dir(storage)) is not None
+        return self.snapshot_parts(storage) is not None
 
     def has_any_snapshot_data(self) -> bool:
-        for d in DATASETS.values():
-            if self.snapshot_exists(d.storage) and not self.load_snapshot(d.storage).isEmpty():
-                return True
-        return False
+        return any(part["rows"] for d in DATASETS.values() for part in (self.snapshot_parts(d.storage) or {}).values())
 
     def drop_base_tables(self) -> None:
-        """Remove every base table (what an ephemeral disk loses on restart)."""
+        """Forget every base table (what an ephemeral disk loses on restart)."""
         fs, p = _fs_path(self.spark, f"{self.root}/base")
         if fs.exists(p):
             fs.delete(p, True)
@@ -277,55 +263,73 @@ class Warehouse:
     # S8 / S7 / S6
     def load_base(self, name: str, months: list[str] | None = None) -> DataFrame:
         ds = resolve(name)
-        path = latest_version_path(self.spark, self.base_dir(ds.storage))
-        if path is None:
-            raise DataNotFoundError(f"Table '{ds.storage}' not found")
-        return read_version(self.spark, path, ds, months=months)
+        parts = self.base_parts(ds.storage)
+        if parts is None:
+            raise DataNotFoundError(f"no base table {ds.storage}")
+        return read_parts(self.spark, parts, ds, months=months)
 
     def load_snapshot(self, name: str, date_from=None, date_to=None) -> DataFrame:
         ds = resolve(name)
-        path = latest_version_path(self.spark, self.snapshot_dir(ds.storage))
-        if path is None:
-            raise DataNotFoundError(f"Dataset '{ds.public}' not found")
         try:
-            return read_version(self.spark, path, ds, date_from, date_to)
-        except Exception as exc:  # unreadable files
-            raise ProcessingError("Failed to read dataset") from exc
+            parts = self.snapshot_parts(ds.storage)
+            if parts is not None:
+                return read_parts(self.spark, parts, ds, date_from, date_to)
+        except Exception as exc:  # a broken manifest or a folder that is gone
+            raise ProcessingError(f"the snapshot of {ds.public} can't be read") from exc
+        raise DataNotFoundError(f"no published data for {ds.public}")
 
     # catalog protocol used by the read service: readers see published snapshots
     def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
         return self.load_snapshot(name, date_from, date_to)
 
     # S9
-    def overwrite_base(self, name: str, df: DataFrame) -> str:
+    def overwrite_base(self, name: str, df: DataFrame) -> int:
+        """Replace a base table; its number of rows."""
         ds = resolve(name)
-        return write_new_version(self.spark, self.base_dir(ds.storage), df, ds)
+        parts = write_parts(self.spark, self.new_folder(ds.storage), df, ds)
+        switch_manifest(self.spark, self.base_dir(ds.storage), parts)
+        return sum(p["rows"] for p in parts.values())
 
-    def base_version_path(self, name: str) -> str | None:
+    def replace_months(self, name: str, df: DataFrame, months: list[str]) -> None:
+        """Replace the given months of a base table by the rows of ``df`` (all of them in these months)."""
         ds = resolve(name)
-        return latest_version_path(self.spark, self.base_dir(ds.storage))
+        old = self.base_parts(ds.storage) or {}
+        new = write_parts(self.spark, self.new_folder(ds.storage), df, ds)
+        switch_manifest(self.spark, self.base_dir(ds.storage), {**{m: p for m, p in old.items() if m not in months}, **new})
 
     # S10 / S11
-    def publish(self, name: str, months: list[str] | None = None, rows: int | None = None) -> bool:
-        """Copy a base table to its published snapshot; an empty table is skipped
-        (the older snapshot stays). With ``months`` (touched months of a batch)
-        and an existing snapshot, only those months are rewritten. ``rows``, when
-        the caller already counted the base table, saves the emptiness probe."""
+    def publish(self, name: str) -> bool:
+        """Point the published snapshot at the base table's files; an empty table is
+        skipped (the older snapshot stays)."""
         ds = resolve(name)
-        base = self.load_base(ds.storage)
-        if (rows == 0) if rows is not None else base.isEmpty():
+        parts = self.base_parts(ds.storage)
+        if parts is None:
+            raise DataNotFoundError(f"no base table {ds.storage}")
+        if not any(p["rows"] for p in parts.values()):
             return False
-        current = latest_version_path(self.spark, self.snapshot_dir(ds.storage))
-        if months is not None and ds.partition_by_month and current is not None:
-            touched = read_version(
-                self.spark, latest_version_path(self.spark, self.base_dir(ds.storage)), ds, months=months
-            )
-            overwrite_months(touched, current, ds)
-            return True
-        write_new_version(self.spark, self.snapshot_dir(ds.storage), base, ds, cluster=False)
+        switch_manifest(self.spark, self.snapshot_dir(ds.storage), parts)
         return True
 
-    def save_snapshot(self, name: str, df: DataFrame) -> str:
+    def save_snapshot(self, name: str, df: DataFrame) -> None:
         """Replace one dataset's snapshot by name (snappy parquet)."""
         ds = resolve(name)
-        return write_new_version(self.spark, self.snapshot_dir(ds.storage), df, ds)
+        switch_manifest(self.spark, self.snapshot_dir(ds.storage), write_parts(self.spark, self.new_folder(ds.storage), df, ds))
+
+    def restore(self, name: str) -> int:
+        """The base table made of the published files; its number of rows."""
+        ds = resolve(name)
+        parts = self.snapshot_parts(ds.storage)
+        if parts is None:
+            raise DataNotFoundError(f"no published data for {ds.public}")
+        switch_manifest(self.spark, self.base_dir(ds.storage), parts)
+        return sum(p["rows"] for p in parts.values())
+
+    def drop_unused(self, keep: int = 2) -> None:
+        """Remove old manifests and the writes that no kept manifest uses."""
+        for ds in DATASETS.values():
+            used = drop_old_manifests(self.spark, self.base_dir(ds.storage), keep) | drop_old_manifests(self.spark, self.snapshot_dir(ds.storage), keep)
+            fs, p = _fs_path(self.spark, f"{self.root}/data/{ds.storage}")
+            for st in fs.listStatus(p) if fs.exists(p) else []:
+                write = st.getPath().getName()
+                if not any(f"/{write}" in folder for folder in used):
+                    fs.delete(st.getPath(), True)

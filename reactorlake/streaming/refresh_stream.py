@@ -14,30 +14,18 @@ Unlike the batch refresh, the stream applies every landed page as it arrives
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reactorlake.functions.numbers import array_or_empty, text_to_long
 from reactorlake.operators.clean import transform_records
-from reactorlake.plans.refresh import advance_mark, apply_facility_batch, apply_us_batch
+from reactorlake.plans.refresh import apply_facility_batch, apply_us_batch
 from reactorlake.schemas import PAGE_SCHEMA
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import records_from_pages
+from reactorlake.sources.landing import _root_name, pages_of, records_from_pages
 from reactorlake.sources.tables import Warehouse, materialize, stage_scope
 
 _STATE_NAME = {"facility": "facility_outages", "us": "us_outages"}
 
 
-def _pages(stream: DataFrame) -> DataFrame:
-    return stream.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/[^/]*$", 1).alias("batch"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("offset"),
-        text_to_long(F.col("response.total")).alias("total"),
-        array_or_empty(F.col("response.data")).alias("data"),
-    )
-
-
 def start_refresh_stream(
     spark: SparkSession,
     landing_path: str,
@@ -53,11 +41,12 @@ def start_refresh_stream(
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = _pages(reader.option("recursiveFileLookup", True).json(landing_path))
+    pages = pages_of(reader.option("recursiveFileLookup", True).json(landing_path), _root_name(spark, landing_path))
 
     def upsert_batch(batch_pages: DataFrame, epoch_id: int) -> None:
         with stage_scope(batch_pages.sparkSession):
             apply_batch(batch_pages)
+        wh.drop_unused()
 
     def apply_batch(batch_pages: DataFrame) -> None:
         batch = materialize(transform_records(records_from_pages(batch_pages), dataset), f"{dataset}-stream-batch")
@@ -67,11 +56,9 @@ def start_refresh_stream(
             n_rows, batch_max = apply_us_batch(batch.sparkSession, wh, batch)
         if n_rows == 0:
             return  # an empty micro-batch changes nothing
-        name = _STATE_NAME[dataset]
-        stored = S.load_state(wh)
-        marks = {name: advance_mark(stored.get(name), batch_max)}
-        if dataset == "facility" and stored.get("plants") is None:
-            marks["plants"] = marks[name]  # first load: the dimension takes the facts' mark
+        marks = {_STATE_NAME[dataset]: batch_max}
+        if dataset == "facility" and S.load_state(wh).get("plants") is None:
+            marks["plants"] = batch_max  # first load: the dimension takes the facts' mark
         S.save_state(wh, marks)  # after publish (D11)
 
     writer = pages.writeStream.foreachBatch(upsert_batch).option(

@@ -1,4 +1,4 @@
-"""Shared Spark session and the reference-shaped sample frames."""
+"""Shared Spark session and small sample frames."""
 
 from __future__ import annotations
 
@@ -47,12 +47,13 @@ D = dt.date
 
 @pytest.fixture()
 def facility_df(spark):
+    """Two reactors a day for five days; the second one has a name of its own per week."""
     rows = [
-        (D(2024, 1, 1), "F001", "Plant A", 1000.0, 100.0, 10.0),
-        (D(2024, 1, 2), "F001", "Plant A", 1000.0, 150.0, 15.0),
-        (D(2024, 1, 3), "F002", "Plant B", 1500.0, 200.0, 13.3),
-        (D(2024, 1, 4), "F002", "Plant B", 1500.0, 250.0, 16.7),
-        (D(2024, 1, 5), "F003", "Plant C", 2000.0, 0.0, 0.0),
+        (D(2024, 1, 1), "F001", "Plant A", 820.5, 12.25, 1.49),
+        (D(2024, 1, 2), "F001", "Plant A", 820.5, 150.0, 18.28),
+        (D(2024, 1, 3), "F002", "Plant B", 1310.0, 0.0, 0.0),
+        (D(2024, 1, 4), "F002", "Plant B", 1310.0, 655.0, 50.0),
+        (D(2024, 1, 5), "F003", "Plant C", 95.75, 95.75, 100.0),
     ]
     return spark.createDataFrame(
         rows,
@@ -62,16 +63,13 @@ def facility_df(spark):
 
 @pytest.fixture()
 def us_df(spark):
-    outages = [5000.0, 5500.0, 6000.0, 5800.0, 5200.0]
-    pct = [5.0, 5.5, 6.0, 5.8, 5.2]
-    rows = [(D(2024, 1, i + 1), 100000.0, outages[i], pct[i]) for i in range(5)]
+    rows = [(D(2024, 1, day), 90_000.0 + 10 * day, 300.0 * day, 300.0 * day / (900 + day / 10)) for day in range(1, 6)]
     return spark.createDataFrame(rows, "date date, capacity double, outage double, percent_outage double")
 
 
 @pytest.fixture()
 def plants_df(spark):
-    rows = [("F001", "Plant A"), ("F002", "Plant B"), ("F003", "Plant C")]
-    return spark.createDataFrame(rows, "facility_id string, facility_name string")
+    return spark.createDataFrame([(f"F00{i}", f"Plant {n}") for i, n in enumerate("ABC", 1)], "facility_id string, facility_name string")
 
 
 def raw_record(period, facility, name, capacity, outage, percent):

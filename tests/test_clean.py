@@ -132,7 +132,10 @@ def test_distinct_plants(spark, facility_df):
 def test_bad_period_text_is_dropped(spark):
     df = _records(spark, [raw_record("2024-13-01", "F1", "A", "1", "2", "3"), raw_record("2024-1-5", "F1", "A", "1", "2", "3")])
     assert C.transform_records(df, "facility").count() == 0
-    assert C.validate_records(df, C.REQUIRED["facility"]).count() == 2
+    assert C.validate_records(df, C.REQUIRED["facility"]).count() == 0
+    assert [r["missing_fields"] for r in C.quarantine(df, C.REQUIRED["facility"]).collect()] == [C.BAD_DATE] * 2
+    counts = C.validation_counts(df, C.REQUIRED["facility"]).first()
+    assert (counts["total_records"], counts["valid_records"]) == (2, 0)
     assert df.select(F.lit(1)).count() == 2
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 
 from pyspark.sql import functions as F
 
@@ -44,10 +45,9 @@ def test_page_stop_rules(spark, scratch):
 
 
 def test_page_plan(spark):
-    totals = spark.createDataFrame([(12001,), (0,), (5000,)], "total bigint")
-    plan = L.page_plan(totals, 5000).collect()
-    assert len(plan) == 3 + 1 + 1
-    assert sorted((r["offset"], r["length"]) for r in plan)[-1] == (10000, 2001)
+    plans = [L.page_plan(spark, n, 5000).collect() for n in (12001, 0, 5000)]
+    assert [len(p) for p in plans] == [3, 1, 1]
+    assert sorted((r["offset"], r["length"]) for r in plans[0])[-1] == (10000, 2001)
 
 
 def test_records_carry_text_totals_and_missing_lists(spark, scratch):
@@ -118,13 +118,14 @@ def test_untouched_months_survive_a_partition_upsert(spark, scratch):
     assert facts == {dt.date(2024, 1, 1): 100.0, dt.date(2024, 2, 10): 7.0}
     published = {r["date"]: r["outage"] for r in wh.load_snapshot("facility").collect()}
     assert published == facts  # only February was republished; January stayed
-    # superseded versions are pruned to the newest two after each refresh
-    from reactorlake.sources.tables import _versions
+    # old manifests and the writes that none of the newest two uses are removed
+    from reactorlake.sources.tables import _numbers
 
-    for _ in range(2):
+    for i in range(3):
+        write_page(f"{root}/land/fac/b{i + 3}/p0.json", 0, [raw_record("2024-02-10", "F1", "A", "1000", str(i), "0.7")], 1)
         RF.refresh(spark, landing, wh)
-    assert len(_versions(spark, wh.state_dir())) <= 2
-    assert len(_versions(spark, wh.base_dir("plants"))) <= 2
+    assert len(_numbers(spark, wh.base_dir("facility_outages"))) <= 2
+    assert len(os.listdir(_local(f"{scratch}/wh/data/facility_outages"))) <= 4
 
 
 def test_publish_skips_empty_tables(spark, scratch, us_df):
@@ -209,14 +210,12 @@ def test_incremental_over_split_batches_equals_full_over_union(spark, scratch):
 def test_incremental_parses_only_new_fetch_runs(spark, scratch):
     """Records of an already applied fetch run are not parsed again, even when
     they are newer than the watermark; only runs that landed since are read."""
-    from reactorlake.sources.landing import list_batches
-
     root = _local(scratch)
     write_page(f"{root}/land/fac/b1/p0.json", 0, [_fac(1, "F1", "A"), _fac(2, "F1", "A")], 2)
     landing = RF.Landing(f"{scratch}/land/fac", f"{scratch}/land/us")
     wh = Warehouse(spark, f"{scratch}/wh")
     RF.refresh(spark, landing, wh)
-    assert S.load_progress(wh)["facility_outages"] == list_batches(spark, f"{scratch}/land/fac")[-1]
+    assert [(r["run"], r["applied"]) for r in S.load_progress(wh, "facility_outages").collect()] == [("b1", True)]
     again = {r["dataset"]: r["rows_processed"] for r in RF.refresh(spark, landing, wh).collect()}
     assert again["facility_outages"] == 0  # day 2 is >= the watermark but was applied already
     write_page(f"{root}/land/fac/b2/p0.json", 0, [_fac(2, "F1", "A", "7"), _fac(3, "F1", "A")], 2)
@@ -236,3 +235,83 @@ def test_stream_refresh_of_the_national_series(spark, scratch):
     rows = {r["date"].day: r["outage"] for r in wh.load_snapshot("us").collect()}
     assert rows == {1: 5000.0, 3: 5000.0}
     assert S.load_state(wh)["us_outages"] == dt.date(2024, 1, 3)
+
+
+def _days(wh):
+    return sorted(r["date"].day for r in wh.load_snapshot("facility").collect())
+
+
+def test_nothing_landed_is_lost(spark, scratch):
+    """Flat files, runs that sort before applied ones, late pages of an applied run, nested folders."""
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/land/fac", f"{scratch}/none", page_size=1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/land/fac/flat-1.json", 0, [_fac(1, "F1", "A")], 2)
+    write_page(f"{root}/land/fac/run-9/deep/er/p0.json", 0, [_fac(2, "F1", "A")], 2)
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [1, 2]
+    write_page(f"{root}/land/fac/flat-2.json", 1, [_fac(3, "F1", "A")], 2)
+    write_page(f"{root}/land/fac/run-9/other/p1.json", 1, [_fac(4, "F1", "A")], 2)
+    write_page(f"{root}/land/fac/run-10/p0.json", 0, [_fac(5, "F1", "A")], 1)
+    write_page(f"{root}/land/fac/a-run/p0.json", 0, [_fac(6, "F1", "A")], 1)
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [1, 2, 3, 4, 5, 6]
+    assert {r["rows_processed"] for r in RF.refresh(spark, landing, wh).collect()} == {0}
+
+
+def test_pages_behind_a_gap_are_held_and_applied_later(spark, scratch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/land/fac", f"{scratch}/none", page_size=1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    # newest first, as the source serves them: the held days are older than the watermark
+    write_page(f"{root}/land/fac/r1/p0.json", 0, [_fac(9, "F1", "A")], 3)
+    write_page(f"{root}/land/fac/r1/p2.json", 2, [_fac(7, "F1", "A")], 3)
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [9]
+    assert [r["file"].rsplit("/", 1)[1] for r in S.held_files(wh, "facility_outages").collect()] == ["p2.json"]
+    write_page(f"{root}/land/fac/r1/p1.json", 1, [_fac(8, "F1", "A")], 3)
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [7, 8, 9] and S.held_files(wh, "facility_outages").isEmpty()
+
+
+def test_page_offset_decides_before_the_file_name(spark, scratch):
+    root = _local(scratch)
+    write_page(f"{root}/fac/r/p-1.json", 0, [_fac(1, "F1", "A", "1")], 2)
+    write_page(f"{root}/fac/r/p-0.json", 1, [_fac(1, "F1", "A", "2")], 2)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    RF.refresh(spark, RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=1), wh)
+    assert [r["outage"] for r in wh.load_snapshot("facility").collect()] == [2.0]
+
+
+def test_a_full_run_without_landing_keeps_the_tables(spark, scratch):
+    root = _local(scratch)
+    write_page(f"{root}/fac/r/p0.json", 0, [_fac(1, "F1", "A")], 1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    RF.refresh(spark, RF.Landing(f"{scratch}/fac", f"{scratch}/none"), wh)
+    RF.refresh(spark, RF.Landing(f"{scratch}/gone", f"{scratch}/none"), wh, mode="full")
+    assert wh.load_base("facility").count() == 1 and wh.load_base("plants").count() == 1
+    assert S.load_state(wh)["facility_outages"] == dt.date(2024, 1, 1)
+
+
+def test_a_crash_before_the_switch_leaves_the_old_table(spark, scratch, monkeypatch):
+    from reactorlake.sources import tables
+
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none")
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/fac/r1/p0.json", 0, [_fac(1, "F1", "A")], 1)
+    RF.refresh(spark, landing, wh)
+    write_page(f"{root}/fac/r2/p0.json", 0, [_fac(1, "F1", "A", "7"), _fac(2, "F1", "A")], 2)
+
+    def crash(*_):
+        raise RuntimeError("between write and switch")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "switch_manifest", crash)
+        try:
+            RF.refresh(spark, landing, wh)
+        except RuntimeError:
+            pass
+    assert [(r["date"].day, r["outage"]) for r in wh.load_base("facility").collect()] == [(1, 100.0)]
+    RF.refresh(spark, landing, wh)
+    assert sorted((r["date"].day, r["outage"]) for r in wh.load_snapshot("facility").collect()) == [(1, 7.0), (2, 100.0)]

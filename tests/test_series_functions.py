@@ -51,14 +51,16 @@ def _cat(spark):
 
 def test_compare_series_aligns_and_fills(spark):
     out = compare_series(_cat(spark), ["F2", "F1", "F9"], "2024-01-01", "2024-01-10")
-    assert out.columns == ["date", "us", "F1", "F2"]
+    assert out.columns == ["date", "us", "F1", "F2", "date_rank"]
+    labelled = compare_series(_cat(spark), ["F2", "F1"], labelled=True)
+    assert labelled.columns == ["date", "us", "One", "Two", "date_rank"]
     rows = out.collect()
     assert [r["date"] for r in rows] == sorted(r["date"] for r in rows) and len(rows) == 10
     by = {r["date"]: r for r in rows}
     assert by["2024-01-02"]["F2"] is None and by["2024-01-03"]["F2"] == 102.0
     assert by["2024-01-10"]["us"] is None and by["2024-01-10"]["F1"] == 9.0
     no_us = compare_series(_cat(spark), ["F1"], "2024-01-01", "2024-01-10", include_us=False)
-    assert no_us.columns == ["date", "F1"]
+    assert no_us.columns == ["date", "F1", "date_rank"]
 
 
 def test_latest_series_limits_each_series(spark):
@@ -71,7 +73,8 @@ def test_latest_series_limits_each_series(spark):
 
 
 def test_pick_ids():
-    assert SR.pick_ids(["a", "b", "a", "c", "d", "e", "f"]) == ["a", "b", "c", "d", "e"]
+    assert SR.pick_ids(["a", "b", "a", "c", "d", "e", "f"]) == ["a", "b", "c", "d", "e", "f"]
+    assert SR.pick_ids(["a", "b", "a", "c", "d", "e", "f"], 5) == ["a", "b", "c", "d", "e"]
 
 
 def test_range_functions(spark):
@@ -95,6 +98,7 @@ def test_range_functions(spark):
 def test_labels(spark):
     df = spark.createDataFrame([(1000.0, 10.0), (10000000.05, 2.5), (0.5, 13.333)], "x double, p double")
     rows = df.select(mw_label("x").alias("m"), percent_label("p").alias("q")).collect()
+    assert spark.range(1).select(mw_label(F.lit(0.1) + F.lit(0.2)).alias("m")).first()["m"] == "0.30000000000000004 MW"
     assert [r["m"] for r in rows] == ["1000 MW", "10000000.05 MW", "0.5 MW"]
     assert [r["q"] for r in rows] == ["10.00%", "2.50%", "13.33%"]
 
@@ -104,7 +108,9 @@ def test_entry_contract(spark):
 
     df = E.entry(spark)
     assert df.count() > 0 and "facility_name" in df.columns
-    assert set(E.oracle_sql()) == set(E.queries())  # every registered query has a SQL twin
+    from reactorlake.plans import registry
+
+    assert set(registry.QUERIES) <= set(E.oracle_sql()) and set(E.oracle_sql()) <= set(E.queries())
 
 
 def test_inverted_chart_range_is_rejected(spark):

@@ -46,22 +46,16 @@ def digest(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
-def set_rows(base: DataFrame, width: int, extra: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, int]] | None = None) -> DataFrame:
-    """One row per document of ``base`` (id, text): id, n (size of its shingle set), sig (the set's
-    digest) and what ``extra`` makes of the set: singles, pairs (arrays of keys), ahead (position of the first pair)."""
+def set_rows(base: DataFrame, width: int) -> DataFrame:
+    """One row per document of ``base`` (id, text): id, n (size of its shingle set), sig (the set's digest)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), width)
-            made = [extra(s) if extra else (s[:0], s[:0], 0) for s in sets]
-            keys = [pa.array([m[i].view(np.int64) for m in made], pa.list_(pa.int64())) for i in range(2)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) for s in sets], pa.string()), *keys, pa.array([m[2] for m in made], pa.int32())],
-                ["id", "n", "sig", "singles", "pairs", "ahead"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) for s in sets], pa.string())], ["id", "n", "sig"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return stage(map_arrow(base, run, f"id {kind}, n int, sig string, singles array<long>, pairs array<long>, ahead int"), "link-sets")
+    return stage(map_arrow(base, run, f"id {kind}, n int, sig string"), "link-sets")
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
@@ -71,13 +65,15 @@ def set_classes(rows: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, id, n, pos, kind of the class representatives."""
-    first = classes.filter("id = rep").select("id", "sig")
-    reps = rows.filter("size(singles) + size(pairs) > 0").join(first, ["id", "sig"], "left_semi")
-    alone = reps.select("id", "n", F.posexplode("singles").alias("pos", "key"), F.lit(SINGLE).alias("kind"))
-    pairs = reps.filter("size(pairs) > 0").select("id", "n", "ahead", F.posexplode("pairs").alias("i", "key"))
-    pairs = pairs.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(PAIR).alias("kind"))
-    return alone.select("key", "id", "n", "pos", "kind").unionAll(pairs)
+    """key, id, n, pos, kind of the class representatives. ``rows``: id, n, sig,
+    singles, first (position of the first single), pairs, ahead (of the first pair)."""
+    reps = rows.filter("size(singles) + size(pairs) > 0").join(classes.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
+
+    def kind(keys: str, ahead: str, code: int) -> DataFrame:
+        each = reps.select("id", "n", F.col(ahead).alias("ahead"), F.posexplode(keys).alias("i", "key"))
+        return each.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(code).alias("kind"))
+
+    return kind("singles", "first", SINGLE).unionAll(kind("pairs", "ahead", PAIR))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -98,8 +94,8 @@ def components(links: DataFrame) -> DataFrame:
         edges = stage(small, "stars")
 
 
-def _sets(ids: DataFrame, base: DataFrame, width: int) -> DataFrame:
-    """(id, grams) of the given ids."""
+def sets_of(ids: DataFrame, base: DataFrame, width: int) -> DataFrame:
+    """(id, grams) of the given ids, from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -128,12 +124,12 @@ def _may_link(n: Column, pos: Column, m: Column, at: Column, kind: Column, perce
     return sizes & place
 
 
-def link_classes(keys: DataFrame, base: DataFrame, width: int, percent: int) -> DataFrame:
-    """Components (id, component) of the texts of ``base`` (id, text) whose shingle
-    sets are alike, among the pairs that share a key. ``keys``: key, id, n, pos, kind."""
+def link_classes(keys: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components (id, component) of the documents whose shingle sets are alike,
+    among the pairs that share a key. ``keys``: key, id, n, pos, kind; ``sets_for`` gives (id, grams) of a frame of ids."""
     shared = keys.select("key").groupBy("key").count().filter("count > 1").select("key")
     live = stage(keys.join(shared, "key", "left_semi"), "link-live")
-    sets = stage(_sets(live.select("id").distinct(), base, width), "link-grams")
+    sets = stage(sets_for(live.select("id").distinct()), "link-grams")
     order = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("id"), 24)
     pivots = live.groupBy("key").agg(F.min_by("id", order).alias("p_id"), F.min_by("n", order).alias("p_n"), F.min_by("pos", order).alias("p_pos"))
     starred = live.join(pivots, "key").filter(F.col("id") != F.col("p_id"))

@@ -30,19 +30,34 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import map_arrow, ship, slices, stage, table, text_of
-from reactorlake.llm.linking import with_best
+from reactorlake.llm.common import ship, stage, table, text_of
+from reactorlake.llm.runs import (
+    ANSWERS,
+    KEY_BITS,
+    NO_ID,
+    RUNS,
+    Levels,
+    answers,
+    batches_of,
+    copies_of,
+    count_up,
+    key_runs,
+    layout,
+    marked,
+    pack,
+    ranges_of,
+    scan_runs,
+    unpack,
+    with_copies,
+)
 
 MATCH = 50
 ANCHOR = 24
@@ -51,8 +66,6 @@ BATCH_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 #: Window starts that are hashed at once.
 PIECE = 1 << 20
-KEY_BITS = 48
-NO_ID = np.iinfo(np.int64).max
 
 _rng = np.random.default_rng(50)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + _rng.integers(0, 2, 256, dtype=np.uint64)
@@ -120,124 +133,17 @@ def suffixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> dict[st
     return {k: np.concatenate(v) if v else np.empty(0, empty.get(k, np.int64)) for k, v in found.items()}
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Compressed bytes, ordered by significance."""
-    return zstandard.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1)
-
-
-def _open(data: bytes, kind: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
-class Levels:
-    """Sorted runs of distinct keys with a value each. A new run enters as the
-    smallest level; as long as the level above it is not over twice as large, the two merge, so there are
-    logarithmically many and every key is merged logarithmically often."""
-
-    def __init__(self, combine: np.ufunc) -> None:
-        self.combine, self.runs = combine, []
-
-    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        run = self._distinct(keys, values)
-        while self.runs and len(self.runs[-1][0]) <= 2 * len(run[0]):
-            last = self.runs.pop()
-            run = self._distinct(np.concatenate([last[0], run[0]]), np.concatenate([last[1], run[1]]))
-        self.runs.append(run)
-
-    def _distinct(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return keys, values
-        order = np.argsort(keys, kind="stable")
-        keys, values = keys[order], values[order]
-        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[begin], self.combine.reduceat(values, begin)
-
-    def scan(self, keys: np.ndarray, start: int) -> np.ndarray:
-        """The combined value of each key over all levels."""
-        out = np.full(len(keys), start, np.int64)
-        for held, values in self.runs:
-            if len(held):
-                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
-                hit = held[at] == keys
-                out[hit] = self.combine(out[hit], values[at[hit]])
-        return out
-
-
-def _batches(docs: DataFrame) -> DataFrame:
-    """batch, ids, lengths, digests (arrays), data (compressed), size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
-
-        def row() -> pa.RecordBatch:
-            cols = [[uuid.uuid4().int >> 65], [ids], [[len(t) for t in texts]], [[hashlib.blake2b(t, digest_size=16).digest() for t in texts]], [zstandard.compress(b"".join(texts), 3)], [size]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["batch", "ids", "lengths", "digests", "data", "size"])
-
-        for batch in slices(batches):
-            for i, t in zip(batch.column(0).to_pylist(), pc.cast(batch.column(1), pa.binary()).to_pylist(), strict=True):
-                if texts and size + len(t) > BATCH_BYTES:
-                    yield row()
-                    ids, texts, size = [], [], 0
-                ids.append(i), texts.append(t)
-                size += len(t)
-        if texts:
-            yield row()
-
-    return map_arrow(docs, run, "batch long, ids array<long>, lengths array<long>, digests array<binary>, data binary, size long")
-
-
-def _layout(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, stops, ids) of a batch row; null ids as the largest."""
-    data = np.frombuffer(zstandard.decompress(row.data, max_output_size=max(int(row.size), 1)), np.uint8) if row.size else np.empty(0, np.uint8)
-    stops = np.cumsum(np.asarray(row.lengths, np.int64))
-    ids = np.array([NO_ID if i is None or i != i else i for i in row.ids], np.int64)
-    return data, stops - np.asarray(row.lengths, np.int64), stops, ids
-
-
-def _ranges(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
-    """(range, first, end) of sorted keys."""
-    of = ((keys >> _U(16)) * _U(ranges) >> _U(KEY_BITS - 16)).astype(np.int64)
-    begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else []
-    yield from zip(of[begin].tolist() if len(of) else [], begin, [*begin[1:], len(of)], strict=True)
-
-
-def _suffix_runs(ranges: int) -> Callable:
-    """Pass 1, batches to (batch, span, keys): the sorted distinct keys of a batch by range."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pandas().itertuples():
-                keys = np.unique(suffixes(*_layout(row)[:3])["key"])
-                out = [(row.batch, r, _pack(np.diff(keys[a:b], prepend=_U(0)))) for r, a, b in _ranges(keys, ranges)]
-                yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=["batch", "span", "keys"]), preserve_index=False, schema=pa.schema([("batch", pa.int64()), ("span", pa.int32()), ("keys", pa.binary())]))
-
-    return run
-
-
-def _shared_bits(group: pd.DataFrame) -> pd.DataFrame:
-    """One range: which keys of each batch are met in another batch."""
-    levels, runs = Levels(np.add), [np.cumsum(_open(k, np.uint64), dtype=np.uint64) for k in group["keys"]]
-    for keys in runs:
-        levels.add(keys, np.ones(len(keys), np.int64))
-    bits = [np.packbits(levels.scan(keys, 0) > 1).tobytes() for keys in runs]
-    return pd.DataFrame({"batch": group["batch"], "span": group["span"], "bits": bits, "n": [len(k) for k in runs]})
-
-
 def _contexts(ranges: int) -> Callable:
     """Pass 2, a batch and its bits to (span, batch, lo, n, id, context): windows around shared suffixes."""
 
     def run(left: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in left.itertuples():
-            data, starts, stops, ids = _layout(row)
+            data, starts, stops, ids = layout(row)
             s = suffixes(data, starts, stops)
             keys, inverse = np.unique(s["key"], return_inverse=True)
-            bits = notes[notes["bits"].notna()].sort_values("span")
-            shared = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=int(n)) for b, n in zip(bits["bits"], bits["n"], strict=True)]) if len(bits) else np.empty(0, np.uint8)
-            copy = _marked(notes, len(ids))
+            shared = answers(notes)
+            copy = marked(notes, len(ids))
             active = ~copy[s["doc"]]
             low, high = np.full(len(keys), NO_ID), np.full(len(keys), -1)
             np.minimum.at(low, inverse[active], s["doc"][active])
@@ -253,49 +159,35 @@ def _contexts(ranges: int) -> Callable:
             settled = np.empty(len(pick), bool)
             settled[order] = doc_id[order] > least
             order = np.argsort(s["key"], kind="stable")
-            for r, a, b in _ranges(s["key"][order], ranges):
+            for r, a, b in ranges_of(s["key"][order], ranges):
                 part = order[a:b]
                 sent = part[~settled[part]]
-                spots = np.repeat(s["lo"][sent], s["n"][sent] + MATCH - 1) + _count(s["n"][sent] + MATCH - 1)
+                spots = np.repeat(s["lo"][sent], s["n"][sent] + MATCH - 1) + count_up(s["n"][sent] + MATCH - 1)
                 done = part[settled[part]]
-                out.append((r, row.batch, _pack(s["lo"][sent]), _pack(s["n"][sent].astype(np.uint8)), _pack(doc_id[sent]), zstandard.compress(data[spots].tobytes(), 3), _pack(s["lo"][done]), _pack(s["n"][done].astype(np.uint8))))
+                out.append((r, row.batch, pack(s["lo"][sent]), pack(s["n"][sent].astype(np.uint8)), pack(doc_id[sent]), zstandard.compress(data[spots].tobytes(), 3), pack(s["lo"][done]), pack(s["n"][done].astype(np.uint8))))
         return pd.DataFrame(out, columns=["span", "batch", "lo", "n", "id", "context", "done_lo", "done_n"])
 
     return run
 
 
-def _count(sizes: np.ndarray) -> np.ndarray:
-    """0 .. size - 1 for each size, in one array."""
-    ends = np.cumsum(sizes)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-
-
-def _marked(notes: pd.DataFrame, n: int) -> np.ndarray:
-    copy = np.zeros(n, bool)
-    for c in notes["copies"]:
-        if c is not None:
-            copy[np.asarray(c, np.int64)] = True
-    return copy
-
-
 def _masks(group: pd.DataFrame) -> pd.DataFrame:
     """One range: for each context the windows whose content starts in a smaller id."""
     levels, opened, out = Levels(np.minimum), [], []
     for row in group.itertuples():
-        lo, n, ids = _open(row.lo, np.int64), _open(row.n, np.uint8).astype(np.int64), _open(row.id, np.int64)
+        lo, n, ids = unpack(row.lo, np.int64), unpack(row.n, np.uint8).astype(np.int64), unpack(row.id, np.int64)
         raw = np.frombuffer(zstandard.decompress(row.context), np.uint8) if len(lo) else np.empty(0, np.uint8)
         sizes = n + MATCH - 1
-        at = np.repeat(np.cumsum(sizes) - sizes, n) + _count(n)
+        at = np.repeat(np.cumsum(sizes) - sizes, n) + count_up(n)
         windows = rolling(raw, (MATCH,))[0][at] if len(lo) else np.empty(0, np.uint64)
         owner = np.repeat(ids, n)
         levels.add(windows, owner)
-        opened.append((row.batch, lo, n, windows, owner, _open(row.done_lo, np.int64), _open(row.done_n, np.uint8).astype(np.int64)))
+        opened.append((row.batch, lo, n, windows, owner, unpack(row.done_lo, np.int64), unpack(row.done_n, np.uint8).astype(np.int64)))
     for batch, lo, n, windows, owner, done_lo, done_n in opened:
         gone = levels.scan(windows, NO_ID) < owner
-        removed = np.concatenate([(np.repeat(lo, n) + _count(n))[gone], np.repeat(done_lo, done_n) + _count(done_n)])
+        removed = np.concatenate([(np.repeat(lo, n) + count_up(n))[gone], np.repeat(done_lo, done_n) + count_up(done_n)])
         if len(removed):
             removed.sort()
-            out.append((batch, _pack(np.diff(removed, prepend=0))))
+            out.append((batch, pack(np.diff(removed, prepend=0))))
     return pd.DataFrame(out, columns=["batch", "removed"])
 
 
@@ -303,15 +195,15 @@ def _cut(left: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     """The last pass, a batch and its removed windows to one row per document."""
     out = []
     for row in left.itertuples():
-        data, starts, stops, ids = _layout(row)
+        data, starts, stops, ids = layout(row)
         depth = np.zeros(len(data) + 1, np.int32)
         for r in notes["removed"]:
             if r is not None:
-                lo = np.cumsum(_open(r, np.int64))
+                lo = np.cumsum(unpack(r, np.int64))
                 np.add.at(depth, lo, 1)
                 np.add.at(depth, lo + MATCH, -1)
         gone = np.cumsum(depth[:-1]) > 0
-        copy = _marked(notes, len(ids))
+        copy = marked(notes, len(ids))
         for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist(), strict=True)):
             if copy[i] and b - a >= MATCH:
                 gone[a:b] = True
@@ -328,21 +220,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    batches = stage(_batches(rows), "suffix-batches", "none")
+    batches = stage(batches_of(rows, BATCH_BYTES), "suffix-batches", "none")
     total = batches.agg(F.sum("size")).first()[0] or 0
     ranges = max(1, math.ceil(total / RANGE_BYTES))
-    listed = batches.select("batch", F.posexplode(F.arrays_zip("ids", "digests")).alias("i", "d")).select("batch", "i", "d.ids", "d.digests")
-    best = with_best(listed, "digests", "ids", "least", F.min)
-    copies = best.filter(F.coalesce(F.col("ids"), F.lit(int(NO_ID))) > F.coalesce(F.col("least"), F.lit(int(NO_ID)))).groupBy("batch").agg(F.collect_list("i").alias("copies"))
-    copies = stage(copies, "suffix-copies")
-
+    copies = copies_of(batches)
     bare = batches.select("batch", "ids", "lengths", "data", "size")
-    runs = batches.select("batch", "ids", "lengths", "data", "size").mapInArrow(_suffix_runs(ranges), "batch long, span int, keys binary")
-    bits = stage(runs.groupBy("span").applyInPandas(_shared_bits, "batch long, span int, bits binary, n long"), "suffix-bits")
-    notes = bits.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.select("batch", F.lit(None).cast("int").alias("span"), F.lit(None).cast("binary").alias("bits"), F.lit(None).cast("long").alias("n"), "copies"))
+    runs = bare.mapInArrow(key_runs(lambda row: suffixes(*layout(row)[:3])["key"], ranges), RUNS)
+    # a suffix matters when another batch has it, or another document of its own batch (known there)
+    shared = stage(runs.groupBy("span").applyInPandas(scan_runs(lambda held: held > 1, False), ANSWERS), "suffix-shared")
+    notes = with_copies(shared, copies)
     contexts = bare.groupBy("batch").cogroup(notes.groupBy("batch")).applyInPandas(_contexts(ranges), "span int, batch long, lo binary, n binary, id binary, context binary, done_lo binary, done_n binary")
     masks = stage(contexts.groupBy("span").applyInPandas(_masks, "batch long, removed binary"), "suffix-masks")
-    notes = masks.withColumn("copies", F.lit(None).cast("array<int>")).unionByName(copies.withColumn("removed", F.lit(None).cast("binary")))
+    notes = with_copies(masks, copies)
 
     def last(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = _cut(left, right)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, suffix_dedup
+from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, runs, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import ROWS
 
@@ -152,9 +152,11 @@ def test_ngram_join_edited_copies_and_frequent_tokens(spark, monkeypatch):
             words[rng.integers(0, 150)] = f"edit{rng.integers(0, 10**6)}"
         rows.append((i * 3 + 1, " ".join(words)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    monkeypatch.setattr(ngram_join, "FREQUENT", 8)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs).collect()}
-    assert got == brute.linked(rows, 3, 90)
+    monkeypatch.setattr(ngram_join, "BATCH_BYTES", 20_000)
+    monkeypatch.setattr(ngram_join, "RANGE_BYTES", 50_000)
+    for frequent in (4, 16, 256):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(docs, frequent=frequent).collect()}
+        assert got == brute.linked(rows, 3, 90)
 
 
 def test_ngram_join_odd_rows(odd, nothing):
@@ -309,7 +311,7 @@ def test_repeats_odd_rows(odd, nothing):
 
 
 def test_levels_stay_few_and_combine():
-    levels = suffix_dedup.Levels(np.minimum)
+    levels = runs.Levels(np.minimum)
     rng = np.random.default_rng(0)
     best = {}
     for _ in range(64):

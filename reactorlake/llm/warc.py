@@ -95,7 +95,9 @@ def parse_record(read, at: int) -> Record:
     first, *lines = head[:end].decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.[01]", first):
         raise Damaged("version line")
-    headers = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
+    if not all(re.fullmatch(r"[!-9;-~]+:[^\x00-\x08\x0a-\x1f\ufffd]*|[ \t][^\x00-\x08\x0a-\x1f\ufffd]*", x) for x in lines):
+        raise Damaged("header line")
+    headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")):
         raise Damaged("content length")
     n = int(headers["content-length"])

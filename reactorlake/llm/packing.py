@@ -18,6 +18,8 @@ empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,43 +35,63 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 2_000_000
 #: Pieces of one block when sequences are numbered.
 BLOCK_ROWS = 50_000
 
-_LOADED: dict[str, tuple] = {}
+_LOADED: dict[str, Vocabulary] = {}
 
 
-def _tokenizer(path: str):
-    if path not in _LOADED:
-        import os
+class Vocabulary:
+    """The ids of the words a Python worker has met: words as one Arrow array, ids in one numpy array."""
 
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _LOADED[path] = (Tokenizer.from_file(path), {})
-    return _LOADED[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words = pa.array([], pa.string())
+        self.starts, self.sizes, self.flat = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Each distinct word's place; new words are encoded and added."""
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        place = pc.index_in(words, value_set=self.words)
+        missing = pc.is_null(place)
+        new = words.filter(missing)
+        if len(new):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
+            first = len(self.words)
+            self.words = pa.concat_arrays([self.words, new])
+            out = pc.fill_null(place, 0).to_numpy().astype(np.int64)
+            out[missing.to_numpy(zero_copy_only=False)] = first + np.arange(len(new))
+            return out
+        return place.to_numpy().astype(np.int64)
 
 
 def encode(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the texts in one array, and each text's number of ids."""
-    tok, cache = _tokenizer(path)
+    if path not in _LOADED:
+        _LOADED[path] = Vocabulary(path)
+    vocabulary = _LOADED[path]
     words = pc.ascii_split_whitespace(texts)
     coded = words.values.dictionary_encode()
-    names, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    new = [w for w in names if w not in cache]
-    for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True):
-        cache[w] = np.asarray(e.ids, dtype=np.uint32)
-    parts = [cache[w] for w in names]
-    sizes = np.fromiter((len(p) for p in parts), dtype=np.int64, count=len(parts))
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    per_word = sizes[index]
+    # the tokenizer lower-cases; doing so first finds more known words, but may not make special tokens of ordinary text
+    names = pc.if_else(pc.match_substring(coded.dictionary, "<|"), coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
+    place = vocabulary.places(names.dictionary)[names.indices.to_numpy()] if len(names) else np.empty(0, np.int64)
+    index = place[coded.indices.to_numpy()]
+    per_word = vocabulary.sizes[index]
     ends = np.cumsum(per_word)
     total = int(ends[-1]) if len(ends) else 0
-    ids = flat[np.repeat(starts[index] - (ends - per_word), per_word) + np.arange(total)] if total else np.empty(0, np.uint32)
+    ids = vocabulary.flat[np.repeat(vocabulary.starts[index] - (ends - per_word), per_word) + np.arange(total)] if total else np.empty(0, np.uint32)
     bounds = np.concatenate([[0], ends])[words.offsets.to_numpy()]
     return ids, np.diff(bounds)
 
@@ -84,16 +106,18 @@ def _pieces(path: str, most: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, counts = encode(pc.fill_null(batch.column(1), ""), path)
-            doc, start, length, crc, total = [], [], [], [], []
-            ends = np.cumsum(counts)
-            for d, end, n in zip(batch.column(0).to_pylist(), ends.tolist(), counts.tolist(), strict=True):
-                own = np.append(ids[end - n : end], np.uint32(end_id)).astype("<u4")
-                at = 0
-                for size in cuts(n + 1, most):
-                    doc.append(d), start.append(at), length.append(size), total.append(n + 1)
-                    crc.append(zlib.crc32(own[at : at + size]))
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array(doc, batch.schema.field(0).type), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            stops = np.cumsum(counts + 1)
+            own = np.full(int(stops[-1]), end_id, "<u4")
+            own[np.delete(np.arange(len(own)), stops - 1)] = ids
+            pieces = [cuts(n, most) for n in (counts + 1).tolist()]
+            doc = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+            length = np.fromiter(itertools.chain.from_iterable(pieces), np.int64, len(doc))
+            at = np.cumsum(length) - length
+            data = memoryview(own).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            start = at - (stops - counts - 1)[doc]
+            columns = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, (counts + 1)[doc]))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
 

@@ -15,7 +15,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reactorlake.errors import DataNotFoundError, ValidationError
+from reactorlake.errors import DataNotFoundError, ProcessingError, ValidationError
 from reactorlake.functions.dates import format_date, parse_date_arg
 from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
@@ -119,8 +119,11 @@ def get_dataset(
     filtered = filtered_rows(catalog, args)
     # The page (at most max_limit rows) is read once and held by the driver: the name
     # join needs its ids, and neither it nor the count scans the facts for the page again.
-    found = R.page(filtered, ds, args.offset, args.limit)
-    pg = filtered.sparkSession.createDataFrame(found.collect(), found.schema)
+    try:
+        found = R.page(filtered, ds, args.offset, args.limit)
+        pg = filtered.sparkSession.createDataFrame(found.collect(), found.schema)
+    except Exception as exc:  # files that are gone or broken show only when they are read
+        raise ProcessingError(f"{ds.public} can't be read") from exc
     meta = R.page_metadata(filtered, args.offset, args.limit, args.requested)
     data = pg
     if ds.public == "facility":

@@ -250,3 +250,19 @@ def test_all_pages_equals_walking_offsets(facility_df, us_df, plants_df):
             break
         offset = nxt
     assert [sorted(by_page[k]) for k in sorted(by_page)] == walked
+
+
+def test_unreadable_files_are_a_processing_error(spark, scratch, facility_df):
+    from reactorlake.errors import ProcessingError
+    from reactorlake.sources.tables import Warehouse
+
+    wh = Warehouse(spark, f"{scratch}/wh")
+    wh.save_snapshot("facility", facility_df.drop("facility_name"))
+    for path in wh.load("facility").inputFiles():
+        local = path.removeprefix("file://")
+        with open(local, "wb") as fh:
+            fh.write(b"no parquet")
+    with pytest.raises(ProcessingError):
+        get_dataset(wh, "facility")
+    with pytest.raises(DataNotFoundError):
+        get_dataset(wh, "us")

@@ -29,6 +29,8 @@ from reactorlake.llm.common import map_arrow, slices, stage
 from reactorlake.llm.shingles import shingle_sets
 
 SALTS = 32
+#: Bits of a set's parity sketch, in longs.
+SKETCH = [f"s{i}" for i in range(4)]
 #: Kinds of keys: no position filter, the first shared token, a pair of neighbours.
 PLAIN, SINGLE, PAIR = 0, 1, 2
 
@@ -42,6 +44,12 @@ def with_best(df: DataFrame, key: str, id_col: str, out: str, best: Callable[[st
     return salted.join(few.select(key, out, each.alias("__salt")), [key, "__salt"]).drop("__salt", "__mask")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parities of the set's hashes in 64 bits a long: two sketches differ in at most as many bits as the sets in tokens."""
+    parity = np.bincount((shingles & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64)
+
+
 def digest(shingles: np.ndarray) -> str:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
@@ -65,13 +73,14 @@ def set_classes(rows: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, id, n, pos, kind of the class representatives. ``rows``: id, n, sig,
-    singles, first (position of the first single), pairs, ahead (of the first pair)."""
+    """key, id, n, pos, kind and sketch of the class representatives. ``rows``: id, n, sig,
+    singles, first (position of the first single), pairs, ahead (of the first pair), sketch."""
     reps = rows.filter("size(singles) + size(pairs) > 0").join(classes.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
+    bits = [F.get("sketch", F.lit(i)).alias(c) for i, c in enumerate(SKETCH)]
 
     def kind(keys: str, ahead: str, code: int) -> DataFrame:
-        each = reps.select("id", "n", F.col(ahead).alias("ahead"), F.posexplode(keys).alias("i", "key"))
-        return each.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(code).alias("kind"))
+        each = reps.select("id", "n", "sketch", F.col(ahead).alias("ahead"), F.posexplode(keys).alias("i", "key"))
+        return each.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(code).alias("kind"), *bits)
 
     return kind("singles", "first", SINGLE).unionAll(kind("pairs", "ahead", PAIR))
 
@@ -116,36 +125,43 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("shared", shared).filter(F.col("shared") * 100 >= percent * (F.size("ga") + F.size("gb") - F.col("shared"))).select("a", "b").distinct()
 
 
-def _may_link(n: Column, pos: Column, m: Column, at: Column, kind: Column, percent: int) -> Column:
-    """Size and position bounds that every linked pair meets on the key that yields it."""
-    sizes = (n == 0) | (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    loss = F.floor(F.least(n, m) * (100 - percent) / percent)
-    place = F.when(kind == SINGLE, pos + at <= loss).when(kind == PAIR, F.abs(pos - at) <= loss).otherwise(True)
-    return sizes & place
+def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: int) -> Column:
+    """Bounds that every linked pair meets on the key that yields it first.
+
+    Linked sets of n and m tokens differ in at most ``loss`` tokens. So do their
+    sketches, and the tokens before the first shared one are among them. Before the
+    first pair of neighbours, every gap between shared tokens holds another of them.
+    """
+    n, m, pos, at = x("n"), y("n"), x("pos"), y("pos")
+    loss = F.floor((n + m) * (100 - percent) / (100 + percent))
+    place = F.when(x("kind") == SINGLE, pos + at <= loss).otherwise((pos + at <= 3 * loss) & (F.abs(pos - at) <= loss))
+    apart = sum((F.bit_count(x(c).bitwiseXOR(y(c))) for c in SKETCH[1:]), F.bit_count(x(SKETCH[0]).bitwiseXOR(y(SKETCH[0]))))
+    return (x("kind") == PLAIN) | ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & place & (apart <= loss))
 
 
 def link_classes(keys: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (id, component) of the documents whose shingle sets are alike,
-    among the pairs that share a key. ``keys``: key, id, n, pos, kind; ``sets_for`` gives (id, grams) of a frame of ids."""
+    among the pairs that share a key. ``keys``: key, id, n, pos, kind and the
+    sketch (only the first two and the kind count for ``PLAIN`` keys); ``sets_for`` gives (id, grams) of a frame of ids."""
     shared = keys.select("key").groupBy("key").count().filter("count > 1").select("key")
     live = stage(keys.join(shared, "key", "left_semi"), "link-live")
-    sets = stage(sets_for(live.select("id").distinct()), "link-grams")
     order = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("id"), 24)
-    pivots = live.groupBy("key").agg(F.min_by("id", order).alias("p_id"), F.min_by("n", order).alias("p_n"), F.min_by("pos", order).alias("p_pos"))
-    starred = live.join(pivots, "key").filter(F.col("id") != F.col("p_id"))
-    starred = starred.filter(_may_link(F.col("n"), F.col("pos"), F.col("p_n"), F.col("p_pos"), F.col("kind"), percent))
-    first = stage(starred.select(F.least("id", "p_id").alias("a"), F.greatest("id", "p_id").alias("b")).distinct(), "link-pairs")
-    links = stage(verify(first, sets, percent), "link-found")
+    about = ["id", "n", "pos", *SKETCH]
+    pivots = live.groupBy("key").agg(*[F.min_by(c, order).alias(f"y_{c}") for c in about])
+    x, y = F.col, lambda c: F.col(f"y_{c}")
+    starred = live.join(pivots, "key").filter((F.col("id") != F.col("y_id")) & _may_link(x, y, percent))
+    first = stage(starred.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), "link-pairs")
+    sets = lambda pairs: sets_for(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    links = stage(verify(first, stage(sets(first), "link-grams"), percent), "link-found")
 
     known = components(links)
     named = live.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = stage(named, "link-named")
     spans = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", order).alias("main")).filter("low <> high").select("key", "main")
     mixed = named.join(spans, "key")
-    r = mixed.select("key", *[F.col(c).alias(f"r_{c}") for c in ("id", "n", "pos", "component")], (F.col("component") == F.col("main")).alias("r_main"))
+    other = mixed.select("key", *[F.col(c).alias(f"y_{c}") for c in (*about, "component")], (F.col("component") == F.col("main")).alias("y_main"))
     outside = mixed.filter("component <> main").drop("main")
-    rest = outside.join(r, "key").filter(
-        (F.col("component") != F.col("r_component")) & (F.col("r_main") | (F.col("id") < F.col("r_id"))) & _may_link(F.col("n"), F.col("pos"), F.col("r_n"), F.col("r_pos"), F.col("kind"), percent)
-    )
-    second = stage(rest.select(F.least("id", "r_id").alias("a"), F.greatest("id", "r_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "link-pairs")
-    return components(links.union(verify(second, sets, percent)))
+    rest = outside.join(other, "key").filter((F.col("component") != F.col("y_component")) & (F.col("y_main") | (F.col("id") < F.col("y_id"))) & _may_link(x, y, percent))
+    pairs = rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
+    second = stage(stage(pairs, "link-pairs").join(first, ["a", "b"], "left_anti"), "link-pairs")
+    return components(links.union(verify(second, stage(sets(second), "link-grams"), percent)))

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = stage(linking.set_classes(linking.set_rows(base, WIDTH)), "minhash-classes")
     reps = sets.filter("id = rep")
     marks = fingerprints(base.join(reps.select("id"), "id", "left_semi"), "id", "text")
-    keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).alias("kind"))
+    bits = [F.lit(0).cast("long").alias(c) for c in linking.SKETCH]
+    keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(linking.PLAIN).alias("kind"), *bits)
     found = linking.link_classes(stage(keys, "minhash-bands"), lambda ids: linking.sets_of(ids, base, WIDTH), percent)
     out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("component", "rep", "id").alias("class_id"))

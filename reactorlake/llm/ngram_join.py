@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.llm.common import ship, stage, table, text_of
-from reactorlake.llm.linking import digest, link_classes, postings, set_classes
+from reactorlake.llm.linking import digest, link_classes, postings, set_classes, sketch
 from reactorlake.llm.runs import ANSWERS, KEY_BITS, RUNS, answers, batches_of, copies_of, key_runs, layout, marked, scan_runs, with_copies
 from reactorlake.llm.shingles import scramble, shingle_sets
 
@@ -44,7 +44,7 @@ WIDTH = 3
 PERCENT = 90
 #: Documents from which on a token counts as frequent, a power of two.
 FREQUENT = 32
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 
 
@@ -108,10 +108,10 @@ def indexed_sets(base: DataFrame, width: int, percent: int, frequent: int) -> Da
                 singles, first, pairs, ahead = index_keys(s if not copy[i] else s[:0], of if not copy[i] else of[:0], percent, frequent)
                 live = len(singles) + len(pairs) > 0
                 known = row.ids[i] is not None and row.ids[i] == row.ids[i]
-                out.append((int(row.ids[i]) if known else None, len(s), digest(s), singles.view(np.int64), first, pairs.view(np.int64), ahead, s.view(np.int64) if live else None))
-        return pd.DataFrame(out, columns=["id", "n", "sig", "singles", "first", "pairs", "ahead", "grams"]).astype({"id": "Int64"})
+                out.append((int(row.ids[i]) if known else None, len(s), digest(s), singles.view(np.int64), first, pairs.view(np.int64), ahead, sketch(s) if live else None, s.view(np.int64) if live else None))
+        return pd.DataFrame(out, columns=["id", "n", "sig", "singles", "first", "pairs", "ahead", "sketch", "grams"]).astype({"id": "Int64"})
 
-    schema = "id long, n int, sig string, singles array<long>, first int, pairs array<long>, ahead int, grams array<long>"
+    schema = "id long, n int, sig string, singles array<long>, first int, pairs array<long>, ahead int, sketch array<long>, grams array<long>"
     return stage(bare.groupBy("batch").cogroup(notes.groupBy("batch")).applyInPandas(index, schema), "ngram-sets")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pathlib
 import tempfile
 import uuid
@@ -78,6 +79,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets for ``with_running``: both the rows of a bucket and the table of bucket
+    totals grow with the square root of the rows, so neither becomes the bottleneck."""
+    return max(1, math.ceil(rows / max(2000, math.isqrt(rows))))
+
+
 def with_running(df: DataFrame, group: Sequence[str], bucket: str, order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
     """Exclusive running totals (``values``: output name -> summed value) inside
     ``group`` in the order (``bucket``, ``order``), without a window over a whole group.
@@ -98,7 +105,7 @@ def with_running(df: DataFrame, group: Sequence[str], bucket: str, order: Sequen
     return out.drop(*[f"__{p}_{k}" for k in values for p in "vo"])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the text column of each slice stays near ``max_bytes``
     (one longer text is a slice of its own): memory is bounded by bytes, not rows."""
     for batch in batches:

@@ -147,7 +147,8 @@ def link_classes(keys: DataFrame, sets_for: Callable[[DataFrame], DataFrame], pe
     live = stage(keys.join(shared, "key", "left_semi"), "link-live")
     order = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("id"), 24)
     about = ["id", "n", "pos", *SKETCH]
-    pivots = live.groupBy("key").agg(*[F.min_by(c, order).alias(f"y_{c}") for c in about])
+    # one row per key, written first: the joins below then stand directly on their shuffles, and Spark can split a frequent key
+    pivots = stage(live.groupBy("key").agg(*[F.min_by(c, order).alias(f"y_{c}") for c in about]), "link-pivots")
     x, y = F.col, lambda c: F.col(f"y_{c}")
     starred = live.join(pivots, "key").filter((F.col("id") != F.col("y_id")) & _may_link(x, y, percent))
     first = stage(starred.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), "link-pairs")
@@ -158,7 +159,7 @@ def link_classes(keys: DataFrame, sets_for: Callable[[DataFrame], DataFrame], pe
     named = live.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = stage(named, "link-named")
     spans = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", order).alias("main")).filter("low <> high").select("key", "main")
-    mixed = named.join(spans, "key")
+    mixed = stage(named.join(stage(spans, "link-spans"), "key"), "link-mixed")
     other = mixed.select("key", *[F.col(c).alias(f"y_{c}") for c in (*about, "component")], (F.col("component") == F.col("main")).alias("y_main"))
     outside = mixed.filter("component <> main").drop("main")
     rest = outside.join(other, "key").filter((F.col("component") != F.col("y_component")) & (F.col("y_main") | (F.col("id") < F.col("y_id"))) & _may_link(x, y, percent))

@@ -30,13 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from reactorlake.llm.common import SPACE, WORD, stage, table, text_of, with_running
+from reactorlake.llm.common import WORD, bucket_count, stage, table, text_of, with_running
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2.0
-#: Rows of one bucket of the shuffled or global order.
-BUCKET_ROWS = 20_000
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -70,7 +68,7 @@ def targets(sized: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 def _queue(sized: DataFrame, per: DataFrame) -> DataFrame:
     """Documents with the words of their source shuffled before them (``before``)
     and a number inside the source (``ord``)."""
-    buckets = max(1, math.ceil(sized.count() / BUCKET_ROWS))
+    buckets = bucket_count(sized.count())
     named = sized.join(per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])
     spot = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
     named = named.withColumn("bucket", F.floor(spot * F.lit(buckets) / F.lit(float(1 << 32))).cast("long"))
@@ -101,7 +99,7 @@ def decide(
     words, limits = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("source_size"), F.lit(0)) * cap).first()
     budget = math.floor(min(words * share, limits))
     # a source advances evenly in virtual time, so equal steps of it hold about equally many packets
-    steps = max(1, math.ceil(sized.count() / BUCKET_ROWS))
+    steps = bucket_count(2 * sized.count())
     packet = _packets(queue, cap).withColumn("step", F.floor(F.col("finish") * F.lit(steps)).cast("long"))
     served = with_running(packet, [], "step", [F.col(c) for c in ("finish", "source_no", "start", "part", "ord")], {"served": F.col("words")})
     taken = F.greatest(F.least(F.lit(budget) - F.col("served"), F.col("words")), F.lit(0)).cast("long")

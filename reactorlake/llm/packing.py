@@ -29,15 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import map_arrow, slices, stage, table, with_running
+from reactorlake.llm.common import bucket_count, map_arrow, slices, stage, table, with_running
 
 MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker keeps.
 CACHE_WORDS = 2_000_000
-#: Pieces of one block when sequences are numbered.
-BLOCK_ROWS = 50_000
 
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -132,7 +130,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
     pieces = stage(map_arrow(ids, _pieces(tokenizer_path, most, end_id), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"), "pack-pieces")
-    blocks = max(1, pieces.count() // BLOCK_ROWS)
+    blocks = bucket_count(pieces.count())
     # longest bucket first, inside it blocks of documents
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks))
     turn = F.lit(most.bit_length()) - F.length(F.bin("length"))

@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from reactorlake.llm import exact_dedup, mixing, ngram_join, packing, quality
 from reactorlake.llm.common import stage, table
 
+#: Near copies of the stage: five-word shingles, Jaccard of 0.8. op5_ngram_join has its own limits.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -27,7 +30,7 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def unlike_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.representatives(docs)
+    return ngram_join.representatives(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,16 @@ def test_stages_equal_their_plain_versions(spark):
     assert sorted(map(key, whole)) == sorted(map(key, out))
 
 
+def test_near_copies_are_those_of_five_words_and_four_fifths(spark):
+    words = [f"w{i}" for i in range(400)]
+    run = [*words[:200], *(f"new{i}" for i in range(30)), *words[230:]]
+    rows = [(1, " ".join(words)), (2, " ".join(run)), (3, " ".join([*words[:200], *(f"x{i}" for i in range(200))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i for i, (_, c) in brute.linked(rows, 5, 80).items() if c == i}
+    assert want == {1, 3} and {i for i, (_, c) in brute.linked(rows, 3, 90).items() if c == i} == {1, 2, 3}
+    assert {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()} == want
+
+
 def test_pipeline_stages_take_odd_and_empty_tables(spark, odd, nothing, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     for start in (odd, nothing):

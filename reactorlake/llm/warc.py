@@ -14,7 +14,7 @@ skipped bytes as a quarantined gap (path, start, end, reason).
 
 Defined cases: null html is an empty payload. Null page ids lose against any id; equal
 payloads of null ids only are all responses. Rows that repeat the largest id are all responses. A null
-address writes no target. Empty input writes no archive. Extra columns are
+address writes no target; bytes of an address that aren't printable ASCII are percent-encoded. Empty input writes no archive. Extra columns are
 ignored.
 """
 
@@ -38,8 +38,6 @@ from reactorlake.llm.linking import with_best
 
 ARCHIVE_BYTES = 32 << 20
 CHUNK = 1 << 20
-#: Longest header block that is searched for its end.
-HEADER_BYTES = 1 << 16
 MEMBER, VERSION = b"\x1f\x8b\x08", b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "path string, start long, stop long, reason string, record_type string, page_id long, uri string, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -62,7 +60,7 @@ def build_record(page_id: int | None, url: str | None, payload: bytes, refers_to
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
     if url is not None:
-        head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
+        head.append("WARC-Target-URI: " + re.sub(rb"[^\x21-\x7e]", lambda m: b"%%%02X" % m[0][0], url.encode()).decode())
     head.append(f"WARC-Payload-Digest: sha1:{sha1_32(payload)}")
     head.append(f"WARC-Block-Digest: sha1:{sha1_32(block)}")
     if revisit:
@@ -87,15 +85,21 @@ class Record:
 
 def parse_record(read, at: int) -> Record:
     """The record at ``at``; ``read(at, n)`` gives up to n bytes. Raises ``Damaged``."""
-    head = read(at, 4096)
-    while (end := head.find(b"\r\n\r\n")) < 0:
-        if len(head) >= HEADER_BYTES or len(more := read(at, min(2 * len(head), HEADER_BYTES))) <= len(head):
-            raise Damaged("no end of header")
-        head = more
-    first, *lines = head[:end].decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/1\.[01]", first):
+    head, seen = read(at, 4096), 0
+    if not re.match(rb"WARC/1\.[01]\r\n", head):
         raise Damaged("version line")
-    if not all(re.fullmatch(r"[!-9;-~]+:[^\x00-\x08\x0a-\x1f\ufffd]*|[ \t][^\x00-\x08\x0a-\x1f\ufffd]*", x) for x in lines):
+    # up to the end of the member or file, but no further than a byte that no header holds
+    while (end := head.find(b"\r\n\r\n", max(seen - 3, 0))) < 0:
+        if re.search(rb"[\x00-\x08\x0b\x0c\x0e-\x1f]", head[seen:]):
+            raise Damaged("header line")
+        if len(more := read(at, 2 * len(head))) <= len(head):
+            raise Damaged("no end of header")
+        head, seen = more, len(head)
+    try:
+        _, *lines = head[:end].decode("utf-8").split("\r\n")
+    except UnicodeDecodeError as e:
+        raise Damaged("header line") from e
+    if not all(re.fullmatch(r"[!-9;-~]+:[^\x00-\x08\x0a-\x1f]*|[ \t][^\x00-\x08\x0a-\x1f]*", x) for x in lines):
         raise Damaged("header line")
     headers = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")):
@@ -270,4 +274,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(table(spark, sf_dir, "pages"), fresh_folder(spark, "warc"))
-    return read_archives(archives).filter("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = stage(read_archives(archives), "warc-read").filter("reason IS NULL")
+    written, read = archives.agg(F.sum("records")).first()[0] or 0, rows.count()
+    if read != written:
+        raise RuntimeError(f"{written} records were written, {read} can be read back")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

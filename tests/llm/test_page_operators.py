@@ -84,6 +84,18 @@ def test_archives_read_back_whole(archives):
     assert warc.write_archives(archives.sparkSession.createDataFrame([], "page_id long, url string, html string"), common.fresh_folder(archives.sparkSession, "warc-none")).count() == 0
 
 
+def test_pages_with_odd_and_long_addresses_are_read_back(spark, tmp_path, monkeypatch):
+    urls = ["http://a/\ufffd\ufffdx", "http://b/é", "data:text/html," + "x" * 100_000, "http://c/" + " " * 40_000, "http://d/"]
+    rows = [(i, u, f"<p>{i % 3}</p>") for i, u in enumerate(urls)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.op6_warc(spark, str(tmp_path)).collect()}
+    assert got == {0: ("revisit", 3), 1: ("revisit", 4), 2: ("response", None), 3: ("response", None), 4: ("response", None)}
+    read = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda paths: read(paths).filter("page_id != 2"))
+    with pytest.raises(RuntimeError, match="5 records were written, 4 can be read back"):
+        warc.op6_warc(spark, str(tmp_path))
+
+
 def records(n):
     return [gzip.compress(warc.build_record(i, f"http://a/{i}", b"payload %d " % i * 50, None, "2024-01-01T00:00:00Z")) for i in range(n)]
 

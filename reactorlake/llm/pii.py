@@ -2,8 +2,8 @@
 
 Base spans are found by patterns (email, ip, card, phone). Each found value is
 a protected entity. Words within ``REACH`` characters of it are its candidate
-terms. Over the whole corpus, with N documents, n_e and n_et the distinct
-contexts of an entity (with a term) and n_t the documents with the term,
+terms. Over the whole corpus, with N distinct texts, n_e and n_et the distinct
+contexts of an entity (with a term) and n_t the distinct texts with the term,
 
     PMI(e; t) = log2(n_et * N / (n_e * n_t)),  disclosure = PMI(e; t) / log2(N / n_e)
 
@@ -138,8 +138,9 @@ def disclosing(rows: DataFrame, near: DataFrame) -> DataFrame:
     """entity, term, disclosure of the terms that reach ``GENERALISE``."""
     pairs = near.select("entity", "term", "wording").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= MIN_CONTEXTS)
     entities = near.select("entity", "wording").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = rows.select(F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT_WORDS))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.count()
+    texts = rows.dropDuplicates(["key"])
+    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT_WORDS))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = rows.select("key").distinct().count()
     out = pairs.join(entities, "entity").join(words, "term")
     n = F.lit(float(max(total, 1)))
     pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_et"))))

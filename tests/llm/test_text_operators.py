@@ -231,6 +231,14 @@ def test_revealing_terms_are_found_and_taken_out(spark, nothing):
     assert pii.find(nothing).count() == 0 and pii.sanitise(nothing).count() == 0
 
 
+def test_copies_do_not_hide_revealing_terms(spark):
+    texts = [f"Zorblax{' and' * (i + 1)} more from zorb@mail.example" for i in range(3)]
+    texts = [t for t in texts for _ in range(30)] + [f"note {i} with other and more words from nobody" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: [texts[r.id][s.start : s.stop] for s in r.term] for r in pii.find(docs).collect()}
+    assert all("Zorblax" in found[i] for i in range(90)) and not any(found[i] for i in range(90, 190))
+
+
 # --- quality -----------------------------------------------------------------
 
 

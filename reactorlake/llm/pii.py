@@ -1,19 +1,19 @@
 """Personal data: base patterns, and information-theoretic sanitisation of what reveals them.
 
 Base spans are found by patterns (email, ip, card, phone). Each found value is
-a protected entity. Words within ``REACH`` characters of it are its candidate
-terms. Over the whole corpus, with N distinct texts, n_e and n_et the distinct
-contexts of an entity (with a term) and n_t the distinct texts with the term,
+a protected entity; all words of the texts that hold it are its candidate
+terms. With N distinct texts, n_e of them holding the entity, n_t the term and n_et both,
 
-    PMI(e; t) = log2(n_et * N / (n_e * n_t)),  disclosure = PMI(e; t) / log2(N / n_e)
+    PMI(e; t) = log2(n_et * N / (n_e * n_t)),  disclosure = PMI(e; t) / log2(N / n_et)
 
-is the share of the entity's information that the term gives away. Terms seen in at
-least ``MIN_CONTEXTS`` distinct contexts of an entity whose disclosure
-reaches ``GENERALISE`` are generalised near it, from ``REMOVE`` on removed. Contexts are
-counted once per wording, so copies of a document are no evidence.
+is 1 for a term that stands in exactly the entity's texts, and less the fewer of
+them have it or the more others do, so that neither a chance word of one text of a frequent entity
+nor a common word reaches it, while rare entities count like others. Terms whose disclosure
+reaches ``GENERALISE`` are generalised wherever they stand in the entity's texts, from
+``REMOVE`` on removed. Copies of a text are no evidence.
 
-DataFrame functions only. Word counts combine before the shuffle; only contexts
-of found values are carried, never whole texts.
+DataFrame functions only. Word counts combine before the shuffle; terms too common to
+reach ``GENERALISE`` for any entity are left out before they are paired with entities, which loses none.
 
 Defined cases: null text is empty and has no spans. Null ids and rows that
 repeat an id are judged each by their own text. Empty input gives an empty
@@ -39,8 +39,6 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "term")
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-REACH = 80
-MIN_CONTEXTS = 3
 GENERALISE, REMOVE = 0.75, 0.95
 #: Matches whose places are summed in one go; the rest of long lists is handled block by block.
 BLOCK = 256
@@ -105,59 +103,53 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _found(rows: DataFrame) -> DataFrame:
-    """id, key, the base spans per kind and the contexts of their values."""
+    """id, key, the base spans per kind, the distinct values (entities) and, where there are any, the text."""
     spans = rows.withColumns(base_spans(F.col("text")))
 
-    def context(kind: str) -> Column:
-        def make(s: Column) -> Column:
-            low = F.greatest(s["start"] - REACH, F.lit(0))
-            before = F.substring("text", low + 1, s["start"] - low)
-            after = F.substring("text", s["stop"] + 1, F.lit(REACH))
-            return F.struct(_entity(kind, s["value"]).alias("entity"), low.alias("low"), before.alias("before"), s["stop"].alias("stop"), after.alias("after"))
-
-        return F.transform(F.col(kind), make)
-
-    return spans.select("id", "key", *PATTERNS, F.concat(*[context(k) for k in PATTERNS]).alias("contexts"))
-
-
-def _near_terms(found: DataFrame) -> DataFrame:
-    """id, key, entity, wording (of the context), term, start, stop: whole words beside a value."""
-    c = found.select("id", "key", F.explode("contexts").alias("c")).select("id", "key", "c.*")
-    # words cut by the window's edge are not whole: leave them out
-    before = F.when(F.col("low") > 0, F.regexp_replace("before", rf"^{A_WORD}", "")).otherwise(F.col("before"))
-    cut = F.length("before") - F.length(before)
-    after = F.when(F.length("after") == REACH, F.regexp_replace("after", rf"{A_WORD}$", "")).otherwise(F.col("after"))
-    side = F.array(F.struct(before.alias("part"), (F.col("low") + cut).alias("base")), F.struct(after.alias("part"), F.col("stop").alias("base")))
-    c = c.withColumn("wording", F.xxhash64(before, after)).withColumn("side", F.explode(side)).select("id", "key", "entity", "wording", "side.*")
-    w = c.withColumn("w", F.explode(_located(F.col("part"), A_WORD)))
-    w = w.select("id", "key", "entity", "wording", F.lower("w.value").alias("term"), (F.col("base") + F.col("w.start")).alias("start"), (F.col("base") + F.col("w.stop")).alias("stop"))
-    return w.filter(F.length("term") >= 3)
-
-
-def disclosing(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, disclosure of the terms that reach ``GENERALISE``."""
-    pairs = near.select("entity", "term", "wording").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= MIN_CONTEXTS)
-    entities = near.select("entity", "wording").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    texts = rows.dropDuplicates(["key"])
-    words = texts.select(F.explode(F.array_distinct(F.split(F.lower("text"), SPLIT_WORDS))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.select("key").distinct().count()
-    out = pairs.join(entities, "entity").join(words, "term")
-    n = F.lit(float(max(total, 1)))
-    pmi = F.log2(F.col("n_et") * n / (F.col("n_e") * F.greatest(F.col("n_t"), F.col("n_et"))))
-    return out.withColumn("disclosure", pmi / F.greatest(F.log2(n / F.col("n_e")), F.lit(1e-9))).filter(F.col("disclosure") >= GENERALISE).select("entity", "term", "disclosure")
+    def values(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: _entity(kind, s["value"]))
+
+    spans = spans.withColumn("entities", F.array_distinct(F.concat(*[values(k) for k in PATTERNS])))
+    return spans.select("id", "key", *PATTERNS, "entities", F.when(F.size("entities") > 0, F.col("text")).alias("text"))
+
+
+def _terms(text: str) -> Column:
+    words = F.transform(F.split(text, SPLIT_WORDS), lambda w: F.lower(w))
+    return F.explode(F.filter(F.array_distinct(words), lambda w: w != "")).alias("term")
+
+
+def _disclosure(n_et: Column, n_e: Column, n_t: Column, n: Column) -> Column:
+    return F.log2(n_et * n / (n_e * n_t)) / F.greatest(F.log2(n / n_et), F.lit(1e-9))
+
+
+def disclosing(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """key, term, disclosure of the terms that reach ``GENERALISE`` for a value of their text."""
+    total = max(rows.select("key").distinct().count(), 1)
+    n = F.lit(float(total))
+    values = held.select("key", F.explode("entities").alias("entity"))
+    entities = stage(values.groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
+    most = entities.agg(F.max("n_e")).first()[0] or 0
+    # with n_et = min(n_e, n_t), the most that a term can disclose
+    bound = _disclosure(F.least("n_e", "n_t"), F.col("n_e"), F.col("n_t"), n) >= GENERALISE - 1e-9
+    rarest = total ** (1 - GENERALISE) * most**GENERALISE  # the bound, solved for n_t at the largest n_e
+    words = rows.dropDuplicates(["key"]).select(_terms("text")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= rarest * (1 + 1e-9))
+    terms = held.select("key", _terms("text")).join(words, "term")
+    pairs = stage(terms.join(values.join(entities, "entity"), "key").filter(bound), "pii-pairs")
+    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    told = counted.withColumn("disclosure", _disclosure(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)).filter(F.col("disclosure") >= GENERALISE)
+    return pairs.select("key", "entity", "term").join(told.select("entity", "term", "disclosure"), ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, key (of its text), email, ip, card, phone (span arrays), term (spans with ``action``)."""
     rows = _rows(docs, id_col, text_col)
     found = stage(_found(rows), "pii-found")
-    near = stage(_near_terms(found), "pii-near")
-    told = disclosing(rows, near)
+    held = found.filter("text IS NOT NULL").select("key", "entities", "text").dropDuplicates(["key"])
     action = F.when(F.col("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    hits = near.join(told, ["entity", "term"]).select("id", "key", "start", "stop", action.alias("action")).groupBy("id", "key", "start", "stop").agg(F.max("action").alias("action"))
-    terms = hits.groupBy("id", "key").agg(F.sort_array(F.collect_list(F.struct("start", "stop", "action"))).alias("term"))
-    terms = terms.select(F.col("id").alias("t_id"), F.col("key").alias("t_key"), "term")
-    out = found.drop("contexts").join(terms, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("key") == F.col("t_key")), "left").drop("t_id", "t_key")
+    told = disclosing(rows, held).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("term"), action.alias("action")))).alias("told"))
+    words = F.transform(_located(F.col("text"), A_WORD), lambda w: F.struct(w["start"].alias("start"), w["stop"].alias("stop"), F.try_element_at("told", F.lower(w["value"])).alias("action")))
+    terms = held.join(told, "key").select(F.col("key").alias("t_key"), F.filter(words, lambda w: w["action"].isNotNull()).alias("term"))
+    out = found.drop("entities", "text").join(terms, F.col("key") == F.col("t_key"), "left").drop("t_key")
     none = F.array().cast("array<struct<start:int,stop:int,action:string>>")
     # a term that a base span covers is taken out with it
     spans = F.concat(*PATTERNS)

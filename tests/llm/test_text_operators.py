@@ -239,6 +239,16 @@ def test_copies_do_not_hide_revealing_terms(spark):
     assert all("Zorblax" in found[i] for i in range(90)) and not any(found[i] for i in range(90, 190))
 
 
+def test_terms_are_found_anywhere_and_for_rare_values(spark):
+    gap = " ".join(f"common{i}" for i in range(60))
+    texts = [f"Zorblax {gap} from zorb@mail.example {gap} Li" for _ in range(1)] + [f"Qo {i % 2} {gap} call +49 30 1234567" for i in range(2)]
+    texts += [f"{gap} note {i % 2}" + " x" * i for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: [texts[r.id][s.start : s.stop] for s in r.term] for r in pii.find(docs).collect()}
+    assert {"Zorblax", "Li"} <= set(found[0]) and not any(t.startswith("common") for t in found[0])
+    assert "Qo" in found[1] and "Qo" in found[2] and not any(found[i] for i in range(3, 103))
+
+
 # --- quality -----------------------------------------------------------------
 
 

@@ -2,15 +2,18 @@
 
 Texts with equal shingle sets are one class beforehand (``set_classes``), so
 copies never meet pairwise. ``link_classes`` then takes posting rows
-(key, id, n, pos, kind) and works in two rounds:
+(key, id, n, u, pos, kind) and works in two rounds:
 
-1. every row of a key is compared with the key's pivot (the row of smallest
-   position), one pair per row; verified links give first components;
-2. only keys that still span several components give further pairs, and only
-   between rows outside the pivot's component and rows of other components.
+1. every row of a key is compared with the key's pivot (the row with the fewest
+   tokens of its own, so that the many keys of one family have one pivot), one pair per row;
+   verified links give first components;
+2. rows meet again by pivot, once per (pivot, row) however many keys they share. Only rows outside the
+   pivot's component are compared with rows of other components, and only those pairs are made
+   that size, own tokens and a 2,048-bit sketch of both sets allow.
 
 Pairs within one component need no check, so nothing is lost: every pair that
-shares a key is either verified or already connected. ``components`` finds
+shares a key shares its pivot, and is either verified, ruled out by a bound that all
+linked pairs meet, or already connected. ``components`` finds
 connected components by alternating large and small stars; each round is
 written to the shared folder.
 """
@@ -31,6 +34,8 @@ from reactorlake.llm.shingles import shingle_sets
 SALTS = 32
 #: Bits of a set's parity sketch, in longs.
 SKETCH = [f"s{i}" for i in range(4)]
+#: The same for the second round, where a set is sent once per pivot instead of once per key.
+WIDE = [f"w{i}" for i in range(32)]
 #: Kinds of keys: no position filter, the first shared token, a pair of neighbours.
 PLAIN, SINGLE, PAIR = 0, 1, 2
 
@@ -44,9 +49,9 @@ def with_best(df: DataFrame, key: str, id_col: str, out: str, best: Callable[[st
     return salted.join(few.select(key, out, each.alias("__salt")), [key, "__salt"]).drop("__salt", "__mask")
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
+def sketch(shingles: np.ndarray, longs: int = len(SKETCH)) -> np.ndarray:
     """Parities of the set's hashes in 64 bits a long: two sketches differ in at most as many bits as the sets in tokens."""
-    parity = np.bincount((shingles & np.uint64(64 * len(SKETCH) - 1)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
+    parity = np.bincount((shingles & np.uint64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
@@ -55,15 +60,15 @@ def digest(shingles: np.ndarray) -> str:
 
 
 def set_rows(base: DataFrame, width: int) -> DataFrame:
-    """One row per document of ``base`` (id, text): id, n (size of its shingle set), sig (the set's digest)."""
+    """One row per document of ``base`` (id, text): id, n (size of its shingle set), sig (the set's digest), wide (its sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) for s in sets], pa.string())], ["id", "n", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([digest(s) for s in sets], pa.string()), pa.array([sketch(s, len(WIDE)) for s in sets], pa.list_(pa.int64()))], ["id", "n", "sig", "wide"])
 
     kind = base.schema["id"].dataType.simpleString()
-    return stage(map_arrow(base, run, f"id {kind}, n int, sig string"), "link-sets")
+    return stage(map_arrow(base, run, f"id {kind}, n int, sig string, wide array<long>"), "link-sets")
 
 
 def set_classes(rows: DataFrame) -> DataFrame:
@@ -73,14 +78,14 @@ def set_classes(rows: DataFrame) -> DataFrame:
 
 
 def postings(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """key, id, n, pos, kind and sketch of the class representatives. ``rows``: id, n, sig,
+    """key, id, n, u, pos, kind and sketch of the class representatives. ``rows``: id, n, u, sig,
     singles, first (position of the first single), pairs, ahead (of the first pair), sketch."""
     reps = rows.filter("size(singles) + size(pairs) > 0").join(classes.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
     bits = [F.get("sketch", F.lit(i)).alias(c) for i, c in enumerate(SKETCH)]
 
     def kind(keys: str, ahead: str, code: int) -> DataFrame:
-        each = reps.select("id", "n", "sketch", F.col(ahead).alias("ahead"), F.posexplode(keys).alias("i", "key"))
-        return each.select("key", "id", "n", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(code).alias("kind"), *bits)
+        each = reps.select("id", "n", "u", "sketch", F.col(ahead).alias("ahead"), F.posexplode(keys).alias("i", "key"))
+        return each.select("key", "id", "n", "u", (F.col("i") + F.col("ahead")).alias("pos"), F.lit(code).alias("kind"), *bits)
 
     return kind("singles", "first", SINGLE).unionAll(kind("pairs", "ahead", PAIR))
 
@@ -139,30 +144,53 @@ def _may_link(x: Callable[[str], Column], y: Callable[[str], Column], percent: i
     return (x("kind") == PLAIN) | ((F.least(n, m) * 100 >= F.greatest(n, m) * percent) & place & (apart <= loss))
 
 
-def link_classes(keys: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _second_round(spokes: DataFrame, known: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows with one pivot and different components that may be linked.
+
+    ``spokes``: id and pivot; ``about``: id, n, u (tokens that no other document has), wide. Linked sets of n
+    and m tokens differ in at most (n + m) * c tokens, c = (100 - percent) / (100 + percent); own tokens
+    always differ, so u - c * n must not be positive in sum. That also tells, by the smallest one
+    of a pivot, which rows can have no partner at all.
+    """
+    share = (100 - percent) / (100 + percent)
+    of = known.select("id", "component")
+    named = spokes.join(of, "id", "left").join(of.select(F.col("id").alias("pivot"), F.col("component").alias("main")), "pivot", "left")
+    named = stage(named.select("id", "pivot", F.coalesce("component", "id").alias("component"), F.coalesce("main", "pivot").alias("main")), "link-named")
+    split = named.filter("component <> main").select("pivot").distinct()
+    facts = about.select("id", "n", "u", *[F.get("wide", F.lit(i)).alias(c) for i, c in enumerate(WIDE)])
+    rows = named.join(split, "pivot", "left_semi").join(facts, "id").withColumn("excess", F.col("u") - F.col("n") * share)
+    rows = stage(rows, "link-rows")
+    slack = 1e-6
+    fewest = rows.groupBy("pivot").agg(F.min("excess").alias("least"))
+    outside = rows.filter("component <> main").join(fewest, "pivot").filter(F.col("excess") + F.col("least") <= slack).drop("least")
+    needed = outside.groupBy("pivot").agg(F.min("excess").alias("least"))
+    others = rows.join(needed, "pivot").filter(F.col("excess") + F.col("least") <= slack)
+    cols = ["id", "n", "excess", "component", *WIDE]
+    other = others.select("pivot", *[F.col(c).alias(f"y_{c}") for c in cols], (F.col("component") == F.col("main")).alias("y_main"))
+    loss = F.floor((F.col("n") + F.col("y_n")) * share + slack)
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"y_{c}"))).cast("int") for c in WIDE[1:]), F.bit_count(F.col(WIDE[0]).bitwiseXOR(F.col(f"y_{WIDE[0]}"))).cast("int"))
+    sizes = F.least("n", "y_n") * 100 >= F.greatest("n", "y_n") * percent
+    meet = (F.col("component") != F.col("y_component")) & (F.col("y_main") | (F.col("id") < F.col("y_id"))) & (F.col("excess") + F.col("y_excess") <= slack) & sizes & (apart <= loss)
+    found = outside.join(other, "pivot").filter(meet)
+    return found.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
+
+
+def link_classes(keys: DataFrame, about: DataFrame, sets_for: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """Components (id, component) of the documents whose shingle sets are alike,
-    among the pairs that share a key. ``keys``: key, id, n, pos, kind and the
-    sketch (only the first two and the kind count for ``PLAIN`` keys); ``sets_for`` gives (id, grams) of a frame of ids."""
+    among the pairs that share a key. ``keys``: key, id, n, u, pos, kind and the
+    sketch (only key, id and kind count for ``PLAIN`` keys); ``about``: id, n, u and the wide sketch of every
+    id; ``sets_for`` gives (id, grams) of a frame of ids."""
     shared = keys.select("key").groupBy("key").count().filter("count > 1").select("key")
     live = stage(keys.join(shared, "key", "left_semi"), "link-live")
-    order = F.shiftleft(F.col("pos").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("id"), 24)
-    about = ["id", "n", "pos", *SKETCH]
+    order = F.shiftleft(F.col("u").cast("long"), 40) + F.shiftrightunsigned(F.xxhash64("id"), 24)
     # one row per key, written first: the joins below then stand directly on their shuffles, and Spark can split a frequent key
-    pivots = stage(live.groupBy("key").agg(*[F.min_by(c, order).alias(f"y_{c}") for c in about]), "link-pivots")
+    pivots = stage(live.groupBy("key").agg(*[F.min_by(c, order).alias(f"y_{c}") for c in ("id", "n", "pos", *SKETCH)]), "link-pivots")
     x, y = F.col, lambda c: F.col(f"y_{c}")
-    starred = live.join(pivots, "key").filter((F.col("id") != F.col("y_id")) & _may_link(x, y, percent))
-    first = stage(starred.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct(), "link-pairs")
+    starred = live.join(pivots, "key").filter(F.col("id") != F.col("y_id"))
+    spokes = stage(starred.groupBy("id", F.col("y_id").alias("pivot")).agg(F.max(F.coalesce(_may_link(x, y, percent), F.lit(False))).alias("may")), "link-spokes")
+    first = stage(spokes.filter("may").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "link-pairs")
     sets = lambda pairs: sets_for(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
     links = stage(verify(first, stage(sets(first), "link-grams"), percent), "link-found")
-
-    known = components(links)
-    named = live.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    named = stage(named, "link-named")
-    spans = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", order).alias("main")).filter("low <> high").select("key", "main")
-    mixed = stage(named.join(stage(spans, "link-spans"), "key"), "link-mixed")
-    other = mixed.select("key", *[F.col(c).alias(f"y_{c}") for c in (*about, "component")], (F.col("component") == F.col("main")).alias("y_main"))
-    outside = mixed.filter("component <> main").drop("main")
-    rest = outside.join(other, "key").filter((F.col("component") != F.col("y_component")) & (F.col("y_main") | (F.col("id") < F.col("y_id"))) & _may_link(x, y, percent))
-    pairs = rest.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).distinct()
+    pairs = _second_round(spokes.select("id", "pivot"), components(links), about, percent)
     second = stage(stage(pairs, "link-pairs").join(first, ["a", "b"], "left_anti"), "link-pairs")
     return components(links.union(verify(second, stage(sets(second), "link-grams"), percent)))

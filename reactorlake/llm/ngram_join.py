@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.llm.common import ship, stage, table, text_of
-from reactorlake.llm.linking import digest, link_classes, postings, set_classes, sketch
+from reactorlake.llm.linking import WIDE, digest, link_classes, postings, set_classes, sketch
 from reactorlake.llm.runs import ANSWERS, KEY_BITS, RUNS, answers, batches_of, copies_of, key_runs, layout, marked, scan_runs, with_copies
 from reactorlake.llm.shingles import scramble, shingle_sets
 
@@ -69,9 +69,12 @@ def _sets(row, width: int) -> list[np.ndarray]:
 
 
 def index_keys(grams: np.ndarray, classes: np.ndarray, percent: int, frequent: int) -> tuple[np.ndarray, int, np.ndarray, int]:
-    """The keys of one set: rare shared tokens with the position of the first, pairs of frequent ones likewise."""
+    """The keys of one set: rare shared tokens with the position of the first, pairs of frequent ones likewise.
+    A set with more unique tokens than any partner may miss has no keys."""
     n = len(grams)
     lost = n * (100 - percent) // percent
+    if np.count_nonzero(classes == 0) > lost:
+        return grams[:0], 0, grams[:0], 0
     if lost == 0:  # only equal sets can be linked: the set itself is the key
         return scramble(grams.sum(keepdims=True) + np.uint64(n)) if n else grams, 0, grams[:0], 0
     order = np.lexsort((grams, classes))[: 2 * lost + 2]
@@ -84,7 +87,7 @@ def index_keys(grams: np.ndarray, classes: np.ndarray, percent: int, frequent: i
 
 def indexed_sets(base: DataFrame, width: int, percent: int, frequent: int) -> DataFrame:
     """One row per document of ``base`` (id, text): id, n, sig (the set's digest), the keys
-    (``index_keys``; none for copies) and, where there are keys, the set itself (grams)."""
+    (``index_keys``; none for copies) and, where there are keys, u (its unique tokens), its sketches and the set itself (grams)."""
     ship(base.sparkSession)
     batches = stage(batches_of(base, BATCH_BYTES, words_of), "ngram-batches", "none")
     ranges = max(1, math.ceil((batches.agg(F.sum("size")).first()[0] or 0) / RANGE_BYTES))
@@ -108,10 +111,11 @@ def indexed_sets(base: DataFrame, width: int, percent: int, frequent: int) -> Da
                 singles, first, pairs, ahead = index_keys(s if not copy[i] else s[:0], of if not copy[i] else of[:0], percent, frequent)
                 live = len(singles) + len(pairs) > 0
                 known = row.ids[i] is not None and row.ids[i] == row.ids[i]
-                out.append((int(row.ids[i]) if known else None, len(s), digest(s), singles.view(np.int64), first, pairs.view(np.int64), ahead, sketch(s) if live else None, s.view(np.int64) if live else None))
-        return pd.DataFrame(out, columns=["id", "n", "sig", "singles", "first", "pairs", "ahead", "sketch", "grams"]).astype({"id": "Int64"})
+                about = (sketch(s), sketch(s, len(WIDE)), s.view(np.int64)) if live else (None, None, None)
+                out.append((int(row.ids[i]) if known else None, len(s), int(np.count_nonzero(of == 0)), digest(s), singles.view(np.int64), first, pairs.view(np.int64), ahead, *about))
+        return pd.DataFrame(out, columns=["id", "n", "u", "sig", "singles", "first", "pairs", "ahead", "sketch", "wide", "grams"]).astype({"id": "Int64"})
 
-    schema = "id long, n int, sig string, singles array<long>, first int, pairs array<long>, ahead int, sketch array<long>, grams array<long>"
+    schema = "id long, n int, u int, sig string, singles array<long>, first int, pairs array<long>, ahead int, sketch array<long>, wide array<long>, grams array<long>"
     return stage(bare.groupBy("batch").cogroup(notes.groupBy("batch")).applyInPandas(index, schema), "ngram-sets")
 
 
@@ -120,8 +124,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width:
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     rows = indexed_sets(base, width, percent, frequent)
     sets = stage(set_classes(rows), "ngram-reps")
-    grams = rows.filter("grams IS NOT NULL AND id IS NOT NULL").select("id", "grams")
-    found = link_classes(postings(rows, sets), lambda ids: grams.join(ids, "id", "left_semi"), percent)
+    indexed = rows.filter("grams IS NOT NULL AND id IS NOT NULL")
+    about = indexed.select("id", "sig", "n", "u", "wide").join(sets.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
+    grams = indexed.select("id", "grams")
+    found = link_classes(postings(rows, sets), about, lambda ids: grams.join(ids, "id", "left_semi"), percent)
     out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 

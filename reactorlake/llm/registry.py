@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, suffix_dedup, url_filter, warc
+from reactorlake.llm import exact_dedup, line_dedup, minhash, mixing, ngram_join, packing, periodic, pii, quality, suffix_dedup, token_align, url_filter, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_token_align": token_align.op12_token_align,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 
 ORACLE = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_line_dedup": line_dedup.ORACLE,
 }

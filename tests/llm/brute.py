@@ -86,3 +86,56 @@ def repeats(rows, match=50):
 
 def sha1_32(data):
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+
+def line_key(line):
+    return low(line.strip(" \t\n\v\f\r"))
+
+
+def cut_lines(rows, least=40, documents=5):
+    """[(id, lines, dropped, rest)] of (id, text) rows, in their order; null ids are the smallest."""
+    held = collections.defaultdict(list)
+    order = lambda i: -(2**63) if i is None else i
+    for i, t in rows:
+        for k in {line_key(x) for x in (t or "").split("\n")}:
+            if len(k) >= least:
+                held[k].append(order(i))
+    out = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if len(held[line_key(x)]) < documents or max(held[line_key(x)]) == order(i)]
+        out.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def word_runs(words):
+    """[(start, length, period)] of all maximal runs, by trying every period at every place."""
+    n, out = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = q
+        while i < n:
+            j = i
+            while j < n and words[j] == words[j - q]:
+                j += 1
+            start, length = i - q, j - i + q
+            if length >= max(6, 4 * q) and not any(all(words[x] == words[x - p] for x in range(start + p, start + length)) for p in range(1, q)):
+                out.append((start, length, q))
+            i = max(j, i + 1)
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(words):
+    gone = {i for s, n, q in word_runs(words) for i in range(s + q, s + n)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+def aligned(a, b, bytes_a, bytes_b):
+    """[(A ids, B ids)] of each group, and the linked id pairs, from token ids and their bytes."""
+    ends = lambda ids, spelled: [sum(len(spelled[i]) for i in ids[: k + 1]) for k in range(len(ids))]
+    end_a, end_b = ends(a, bytes_a), ends(b, bytes_b)
+    groups, x, y = [], 0, 0
+    for e in sorted(set(end_a) & set(end_b)):
+        i, j = end_a.index(e) + 1, end_b.index(e) + 1
+        groups.append((a[x:i], b[y:j]))
+        x, y = i, j
+    return groups, [(p, q) for p, u in zip(a, end_a) for q, v in zip(b, end_b) if u == v]

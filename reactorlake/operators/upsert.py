@@ -1,7 +1,8 @@
 """Last-wins dedupe and upsert as DataFrame algebra.
 
 ``upsert`` is the pure relational form: target rows whose key is not in the
-batch, plus the whole batch. The partition-wise write around it lives in
+batch, plus the whole batch. ``merge_latest`` is what refreshes use: the landing order of
+stored and new rows decides. The partition-wise write around it lives in
 ``reactorlake.sources.tables``.
 """
 
@@ -22,7 +23,7 @@ MERGE_KEYS = {
 
 def _order_key(df: DataFrame, keys: Sequence[str], seq: str) -> Column:
     if seq in df.columns:
-        return F.col(seq)
+        return F.struct(F.col(seq))  # rows without an order come first instead of being passed over
     # No landing order: fall back to a deterministic pick among the values.
     return F.struct(*[F.col(c) for c in df.columns if c not in keys])
 
@@ -55,7 +56,15 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFram
     return kept.unionByName(batch)
 
 
+def merge_latest(target: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
+    """M1 in landing order: of the stored and the batch rows of a key the one that
+    landed last stays, whichever of them was read first. A batch that holds older records (a
+    run read late, or again) changes only keys that have nothing newer. Both sides have ``seq``; a stored
+    row without one is older than any other."""
+    return last_wins(target.unionByName(batch.select(*target.columns)), keys, seq, keep_seq=True)
+
+
 def dimension_from_batch(facility_batch: DataFrame, seq: str = "seq") -> DataFrame:
-    """One name per facility id, the most recently landed one."""
+    """One name per facility id, the most recently landed one (with its order, if the batch has one)."""
     cols = ["facility_id", "facility_name"] + ([seq] if seq in facility_batch.columns else [])
-    return last_wins(facility_batch.select(*cols), ["facility_id"], seq)
+    return last_wins(facility_batch.select(*cols), ["facility_id"], seq, keep_seq=True)

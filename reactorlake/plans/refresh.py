@@ -2,11 +2,12 @@
 
 ``refresh`` reads landed pages in parallel, validates and transforms them on
 the executors, dedupes each batch on its merge key (last landed wins), and
-writes the three base tables: facts month by month, the two small tables
-whole. Every landed file is recorded as applied or held; a run with a file that is not applied
-is read again, so nothing that lands late, out of order or behind a gap is lost. Snapshots are published before the watermarks move (D11), so a
-crash between the two only repeats work on the next run (upserts are
-idempotent).
+merges it into the three base tables in landing order: facts month by month, the two small tables
+whole. Every landed page is recorded as applied, held or broken; new files are judged together with what
+is recorded of their run, so nothing that lands late, out of order or behind a gap is
+lost, and no applied file is parsed again. Rejected records and failed conversions are stored, too. Snapshots
+are published before the watermarks move (D11) and pages are recorded last, so a
+crash only repeats work on the next run (merges are idempotent).
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.operators.clean import drop_name, transform_records
-from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, upsert
+from reactorlake.errors import ProcessingError
+from reactorlake.functions.dates import parse_date
+from reactorlake.operators.clean import REQUIRED, coercion_failures, drop_name, quarantine, transform_records
+from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, merge_latest
 from reactorlake.schemas import DATASETS, PAGE_SIZE
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import HELD, filter_period, kept_pages, landed_files, page_states, read_pages, records_from_pages
+from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, page_infos, page_states, pages_in, read_pages, records_from_pages
 from reactorlake.sources.tables import MONTH_COL, Warehouse, materialize, stage_scope, with_month
 
 FULL = "full"
@@ -35,12 +38,17 @@ MODE_LABEL = {FULL: "FULL (first run)", INCREMENTAL: "INCREMENTAL", RECOVERY: "I
 
 @dataclass(frozen=True)
 class Landing:
-    """Where the source pages of each dataset land."""
+    """Where the source pages of each dataset land.
+
+    A broken page is recorded and reported (``state.broken_files``), and its run goes on up to its
+    place; with ``strict`` the refresh raises instead and applies nothing.
+    """
 
     facility: str
     us: str
     multi_line: bool = False
     page_size: int = PAGE_SIZE
+    strict: bool = False
 
 
 def choose_mode(wh: Warehouse) -> str:
@@ -56,44 +64,105 @@ def choose_mode(wh: Warehouse) -> str:
 
 @dataclass(frozen=True)
 class Batch:
-    """What a refresh reads of one landing: transformed records, and the files it read."""
+    """What a refresh reads of one landing: transformed records, the pages' states, and what it rejects."""
 
     rows: DataFrame
-    files: DataFrame
+    pages: DataFrame
+    rejected: DataFrame
+
+
+#: File names that Spark's reader is given; of more new files, their whole landing is read and filtered.
+LISTED_FILES = 100_000
+
+
+def _pages_in(spark: SparkSession, path: str, files: DataFrame, multi_line: bool) -> DataFrame | None:
+    """The pages of some files (``run, file``); None without files."""
+    names = [r["file"] for r in files.select("file").distinct().limit(LISTED_FILES + 1).collect()]
+    if not names:
+        return None
+    if len(names) <= LISTED_FILES:
+        return read_pages(spark, path, names, multi_line)
+    return read_pages(spark, path, None, multi_line).join(files.select("file").distinct(), "file", "left_semi")
 
 
 def _read(spark: SparkSession, landing: Landing, path: str, public: str, wh: Warehouse, start: _dt.date | None, only_new: bool) -> Batch | None:
     """The landed records of one dataset; None if there is nothing (new) to read.
 
-    With ``only_new`` only runs that hold a file not yet applied are read, whole, so
-    that the stop rules see all their pages. A run that was read before keeps the
-    date bound of its first reading; a new one starts at ``start``.
+    With ``only_new`` only files that were never read, or were broken, are parsed.
     """
     files = landed_files(spark, path)
     if files is None:
         return None
-    known = S.load_progress(wh, DATASETS[public].storage) if only_new else None
-    if known is None:
-        todo = files.withColumn("start", F.lit(start).cast("date"))
+    known = None
+    if only_new:
+        known = S.load_progress(wh, DATASETS[public].storage)
+        todo = materialize(files.join(known.where(F.col("state") != BROKEN), ["run", "file"], "left_anti"), f"{public}-files")
+        raw = _pages_in(spark, path, todo, landing.multi_line)
+        if raw is None:
+            return None
     else:
-        fresh = files.join(known.where("applied"), ["run", "file"], "left_anti").select("run").distinct()
-        unbound = F.count(F.when(F.col("start").isNull(), 1)) > 0
-        first = known.groupBy("run").agg(F.when(~unbound, F.min("start")).alias("start")).withColumn("seen", F.lit(True))
-        bound = F.when(F.col("seen"), F.col("start")).otherwise(F.lit(start).cast("date"))
-        todo = files.join(fresh, "run", "left_semi").join(first, "run", "left").select("run", "file", bound.alias("start"))
-    todo = materialize(todo, f"{public}-files")
-    names = [r["file"] for r in todo.select("file").collect()]  # Spark's reader takes the list of files
-    if not names:
-        return None
+        todo, raw = files, read_pages(spark, path, None, landing.multi_line)
     # The JSON is parsed once into the shared checkpoint folder: the stop rules and
     # the records read the stage, and lost executors re-read it.
-    pages = materialize(read_pages(spark, path, names, landing.multi_line), f"{public}-pages")
-    states = page_states(pages, landing.page_size).groupBy("run", "file").agg(F.max(F.col("state") == HELD).alias("held"))
-    runs = todo.select("run", "start").distinct()
-    records = records_from_pages(kept_pages(pages, landing.page_size)).join(runs, "run", "left")
-    rows = transform_records(filter_period(records, F.col("start")), public)
-    done = todo.join(states, ["run", "file"], "left").select("run", "file", (~F.coalesce("held", F.lit(False))).alias("applied"), "start")
-    return Batch(materialize(rows, f"{public}-batch"), done)
+    return judge(spark, landing, path, public, materialize(raw, f"{public}-pages"), todo, known, start)
+
+
+def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages: DataFrame, listed: DataFrame, known: DataFrame | None, start: _dt.date | None) -> Batch:
+    """Apply the stop rules to new ``pages`` (staged) together with the ``known`` ones of their runs, and take the
+    records of those that are kept and were not before.
+
+    ``listed`` are the files read; one without any page is broken. A run that was read before
+    keeps the date bound of its first reading; a new one starts at ``start``.
+    """
+    infos = page_infos(pages)
+    nothing = listed.join(infos.select("file").distinct(), "file", "left_anti").select("run", "file", F.lit("no page in the file").alias("broken"))
+    infos = infos.unionByName(nothing, allowMissingColumns=True).withColumn("was", F.lit(None).cast("string"))
+    bound = F.lit(start).cast("date")
+    if known is not None:
+        runs = infos.select("run").distinct()
+        old = known.join(runs, "run", "left_semi")
+        unbound = F.count(F.when(F.col("start").isNull(), 1)) > 0
+        first = old.groupBy("run").agg(F.when(~unbound, F.min("start")).alias("first")).withColumn("seen", F.lit(True))
+        again = old.join(infos.select("run", "file").distinct(), ["run", "file"], "left_anti")
+        infos = infos.unionByName(again.select("run", "file", "offset", "broken", "total", "n", F.col("state").alias("was")))
+        infos = infos.join(first, "run", "left").withColumn("start", F.when(F.col("seen"), F.col("first")).otherwise(bound)).drop("first", "seen")
+    else:
+        infos = infos.withColumn("start", bound)
+    states = materialize(page_states(infos, landing.page_size), f"{public}-states")
+    bad = states.where(F.col("state") == BROKEN)
+    if landing.strict and not bad.isEmpty():
+        worst = bad.orderBy("file").first()
+        raise ProcessingError(f"{worst['file']} can't be read: {worst['broken']}")
+    kept = states.where((F.col("state") == KEPT) & ~F.col("was").eqNullSafe(KEPT))
+    if known is not None:  # pages read before that only now are kept: their gap is filled
+        late = _pages_in(spark, path, kept.where(F.col("was").isNotNull()), landing.multi_line)
+        if late is not None:
+            pages = materialize(pages.unionByName(late), f"{public}-late-pages")
+    records = records_from_pages(pages_in(pages, kept)).join(states.select("run", "start").distinct(), "run", "left")
+    records = materialize(records, f"{public}-records")
+    inside = filter_period(records, F.col("start"))
+    rows = materialize(transform_records(inside, public), f"{public}-batch")
+    touched = states.where(~F.col("was").eqNullSafe(F.col("state"))).select("run", "file").distinct()
+    return Batch(rows, states.join(touched, ["run", "file"], "left_semi"), rejected(records, public))
+
+
+def rejected(records: DataFrame, public: str) -> DataFrame:
+    """What a refresh does not store, and numbers it stores as NULL, with the reason."""
+    early = F.coalesce(parse_date("period") < F.col("start"), F.lit(False))
+    late, inside = records.where(early), records.where(~early)
+    missing = quarantine(inside, REQUIRED[public])
+
+    def listed(df: DataFrame, kind: str, reason, value) -> DataFrame:
+        place = [F.col(f"seq.{c}").alias(c) for c in ("file", "offset", "pos")]
+        return df.select(F.lit(kind).alias("kind"), reason.alias("reason"), "period", "facility", value.cast("string").alias("value"), "run", *place)
+
+    none = F.lit(None).cast("string")
+    numbers = coercion_failures(inside, REQUIRED[public])
+    return (
+        listed(late, "late", F.concat(F.lit("before "), F.col("start").cast("string")), none)
+        .unionByName(listed(missing, "missing", F.col("missing_fields"), none))
+        .unionByName(listed(numbers, "number", F.col("field"), F.col("text")))
+    )
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
@@ -119,9 +188,9 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
     if fac is not None:
         # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
         tables["plants"] = dimension_from_batch(fac.rows)
-        tables["facility"] = drop_name(last_wins(fac.rows, MERGE_KEYS["facility_outages"]))  # D9
+        tables["facility"] = drop_name(last_wins(fac.rows, MERGE_KEYS["facility_outages"], keep_seq=True))  # D9
     if us is not None:
-        tables["us"] = last_wins(us.rows, MERGE_KEYS["us_outages"])
+        tables["us"] = last_wins(us.rows, MERGE_KEYS["us_outages"], keep_seq=True)
     counts = {d.storage: 0 for d in DATASETS.values()}
     for name in DATASETS:
         storage = DATASETS[name].storage
@@ -136,10 +205,15 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
     if us is not None:
         marks["us_outages"] = _newest(wh.load_base("us"))
     S.save_state(wh, marks, replace=True)
+    _record(wh, fac, us)
+    return counts
+
+
+def _record(wh: Warehouse, fac: Batch | None, us: Batch | None) -> None:
     for batch, storage in ((fac, "facility_outages"), (us, "us_outages")):
         if batch is not None:
-            S.save_progress(wh, storage, batch.files)
-    return counts
+            S.save_rejected(wh, storage, batch.rejected)
+            S.save_progress(wh, storage, batch.pages)
 
 
 def _newest(df: DataFrame) -> _dt.date | None:
@@ -156,12 +230,12 @@ def _count_and_newest(df: DataFrame) -> tuple[int, _dt.date | None]:
 
 
 def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) -> tuple[int, int, _dt.date | None]:
-    """Upsert one transformed facility batch (with ``seq``) into the facts and
-    the dimension, then publish. An absent table is created from the batch (M1);
+    """Merge one transformed facility batch (with ``seq``) into the facts and
+    the dimension in landing order, then publish. An absent table is created from the batch (M1);
     only months present in the batch are rewritten, into new folders. An
     empty batch changes nothing and returns zero rows. Rows count after the
     last-wins dedupe, as in a full load."""
-    facts = materialize(drop_name(last_wins(fac, MERGE_KEYS["facility_outages"])), "facts-batch")
+    facts = materialize(drop_name(last_wins(fac, MERGE_KEYS["facility_outages"], keep_seq=True)), "facts-batch")
     n_rows, batch_max = _count_and_newest(facts)
     if n_rows == 0:
         return 0, 0, None
@@ -170,28 +244,26 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
         wh.overwrite_base("facility", facts)
     else:
         months = _months(facts)
-        current = wh.load_base("facility", months=months)  # only the touched months are read
-        wh.replace_months("facility", upsert(current, facts, MERGE_KEYS["facility_outages"]), months)
+        current = wh.load_base("facility", months=months, with_seq=True)  # only the touched months are read
+        wh.replace_months("facility", merge_latest(current, facts, MERGE_KEYS["facility_outages"]), months)
     if not wh.base_exists("plants"):
         wh.overwrite_base("plants", plants)
     else:
-        stored = wh.load_base("plants")
-        if not plants.exceptAll(stored).isEmpty():  # rewritten only when a name is new or changed
-            wh.overwrite_base("plants", upsert(stored, plants, MERGE_KEYS["plants"]))
+        wh.overwrite_base("plants", merge_latest(wh.load_base("plants", with_seq=True), plants, MERGE_KEYS["plants"]))
     wh.publish("facility")
     wh.publish("plants")
     return n_rows, plants.count(), batch_max
 
 
 def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[int, _dt.date | None]:
-    """Upsert one transformed national batch; the small table is rewritten whole.
+    """Merge one transformed national batch in landing order; the small table is rewritten whole.
     An empty batch changes nothing and returns zero rows."""
-    us = materialize(last_wins(us, MERGE_KEYS["us_outages"]), "us-upsert")
+    us = materialize(last_wins(us, MERGE_KEYS["us_outages"], keep_seq=True), "us-upsert")
     n_rows, batch_max = _count_and_newest(us)
     if n_rows == 0:
         return 0, None
     if wh.base_exists("us_outages"):
-        wh.overwrite_base("us", upsert(wh.load_base("us"), us, MERGE_KEYS["us_outages"]))
+        wh.overwrite_base("us", merge_latest(wh.load_base("us", with_seq=True), us, MERGE_KEYS["us_outages"]))
     else:
         wh.overwrite_base("us", us)
     wh.publish("us")
@@ -202,8 +274,8 @@ def incremental_refresh(
     spark: SparkSession, landing: Landing, wh: Warehouse, lookback_days: int = 0
 ) -> dict[str, int]:
     """R2 (+R5): read what has landed since, from each watermark on (inclusive, minus
-    ``lookback_days``), upsert each non-empty batch, publish, advance watermarks,
-    and record the files last, so a crash repeats work and loses nothing."""
+    ``lookback_days``), merge each non-empty batch, publish, advance watermarks,
+    and record the pages last, so a crash repeats work and loses nothing."""
     st = S.load_state(wh)
 
     def start(name: str) -> _dt.date | None:
@@ -223,9 +295,7 @@ def incremental_refresh(
         if counts["us_outages"]:
             marks["us_outages"] = newest
     S.save_state(wh, marks)  # D11: state after publish; plants' watermark untouched (A2)
-    for batch, storage in ((fac, "facility_outages"), (us, "us_outages")):
-        if batch is not None:
-            S.save_progress(wh, storage, batch.files)
+    _record(wh, fac, us)
     return counts
 
 

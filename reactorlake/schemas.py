@@ -58,6 +58,18 @@ STATE_SCHEMA = T.StructType(
     ]
 )
 
+# Landing order of a stored row: which landed record it comes from. Base tables
+# keep it beside the public columns, so that older records never replace newer ones.
+SEQ_SCHEMA = T.StructType(
+    [
+        T.StructField("run", T.StringType()),
+        T.StructField("at", T.LongType()),
+        T.StructField("offset", T.LongType()),
+        T.StructField("file", T.StringType()),
+        T.StructField("pos", T.IntegerType()),
+    ]
+)
+
 # ---------------------------------------------------------------------------
 # Raw source records (every field read as text, then coerced)
 # ---------------------------------------------------------------------------
@@ -90,6 +102,10 @@ PAGE_SCHEMA = T.StructType(
     ]
 )
 
+# What Spark's reader puts a page into that it can't parse.
+CORRUPT = "_corrupt_record"
+LANDED_SCHEMA = T.StructType([*PAGE_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+
 # Fixed values that must equal the source's field lists and names.
 PAGE_SIZE = 5000
 REQUIRED_FIELDS_FACILITY = [

@@ -11,8 +11,10 @@ are the run ``.``. Runs are ordered by name with numbers compared as numbers
 Reading keeps the source's stop rules, evaluated per run as joins rather than
 a driver loop: pages are read in offset order until the first missing or empty
 page, and nothing at or past ``total``. Pages behind a *missing* page are held, not
-dropped: ``page_states`` names them, and a refresh reads their run again.
-Records keep a ``seq`` = (run order, page offset, file, position) so later duplicates win.
+dropped, and what can't be read as a page is broken: ``page_states`` names both, and a refresh reads
+them again. Records keep a ``seq`` = (run order, landing time, page offset, file, position) so
+later duplicates win. Inside a run folder pages are ordered by offset; files directly in the root are fetches
+of their own, ordered by the time they landed.
 """
 
 from __future__ import annotations
@@ -25,10 +27,10 @@ from pyspark.sql import functions as F
 from reactorlake.functions.dates import parse_date
 from reactorlake.functions.numbers import array_or_empty, text_to_long
 from reactorlake.operators.numbering import number_pages
-from reactorlake.schemas import PAGE_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
+from reactorlake.schemas import CORRUPT, LANDED_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources.tables import _fs_path, materialize
 
-KEPT, HELD, IGNORED = "kept", "held", "ignored"
+KEPT, HELD, IGNORED, BROKEN = "kept", "held", "ignored", "broken"
 ROOT_RUN = "."
 
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
@@ -66,14 +68,15 @@ def landed_files(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_pages(spark: SparkSession, path: str, files: list[str] | None = None, multi_line: bool = False) -> DataFrame:
-    """S1 scan: one row per landed page (``run, file, offset, total, data``) of a
-    landing, or of some of its files.
+    """S1 scan: one row per landed page (``run, file, at, offset, total, data, broken``) of a
+    landing, or of some of its files. What isn't a page is a row whose ``broken`` says why.
 
     JSON-lines landings are split across tasks; ``multi_line=True`` reads one
     pretty-printed page per file (one task per file).
     """
     raw = (
-        spark.read.schema(PAGE_SCHEMA)
+        spark.read.schema(LANDED_SCHEMA)
+        .option("columnNameOfCorruptRecord", CORRUPT)
         .option("multiLine", multi_line)
         .option("recursiveFileLookup", True)  # run folders are not key=value partitions
         .json(path if files is None else files)
@@ -82,17 +85,26 @@ def read_pages(spark: SparkSession, path: str, files: list[str] | None = None, m
 
 
 def pages_of(raw: DataFrame, root: str) -> DataFrame:
-    """Page envelopes (batch or stream) as ``run, file, offset, total, data``."""
-    named = raw.select("*", _file_name(F.col("_metadata.file_path")).alias("file"))
+    """Page envelopes (batch or stream) as ``run, file, at, offset, total, data, broken``."""
+    named = raw.select("*", _file_name(F.col("_metadata.file_path")).alias("file"), F.unix_micros("_metadata.file_modification_time").alias("at"))
+    run = run_of(F.col("file"), root)
+    why = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("not a page: "), F.substring(CORRUPT, 1, 200))).when(F.col("response").isNull(), F.lit("no response"))
     return named.select(
-        run_of(F.col("file"), root).alias("run"),
+        run.alias("run"),
         "file",
-        F.col("offset"),
+        F.when(run == ROOT_RUN, F.col("at")).otherwise(F.lit(0).cast("bigint")).alias("at"),
+        F.when(why.isNull(), F.col("offset")).alias("offset"),
         text_to_long(F.col("response.total")).alias("total"),
-        array_or_empty(F.col("response.data")).alias("data"),
+        F.when(why.isNull(), array_or_empty(F.col("response.data"))).otherwise(F.array().cast(LANDED_SCHEMA["response"].dataType["data"].dataType)).alias("data"),
+        why.alias("broken"),
     )
 
 
+def page_infos(pages: DataFrame) -> DataFrame:
+    """What the stop rules need of each page: ``run, file, offset, total, n, broken``."""
+    return pages.groupBy("run", "file", "offset", "broken").agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
+
+
 def page_plan(spark: SparkSession, total: int, page_size: int = PAGE_SIZE) -> DataFrame:
     """One row per page to fetch (``page_no, offset, length``) of a source of
     ``total`` records. The page count is ceil(total / page_size); a total of 0
@@ -106,41 +118,53 @@ def page_plan(spark: SparkSession, total: int, page_size: int = PAGE_SIZE) -> Da
 
 
 def page_states(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
-    """``run, file, offset, state`` of every page: the source's stop rules per run.
+    """``run, file, offset, broken, state`` of every page: the source's stop rules per run.
 
     ``kept``: before the first missing and the first empty page, and before
     ``total`` (the first page always). ``held``: behind a missing page, which may still
-    land. ``ignored``: behind an empty page or past the total. Pages
-    without an ``offset`` are plain landed files and are kept.
+    land. ``ignored``: behind an empty page or past the total. ``broken``: no page at all; its place counts
+    as missing. Pages without an ``offset`` are plain landed files and are kept.
+    ``pages`` are pages or their ``page_infos``.
     """
-    paged = pages.where(F.col("offset").isNotNull())
-    info = paged.groupBy("run", "offset").agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
+    infos = pages if "n" in pages.columns else page_infos(pages)
+    paged = infos.where(F.col("offset").isNotNull() & F.col("broken").isNull())
+    info = paged.groupBy("run", "offset").agg(F.max("total").alias("total"), F.max("n").alias("n"))
     ends = info.groupBy("run").agg(F.min_by("total", "offset").alias("total"), F.min(F.when(F.col("n") == 0, F.col("offset"))).alias("empty"))
     ends = ends.withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), F.lit(1)).cast("bigint"))
     # a page is missing where neither it nor its successor's place is landed: compare each page with the one before
     due = ends.select("run", F.lit(0).cast("bigint").alias("offset")).unionByName(info.select("run", (F.col("offset") + page_size).alias("offset")))
     missing = due.join(info.select("run", "offset"), ["run", "offset"], "left_anti").groupBy("run").agg(F.min("offset").alias("missing"))
-    ends = ends.join(missing, "run", "left")
-    stop = F.least(F.col("empty"), F.col("missing"), F.col("total"))
-    gap = F.coalesce(F.col("missing") < F.least(F.col("empty"), F.col("total")), F.lit(False))
-    state = F.when(F.col("offset").isNull() | (F.col("offset") < stop), KEPT).when(gap & (F.col("offset") < F.col("total")), HELD).otherwise(IGNORED)
-    return pages.select("run", "file", "offset").distinct().join(ends, "run", "left").select("run", "file", "offset", state.alias("state"))
+    ends = ends.join(missing, "run", "left").withColumnsRenamed({"total": "run_total"})
+    stop = F.least(F.col("empty"), F.col("missing"), F.col("run_total"))
+    gap = F.coalesce(F.col("missing") < F.least(F.col("empty"), F.col("run_total")), F.lit(False))
+    state = (
+        F.when(F.col("broken").isNotNull(), BROKEN)
+        .when(F.col("offset").isNull() | (F.col("offset") < stop), KEPT)
+        .when(gap & (F.col("offset") < F.col("run_total")), HELD)
+        .otherwise(IGNORED)
+    )
+    return infos.join(ends, "run", "left").select(*infos.columns, state.alias("state"))
 
 
 def kept_pages(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
     """The pages that the stop rules keep. ``pages`` is read twice: stage it."""
-    kept = page_states(pages, page_size).where(F.col("state") == KEPT).select("run", "file", F.col("offset").alias("_offset"))
-    on = (pages["run"] == kept["run"]) & (pages["file"] == kept["file"]) & pages["offset"].eqNullSafe(kept["_offset"])
-    return pages.join(kept, on, "left_semi")
+    return pages_in(pages, page_states(pages, page_size).where(F.col("state") == KEPT))
+
+
+def pages_in(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The pages that are no broken ones and whose (run, file, offset) is in ``chosen``."""
+    some = chosen.select("run", "file", F.col("offset").alias("_offset"))
+    on = (pages["run"] == some["run"]) & (pages["file"] == some["file"]) & pages["offset"].eqNullSafe(some["_offset"])
+    return pages.where(F.col("broken").isNull()).join(some, on, "left_semi")
 
 
 def records_from_pages(pages: DataFrame) -> DataFrame:
     """Every record of every kept page (no dedupe), with ``seq`` and its ``run``."""
-    exploded = pages.select("run", "file", "offset", F.posexplode(F.col("data")).alias("pos", "rec"))
+    exploded = pages.select("run", "file", "at", "offset", F.posexplode(F.col("data")).alias("pos", "rec"))
     return exploded.select(
         *[F.col(f"rec.{f}").alias(f) for f in RECORD_FIELDS],
         F.struct(
-            run_order(F.col("run")).alias("run"), F.coalesce(F.col("offset"), F.lit(0).cast("bigint")).alias("offset"), F.col("file"), F.col("pos")
+            run_order(F.col("run")).alias("run"), F.col("at"), F.coalesce(F.col("offset"), F.lit(0).cast("bigint")).alias("offset"), F.col("file"), F.col("pos")
         ).alias("seq"),
         "run",
     )

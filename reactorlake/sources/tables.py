@@ -6,7 +6,9 @@ under the session's ``spark.checkpoint.dir``)::
     data/<table>/<write>/[ym=YYYY-MM/]     files of one write, never changed afterwards
     base/<table>/manifest-<n>.json         what the base table is made of
     published/<table>/manifest-<n>.json    what readers see
-    state/, progress/                      watermarks and applied landing files
+    state/manifest-<n>.json                watermarks
+    progress/<table>/manifest-<n>.json     folders that hold the states of landed pages
+    rejected/<table>/manifest-<n>.json     folders that hold what refreshes rejected or could not convert
 
 A manifest lists, per month (one entry for tables without months), the folder
 that holds it and its rows. A write puts its files into a new folder and then switches the
@@ -24,17 +26,21 @@ import datetime as _dt
 import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reactorlake.errors import DataNotFoundError, ProcessingError
-from reactorlake.schemas import DATASETS, Dataset, resolve
+from reactorlake.schemas import DATASETS, SEQ_SCHEMA, Dataset, resolve
 
 MONTH_COL = "ym"
+SEQ_COL = "seq"
 #: The single part of a table without months.
 WHOLE = "all"
+#: Folders of a log from which on they are written together as one.
+LOG_FOLDERS = 8
 
 
 # ---------------------------------------------------------------------------
@@ -153,7 +159,7 @@ def drop_old_manifests(spark: SparkSession, path: str, keep: int = 2) -> set[str
     used: set[str] = set()
     numbers = _numbers(spark, path)
     for n in numbers[-keep:]:
-        used |= {part["folder"] for part in (read_manifest(spark, path, n) or {}).values()}
+        used |= {part["folder"] for part in (read_manifest(spark, path, n) or {}).values() if "folder" in part}
     for n in numbers[:-keep]:
         fs, p = _fs_path(spark, f"{path}/manifest-{n:06d}.json")
         fs.delete(p, False)
@@ -170,13 +176,14 @@ def with_month(df: DataFrame) -> DataFrame:
 
 
 def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Dataset) -> dict[str, dict]:
-    """Write ``df`` into a new folder and return its manifest parts.
+    """Write ``df`` into a new folder and return its manifest parts. The landing
+    order (``seq``) is stored with the rows where there is one; readers of the public columns never open it.
 
     Facts are gathered by month with a rebalance hint (AQE splits a large month and
     merges small ones; nothing is sampled, so the plan runs once) and sorted by
     facility and date inside it, so row groups can be skipped by either.
     """
-    rows = df.select(*dataset.schema.names)
+    rows = df.select(*dataset.schema.names, *[c for c in (SEQ_COL,) if c in df.columns])
     if not dataset.partition_by_month:
         rows.write.mode("error").option("compression", "snappy").parquet(folder)
         return {WHOLE: {"folder": folder, "rows": spark.read.schema(dataset.schema).parquet(folder).count()}}
@@ -199,19 +206,21 @@ def read_parts(
     date_from: _dt.date | None = None,
     date_to: _dt.date | None = None,
     months: list[str] | None = None,
+    with_seq: bool = False,
 ) -> DataFrame:
-    """Scan with the fixed schema. Date bounds (and an explicit month list)
+    """Scan with the fixed schema (and the landing order, NULL for rows stored without). Date bounds (and an explicit month list)
     choose the folders from the manifest, so other months are never listed or
     opened. Callers still filter on ``date``."""
     names = sorted(parts)
+    schema = T.StructType([*dataset.schema.fields, T.StructField(SEQ_COL, SEQ_SCHEMA)]) if with_seq else dataset.schema
     if dataset.partition_by_month:
         names = [m for m in names if date_from is None or m >= date_from.strftime("%Y-%m")]
         names = [m for m in names if date_to is None or m <= date_to.strftime("%Y-%m")]
         names = [m for m in names if months is None or m in set(months)]
     folders = [parts[m]["folder"] for m in names if parts[m]["rows"]]
     if not folders:
-        return spark.createDataFrame([], dataset.schema)
-    return spark.read.schema(dataset.schema).parquet(*folders)
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*folders)
 
 
 class Warehouse:
@@ -231,6 +240,28 @@ class Warehouse:
     def state_dir(self) -> str:
         return f"{self.root}/state"
 
+    # logs: small tables that every refresh adds to, as a list of folders behind a manifest
+    def log_parts(self, log: str) -> dict[str, dict]:
+        return read_manifest(self.spark, f"{self.root}/{log}") or {}
+
+    def load_log(self, log: str, schema: T.StructType) -> DataFrame:
+        folders = [part["folder"] for _, part in sorted(self.log_parts(log).items())]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def append_log(self, log: str, rows: DataFrame, schema: T.StructType, newest: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        """Add rows. From ``LOG_FOLDERS`` folders on they are written together as one, reduced
+        by ``newest``, so any number of refreshes leaves a bounded number of files."""
+        parts = self.log_parts(log)
+        folder = f"{self.root}/data/{log}/{uuid.uuid4().hex}"
+        rows.select(*schema.names).write.mode("error").parquet(folder)
+        parts[f"{len(parts):06d}"] = {"folder": folder, "rows": -1}
+        if len(parts) >= LOG_FOLDERS:
+            whole = self.spark.read.schema(schema).parquet(*[p["folder"] for _, p in sorted(parts.items())])
+            folder = f"{self.root}/data/{log}/{uuid.uuid4().hex}"
+            (newest(whole) if newest else whole).select(*schema.names).hint("rebalance").write.mode("error").parquet(folder)
+            parts = {f"{0:06d}": {"folder": folder, "rows": -1}}
+        switch_manifest(self.spark, f"{self.root}/{log}", parts)
+
     def new_folder(self, storage: str) -> str:
         return f"{self.root}/data/{storage}/{uuid.uuid4().hex}"
 
@@ -261,12 +292,12 @@ class Warehouse:
             fs.delete(p, True)
 
     # S8 / S7 / S6
-    def load_base(self, name: str, months: list[str] | None = None) -> DataFrame:
+    def load_base(self, name: str, months: list[str] | None = None, with_seq: bool = False) -> DataFrame:
         ds = resolve(name)
         parts = self.base_parts(ds.storage)
         if parts is None:
             raise DataNotFoundError(f"no base table {ds.storage}")
-        return read_parts(self.spark, parts, ds, months=months)
+        return read_parts(self.spark, parts, ds, months=months, with_seq=with_seq)
 
     def load_snapshot(self, name: str, date_from=None, date_to=None) -> DataFrame:
         ds = resolve(name)
@@ -328,8 +359,14 @@ class Warehouse:
         """Remove old manifests and the writes that no kept manifest uses."""
         for ds in DATASETS.values():
             used = drop_old_manifests(self.spark, self.base_dir(ds.storage), keep) | drop_old_manifests(self.spark, self.snapshot_dir(ds.storage), keep)
-            fs, p = _fs_path(self.spark, f"{self.root}/data/{ds.storage}")
-            for st in fs.listStatus(p) if fs.exists(p) else []:
-                write = st.getPath().getName()
-                if not any(f"/{write}" in folder for folder in used):
-                    fs.delete(st.getPath(), True)
+            self._drop_writes(f"{self.root}/data/{ds.storage}", used)
+            for log in (f"progress/{ds.storage}", f"rejected/{ds.storage}"):
+                self._drop_writes(f"{self.root}/data/{log}", drop_old_manifests(self.spark, f"{self.root}/{log}", keep))
+        drop_old_manifests(self.spark, self.state_dir(), keep)
+
+    def _drop_writes(self, path: str, used: set[str]) -> None:
+        fs, p = _fs_path(self.spark, path)
+        for st in fs.listStatus(p) if fs.exists(p) else []:
+            write = st.getPath().getName()
+            if not any(f"/{write}" in folder for folder in used):
+                fs.delete(st.getPath(), True)

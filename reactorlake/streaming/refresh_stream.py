@@ -1,14 +1,13 @@
 """The incremental refresh as a Structured Streaming query.
 
 ``readStream.json(landing)`` picks up newly landed page files; each
-micro-batch is validated, transformed, deduped on its key and upserted into
-the base tables inside ``foreachBatch``, then published, then the watermark
-moves. File progress lives in the stream's checkpoint, and the upsert makes a
-replayed micro-batch change nothing, so a restart after a crash is safe.
-``trigger(availableNow=True)`` processes everything landed so far and stops.
-
-Unlike the batch refresh, the stream applies every landed page as it arrives
-(no page-gap stop rule): a page file is the unit of landing.
+micro-batch is judged by the same stop rules as a batch refresh, validated, transformed, deduped
+on its key and merged into the base tables in landing order inside ``foreachBatch``, then published, then the
+watermark moves. File progress lives in the stream's checkpoint; the states of pages live in the
+warehouse (``state.load_progress``), where batch refreshes keep theirs, too: pages behind
+a missing page are held, and applied by the micro-batch that brings it; broken
+files are recorded, and the next batch refresh tries them again. A replayed micro-batch changes nothing, so a
+restart after a crash is safe. ``trigger(availableNow=True)`` processes everything landed so far and stops.
 """
 
 from __future__ import annotations
@@ -16,11 +15,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from reactorlake.operators.clean import transform_records
-from reactorlake.plans.refresh import apply_facility_batch, apply_us_batch
-from reactorlake.schemas import PAGE_SCHEMA
+from reactorlake.plans.refresh import Landing, apply_facility_batch, apply_us_batch, judge
+from reactorlake.schemas import CORRUPT, LANDED_SCHEMA, PAGE_SIZE
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import _root_name, pages_of, records_from_pages
+from reactorlake.sources.landing import _root_name, pages_of
 from reactorlake.sources.tables import Warehouse, materialize, stage_scope
 
 _STATE_NAME = {"facility": "facility_outages", "us": "us_outages"}
@@ -34,11 +32,13 @@ def start_refresh_stream(
     checkpoint_location: str | None = None,
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
+    page_size: int = PAGE_SIZE,
 ) -> StreamingQuery:
     """Start the stream for one dataset (``facility`` or ``us``)."""
     if dataset not in _STATE_NAME:
         raise ValueError("dataset must be 'facility' or 'us'")
-    reader = spark.readStream.schema(PAGE_SCHEMA)
+    landing = Landing(landing_path, landing_path, page_size=page_size)
+    reader = spark.readStream.schema(LANDED_SCHEMA).option("columnNameOfCorruptRecord", CORRUPT)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     pages = pages_of(reader.option("recursiveFileLookup", True).json(landing_path), _root_name(spark, landing_path))
@@ -49,17 +49,21 @@ def start_refresh_stream(
         wh.drop_unused()
 
     def apply_batch(batch_pages: DataFrame) -> None:
-        batch = materialize(transform_records(records_from_pages(batch_pages), dataset), f"{dataset}-stream-batch")
+        session, storage = batch_pages.sparkSession, _STATE_NAME[dataset]
+        staged = materialize(batch_pages, f"{dataset}-stream-pages")
+        listed = staged.select("run", "file").distinct()
+        batch = judge(session, landing, landing_path, dataset, staged, listed, S.load_progress(wh, storage), None)
         if dataset == "facility":
-            n_rows, _, batch_max = apply_facility_batch(batch.sparkSession, wh, batch)
+            n_rows, _, batch_max = apply_facility_batch(session, wh, batch.rows)
         else:
-            n_rows, batch_max = apply_us_batch(batch.sparkSession, wh, batch)
-        if n_rows == 0:
-            return  # an empty micro-batch changes nothing
-        marks = {_STATE_NAME[dataset]: batch_max}
-        if dataset == "facility" and S.load_state(wh).get("plants") is None:
-            marks["plants"] = batch_max  # first load: the dimension takes the facts' mark
-        S.save_state(wh, marks)  # after publish (D11)
+            n_rows, batch_max = apply_us_batch(session, wh, batch.rows)
+        if n_rows:
+            marks = {storage: batch_max}
+            if dataset == "facility" and S.load_state(wh).get("plants") is None:
+                marks["plants"] = batch_max  # first load: the dimension takes the facts' mark
+            S.save_state(wh, marks)  # after publish (D11)
+        S.save_rejected(wh, storage, batch.rejected)
+        S.save_progress(wh, storage, batch.pages)
 
     writer = pages.writeStream.foreachBatch(upsert_batch).option(
         "checkpointLocation", checkpoint_location or f"{wh.root}/_streams/{dataset}"

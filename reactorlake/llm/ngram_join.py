@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import ship, stage, table, text_of
+from reactorlake.llm.common import release, ship, stage, table, text_of
 from reactorlake.llm.linking import WIDE, digest, link_classes, postings, set_classes, sketch
 from reactorlake.llm.runs import ANSWERS, KEY_BITS, RUNS, answers, batches_of, copies_of, key_runs, layout, marked, scan_runs, with_copies
 from reactorlake.llm.shingles import scramble, shingle_sets
@@ -113,6 +113,7 @@ def indexed_sets(base: DataFrame, width: int, percent: int, frequent: int) -> Da
                 known = row.ids[i] is not None and row.ids[i] == row.ids[i]
                 about = (sketch(s), sketch(s, len(WIDE)), s.view(np.int64)) if live else (None, None, None)
                 out.append((int(row.ids[i]) if known else None, len(s), int(np.count_nonzero(of == 0)), digest(s), singles.view(np.int64), first, pairs.view(np.int64), ahead, *about))
+        release()
         return pd.DataFrame(out, columns=["id", "n", "u", "sig", "singles", "first", "pairs", "ahead", "sketch", "wide", "grams"]).astype({"id": "Int64"})
 
     schema = "id long, n int, u int, sig string, singles array<long>, first int, pairs array<long>, ahead int, sketch array<long>, wide array<long>, grams array<long>"

@@ -29,13 +29,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import bucket_count, map_arrow, slices, stage, table, with_running
+from reactorlake.llm.common import bucket_count, map_arrow, release, slices, stage, table, with_running
 
 MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 2_000_000
+CACHE_WORDS = 400_000
 
 _LOADED: dict[str, Vocabulary] = {}
 
@@ -116,6 +116,7 @@ def _pieces(path: str, most: int, end_id: int):
             start = at - (stops - counts - 1)[doc]
             columns = [batch.column(0).take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, (counts + 1)[doc]))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        release()
 
     return run
 

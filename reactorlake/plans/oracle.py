@@ -204,9 +204,9 @@ SQL: dict[str, str] = {
             FROM (SELECT *, row_number() OVER (ORDER BY date DESC) AS rn FROM us_outages) u WHERE rn > {Q.META_OFFSET}"""
     ),
     "page_arguments": _q(
-        """SELECT facility_id, dataset, CASE WHEN rn = 1 OR dataset <> 'facility' THEN 'refused' ELSE 'read' END AS verdict
-           FROM (SELECT facility_id, row_number() OVER (ORDER BY facility_id) AS rn FROM plants) p,
-                (VALUES ('facility'), ('us'), ('plants')) d(dataset) WHERE rn <= 5"""
+        """SELECT facility_id, dataset, CASE WHEN dataset = 'other' THEN 'dataset' WHEN turn = 1 THEN 'date_from' WHEN turn = 2 THEN 'range'
+                  WHEN turn <> 3 AND dataset <> 'facility' THEN 'facility_id' END AS fault
+           FROM (SELECT facility_id, CAST(facility_id AS BIGINT) % 4 AS turn, unnest(['facility', 'us', 'plants', 'other']) AS dataset FROM plants) p"""
     ),
     "page_without_names": _q(
         f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage,
@@ -396,6 +396,42 @@ SQL: dict[str, str] = {
     "incremental_flat_landing": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
     "incremental_gap_filled": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
     "full_refresh_absent_landing": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "incremental_reread_run": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
+    "incremental_flat_correction": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
+    "stream_gap_filled": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
+    "landed_broken_pages": _q(
+        f"""SELECT run, state, reason, CAST(COUNT(*) AS BIGINT) AS pages, CAST(COUNT(place) AS BIGINT) AS placed FROM (
+              SELECT 'run-1' AS run, 'kept' AS state, NULL AS reason, g AS place FROM pages
+              UNION ALL
+              SELECT 'run-2', CASE WHEN g = 0 THEN 'kept' WHEN g % 3 = 0 THEN 'held' ELSE 'broken' END,
+                     CASE g % 3 WHEN 1 THEN 'not a page' WHEN 2 THEN 'no response' END, CASE WHEN g % 3 <> 1 THEN g END FROM pages) p
+            GROUP BY run, state, reason""",
+        f"""pages AS (SELECT unnest(generate_series(0, CAST(ceil(total / {Q.GAP_PAGE}.0) AS BIGINT) - 1)) AS g
+                     FROM (SELECT COUNT(*) AS total FROM raw_fac) t)""",
+    ),
+    "refresh_quality_report": _q(
+        f"""SELECT dataset, run, kind, reason, CAST(COUNT(*) AS BIGINT) AS records, CAST(COUNT(DISTINCT date) AS BIGINT) AS days FROM (
+              SELECT 'facility_outages' AS dataset, 'run-9' AS run, CASE WHEN {_VALID} THEN 'number' ELSE 'missing' END AS kind,
+                     CASE WHEN {_VALID} THEN 'capacity' ELSE 'facilityName' END AS reason, date
+              FROM raw_fac WHERE bad_cap OR NOT coalesce({_VALID}, FALSE)
+              UNION ALL
+              SELECT 'facility_outages', 'run-10', CASE WHEN date < mark THEN 'late' WHEN {_VALID} THEN 'number' ELSE 'missing' END,
+                     CASE WHEN date < mark THEN 'before ' || {_d('mark')} WHEN {_VALID} THEN 'capacity' ELSE 'facilityName' END, date
+              FROM (SELECT *, (SELECT MAX(date) FROM valid_fac) AS mark FROM raw_inc) r WHERE date < mark OR bad_cap OR NOT coalesce({_VALID}, FALSE)
+              UNION ALL
+              SELECT 'us_outages', 'run-9', CASE WHEN dayofyear(date) % 89 = 0 THEN 'missing' ELSE 'number' END,
+                     CASE WHEN dayofyear(date) % 89 = 0 THEN 'outage' ELSE 'capacity' END, date
+              FROM us_outages WHERE dayofyear(date) % 89 = 0 OR dayofyear(date) % 83 = 0) q
+            GROUP BY dataset, run, kind, reason""",
+        _INC_RAW,
+    ),
+    "stream_late_rows": _q(
+        f"""SELECT 'stored' AS kind, CAST(COUNT(*) AS BIGINT) AS records, {_d('MAX(date)')} AS newest
+            FROM valid_fac WHERE year(date) % 2 = 0 OR date >= (SELECT MAX(date) FROM valid_fac WHERE year(date) % 2 = 0) - {Q.LOOKBACK_DAYS}
+            UNION ALL
+            SELECT 'late', CAST(COUNT(*) AS BIGINT), {_d('MAX(date)')}
+            FROM raw_fac WHERE date < (SELECT MAX(date) FROM valid_fac WHERE year(date) % 2 = 0) - {Q.LOOKBACK_DAYS}"""
+    ),
     "last_wins_by_page": _q(f"SELECT {_d('date')} AS date, facility_id, outage * 2.0 AS outage FROM valid_fac"),
     "incremental_late_run": _q(_upsert("valid_base", "late_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW + _LATE),
     "refresh_modes": _q(

@@ -57,6 +57,8 @@ KEYSET_DATE, KEYSET_FACILITY, KEYSET_LIMIT = "1996-06-15", "5", 50
 LOOKBACK_DAYS = 30
 SPLIT_DATE = "1996-07-01"
 GAP_PAGE = 2000
+# a look-back beyond any table
+ALL_DAYS = 36500
 
 
 def _frames(spark: SparkSession, sf: str) -> SV.FrameCatalog:
@@ -153,17 +155,18 @@ def page_rest(spark, sf):
 
 
 def page_arguments(spark, sf):
-    """P15 over the tables' own values: which reads are refused, per facility id of the dimension."""
-    ids = [r["facility_id"] for r in A.plants(spark, sf).orderBy("facility_id").limit(5).collect()]
-    rows = []
-    for i in ids:
-        for name in DATASETS:
-            try:
-                SV.check_args(name, DATE_TO, DATE_FROM if i == ids[0] else DATE_TO, i)
-                rows.append((i, name, "read"))
-            except SV.ValidationError:
-                rows.append((i, name, "refused"))
-    return spark.createDataFrame(rows, "facility_id string, dataset string, verdict string")
+    """P15 as a column: what each dataset's read with each id of the dimension is refused for.
+    Some ranges end before they start, some dates are no dates."""
+    ids = A.plants(spark, sf).select("facility_id", F.explode(F.array(*[F.lit(n) for n in (*DATASETS, "other")])).alias("dataset"))
+    turn = F.pmod(F.col("facility_id").cast("int"), F.lit(4))
+    asked = ids.withColumns(
+        {
+            "asked_id": F.when(turn == 3, F.lit("")).otherwise(F.col("facility_id")),
+            "date_from": F.when(turn == 1, F.lit("1996-3-1")).otherwise(F.lit(DATE_FROM)),
+            "date_to": F.when(turn == 2, F.lit(EARLY_TO)).otherwise(F.lit(DATE_TO)),
+        }
+    )
+    return asked.select("facility_id", "dataset", SV.argument_fault("dataset", "date_from", "date_to", "asked_id").alias("fault"))
 
 
 def page_without_names(spark, sf):
@@ -536,6 +539,61 @@ def incremental_gap_filled(spark, sf):
     return _text_dates(wh.load_snapshot("facility"), "date")
 
 
+def incremental_reread_run(spark, sf):
+    """A page of ``run-1`` lands after ``run-2`` has corrected its days: the corrections stay."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
+    wh = Warehouse(spark, f"{root}/warehouse")
+    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "reread-pages")
+    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{landing.facility}/run-1")
+    RF.refresh(spark, landing, wh)
+    fixes = A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf))
+    L.write_pages(fixes, f"{landing.facility}/run-2", page_size=GAP_PAGE)
+    RF.refresh(spark, landing, wh, lookback_days=ALL_DAYS)
+    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{landing.facility}/run-1")
+    RF.refresh(spark, landing, wh)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def incremental_flat_correction(spark, sf):
+    """Pages directly in the landing folder, corrected by pages that land later with lower offsets."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    L.write_pages(A.raw_facility_records(spark, sf), landing.facility)
+    RF.refresh(spark, landing, wh)
+    L.write_pages(A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf)), landing.facility, mode="append")
+    RF.refresh(spark, landing, wh, lookback_days=ALL_DAYS)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def landed_broken_pages(spark, sf):
+    """What a refresh records of a run whose second page of three is cut off and whose third has no response."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
+    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "broken-pages")
+    pages.write.json(f"{landing.facility}/run-1")
+    turn, text = F.pmod(F.floor(F.col("offset") / GAP_PAGE), F.lit(3)), F.to_json(F.struct("offset", "response"))
+    error = F.to_json(F.struct("offset", F.lit("busy").alias("error")))
+    cut = F.when(turn == 1, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).when(turn == 2, error).otherwise(text)
+    pages.select(cut.alias("value")).write.text(f"{landing.facility}/run-2")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    read = S.load_progress(wh, "facility_outages")
+    return read.groupBy("run", "state", F.substring_index("broken", ":", 1).alias("reason")).agg(F.count("*").alias("pages"), F.count("offset").alias("placed"))
+
+
+def refresh_quality_report(spark, sf):
+    """What a full and a late incremental refresh stored as rejected or not convertible, by reason."""
+    landing, wh = _late_run(spark, sf, _root(spark))
+    RF.refresh(spark, landing, wh)
+    _land_run_10(spark, sf, landing)
+    RF.refresh(spark, landing, wh)
+    rows = S.load_rejected(wh, "facility_outages").withColumn("dataset", F.lit("facility_outages"))
+    rows = rows.unionByName(S.load_rejected(wh, "us_outages").withColumn("dataset", F.lit("us_outages")))
+    return rows.groupBy("dataset", "run", "kind", "reason").agg(F.count("*").alias("records"), F.countDistinct("period").alias("days"))
+
+
 def held_pages(spark, sf):
     """How many pages a refresh reports as held behind the missing second page."""
     pages = L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE).where(F.col("offset") != GAP_PAGE)
@@ -643,6 +701,37 @@ def stream_refresh(spark, sf):
     return _text_dates(wh.load_snapshot("facility"), "date")
 
 
+def stream_gap_filled(spark, sf):
+    """The stop rules of the stream: a run whose second page arrives in a later micro-batch."""
+    from reactorlake.streaming.refresh_stream import run_available
+
+    root = shared_root(spark)
+    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "stream-gap-pages")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{root}/landing/run-1")
+    run_available(spark, f"{root}/landing", "facility", wh, page_size=GAP_PAGE)
+    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{root}/landing/run-1")
+    run_available(spark, f"{root}/landing", "facility", wh, page_size=GAP_PAGE)
+    return _text_dates(wh.load_snapshot("facility"), "date")
+
+
+def stream_late_rows(spark, sf):
+    """A stream that takes rows up to 30 days behind its watermark, and where older ones go."""
+    from reactorlake.streaming.refresh_stream import run_available
+
+    root = shared_root(spark)
+    landing = f"{root}/landing"
+    wh = Warehouse(spark, f"{root}/warehouse")
+    fac, names = A.facility_outages(spark, sf), A.plants(spark, sf)
+    L.write_pages(A.raw_records_from(fac.where(F.year("date") % 2 == 0), names), f"{landing}/run-1")
+    run_available(spark, landing, "facility", wh, lateness_days=LOOKBACK_DAYS)
+    L.write_pages(A.raw_records_from(fac, names), f"{landing}/run-2")
+    run_available(spark, landing, "facility", wh, lateness_days=LOOKBACK_DAYS)
+    stored = wh.load_snapshot("facility").agg(F.lit("stored").alias("kind"), F.count("*").alias("records"), F.max("date").alias("newest"))
+    late = S.load_rejected(wh, "facility_outages").where(F.col("kind") == "late")
+    return _text_dates(stored.unionByName(late.groupBy("kind").agg(F.count("*").alias("records"), F.max(F.to_date("period")).alias("newest"))), "newest")
+
+
 def snapshot_roundtrip(spark, sf):
     wh = Warehouse(spark, f"{shared_root(spark)}/warehouse")
     wh.save_snapshot("us", A.us_outages(spark, sf))
@@ -719,4 +808,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refreshed_plants": refreshed_plants,
     "stored_facility": stored_facility,
     "stream_us": stream_us,
+    "incremental_reread_run": incremental_reread_run,
+    "incremental_flat_correction": incremental_flat_correction,
+    "landed_broken_pages": landed_broken_pages,
+    "refresh_quality_report": refresh_quality_report,
+    "stream_gap_filled": stream_gap_filled,
+    "stream_late_rows": stream_late_rows,
 }

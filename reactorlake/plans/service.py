@@ -12,11 +12,11 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reactorlake.errors import DataNotFoundError, ProcessingError, ValidationError
-from reactorlake.functions.dates import format_date, parse_date_arg
+from reactorlake.functions.dates import format_date, parse_date, parse_date_arg
 from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
 from reactorlake.operators.numbering import number_pages
@@ -89,6 +89,25 @@ def check_args(
     return ReadArgs(dataset, d_from, d_to, facility_id or None, int(offset), limit, requested)
 
 
+def argument_fault(dataset: str, date_from: str, date_to: str, facility_id: str) -> Column:
+    """P15 / D3 / D6 for requests held in columns: what a read would be refused for (the
+    first rule it breaks, as in ``check_args``), or NULL."""
+
+    def given(c: str) -> Column:
+        return F.col(c).isNotNull() & (F.col(c) != "")
+
+    def bad(c: str) -> Column:
+        return given(c) & parse_date(c).isNull()
+
+    return (
+        F.when(~F.coalesce(F.col(dataset).isin(*DATASETS), F.lit(False)), "dataset")
+        .when(bad(date_from), "date_from")
+        .when(bad(date_to), "date_to")
+        .when(F.coalesce(parse_date(date_from) > parse_date(date_to), F.lit(False)), "range")
+        .when(given(facility_id) & (F.col(dataset) != "facility"), "facility_id")
+    )
+
+
 def filtered_rows(catalog: Catalog, args: ReadArgs) -> DataFrame:
     ds = DATASETS[args.dataset]
     df = catalog.load(ds.storage, args.date_from, args.date_to)  # month folders pruned by the catalog

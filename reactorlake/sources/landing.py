@@ -93,7 +93,7 @@ def pages_of(raw: DataFrame, root: str) -> DataFrame:
         run.alias("run"),
         "file",
         F.when(run == ROOT_RUN, F.col("at")).otherwise(F.lit(0).cast("bigint")).alias("at"),
-        F.when(why.isNull(), F.col("offset")).alias("offset"),
+        F.when(F.col(CORRUPT).isNull(), F.col("offset")).alias("offset"),
         text_to_long(F.col("response.total")).alias("total"),
         F.when(why.isNull(), array_or_empty(F.col("response.data"))).otherwise(F.array().cast(LANDED_SCHEMA["response"].dataType["data"].dataType)).alias("data"),
         why.alias("broken"),

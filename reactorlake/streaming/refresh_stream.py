@@ -12,6 +12,8 @@ restart after a crash is safe. ``trigger(availableNow=True)`` processes everythi
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -33,8 +35,13 @@ def start_refresh_stream(
     available_now: bool = True,
     max_files_per_trigger: int | None = None,
     page_size: int = PAGE_SIZE,
+    lateness_days: int | None = None,
 ) -> StreamingQuery:
-    """Start the stream for one dataset (``facility`` or ``us``)."""
+    """Start the stream for one dataset (``facility`` or ``us``).
+
+    With ``lateness_days`` rows older than the watermark minus so many days when their run is
+    first read are not stored but listed as ``late`` (``state.load_rejected``); else every row is.
+    """
     if dataset not in _STATE_NAME:
         raise ValueError("dataset must be 'facility' or 'us'")
     landing = Landing(landing_path, landing_path, page_size=page_size)
@@ -52,7 +59,9 @@ def start_refresh_stream(
         session, storage = batch_pages.sparkSession, _STATE_NAME[dataset]
         staged = materialize(batch_pages, f"{dataset}-stream-pages")
         listed = staged.select("run", "file").distinct()
-        batch = judge(session, landing, landing_path, dataset, staged, listed, S.load_progress(wh, storage), None)
+        mark = None if lateness_days is None else S.load_state(wh)[storage]
+        start = None if mark is None else mark - _dt.timedelta(days=lateness_days)
+        batch = judge(session, landing, landing_path, dataset, staged, listed, S.load_progress(wh, storage), start)
         if dataset == "facility":
             n_rows, _, batch_max = apply_facility_batch(session, wh, batch.rows)
         else:

@@ -315,3 +315,151 @@ def test_a_crash_before_the_switch_leaves_the_old_table(spark, scratch, monkeypa
     assert [(r["date"].day, r["outage"]) for r in wh.load_base("facility").collect()] == [(1, 100.0)]
     RF.refresh(spark, landing, wh)
     assert sorted((r["date"].day, r["outage"]) for r in wh.load_snapshot("facility").collect()) == [(1, 7.0), (2, 100.0)]
+
+
+def test_a_run_read_again_does_not_undo_newer_runs(spark, scratch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/us", page_size=2)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/fac/run-1/p0.json", 0, [_fac(1, "F1", "Old"), _fac(2, "F1", "Old", "10")], 3)
+    write_page(f"{root}/us/run-1/p0.json", 0, [_us(1), _us(2, "10")], 3)
+    RF.refresh(spark, landing, wh)
+    write_page(f"{root}/fac/run-2/p0.json", 0, [_fac(2, "F1", "New", "20")], 1)
+    write_page(f"{root}/us/run-2/p0.json", 0, [_us(2, "20"), _us(3, "30")], 2)
+    RF.refresh(spark, landing, wh)
+    write_page(f"{root}/fac/run-1/p1.json", 2, [_fac(3, "F1", "Old", "11"), _fac(2, "F1", "Old", "12")], 4)
+    write_page(f"{root}/us/run-1/p1.json", 2, [_us(3, "11"), _us(4, "11")], 4)
+    RF.refresh(spark, landing, wh)
+    assert {r["date"].day: r["outage"] for r in wh.load_snapshot("facility").collect()} == {1: 100.0, 2: 20.0, 3: 11.0}
+    assert {r["date"].day: r["outage"] for r in wh.load_snapshot("us").collect()} == {1: 5000.0, 2: 20.0, 3: 30.0, 4: 11.0}
+    assert [tuple(r) for r in wh.load_snapshot("plants").collect()] == [("F1", "New")]
+    assert wh.load_snapshot("facility").columns == ["date", "facility_id", "capacity", "outage", "percent_outage"]
+    # the same after recovery from the published files: the order is stored with them
+    wh.drop_base_tables()
+    RF.refresh(spark, landing, wh)
+    write_page(f"{root}/fac/run-1/p2.json", 4, [_fac(2, "F1", "Old", "13")], 5)
+    RF.refresh(spark, landing, wh)
+    assert {r["date"].day: r["outage"] for r in wh.load_snapshot("facility").collect()}[2] == 20.0
+
+
+def test_flat_files_are_ordered_by_the_time_they_land(spark, scratch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/fac/z0.json", 0, [_fac(1, "F1", "A", "1")], 3)
+    write_page(f"{root}/fac/a1.json", 1, [_fac(2, "F1", "A", "1")], 3)
+    write_page(f"{root}/fac/a2.json", 2, [_fac(3, "F1", "A", "1")], 3)
+    for i, name in enumerate(("z0", "a1", "a2")):
+        os.utime(f"{root}/fac/{name}.json", (1_700_000_000 + i,) * 2)
+    RF.refresh(spark, landing, wh)
+    write_page(f"{root}/fac/b0.json", 0, [_fac(3, "F1", "A", "2")], 3)  # a lower offset, but later
+    RF.refresh(spark, landing, wh)
+    assert {r["date"].day: r["outage"] for r in wh.load_snapshot("facility").collect()} == {1: 1.0, 2: 1.0, 3: 2.0}
+
+
+def test_applied_files_are_not_parsed_again(spark, scratch, monkeypatch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/fac/p0.json", 0, [_fac(1, "F1", "A")], 4)
+    write_page(f"{root}/fac/p2.json", 2, [_fac(3, "F1", "A")], 4)
+    RF.refresh(spark, landing, wh)
+    read = []
+
+    def spy(session, path, files=None, multi_line=False, real=RF.read_pages):
+        read.append(sorted(os.path.basename(f) for f in files or ["all"]))
+        return real(session, path, files, multi_line)
+
+    monkeypatch.setattr(RF, "read_pages", spy)
+    write_page(f"{root}/fac/p1.json", 1, [_fac(2, "F1", "A")], 4)
+    RF.refresh(spark, landing, wh)
+    assert read == [["p1.json"], ["p2.json"]] and _days(wh) == [1, 2, 3]  # the new page, then the held one
+    monkeypatch.setattr(RF, "LISTED_FILES", 0)  # more new files than names are given for: the landing is read and filtered
+    write_page(f"{root}/fac/p3.json", 3, [_fac(4, "F1", "A")], 4)
+    RF.refresh(spark, landing, wh)
+    assert read[2:] == [["all"]] and _days(wh) == [1, 2, 3, 4]
+
+
+def test_broken_pages_are_reported_and_tried_again(spark, scratch):
+    import pytest
+
+    from reactorlake.errors import ProcessingError
+
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=1)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    for i in range(4):
+        write_page(f"{root}/fac/r1/p{i}.json", i, [_fac(i + 1, "F1", "A")], 4)
+    whole = open(f"{root}/fac/r1/p1.json").read()
+    open(f"{root}/fac/r1/p1.json", "w").write(whole[: len(whole) // 2])
+    open(f"{root}/fac/r1/empty.json", "w").close()
+    os.makedirs(f"{root}/fac/r2")
+    open(f"{root}/fac/r2/p0.json", "w").write('{"offset": 0, "error": "busy"}')
+    with pytest.raises(ProcessingError):
+        RF.refresh(spark, RF.Landing(landing.facility, landing.us, page_size=1, strict=True), wh)
+    assert not wh.base_exists("facility_outages")
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [1]
+    why = {r["file"].rsplit("/", 2)[1] + "/" + r["file"].rsplit("/", 1)[1]: r["broken"] for r in S.broken_files(wh, "facility_outages").collect()}
+    assert set(why) == {"r1/p1.json", "r1/empty.json", "r2/p0.json"} and why["r1/p1.json"].startswith("not a page") and why["r2/p0.json"] == "no response"
+    assert sorted(r["file"].rsplit("/", 1)[1] for r in S.held_files(wh, "facility_outages").collect()) == ["p2.json", "p3.json"]
+    RF.refresh(spark, landing, wh)  # nothing has changed
+    assert _days(wh) == [1] and S.broken_files(wh, "facility_outages").count() == 3
+    open(f"{root}/fac/r1/p1.json", "w").write(whole)
+    write_page(f"{root}/fac/r2/p0.json", 0, [_fac(9, "F1", "A")], 1)
+    RF.refresh(spark, landing, wh)
+    assert _days(wh) == [1, 2, 3, 4, 9]
+    assert [r["file"].rsplit("/", 1)[1] for r in S.broken_files(wh, "facility_outages").collect()] == ["empty.json"] and S.held_files(wh, "facility_outages").isEmpty()
+
+
+def test_the_stream_keeps_the_stop_rules_and_shares_its_states(spark, scratch):
+    from reactorlake.streaming.refresh_stream import run_available
+
+    root = _local(scratch)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    write_page(f"{root}/fac/r1/p0.json", 0, [_fac(1, "F1", "A")], 3)
+    write_page(f"{root}/fac/r1/p2.json", 2, [_fac(3, "F1", "A", "7")], 3)
+    open(f"{root}/fac/r1/x.json", "w").write('{"offset": 1, "resp')
+    run_available(spark, f"{scratch}/fac", "facility", wh, page_size=1)
+    assert _days(wh) == [1] and S.broken_files(wh, "facility_outages").count() == 1
+    write_page(f"{root}/fac/r1/p1.json", 1, [_fac(2, "F1", "A")], 3)
+    run_available(spark, f"{scratch}/fac", "facility", wh, page_size=1)
+    assert _days(wh) == [1, 2, 3] and S.held_files(wh, "facility_outages").isEmpty()
+    # a batch refresh afterwards finds nothing new but the broken file
+    wh.overwrite_base("us", RF._empty(spark, "us"))
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=1)
+    assert {r["rows_processed"] for r in RF.refresh(spark, landing, wh).collect()} == {0}
+
+
+def test_rejected_records_and_failed_numbers_are_stored_once(spark, scratch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none")
+    wh = Warehouse(spark, f"{scratch}/wh")
+    bad = raw_record("2024-01-03", "F1", "A", "n/a", "12d", "10")
+    write_page(f"{root}/fac/r1/p0.json", 0, [_fac(5, "F1", "A"), _fac(2, "", "A"), bad, raw_record("2024-01", "F1", "A", "1", "1", "1")], 4)
+    RF.refresh(spark, landing, wh)
+    RF.refresh(spark, landing, wh, mode="full")
+    write_page(f"{root}/fac/r2/p0.json", 0, [_fac(1, "F1", "A"), _fac(6, "F1", "A")], 2)
+    RF.refresh(spark, landing, wh)
+    got = sorted((r["kind"], r["reason"], r["period"], r["value"]) for r in S.load_rejected(wh, "facility_outages").collect())
+    assert got == [
+        ("late", "before 2024-01-05", "2024-01-01", None),
+        ("missing", "facility", "2024-01-02", None),
+        ("missing", "period (not a date)", "2024-01", None),
+        ("number", "capacity", "2024-01-03", "n/a"),
+        ("number", "outage", "2024-01-03", "12d"),
+    ]
+    assert _days(wh) == [3, 5, 6]
+
+
+def test_many_refreshes_leave_few_files(spark, scratch):
+    root = _local(scratch)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    pages = spark.createDataFrame([("r", f"f{i}", i, 100, 1, None, "kept", None) for i in range(30)], "run string, file string, offset long, total long, n int, broken string, state string, start date")
+    for i in range(30):
+        S.save_progress(wh, "facility_outages", pages.where(F.col("offset") == i))
+        S.save_state(wh, {"facility_outages": dt.date(2024, 1, 1) + dt.timedelta(days=i)})
+    wh.drop_unused()
+    count = sum(len([f for f in files if not f.startswith((".", "_"))]) for _, _, files in os.walk(f"{root}/wh"))
+    assert count < 40 and len(wh.log_parts("progress/facility_outages")) < 8
+    assert S.load_progress(wh, "facility_outages").count() == 30 and S.load_state(wh)["facility_outages"] == dt.date(2024, 1, 30)

@@ -266,3 +266,19 @@ def test_unreadable_files_are_a_processing_error(spark, scratch, facility_df):
         get_dataset(wh, "facility")
     with pytest.raises(DataNotFoundError):
         get_dataset(wh, "us")
+
+
+def test_argument_faults_agree_with_the_checked_read(spark):
+    from reactorlake.errors import ValidationError
+    from reactorlake.plans import service as SV
+
+    values = [None, "", "2024-01-05", "2024-02-30", "2024-1-5", "2024-03-01"]
+    rows = [(d, a, b, f) for d in ("facility", "us", "plants", "x") for a in values for b in values for f in (None, "", "7")]
+    df = spark.createDataFrame(rows, "dataset string, a string, b string, f string")
+    for r in df.withColumn("fault", SV.argument_fault("dataset", "a", "b", "f")).collect():
+        try:
+            SV.check_args(r["dataset"], r["a"], r["b"], r["f"])
+            assert r["fault"] is None, r
+        except ValidationError as exc:
+            assert r["fault"] is not None, r
+            assert {"dataset": "Invalid dataset", "date_from": "date_from format", "date_to": "date_to format", "range": "before it starts", "facility_id": "only allowed"}[r["fault"]] in str(exc)

@@ -8,10 +8,21 @@ terms. With N distinct texts, n_e of them holding the entity, n_t the term and n
 
 is 1 for a term that stands in exactly the entity's texts, and less the fewer of
 them have it or the more others do, so that neither a chance word of one text of a frequent entity
-nor a common word reaches it, while rare entities count like others. Terms whose disclosure
+nor a common word reaches it, while rare entities count like others. A few co-occurrences are
+no estimate: every rare word of a text stands in just its texts. So the share of terms that chance alone
+would put there is bounded, too. With V terms of the corpus as frequent as t (within a power
+of two) and the entity's texts holding a share p of all (text, word) pairs,
+
+    chance = V * exp(-n_t * KL(n_et / n_t || p)) / (terms of that frequency that disclose the entity)
+
+must be at most ``CHANCE``: the rare words of one text are as many as rare words of any text, so they
+stay, unless texts without the value have hardly any. Terms whose disclosure
 reaches ``GENERALISE`` are generalised wherever they stand in the entity's texts, from
 ``REMOVE`` on removed. Copies of a text are no evidence.
 
+Values with the same set of texts (an address list) are one entity, so one long text costs
+its values plus its words, not their product.
+
 DataFrame functions only. Word counts combine before the shuffle; terms too common to
 reach ``GENERALISE`` for any entity are left out before they are paired with entities, which loses none.
 
@@ -26,6 +37,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from reactorlake.llm.common import stage, table, text_of
 
@@ -40,6 +52,8 @@ PATTERNS = {
 KINDS = (*PATTERNS, "term")
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 GENERALISE, REMOVE = 0.75, 0.95
+#: Largest share of an entity's terms that may be there by chance.
+CHANCE = 0.1
 #: Matches whose places are summed in one go; the rest of long lists is handled block by block.
 BLOCK = 256
 SPLIT_WORDS = r"[^\p{L}\p{N}]+"
@@ -99,7 +113,7 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
 
 
 def _found(rows: DataFrame) -> DataFrame:
@@ -122,22 +136,40 @@ def _disclosure(n_et: Column, n_e: Column, n_t: Column, n: Column) -> Column:
     return F.log2(n_et * n / (n_e * n_t)) / F.greatest(F.log2(n / n_et), F.lit(1e-9))
 
 
+def _entities(values: DataFrame) -> DataFrame:
+    """entity, c1, c2 (128 bits of its set of texts), n_e and width (words of these texts) of
+    every value (key, entity, n_words)."""
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"c{i}") for i in (1, 2)]
+    return values.groupBy("entity").agg(*marks, F.count("*").alias("n_e"), F.sum("n_words").alias("width"))
+
+
 def disclosing(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """key, term, disclosure of the terms that reach ``GENERALISE`` for a value of their text."""
+    """key, term, disclosure of the terms that reach ``GENERALISE`` for a value of their text, and not by chance."""
     total = max(rows.select("key").distinct().count(), 1)
     n = F.lit(float(total))
-    values = held.select("key", F.explode("entities").alias("entity"))
-    entities = stage(values.groupBy("entity").agg(F.count("*").alias("n_e")), "pii-entities")
+    words = stage(rows.dropDuplicates(["key"]).select(_terms("text")).groupBy("term").agg(F.count("*").alias("n_t")), "pii-words")
+    size = F.floor(F.log2("n_t")).cast("int")
+    sizes = words.groupBy(size.alias("size")).agg(F.count("*").alias("v"), F.sum("n_t").alias("tokens")).collect()  # a row per power of two
+    tokens = F.lit(float(max(sum(r.tokens for r in sizes), 1)))
+    kinds = F.create_map(*[F.lit(x) for r in sizes for x in (r["size"], float(r.v))]) if sizes else F.create_map(F.lit(0), F.lit(0.0))
+    listed = F.filter(F.array_distinct(F.split("text", SPLIT_WORDS)), lambda w: w != "")
+    values = held.select("key", F.size(listed).alias("n_words"), F.explode("entities").alias("entity"))
+    entities = stage(_entities(values), "pii-entities")
     most = entities.agg(F.max("n_e")).first()[0] or 0
     # with n_et = min(n_e, n_t), the most that a term can disclose
     bound = _disclosure(F.least("n_e", "n_t"), F.col("n_e"), F.col("n_t"), n) >= GENERALISE - 1e-9
     rarest = total ** (1 - GENERALISE) * most**GENERALISE  # the bound, solved for n_t at the largest n_e
-    words = rows.dropDuplicates(["key"]).select(_terms("text")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= rarest * (1 + 1e-9))
-    terms = held.select("key", _terms("text")).join(words, "term")
-    pairs = stage(terms.join(values.join(entities, "entity"), "key").filter(bound), "pii-pairs")
-    counted = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("n_t").alias("n_t"))
+    terms = held.select("key", _terms("text")).join(words.filter(F.col("n_t") <= rarest * (1 + 1e-9)), "term")
+    classes = values.select("key", "entity").join(entities, "entity").select("key", "c1", "c2", "n_e", "width").distinct()
+    pairs = stage(terms.join(classes, "key").filter(bound), "pii-pairs")
+    counted = pairs.groupBy("c1", "c2", "term").agg(F.count("*").alias("n_et"), *[F.first(c).alias(c) for c in ("n_e", "n_t", "width")])
     told = counted.withColumn("disclosure", _disclosure(F.col("n_et"), F.col("n_e"), F.col("n_t"), n)).filter(F.col("disclosure") >= GENERALISE)
-    return pairs.select("key", "entity", "term").join(told.select("entity", "term", "disclosure"), ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+    told = told.withColumn("size", size).withColumn("alike", F.count("*").over(Window.partitionBy("c1", "c2", "size")))
+    share, p = F.col("n_et") / F.col("n_t"), F.col("width") / tokens
+    rest = F.when(F.col("n_et") < F.col("n_t"), (1 - share) * F.log((1 - share) / F.greatest(1 - p, F.lit(1e-12)))).otherwise(0.0)
+    luck = F.when(share > p, F.exp(-F.col("n_t") * (share * F.log(share / p) + rest))).otherwise(1.0)
+    told = told.filter(F.try_element_at(kinds, F.col("size")) * luck <= CHANCE * F.col("alike"))
+    return pairs.select("key", "c1", "c2", "term").join(told.select("c1", "c2", "term", "disclosure"), ["c1", "c2", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,7 +207,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     plain = [cuts(k, lambda s, put=f"[{k.upper()}]": F.lit(put)) for k in PATTERNS]
     told = cuts("term", lambda s: F.when(s["action"] == "remove", F.lit("")).otherwise(F.lit("[WORD]")))
     marks = marks.select(F.col("id").alias("m_id"), F.col("key").alias("m_key"), F.array_sort(F.concat(*plain, told)).alias("cuts")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("key", F.md5(F.col("text").cast("binary")))
     both = rows.join(marks, F.col("id").eqNullSafe(F.col("m_id")) & (F.col("key") == F.col("m_key")))
 
     def add(acc: Column, s: Column) -> Column:

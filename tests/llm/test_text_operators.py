@@ -340,3 +340,71 @@ def test_levels_stay_few_and_combine():
     assert len(levels.runs) <= 8
     asked = np.arange(5000, dtype=np.uint64)
     assert levels.scan(asked, 9999).tolist() == [best.get(k, 9999) for k in range(5000)]
+
+
+def _pairs_of(monkeypatch, docs):
+    sizes, real = {}, pii.stage
+
+    def spy(df, label, *args):
+        out = real(df, label, *args)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(pii, "stage", spy)
+    pii.find(docs).count()
+    monkeypatch.setattr(pii, "stage", real)
+    return sizes["pii-pairs"]
+
+
+def test_one_long_text_costs_its_values_plus_its_words(spark, monkeypatch):
+    rows = lambda n: [(1, " ".join(f"name{i} u{i}@mail.example" for i in range(n)))] + [(2 + i, f"note {i}") for i in range(20)]
+    small, large = (_pairs_of(monkeypatch, spark.createDataFrame(rows(n), "doc_id long, text string")) for n in (100, 400))
+    assert 0 < small <= 2 * 100 + 10 and large <= 4 * small + 10
+
+
+def test_planted_terms_are_found_and_chance_words_stay(spark):
+    import random
+
+    rng = random.Random(5)
+    chance = lambda k: " ".join(f"w{rng.randrange(40)}" if rng.random() < 0.7 else f"rare{rng.randrange(10**6)}" for _ in range(k))
+    rows = [(i, f"{chance(60)} Zorblax{i % 10} {chance(40)} zorb{i % 10}@mail.example {chance(50)}") for i in range(60)]
+    rows += [(100 + i, f"{chance(90)} solo{i}@mail.example {chance(30)}") for i in range(40)]
+    rows += [(200 + i, chance(rng.randrange(10, 300))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked, words, planted = 0, 0, 0
+    for r in pii.find(docs).collect():
+        text = dict(rows)[r.id]
+        terms = {text[s.start : s.stop] for s in r.term}
+        planted += f"Zorblax{r.id % 10}" in terms
+        marked += sum(t.startswith(("rare", "w")) for t in terms)
+        words += len({w for w in text.split() if w.startswith(("rare", "w"))}) if r.id < 200 else 0
+    assert planted == 60 and marked < 0.05 * words
+
+
+def test_disclosure_equals_its_formula(spark):
+    texts = [f"Zorblax common a{i} from zorb@mail.example" for i in range(4)] + [f"common other b{i} c{i % 3}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    import math
+    import re
+
+    rows = pii._rows(docs, "doc_id", "text")
+    held = pii._found(rows).filter("text IS NOT NULL").select("key", "entities", "text")
+    words = {t: {w for w in re.split(r"[\W_]+", t.lower()) if w} for t in texts}
+    n_t = {w: sum(w in ws for ws in words.values()) for w in set().union(*words.values())}
+    own, tokens = texts[:4], sum(map(len, words.values()))
+    p, want = sum(len(words[t]) for t in own) / tokens, {}
+    size = lambda w: int(math.log2(n_t[w]))
+    told = {}
+    for w in n_t:
+        n_et = sum(w in words[t] for t in own)
+        if n_et:
+            d = math.log2(n_et * 34 / (4 * n_t[w])) / math.log2(34 / n_et)
+            if d >= pii.GENERALISE:
+                told[w] = d, n_et
+    for w, (d, n_et) in told.items():
+        q = n_et / n_t[w]
+        luck = math.exp(-n_t[w] * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0))) if q > p else 1
+        if sum(size(x) == size(w) for x in n_t) * luck <= pii.CHANCE * sum(size(x) == size(w) for x in told):
+            want[w] = d
+    got = {r.term: r.disclosure for r in pii.disclosing(rows, held).collect()}
+    assert "zorblax" in got and got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in got)

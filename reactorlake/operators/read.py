@@ -81,16 +81,28 @@ def locate(df: DataFrame, offset: int, limit: int | None) -> tuple[_dt.date, _dt
     return None if row["newest"] is None else (row["newest"], None if limit is None else row["oldest"], offset - row["before"])
 
 
-def page(df: DataFrame, dataset: Dataset, offset: int, limit: int | None) -> DataFrame:
+def locate_in(days: dict[_dt.date, int], offset: int, limit: int | None) -> tuple[_dt.date, _dt.date | None, int] | None:
+    """``locate`` from known rows per date (one number a day): no data is read."""
+    spot, before = None, 0
+    for day in sorted(days, reverse=True):
+        if spot is None and before + days[day] > offset:
+            spot = (day, offset - before)
+        before += days[day]
+        if spot is not None and limit is not None and before >= offset + limit:
+            return spot[0], day, spot[1]
+    return None if spot is None else (spot[0], None if limit is None else min(days), spot[1])
+
+
+def page(df: DataFrame, dataset: Dataset, offset: int, limit: int | None, days: dict[_dt.date, int] | None = None) -> DataFrame:
     """L2 / L3: rows ``[offset, offset + limit)`` of the total order; past the end -> empty.
 
-    Dated rows are cut to the dates of the page first (``locate``), so each task keeps at
-    most one date's rows more than the page. Tables without a date (the
+    Dated rows are cut to the dates of the page first (``locate``, or ``locate_in`` where the rows per date are
+    known), so each task keeps at most one date's rows more than the page. Tables without a date (the
     dimension) are sorted by key and skipped to the offset.
     """
     order = sort_columns(dataset)
     if dataset.has_date:
-        spot = locate(df, offset, limit)
+        spot = locate(df, offset, limit) if days is None else locate_in(days, offset, limit)
         if spot is None:
             return df.limit(0)
         newest, oldest, offset = spot
@@ -153,21 +165,40 @@ def join_names_whole(facts: DataFrame, plants: DataFrame) -> DataFrame:
     return facts.join(one_name(plants), "facility_id", "left")
 
 
+#: Ids of a name filter up to which they are pushed into the scan as a list.
+PUSHED_IDS = 1000
+
+
+def filter_by_name(facts: DataFrame, plants: DataFrame, named: Column) -> DataFrame:
+    """Facts of the facilities whose name passes ``named`` (a condition on ``facility_name``).
+
+    The dimension is filtered first. Up to ``PUSHED_IDS`` ids go into the scan as a list (row
+    groups without any of them are skipped: facts are stored sorted by facility); more are a semi join, for which
+    Spark broadcasts the ids under its threshold or builds a runtime Bloom filter.
+    """
+    ids = plants.where(named).select("facility_id").distinct()
+    few = [r["facility_id"] for r in ids.limit(PUSHED_IDS + 1).collect()]
+    if len(few) <= PUSHED_IDS:
+        return facts.where(F.col("facility_id").isin(few))
+    return facts.join(ids, "facility_id", "left_semi")
+
+
 def count_rows(df: DataFrame, name: str = "total_count") -> DataFrame:
     """A3 / A4: a 1-row count frame (never a window over the data)."""
     return df.agg(F.count(F.lit(1)).alias(name))
 
 
-def page_metadata(filtered: DataFrame, offset: int, limit: int, requested: int | None = None) -> DataFrame:
+def page_metadata(filtered: DataFrame, offset: int, limit: int, requested: int | None = None, total: int | None = None) -> DataFrame:
     """A3, A4, L4, L5 in one row: ``total_count, offset, limit, returned, next_offset, limit_clamped``.
 
     ``next_offset`` is offset + limit while that is below the total, else NULL;
     ``limit_clamped`` says that more than the maximum was asked for. One count
-    gives all of it: the page itself is not read again.
+    gives all of it: the page itself is not read again. With a known ``total`` nothing is counted.
     """
     nxt = F.lit(offset + limit).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    return count_rows(filtered).select(
+    counted = count_rows(filtered) if total is None else filtered.sparkSession.range(1).select(F.lit(total).cast("bigint").alias("total_count"))
+    return counted.select(
         F.col("total_count"),
         F.lit(offset).cast("bigint").alias("offset"),
         F.lit(limit).cast("bigint").alias("limit"),

@@ -62,3 +62,28 @@ def align(long_df: DataFrame, series_ids: list[str]) -> DataFrame:
     """
     order = F.col("seq") if "seq" in long_df.columns else F.col("outage")
     return long_df.groupBy("date").pivot("series", series_ids).agg(F.max_by("outage", order)).orderBy("date")
+
+
+def align_all(facts: DataFrame, value: str = "outage", key: str = "facility_id") -> DataFrame:
+    """J3 / A9 / F12 for any number of series: each series on a daily spine from its first to its
+    last date, ``key, date, value`` (NULL on days without a row), ``gap`` (days since its last row) and ``day_no``.
+
+    The spine is made per series from its range (a row per day, no collected ids, no column per series);
+    the window runs inside a series, whose length is its number of days.
+    """
+    spans = facts.groupBy(key).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    spine = spans.select(key, "first", F.explode(F.sequence("first", "last")).alias("date"))
+    rows = spine.join(facts.select(key, "date", F.col(value).alias(value), F.col("date").alias("_seen")), [key, "date"], "left")
+    upto = Window.partitionBy(key).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.select(
+        key,
+        "date",
+        value,
+        F.date_diff("date", F.max("_seen").over(upto)).cast("bigint").alias("gap"),
+        F.date_diff("date", "first").cast("bigint").alias("day_no"),
+    )
+
+
+def maps_by_date(facts: DataFrame, value: str = "outage", key: str = "facility_id") -> DataFrame:
+    """The same as one row per date: ``date, series`` (a map key -> value, as large as the day has series)."""
+    return facts.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct(F.col(key), F.col(value)))).alias("series"))

@@ -64,6 +64,32 @@ def merge_latest(target: DataFrame, batch: DataFrame, keys: Sequence[str], seq:
     return last_wins(target.unionByName(batch.select(*target.columns)), keys, seq, keep_seq=True)
 
 
+#: What a batch row does to its key, see ``change_kinds``.
+INSERTED, CHANGED, RENEWED, SAME, OLDER = "inserted", "changed", "renewed", "same", "older"
+
+
+def change_kinds(target: DataFrame, batch: DataFrame, keys: Sequence[str], seq: str = "seq") -> DataFrame:
+    """The change feed of a merge: the batch's rows with their ``kind``, compared null-safely.
+
+    ``inserted``: a new key. ``changed``: other values. ``renewed``: the same values, landed later
+    (only the stored order moves). ``same``: nothing new. ``older``: the stored row landed later and stays. Without ``seq``
+    on both sides a batch row is never older, and equal values are the same. The batch
+    must be one row per key.
+    """
+    values = [c for c in batch.columns if c not in keys and c != seq]
+    ordered = seq in batch.columns and seq in target.columns
+    old = target.select(*keys, F.struct(*[F.col(c) for c in values]).alias("_old"), *([F.struct(F.col(seq)).alias("_order")] if ordered else []))
+    both = batch.join(old, list(keys), "left")
+    equal = F.struct(*[F.col(c) for c in values]).eqNullSafe(F.col("_old"))
+    order = F.struct(F.col(seq)) if ordered else None
+    kind = F.when(F.col("_old").isNull(), INSERTED)
+    if ordered:
+        kind = kind.when(order < F.col("_order"), OLDER).when(equal & (order == F.col("_order")), SAME).when(equal, RENEWED)
+    else:
+        kind = kind.when(equal, SAME)
+    return both.withColumn("kind", kind.otherwise(CHANGED)).drop("_old", "_order")
+
+
 def dimension_from_batch(facility_batch: DataFrame, seq: str = "seq") -> DataFrame:
     """One name per facility id, the most recently landed one (with its order, if the batch has one)."""
     cols = ["facility_id", "facility_name"] + ([seq] if seq in facility_batch.columns else [])

@@ -398,6 +398,52 @@ SQL: dict[str, str] = {
     "full_refresh_absent_landing": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
     "incremental_reread_run": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
     "incremental_flat_correction": _q(_upsert("valid_base", "valid_inc", ["date", "facility_id"], _FACT_OUT), _INC_RAW),
+    "page_walk_pinned": _q(
+        f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage, CAST(rn AS BIGINT) AS row_idx,
+                   CAST(rn // {Q.PAGE_LIMIT} AS BIGINT) AS page_no, CAST(rn % {Q.PAGE_LIMIT} AS BIGINT) AS page_pos
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id) - 1 AS rn FROM valid_fac
+                  WHERE date >= DATE '{Q.DATE_FROM}') f"""
+    ),
+    "stored_page_deep": _q(
+        f"""SELECT {_d('date')} AS date, facility_id, capacity, outage, percent_outage, CAST(rn - 1 - off AS BIGINT) AS page_rank
+            FROM (SELECT *, row_number() OVER (ORDER BY date DESC, facility_id ASC) AS rn,
+                         CAST(floor(COUNT(*) OVER () * {Q.DEEP_SHARE}::DOUBLE) AS BIGINT) AS off FROM facility_outages) f
+            WHERE rn > off AND rn <= off + {Q.DEEP_LIMIT}"""
+    ),
+    "stored_counts": _q(
+        f"""SELECT dataset, date_from, date_to, CAST(n AS BIGINT) AS total_count, CAST({Q.META_OFFSET} AS BIGINT) AS "offset",
+                   CAST({Q.META_LIMIT} AS BIGINT) AS "limit", CAST(LEAST(GREATEST(n - {Q.META_OFFSET}, 0), {Q.META_LIMIT}) AS BIGINT) AS returned,
+                   CASE WHEN {Q.META_OFFSET + Q.META_LIMIT} < n THEN CAST({Q.META_OFFSET + Q.META_LIMIT} AS BIGINT) ELSE -1 END AS next_offset, FALSE AS limit_clamped
+            FROM (SELECT 'facility' AS dataset, NULL AS date_from, NULL AS date_to, COUNT(*) AS n FROM facility_outages
+                  UNION ALL SELECT 'facility', '{Q.DATE_FROM}', '{Q.DATE_TO}', COUNT(*) FROM facility_outages WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}'
+                  UNION ALL SELECT 'facility', '2030-01-01', NULL, COUNT(*) FROM facility_outages WHERE date >= DATE '2030-01-01'
+                  UNION ALL SELECT 'us', NULL, '{Q.EARLY_TO}', COUNT(*) FROM us_outages WHERE date <= DATE '{Q.EARLY_TO}'
+                  UNION ALL SELECT 'plants', NULL, NULL, COUNT(*) FROM plants) c"""
+    ),
+    "filter_by_name": _facts("facility_id IN (SELECT facility_id FROM plants WHERE contains(facility_name, '5'))"),
+    "series_all_long": _q(
+        f"""SELECT facility_id, {_d('day')} AS date, outage,
+                   CAST(day - MAX(date) OVER (PARTITION BY facility_id ORDER BY day) AS BIGINT) AS gap, CAST(day - first AS BIGINT) AS day_no
+            FROM (SELECT s.facility_id, s.day, s.first, f.date, f.outage
+                  FROM (SELECT facility_id, first, CAST(unnest(generate_series(first, last, INTERVAL 1 DAY)) AS DATE) AS day
+                        FROM (SELECT facility_id, MIN(date) AS first, MAX(date) AS last FROM facility_outages GROUP BY facility_id) r) s
+                  LEFT JOIN facility_outages f ON f.facility_id = s.facility_id AND f.date = s.day) j"""
+    ),
+    "series_by_date": _q(
+        f"""SELECT {_d('date')} AS date, CAST(COUNT(*) AS BIGINT) AS n_series,
+                   string_agg(facility_id || ':' || printf('%.2f', percent_outage), ';' ORDER BY facility_id) AS series
+            FROM facility_outages GROUP BY date"""
+    ),
+    "upsert_changes": _q(
+        f"""SELECT {_d('b.date')} AS date, b.facility_id, b.outage,
+                   CASE WHEN t.date IS NULL THEN 'inserted'
+                        WHEN b.capacity IS NOT DISTINCT FROM t.capacity AND b.outage IS NOT DISTINCT FROM t.outage
+                             AND b.percent_outage IS NOT DISTINCT FROM t.percent_outage THEN 'same' ELSE 'changed' END AS kind
+            FROM (SELECT * FROM fac_inc UNION ALL
+                  SELECT date, facility_id, capacity, CASE WHEN day(date) = 1 THEN NULL ELSE outage END, percent_outage
+                  FROM facility_outages WHERE date <= DATE '{Q.DATE_FROM}') b
+            LEFT JOIN facility_outages t ON t.date = b.date AND t.facility_id = b.facility_id"""
+    ),
     "stream_gap_filled": _q(f"SELECT {_FACT_OUT} FROM valid_fac"),
     "landed_broken_pages": _q(
         f"""SELECT run, state, reason, CAST(COUNT(*) AS BIGINT) AS pages, CAST(COUNT(place) AS BIGINT) AS placed FROM (

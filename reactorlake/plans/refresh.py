@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from reactorlake.errors import ProcessingError
 from reactorlake.functions.dates import parse_date
 from reactorlake.operators.clean import REQUIRED, coercion_failures, drop_name, quarantine, transform_records
-from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, merge_latest
+from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, merge_latest
 from reactorlake.schemas import DATASETS, PAGE_SIZE
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, page_infos, page_states, pages_in, read_pages, records_from_pages
@@ -232,7 +232,7 @@ def _count_and_newest(df: DataFrame) -> tuple[int, _dt.date | None]:
 def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) -> tuple[int, int, _dt.date | None]:
     """Merge one transformed facility batch (with ``seq``) into the facts and
     the dimension in landing order, then publish. An absent table is created from the batch (M1);
-    only months present in the batch are rewritten, into new folders. An
+    only months in which the batch changes something are rewritten, into new folders. An
     empty batch changes nothing and returns zero rows. Rows count after the
     last-wins dedupe, as in a full load."""
     facts = materialize(drop_name(last_wins(fac, MERGE_KEYS["facility_outages"], keep_seq=True)), "facts-batch")
@@ -243,9 +243,13 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
     if not wh.base_exists("facility_outages"):
         wh.overwrite_base("facility", facts)
     else:
-        months = _months(facts)
-        current = wh.load_base("facility", months=months, with_seq=True)  # only the touched months are read
-        wh.replace_months("facility", merge_latest(current, facts, MERGE_KEYS["facility_outages"]), months)
+        current = wh.load_base("facility", months=_months(facts), with_seq=True)  # only the touched months are read
+        kinds = change_kinds(current, facts, MERGE_KEYS["facility_outages"])
+        news = materialize(kinds.where(~F.col("kind").isin(SAME, OLDER)).drop("kind"), "facts-news")
+        months = _months(news)
+        if months:  # a replayed or older batch rewrites nothing
+            current = wh.load_base("facility", months=months, with_seq=True)
+            wh.replace_months("facility", merge_latest(current, news, MERGE_KEYS["facility_outages"]), months)
     if not wh.base_exists("plants"):
         wh.overwrite_base("plants", plants)
     else:

@@ -20,8 +20,9 @@ from reactorlake.functions.numbers import coerce_double
 from reactorlake.operators import clean as C
 from reactorlake.operators import display as V
 from reactorlake.operators import read as R
+from reactorlake.operators import series as SR
 from reactorlake.operators.numbering import number_pages
-from reactorlake.operators.upsert import MERGE_KEYS, dimension_from_batch, last_wins, upsert
+from reactorlake.operators.upsert import MERGE_KEYS, change_kinds, dimension_from_batch, last_wins, upsert
 from reactorlake.plans import compare as CMP
 from reactorlake.plans import refresh as RF
 from reactorlake.plans import service as SV
@@ -217,9 +218,50 @@ def page_records(spark, sf):
     return SV.page_records(SV.get_dataset(frames, "facility", None, None, FACILITY, 0, 25))
 
 
+def page_walk_pinned(spark, sf):
+    """All pages of the version that a reader has pinned, walked after three refreshes have replaced it."""
+    root = shared_root(spark)
+    landing, wh = _late_run(spark, sf, root)
+    RF.refresh(spark, landing, wh)
+    token = wh.pin()
+    for run in (10, 11, 12):
+        later = A.increment(A.facility_outages(spark, sf)).withColumn("outage", F.col("outage") + run)
+        L.write_pages(A.raw_records_from(later, A.plants(spark, sf)), f"{landing.facility}/run-{run}")
+        RF.refresh(spark, landing, wh, lookback_days=ALL_DAYS)
+    return SV.all_pages(wh.at(token), "facility", DATE_FROM, None, None, PAGE_LIMIT).drop("facility_name")
+
+
+def stored_page_deep(spark, sf):
+    """L2 over a stored table: the page is found by the manifest's rows per date, only its months are opened."""
+    wh = Warehouse(spark, f"{shared_root(spark)}/warehouse")
+    wh.save_snapshot("facility", A.facility_outages(spark, sf))
+    offset = int(wh.row_count("facility") * DEEP_SHARE)
+    return SV.get_dataset(wh, "facility", None, None, None, offset, DEEP_LIMIT, max_limit=DEEP_LIMIT).data
+
+
+def stored_counts(spark, sf):
+    """A3-A5 of stored tables: the metadata of whole, bounded and empty reads, from the manifests."""
+    wh = Warehouse(spark, f"{shared_root(spark)}/warehouse")
+    for name, frame in _frames(spark, sf).frames.items():
+        wh.save_snapshot(name, frame)
+    out = None
+    for name, start, end in (("facility", None, None), ("facility", DATE_FROM, DATE_TO), ("facility", "2030-01-01", None), ("us", None, EARLY_TO), ("plants", None, None)):
+        meta = SV.get_dataset(wh, name, start, end, None, META_OFFSET, META_LIMIT).meta
+        row = meta.select(F.lit(name).alias("dataset"), F.lit(start).cast("string").alias("date_from"), F.lit(end).cast("string").alias("date_to"), "*")
+        row = row.withColumn("next_offset", F.coalesce("next_offset", F.lit(-1).cast("bigint")))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- joins ---------------------------------------------------------------------
 
 
+def filter_by_name(spark, sf):
+    """P11 on the dimension: facts of the facilities whose name holds a digit five."""
+    facts = R.filter_by_name(A.facility_outages(spark, sf), A.plants(spark, sf), F.contains("facility_name", F.lit("5")))
+    return _text_dates(facts, "date")
+
+
 def facility_with_names(spark, sf):
     return _text_dates(R.join_names_whole(A.facility_outages(spark, sf), A.plants(spark, sf)), "date")
 
@@ -273,6 +315,18 @@ def series_without_us(spark, sf):
     return CMP.compare_series(_frames(spark, sf), SERIES_PICK, CHART_FROM, CHART_TO, include_us=False, newest=CMP.chart_limit(CHART_FROM, CHART_TO), max_series=CHART_SERIES)
 
 
+def series_all_long(spark, sf):
+    """J3 / A9 over every facility: daily spines, with the gaps."""
+    return _text_dates(SR.align_all(A.facility_outages(spark, sf)), "date")
+
+
+def series_by_date(spark, sf):
+    """Every facility's outage of a date in one map, as JSON in key order."""
+    maps = SR.maps_by_date(A.facility_outages(spark, sf), "percent_outage")
+    text = F.transform(F.array_sort(F.map_entries("series")), lambda e: F.concat(e["key"], F.lit(":"), F.format_number(e["value"], 2)))
+    return _text_dates(maps.select("date", F.cardinality("series").cast("bigint").alias("n_series"), F.array_join(text, ";").alias("series")), "date")
+
+
 def clamp_range(spark, sf):
     """F4-F9 and L9 over one range per facility and year (first to last day)."""
     fac = A.facility_outages(spark, sf)
@@ -412,6 +466,14 @@ def upsert_plants(spark, sf):
     return upsert(base, dimension_from_batch(batch), MERGE_KEYS["plants"])
 
 
+def upsert_changes(spark, sf):
+    """M1's change feed: doubled, moved and unchanged rows, with what each does to its key."""
+    base = A.facility_outages(spark, sf)
+    inc = A.increment(base)
+    same = base.where(F.col("date") <= DATE_FROM).withColumn("outage", F.when(F.dayofmonth("date") == 1, F.lit(None)).otherwise(F.col("outage")))
+    return _text_dates(change_kinds(base, inc.unionByName(same), MERGE_KEYS["facility_outages"]).select("date", "facility_id", "kind", "outage"), "date")
+
+
 def upsert_last_wins(spark, sf):
     base = A.facility_outages(spark, sf)
     inc = A.increment(base)
@@ -814,4 +876,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "refresh_quality_report": refresh_quality_report,
     "stream_gap_filled": stream_gap_filled,
     "stream_late_rows": stream_late_rows,
+    "page_walk_pinned": page_walk_pinned,
+    "stored_page_deep": stored_page_deep,
+    "stored_counts": stored_counts,
+    "filter_by_name": filter_by_name,
+    "series_all_long": series_all_long,
+    "series_by_date": series_by_date,
+    "upsert_changes": upsert_changes,
 }

@@ -21,11 +21,15 @@ from reactorlake.functions.labels import record_json
 from reactorlake.operators import read as R
 from reactorlake.operators.numbering import number_pages
 from reactorlake.schemas import DATASETS, DEFAULT_LIMIT, MAX_LIMIT, resolve
+from reactorlake.sources.tables import READ_ERRORS
 
 
 class Catalog(Protocol):
     def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
-        """The dataset; date bounds are a pruning hint (callers still filter)."""
+        """The dataset; date bounds are a pruning hint (callers still filter).
+
+        A catalog that knows them also has ``rows_per_date(name, date_from, date_to)`` and
+        ``row_count(name)``; pages and counts are then found without reading the facts."""
         ...
 
 
@@ -123,6 +127,17 @@ def _plants_or_none(catalog: Catalog) -> DataFrame | None:
         return None
 
 
+def _known_rows(catalog: Catalog, args: ReadArgs) -> tuple[dict | None, int | None]:
+    """(rows per date, total rows) of a read, where the catalog knows them without reading the table."""
+    ds = DATASETS[args.dataset]
+    if args.facility_id is not None or not hasattr(catalog, "rows_per_date"):
+        return None, None
+    if not ds.has_date:
+        return None, catalog.row_count(ds.public)
+    days = catalog.rows_per_date(ds.public, args.date_from, args.date_to)
+    return days, None if days is None else sum(days.values())
+
+
 def get_dataset(
     catalog: Catalog,
     dataset: str,
@@ -136,14 +151,19 @@ def get_dataset(
     args = check_args(dataset, date_from, date_to, facility_id, offset, limit, max_limit)
     ds = DATASETS[args.dataset]
     filtered = filtered_rows(catalog, args)
+    days, total = _known_rows(catalog, args)
+    if days is not None:
+        spot = R.locate_in(days, args.offset, args.limit)
+        if spot is not None:  # only the months of the page are opened
+            filtered = catalog.load(ds.storage, spot[1], spot[0])
     # The page (at most max_limit rows) is read once and held by the driver: the name
     # join needs its ids, and neither it nor the count scans the facts for the page again.
     try:
-        found = R.page(filtered, ds, args.offset, args.limit)
+        found = R.page(filtered, ds, args.offset, args.limit, days)
         pg = filtered.sparkSession.createDataFrame(found.collect(), found.schema)
-    except Exception as exc:  # files that are gone or broken show only when they are read
+    except READ_ERRORS as exc:  # files that are gone or broken show only when they are read
         raise ProcessingError(f"{ds.public} can't be read") from exc
-    meta = R.page_metadata(filtered, args.offset, args.limit, args.requested)
+    meta = R.page_metadata(filtered, args.offset, args.limit, args.requested, total)
     data = pg
     if ds.public == "facility":
         data = R.join_names(data, _plants_or_none(catalog))

@@ -9,9 +9,11 @@ under the session's ``spark.checkpoint.dir``)::
     state/manifest-<n>.json                watermarks
     progress/<table>/manifest-<n>.json     folders that hold the states of landed pages
     rejected/<table>/manifest-<n>.json     folders that hold what refreshes rejected or could not convert
+    pins/<token>.json                      manifests that a reader holds on to, and until when
 
 A manifest lists, per month (one entry for tables without months), the folder
-that holds it and its rows. A write puts its files into a new folder and then switches the
+that holds it, its rows and the rows of each of its dates: counts and places of pages are read from it (at most one number
+per day, whatever the rows). A write puts its files into a new folder and then switches the
 manifest, the only step readers notice: a crash before it leaves the old table
 whole. Publishing copies the base table's manifest, not its files. These are
 plain parquet folders with a pointer file, not a transaction log: one writer at
@@ -28,6 +30,8 @@ import re
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,8 @@ MONTH_COL = "ym"
 SEQ_COL = "seq"
 #: The single part of a table without months.
 WHOLE = "all"
+#: What Spark raises for files that are gone or can't be read (and broken JSON of a manifest).
+READ_ERRORS = (PySparkException, Py4JError, json.JSONDecodeError, OSError)
 #: Folders of a log from which on they are written together as one.
 LOG_FOLDERS = 8
 
@@ -132,7 +138,11 @@ def read_manifest(spark: SparkSession, path: str, number: int | None = None) ->
     numbers = _numbers(spark, path)
     if not numbers:
         return None
-    fs, p = _fs_path(spark, f"{path}/manifest-{numbers[-1] if number is None else number:06d}.json")
+    return _read_json(spark, f"{path}/manifest-{numbers[-1] if number is None else number:06d}.json")
+
+
+def _read_json(spark: SparkSession, path: str) -> dict:
+    fs, p = _fs_path(spark, path)
     stream = fs.open(p)
     try:
         return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
@@ -140,27 +150,36 @@ def read_manifest(spark: SparkSession, path: str, number: int | None = None) ->
         stream.close()
 
 
+def _write_json(spark: SparkSession, path: str, value: dict) -> None:
+    fs, p = _fs_path(spark, path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(json.dumps(value, sort_keys=True).encode())
+    finally:
+        stream.close()
+
+
 def switch_manifest(spark: SparkSession, path: str, parts: dict[str, dict]) -> None:
     """Make ``parts`` the table: written aside, then renamed into place."""
     number = (_numbers(spark, path) or [0])[-1] + 1
-    fs, aside = _fs_path(spark, f"{path}/.manifest-{uuid.uuid4().hex}")
+    aside_path = f"{path}/.manifest-{uuid.uuid4().hex}"
+    _write_json(spark, aside_path, parts)
+    fs, aside = _fs_path(spark, aside_path)
     _, target = _fs_path(spark, f"{path}/manifest-{number:06d}.json")
-    stream = fs.create(aside, True)
-    try:
-        stream.write(json.dumps(parts, sort_keys=True).encode())
-    finally:
-        stream.close()
     if not fs.rename(aside, target):
         raise ProcessingError(f"could not switch the manifest in {path}")
 
 
-def drop_old_manifests(spark: SparkSession, path: str, keep: int = 2) -> set[str]:
-    """Remove manifests older than the newest ``keep``; the folders that the others use."""
+def drop_old_manifests(spark: SparkSession, path: str, keep: int = 2, held: set[int] | None = None) -> set[str]:
+    """Remove manifests older than the newest ``keep`` that nobody holds; the folders that the others use."""
     used: set[str] = set()
     numbers = _numbers(spark, path)
-    for n in numbers[-keep:]:
+    stay = {*numbers[-keep:], *(n for n in numbers if n in (held or ()))}
+    for n in stay:
         used |= {part["folder"] for part in (read_manifest(spark, path, n) or {}).values() if "folder" in part}
-    for n in numbers[:-keep]:
+    for n in numbers:
+        if n in stay:
+            continue
         fs, p = _fs_path(spark, f"{path}/manifest-{n:06d}.json")
         fs.delete(p, False)
     return used
@@ -186,12 +205,20 @@ def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Datase
     rows = df.select(*dataset.schema.names, *[c for c in (SEQ_COL,) if c in df.columns])
     if not dataset.partition_by_month:
         rows.write.mode("error").option("compression", "snappy").parquet(folder)
-        return {WHOLE: {"folder": folder, "rows": spark.read.schema(dataset.schema).parquet(folder).count()}}
+        written = spark.read.schema(dataset.schema).parquet(folder)
+        if not dataset.has_date:
+            return {WHOLE: {"folder": folder, "rows": written.count()}}
+        days = {str(r["date"]): r["count"] for r in written.groupBy("date").count().collect()}  # one row per date
+        return {WHOLE: {"folder": folder, "rows": sum(days.values()), "days": days}}
     laid = with_month(rows).hint("rebalance", MONTH_COL).sortWithinPartitions(MONTH_COL, *[F.col(k) for k in reversed(dataset.keys)])
     laid.write.mode("error").partitionBy(MONTH_COL).option("compression", "snappy").parquet(folder)
     schema = T.StructType([*dataset.schema.fields, T.StructField(MONTH_COL, T.StringType())])
-    counts = spark.read.schema(schema).parquet(folder).groupBy(MONTH_COL).count().collect()  # one row per month written
-    return {r[MONTH_COL]: {"folder": f"{folder}/{MONTH_COL}={r[MONTH_COL]}", "rows": r["count"]} for r in counts}
+    parts: dict[str, dict] = {}
+    for r in spark.read.schema(schema).parquet(folder).groupBy(MONTH_COL, "date").count().collect():  # one row per date written
+        part = parts.setdefault(r[MONTH_COL], {"folder": f"{folder}/{MONTH_COL}={r[MONTH_COL]}", "rows": 0, "days": {}})
+        part["rows"] += r["count"]
+        part["days"][str(r["date"])] = r["count"]
+    return parts
 
 
 # ---------------------------------------------------------------------------
@@ -223,6 +250,44 @@ def read_parts(
     return spark.read.schema(schema).parquet(*folders)
 
 
+def rows_per_date(parts: dict[str, dict], date_from: _dt.date | None = None, date_to: _dt.date | None = None) -> dict[_dt.date, int] | None:
+    """Rows of each date within the bounds, from a manifest; None where it does not know (rows without a date)."""
+    if any("days" not in part or "None" in part["days"] for part in parts.values()):
+        return None
+    days = {_dt.date.fromisoformat(d): n for part in parts.values() for d, n in part["days"].items()}
+    return {d: n for d, n in days.items() if (date_from is None or d >= date_from) and (date_to is None or d <= date_to)}
+
+
+class Snapshot:
+    """The published tables as some manifests list them: a catalog for the read service."""
+
+    def __init__(self, spark: SparkSession, parts_of: Callable[[str], dict[str, dict] | None]):
+        self.spark, self._parts_of = spark, parts_of
+
+    def _parts(self, name: str) -> dict[str, dict]:
+        ds = resolve(name)
+        try:
+            parts = self._parts_of(ds.storage)
+        except READ_ERRORS as exc:  # a broken manifest
+            raise ProcessingError(f"the snapshot of {ds.public} can't be read") from exc
+        if parts is None:
+            raise DataNotFoundError(f"no published data for {ds.public}")
+        return parts
+
+    def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
+        parts = self._parts(name)
+        try:
+            return read_parts(self.spark, parts, resolve(name), date_from, date_to)
+        except READ_ERRORS as exc:  # a folder that is gone
+            raise ProcessingError(f"the snapshot of {resolve(name).public} can't be read") from exc
+
+    def rows_per_date(self, name: str, date_from=None, date_to=None) -> dict[_dt.date, int] | None:
+        return rows_per_date(self._parts(name), date_from, date_to)
+
+    def row_count(self, name: str) -> int:
+        return sum(part["rows"] for part in self._parts(name).values())
+
+
 class Warehouse:
     """Paths and read/write entry points for one warehouse root."""
 
@@ -300,19 +365,59 @@ class Warehouse:
         return read_parts(self.spark, parts, ds, months=months, with_seq=with_seq)
 
     def load_snapshot(self, name: str, date_from=None, date_to=None) -> DataFrame:
-        ds = resolve(name)
-        try:
-            parts = self.snapshot_parts(ds.storage)
-            if parts is not None:
-                return read_parts(self.spark, parts, ds, date_from, date_to)
-        except Exception as exc:  # a broken manifest or a folder that is gone
-            raise ProcessingError(f"the snapshot of {ds.public} can't be read") from exc
-        raise DataNotFoundError(f"no published data for {ds.public}")
+        return self.current().load(name, date_from, date_to)
 
     # catalog protocol used by the read service: readers see published snapshots
+    def current(self) -> Snapshot:
+        return Snapshot(self.spark, self.snapshot_parts)
+
     def load(self, name: str, date_from=None, date_to=None) -> DataFrame:
         return self.load_snapshot(name, date_from, date_to)
 
+    def rows_per_date(self, name: str, date_from=None, date_to=None) -> dict[_dt.date, int] | None:
+        return self.current().rows_per_date(name, date_from, date_to)
+
+    def row_count(self, name: str) -> int:
+        return self.current().row_count(name)
+
+    # Reads of one version
+    def pin(self, hold: _dt.timedelta = _dt.timedelta(hours=1)) -> str:
+        """A token for the tables as they are published now. Their files stay for ``hold``, whatever is published since."""
+        numbers = {ds.storage: (_numbers(self.spark, self.snapshot_dir(ds.storage)) or [None])[-1] for ds in DATASETS.values()}
+        token = uuid.uuid4().hex
+        _write_json(self.spark, f"{self.root}/pins/{token}.json", {"until": (_dt.datetime.now(_dt.UTC) + hold).isoformat(), "manifests": numbers})
+        return token
+
+    def at(self, token: str) -> Snapshot:
+        """The tables that ``pin`` has given the token for."""
+        pin = _read_json(self.spark, f"{self.root}/pins/{token}.json") if path_exists(self.spark, f"{self.root}/pins/{token}.json") else None
+        if pin is None:
+            raise DataNotFoundError("the pinned version is unknown or no longer held")
+
+        def parts_of(storage: str) -> dict[str, dict] | None:
+            number = pin["manifests"].get(storage)
+            return None if number is None else read_manifest(self.spark, self.snapshot_dir(storage), number)
+
+        return Snapshot(self.spark, parts_of)
+
+    def release(self, token: str) -> None:
+        fs, p = _fs_path(self.spark, f"{self.root}/pins/{token}.json")
+        fs.delete(p, False)
+
+    def _pinned(self) -> dict[str, set[int]]:
+        """The manifests per table that are held; pins that have run out are removed."""
+        fs, p = _fs_path(self.spark, f"{self.root}/pins")
+        held: dict[str, set[int]] = {}
+        for st in fs.listStatus(p) if fs.exists(p) else []:
+            path = st.getPath().toString()
+            pin = _read_json(self.spark, path)
+            if _dt.datetime.fromisoformat(pin["until"]) < _dt.datetime.now(_dt.UTC):
+                fs.delete(st.getPath(), False)
+                continue
+            for storage, number in pin["manifests"].items():
+                held.setdefault(storage, set()).add(number)
+        return held
+
     # S9
     def overwrite_base(self, name: str, df: DataFrame) -> int:
         """Replace a base table; its number of rows."""
@@ -357,8 +462,10 @@ class Warehouse:
 
     def drop_unused(self, keep: int = 2) -> None:
         """Remove old manifests and the writes that no kept manifest uses."""
+        held = self._pinned()
         for ds in DATASETS.values():
-            used = drop_old_manifests(self.spark, self.base_dir(ds.storage), keep) | drop_old_manifests(self.spark, self.snapshot_dir(ds.storage), keep)
+            used = drop_old_manifests(self.spark, self.base_dir(ds.storage), keep)
+            used |= drop_old_manifests(self.spark, self.snapshot_dir(ds.storage), keep, held.get(ds.storage))
             self._drop_writes(f"{self.root}/data/{ds.storage}", used)
             for log in (f"progress/{ds.storage}", f"rejected/{ds.storage}"):
                 self._drop_writes(f"{self.root}/data/{log}", drop_old_manifests(self.spark, f"{self.root}/{log}", keep))

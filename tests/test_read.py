@@ -282,3 +282,59 @@ def test_argument_faults_agree_with_the_checked_read(spark):
         except ValidationError as exc:
             assert r["fault"] is not None, r
             assert {"dataset": "Invalid dataset", "date_from": "date_from format", "date_to": "date_to format", "range": "before it starts", "facility_id": "only allowed"}[r["fault"]] in str(exc)
+
+
+def _stored(spark, scratch, rows):
+    from reactorlake.sources.tables import Warehouse
+
+    wh = Warehouse(spark, f"{scratch}/wh")
+    fac = spark.createDataFrame(rows, "date date, facility_id string, capacity double, outage double, percent_outage double")
+    wh.save_snapshot("facility", fac)
+    return wh, fac
+
+
+def test_stored_pages_and_counts_come_from_the_manifest(spark, scratch):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i % 70), f"F{i // 70}", 1.0, float(i), 1.0) for i in range(280)]
+    wh, fac = _stored(spark, scratch, rows)
+    full = [(r["date"].isoformat(), r["facility_id"]) for r in fac.orderBy(fac.date.desc(), "facility_id").collect()]
+    days = wh.rows_per_date("facility")
+    assert sum(days.values()) == wh.row_count("facility") == 280
+    for offset, limit in ((0, 5), (100, 30), (3, 1), (273, 7), (279, 1), (280, 5), (1000, 5)):
+        assert R.locate_in(days, offset, limit) == R.locate(fac, offset, limit)
+        res = get_dataset(wh, "facility", offset=offset, limit=limit)
+        assert [(r["date"], r["facility_id"]) for r in res.data.collect()] == full[offset : offset + limit]
+        meta = res.meta.first()
+        assert (meta["total_count"], meta["returned"]) == (280, len(full[offset : offset + limit]))
+        assert "parquet" not in res.meta._jdf.queryExecution().executedPlan().toString().lower()
+    assert R.locate_in(days, 9, None) == R.locate(fac, 9, None)
+    part = get_dataset(wh, "facility", "2024-02-01", "2024-02-10", limit=7)
+    assert part.meta.first()["total_count"] == 40 and part.data.count() == 7
+
+
+def test_pinned_reads_outlive_later_versions(spark, scratch):
+    rows = [(dt.date(2024, 1, 1) + dt.timedelta(days=i), "F", 1.0, float(i), 1.0) for i in range(5)]
+    wh, fac = _stored(spark, scratch, rows)
+    token, short = wh.pin(), wh.pin(dt.timedelta(seconds=-1))
+    frame = wh.at(token).load("facility")
+    for i in range(4):
+        wh.save_snapshot("facility", fac.withColumn("outage", fac.outage + i + 1))
+        wh.drop_unused()
+    assert sorted(r["outage"] for r in wh.at(token).load("facility").collect()) == [0.0, 1.0, 2.0, 3.0, 4.0]
+    assert frame.count() == 5 and wh.load("facility").agg({"outage": "min"}).first()[0] == 4.0
+    with pytest.raises(DataNotFoundError):
+        wh.at(short)
+    wh.release(token)
+    wh.drop_unused()
+    with pytest.raises(DataNotFoundError):
+        wh.at(token)
+
+
+def test_name_filter_pushes_few_ids_and_joins_many(spark, facility_df, plants_df, monkeypatch):
+    from pyspark.sql import functions as F
+
+    facts, named = facility_df.drop("facility_name"), F.col("facility_name").isin("Plant A", "Plant C")
+    want = sorted((r["date"], r["facility_id"]) for r in facts.collect() if r["facility_id"] in ("F001", "F003"))
+    assert sorted((r["date"], r["facility_id"]) for r in R.filter_by_name(facts, plants_df, named).collect()) == want
+    monkeypatch.setattr(R, "PUSHED_IDS", 1)
+    assert sorted((r["date"], r["facility_id"]) for r in R.filter_by_name(facts, plants_df, named).collect()) == want
+    assert R.filter_by_name(facts, plants_df, F.lit(False)).count() == 0

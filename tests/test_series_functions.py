@@ -147,3 +147,16 @@ def test_numbering_property(spark, rows):
     ours = {(r["d"], r["k"]): r["row_idx"] for r in number_rows(df, order, partitions=3).collect()}
     expected = {key: i for i, key in enumerate(sorted(rows, key=lambda t: (-t[0], t[1])))}
     assert ours == expected
+
+
+def test_every_series_on_its_own_daily_spine(spark):
+    import datetime as dt
+
+    from reactorlake.operators.series import align_all, maps_by_date
+
+    d = lambda i: dt.date(2024, 1, i)
+    facts = spark.createDataFrame([(d(1), "a", 1.0), (d(4), "a", None), (d(5), "a", 5.0), (d(3), "b", 3.0)], "date date, facility_id string, outage double")
+    got = sorted(tuple(r) for r in align_all(facts).collect())
+    assert got == [("a", d(1), 1.0, 0, 0), ("a", d(2), None, 1, 1), ("a", d(3), None, 2, 2), ("a", d(4), None, 0, 3), ("a", d(5), 5.0, 0, 4), ("b", d(3), 3.0, 0, 0)]
+    assert {r["date"]: r["series"] for r in maps_by_date(facts).collect()}[d(4)] == {"a": None}
+    assert align_all(facts.where("false")).count() == 0

@@ -10,24 +10,26 @@ exact Jaccard similarity of shingle sets and returns classes
 (``linking.link_classes``); equal sets are one class beforehand.
 
 ``edited_fingerprints`` needs the next document by descending id. Ids are cut
-into balanced ranges (a histogram of at most ``BINS`` rows reaches the driver),
-each range is sorted and streamed, and its last document gets the first one of
+into ranges at their approximate quantiles (rows without an id by their text's hash), so ranges balance
+by rows however the ids lie. Each range is sorted and streamed, and its last document gets the first one of
 the next range as a copied tail row; texts are shuffled once.
 
 Defined cases: null text is empty; a text without words has no shingles, the
 fingerprint of ``f`` digits only, and is 1.0 like another such text. Shorter texts
-than five words are one shingle. Null ids come last, ties in text order; the next document of the
-only row is itself. Empty input gives an empty result. Extra columns are ignored.
+than five words are one shingle. Null ids come last; equal and null ids are ordered by their text's hash, then text. The
+next document of the only row is itself. Empty input gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.llm.common import map_arrow, slices, stage, table, text_of
@@ -37,7 +39,8 @@ WIDTH = 5
 PERMUTATIONS = 128
 BAND = 4
 PERCENT = 80
-BINS = 4096
+#: Accuracy of the quantiles, in ranges: a range is at most about a tenth of its share too large.
+ACCURACY = 10
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -76,41 +79,43 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), run, f"id {kind}, fingerprint string, bands array<string>")
 
 
-def _ranges(ids: DataFrame, parts: int) -> tuple[float, float, list[int], list[int | None]]:
-    """(largest id, bin width, bin -> range, first id of each range), in descending order."""
-    low, high, nulls = ids.agg(F.min("id"), F.max("id"), F.count(F.when(F.col("id").isNull(), 1))).first()
-    if high is None:
-        return 0.0, 1.0, [0], [None]
-    width = max(1.0, (float(high) - float(low)) / (BINS - 1))
-    bins = ids.filter("id IS NOT NULL").groupBy(F.floor((F.lit(float(high)) - F.col("id").cast("double")) / F.lit(width)).cast("int").alias("bin")).agg(F.count("*").alias("n"), F.max("id").alias("first")).collect()
-    total, done, firsts, of = sum(b.n for b in bins), 0, [], {}
-    for b in sorted(bins, key=lambda r: r.bin):
-        if len(firsts) * total <= done * parts:
-            firsts.append(b.first)
-        of[b.bin] = len(firsts) - 1
-        done += b.n
-    if nulls:
-        firsts.append(None)
-    return float(high), width, [of.get(i, 0) for i in range(max(of) + 1)], firsts
+def _in_ranges(rows: DataFrame, parts: int) -> tuple[DataFrame, int]:
+    """``rows`` (id, text) with their hash, an ascending order key (o_null, o_id, hash) and ``part``: ``parts`` ranges of
+    ids with like numbers of rows, then ranges of hashes for rows without an id; and how many parts there may be."""
+    from pyspark.ml.feature import Bucketizer
+
+    cuts = [i / parts for i in range(1, parts)] or [0.5]
+    total, nulls, marks = rows.agg(F.count("*"), F.count_if(F.col("id").isNull()), F.approx_percentile("id", cuts, ACCURACY * (parts + 1))).first()
+    bounds = sorted({float(x) for x in marks or []}) or [0.0]
+    free = math.ceil(nulls * parts / total) if nulls else 0
+    keyed = rows.withColumns({"hash": F.xxhash64("text"), "o_null": F.col("id").isNull(), "o_id": F.bitwise_not("id"), "__at": F.coalesce(F.col("id").cast("double"), F.lit(0.0))})
+    cut = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__at", outputCol="__bucket").transform(keyed)
+    spread = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * max(free, 1))
+    part = F.when(F.col("o_null"), len(bounds) + 1 + F.least(spread, F.lit(max(free - 1, 0)))).otherwise(len(bounds) - F.col("__bucket"))
+    return cut.withColumn("part", part.cast("int")).drop("__at", "__bucket"), len(bounds) + 1 + free
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document, see the module text: doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    parts = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    high, width, of_bin, firsts = _ranges(rows.select("id"), parts)
-    bin_ = F.floor((F.lit(high) - F.col("id").cast("double")) / F.lit(width)).cast("int")
-    part = F.when(F.col("id").isNull(), F.lit(len(firsts) - 1)).otherwise(F.get(F.lit(of_bin), bin_))
-    rows = rows.withColumn("part", part).withColumn("tail", F.lit(False))
-    first = F.get(F.array(*[F.lit(x).cast("long") for x in firsts]), F.col("part"))
-    before = F.pmod(F.col("part") - 1, F.lit(len(firsts)))
-    here, there = F.struct("part", "tail"), F.struct(before.alias("part"), F.lit(True).alias("tail"))
-    rows = rows.withColumn("spot", F.explode(F.when(F.col("id").eqNullSafe(first), F.array(here, there)).otherwise(F.array(here))))
-    rows = rows.select("spot.part", "spot.tail", "id", "text")
-    ordered = rows.repartition(len(firsts), "part").sortWithinPartitions("part", "tail", F.col("id").desc_nulls_last(), "text")
-    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    rows, parts = _in_ranges(rows, 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    order = ["o_null", "o_id", "hash"]
+    firsts = rows.groupBy("part").agg(F.min(F.struct(*order)).alias("o")).sort("part").collect()  # at most one row per part
+    of = {r.part: r.o for r in firsts}
+    before = {r.part: firsts[i - 1].part for i, r in enumerate(firsts)}
+
+    def by_part(values: list[int | None]) -> Column:  # one folded literal, whatever the number of parts
+        return F.get(F.from_json(F.lit(json.dumps(values)), "array<bigint>"), F.col("part"))
+
+    first = {c: by_part([of[p][c] if p in of else None for p in range(parts)]) for c in ("o_id", "hash")}
+    opens = F.col("o_id").eqNullSafe(first["o_id"]) & (F.col("hash") == first["hash"])
+    here = F.struct("part", F.lit(False).alias("tail"))
+    there = F.struct(by_part([before.get(p, 0) for p in range(parts)]).cast("int").alias("part"), F.lit(True).alias("tail"))
+    rows = rows.withColumn("spot", F.explode(F.when(opens, F.array(here, there)).otherwise(F.array(here))))
+    rows = rows.select("spot.part", "spot.tail", "id", "text", *order)
+    ordered = rows.repartition(max(len(firsts), 1), "part").sortWithinPartitions("part", "tail", *order, "text").drop(*order)
     names = [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +132,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                 last = None if t else (p, d, text, sig)
             new = signatures(edits)
             cols = [
-                pa.array([d for d, *_ in done], batch.schema.field(2).type),
+                pa.array([d for d, *_ in done], pa.int64()),
                 pa.array([len(t) for _, t, *_ in done], pa.int64()),
                 pa.array([hashlib.sha256(e.encode()).hexdigest() for e in edits], pa.string()),
                 pa.array([_hex(s) for _, _, s, _ in done], pa.string()),
@@ -137,7 +142,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             ]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return map_arrow(ordered, run, f"{id_col} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return map_arrow(ordered, run, f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:

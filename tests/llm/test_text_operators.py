@@ -408,3 +408,29 @@ def test_disclosure_equals_its_formula(spark):
             want[w] = d
     got = {r.term: r.disclosure for r in pii.disclosing(rows, held).collect()}
     assert "zorblax" in got and got.keys() == want.keys() and all(abs(got[w] - want[w]) < 1e-9 for w in got)
+
+
+def test_fingerprint_ranges_balance_by_rows(spark):
+    ids = [*range(2000), 10**15, *([None] * 1000)]
+    docs = spark.createDataFrame([(i, f"text {k} of many") for k, i in enumerate(ids)], "id long, text string")
+    ranged, parts = minhash._in_ranges(docs, 16)
+    sizes = {r.part: r["count"] for r in ranged.groupBy("part").count().collect()}
+    share = len(ids) / 16
+    assert len(sizes) >= 14 and max(sizes.values()) < 2 * share and max(sizes) < parts
+    rows = ranged.select("part", "o_null", "o_id", "hash").collect()
+    assert sorted(rows, key=lambda r: (r.part, r.o_null, r.o_id or 0, r.hash)) == sorted(rows, key=lambda r: (r.o_null, r.o_id or 0, r.hash))
+
+
+def test_next_documents_with_null_and_repeated_ids(spark, monkeypatch):
+    ids = [*range(0, 60, 3), *([7] * 5), *([None] * 25), 10**17]
+    rows = [(i, f"words {k} stand in text {k * 7 % 13}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]], r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    got = [(r.doc_id, r.edited_sha256) for r in minhash.edited_fingerprints(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)

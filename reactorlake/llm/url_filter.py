@@ -20,7 +20,7 @@ tried on every address.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +55,43 @@ def word_pattern(verdict: str, word: str) -> Rule:
     return Rule(f"host-word:{word}", verdict, rf"^(?:[^/]*[^a-z0-9/])?{word}(?:[^a-z0-9]|$)", (word,), False)
 
 
+_SEPARATOR = r"(?:[^a-z0-9._%-]|$)"
+
+
+def parse_rule(line: str) -> Rule | None:
+    """A rule of a filter list, or None for blank lines, comments (``!``) and headings (``[``).
+
+    ``*`` stands for any characters, ``^`` for a separator (not one of ``a-z0-9._%-``) or the end, ``||`` before the pattern for
+    the start of the host or of one of its labels, ``|`` before or behind it for the address's start or end,
+    ``@@`` for an allowed address. Letters match in either case. The index tokens come from
+    the pattern: its literal runs of ``[a-z0-9]`` that no matching address can continue.
+    """
+    text = line.strip()
+    if not text or text[0] in "![":
+        return None
+    verdict, body = ("allow", text[2:]) if text.startswith("@@") else ("block", text)
+    host, start = body.startswith("||"), body.startswith("|")
+    body = body[2:] if host else body[1:] if start else body
+    end = body.endswith("|")
+    body = re.sub(r"\*+", "*", body[:-1] if end else body).lower()
+    if not body.strip("*"):
+        return None
+    regex = "".join(".*" if c == "*" else _SEPARATOR if c == "^" else re.escape(c) for c in body)
+    before = r"^(?:[^/]*\.)?" if host else "^" if start else ""
+    tokens = []
+    for m in re.finditer("[a-z0-9]+", body):
+        opened = host or start if m.start() == 0 else body[m.start() - 1] != "*"
+        closed = end if m.end() == len(body) else body[m.end()] != "*"
+        if opened and closed:
+            tokens.append(m[0])
+    return Rule(text, verdict, f"(?is){before}{regex}{'$' if end else ''}", tuple(dict.fromkeys(tokens)), False)
+
+
+def parse_rules(lines: Iterable[str]) -> list[Rule]:
+    """The distinct rules of a filter list."""
+    return list({r.name: r for r in map(parse_rule, lines) if r is not None}.values())
+
+
 #: The contract's list, then patterns of unwanted hosts.
 RULES = (
     host_rule("block", "net", "/"),

@@ -8,9 +8,11 @@ leaves no doubled record.
 
 The salvage reader walks an archive record by record. When a check fails (gzip
 checksum, version line, lengths, closing blank lines, digests) it searches for
-the next position at which a whole valid gzip member, or an uncompressed record
+the next position at which a gzip member, or an uncompressed record
 that begins with a version line, can be read, goes on there, and reports the
-skipped bytes as a quarantined gap (path, start, end, reason).
+skipped bytes as a quarantined gap (path, start, end, reason). Inside a member the search goes on at the next
+version line, so one damaged record costs itself only; of a member that is cut or fails its checksum the
+records that a digest vouches for are kept.
 
 Defined cases: null html is an empty payload. Null page ids lose against any id; equal
 payloads of null ids only are all responses. Rows that repeat the largest id are all responses. A null
@@ -21,6 +23,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import re
 import uuid
@@ -82,6 +85,11 @@ class Record:
     def payload(self) -> bytes:
         return self.block.partition(b"\r\n\r\n")[2]
 
+    def vouched(self) -> bool:
+        """A digest that ``parse_record`` has checked stands for the block or the payload."""
+        h = self.headers
+        return "warc-block-digest" in h or ("warc-payload-digest" in h and h.get("warc-type") == "response")
+
 
 def parse_record(read, at: int) -> Record:
     """The record at ``at``; ``read(at, n)`` gives up to n bytes. Raises ``Damaged``."""
@@ -118,36 +126,67 @@ def parse_record(read, at: int) -> Record:
     return record
 
 
-def _unpack(read, at: int) -> tuple[bytes, int]:
-    """A whole gzip member at ``at`` and the position behind it."""
+def _unpack(read, at: int) -> tuple[bytes, int, str | None]:
+    """What can be unpacked of the gzip member at ``at``, the position behind it, and what is wrong with it."""
     unzip, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unzip.eof:
-            chunk = read(pos, 1 << 16)
-            if not chunk:
-                raise Damaged("cut gzip member")
+    while not unzip.eof:
+        chunk = read(pos, 1 << 16)
+        if not chunk:
+            return b"".join(out), pos, "cut gzip member"
+        pos += len(chunk)
+        before = unzip.copy()
+        try:
             out.append(unzip.decompress(chunk))
-            pos += len(chunk)
-    except zlib.error as e:
-        raise Damaged("gzip member") from e
-    return b"".join(out), pos - len(unzip.unused_data)
+        except zlib.error:  # what was unpacked together with the error is lost: again, byte by byte
+            with contextlib.suppress(zlib.error):
+                out.extend(before.decompress(chunk[i : i + 1]) for i in range(len(chunk)))
+            return b"".join(out), pos, "gzip member"
+    return b"".join(out), pos - len(unzip.unused_data), None
+
+
+def _records_in(data: bytes, whole: bool) -> tuple[list[Record], list[tuple[int, int, str]]]:
+    """The valid records of an unpacked member, and the gaps (from, to, reason) between them. Of a
+    member that isn't ``whole`` only records that a digest vouches for count."""
+    records, gaps, at = [], [], 0
+
+    def valid(place: int) -> Record:
+        record = parse_record(lambda a, n: data[a : a + n], place)
+        if not whole and not record.vouched():
+            raise Damaged("no digest in a damaged member")
+        return record
+
+    while at < len(data):
+        try:
+            records.append(valid(at))
+            at += records[-1].size
+            continue
+        except Damaged as e:
+            reason, after = str(e), at
+        while (after := data.find(VERSION, after + 1)) >= 0:
+            try:
+                valid(after)
+                break
+            except Damaged:
+                continue
+        after = len(data) if after < 0 else after
+        gaps.append((at, after, reason))
+        at = after
+    return records, gaps
 
 
-def _at(read, pos: int) -> tuple[list[Record], int]:
-    """The valid records that begin at ``pos`` and the position behind them."""
+def _at(read, pos: int) -> tuple[list[Record], list[tuple[int, int, str]], int, str | None]:
+    """The valid records that begin at ``pos``, the gaps between them inside a member, the position
+    behind, and what is wrong with the member that holds them. Raises ``Damaged`` without any record."""
     start = read(pos, len(VERSION))
     if start.startswith(MEMBER):
-        data, stop = _unpack(read, pos)
-        records, at = [], 0
-        while at < len(data):
-            records.append(parse_record(lambda a, n: data[a : a + n], at))
-            at += records[-1].size
+        data, stop, fault = _unpack(read, pos)
+        records, gaps = _records_in(data, fault is None)
         if not records:
-            raise Damaged("empty member")
-        return records, stop
+            raise Damaged(fault or (gaps[0][2] if gaps else "empty member"))
+        return records, gaps, stop, fault
     if start.startswith(VERSION):
         record = parse_record(read, pos)
-        return [record], pos + record.size
+        return [record], [], pos + record.size, None
     raise Damaged("no member or version line")
 
 
@@ -164,7 +203,8 @@ def _next(read, pos: int, size: int) -> Iterator[int]:
 
 
 def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, list[Record]]]:
-    """(start, stop, None, records) for what is valid, (start, stop, reason, []) for quarantined gaps."""
+    """(start, stop, None, records) for what is valid, (start, stop, reason, []) for quarantined gaps. A gap
+    inside a member has the member's place, and its own bytes in the reason."""
 
     held = [0, b""]
 
@@ -174,26 +214,33 @@ def salvage(file, size: int) -> Iterator[tuple[int, int, str | None, list[Record
             held[:] = [at, file.read(max(n, CHUNK))]
         return held[1][at - held[0] : at - held[0] + n]
 
-    pos = 0
-    while pos < size:
-        try:
-            records, stop = _at(read, pos)
-            yield pos, stop, None, records
-            pos = stop
-            continue
-        except Damaged as e:
-            reason = str(e)
-        seen = pos
+    def following(pos: int) -> int:
+        """The next position behind ``pos`` at which something valid begins."""
         for seen in _next(read, pos + 1, size):
             try:
                 _at(read, seen)
-                break
+                return seen
             except Damaged:
                 continue
-        else:
-            seen = size
-        yield pos, seen, reason, []
-        pos = seen
+        return size
+
+    pos = 0
+    while pos < size:
+        try:
+            records, gaps, stop, fault = _at(read, pos)
+        except Damaged as e:
+            stop = following(pos)
+            yield pos, stop, str(e), []
+            pos = stop
+            continue
+        if fault is not None:  # its end is unknown: the next member tells
+            stop = following(pos)
+        yield pos, stop, None, records
+        for a, b, reason in gaps:
+            yield pos, stop, f"{reason} (bytes {a} to {b} of the member)", []
+        if fault is not None:
+            yield pos, stop, f"{fault} (its rest)", []
+        pos = stop
 
 
 def _number(text: str | None) -> int | None:

@@ -139,3 +139,61 @@ def test_gaps_are_reported_by_the_reader(spark, tmp_path):
     assert [r.page_id for r in rows if r.reason is None][-1] == 2
     gaps = [r for r in rows if r.reason]
     assert gaps and all(r.stop > r.start and r.page_id is None for r in gaps)
+
+
+def test_salvage_inside_a_member():
+    plain = [gzip.decompress(r) for r in records(4)]
+    bad = plain[1].replace(b"payload 1", b"payload 7", 1)
+    member = gzip.compress(plain[0] + bad + plain[2] + b"noise" + plain[3])
+    data = member + records(1)[0]
+    got = salvaged(data)
+    assert [x for *_, ids in got for x in ids] == ["0", "2", "3", "0"]
+    a, b = len(plain[0]), len(plain[0]) + len(bad)
+    c = b + len(plain[2])
+    assert [(x, y, why) for x, y, why, _ in got if why] == [(0, len(member), f"block digest (bytes {a} to {b} of the member)"), (0, len(member), f"version line (bytes {c} to {c + 5} of the member)")]
+
+
+def test_salvage_of_a_member_that_ends_badly():
+    plain = [gzip.decompress(r) for r in records(4)]
+    member = gzip.compress(b"".join(plain))
+    cut = salvaged(member[:-12] + records(1)[0])
+    assert [x for *_, ids in cut for x in ids][:3] == ["0", "1", "2"] and [x for *_, ids in cut for x in ids][-1] == "0"
+    assert all(reason for *_, reason, ids in cut if not ids) and cut[0][:2] == (0, len(member) - 12)
+    wrong = bytearray(member)
+    wrong[-6] ^= 1  # the checksum
+    assert [x for *_, ids in salvaged(bytes(wrong)) for x in ids] == ["0", "1", "2", "3"]
+    # without a digest nothing vouches for a record of a damaged member
+    bare = re.sub(rb"WARC-(Payload|Block)-Digest: \S+\r\n", b"", plain[0])
+    member = gzip.compress(bare)
+    assert [ids for *_, ids in salvaged(member)] == [["0"]] and salvaged(member[:-4])[0][3] == []
+
+
+SYNTAX = ["! a comment", "[heading]", "", "*", "||ads.example.com^", "||Track", "|http", "banner*.gif|", "/ad/", "@@||good.net^", "a.b-c", "^promo^", "||x*y^z"]
+SUBJECTS = ["ads.example.com/", "xads.example.com/", "m.ads.example.com/x", "ads.example.commerce/", "tracker.net/", "nottrack.net/", "h.net/banner/1.GIF", "h.net/banner.gif?", "h.net/ad/1", "h.net/AD/1", "h.net/bad/", "good.net/", "a.b-c", "aa.b-cc", "h/promo/x", "h/promotion", "h/promo", "xqy/z", "a.xqqy/z", ""]
+
+
+def test_patterns_and_their_tokens():
+    rules = {r.name: r for r in url_filter.parse_rules(SYNTAX + SYNTAX)}
+    assert list(rules) == SYNTAX[4:]
+    fits = lambda name: {s for s in SUBJECTS if re.search(rules[name].regex, s)}
+    assert fits("||ads.example.com^") == {"ads.example.com/", "m.ads.example.com/x"}
+    assert fits("||Track") == {"tracker.net/"} and fits("/ad/") == {"h.net/ad/1", "h.net/AD/1"} and fits("^promo^") == {"h/promo/x", "h/promo"}
+    assert fits("banner*.gif|") == {"h.net/banner/1.GIF"} and fits("||x*y^z") == {"xqy/z", "a.xqqy/z"} and rules["@@||good.net^"].verdict == "allow"
+    assert rules["||ads.example.com^"].tokens == ("ads", "example", "com") and rules["||Track"].tokens == () and rules["a.b-c"].tokens == ("b",)
+    assert rules["banner*.gif|"].tokens == ("gif",) and rules["||x*y^z"].tokens == ()
+    for r in rules.values():  # every matching address holds every token
+        for s in fits(r.name):
+            assert set(r.tokens) <= set(re.split("[^a-z0-9]+", s.lower()))
+
+
+def test_ten_thousand_patterns_decide_as_all_of_them_tried(spark):
+    lines = [f"||host{i}.example.com^" for i in range(9000)] + [f"/path{i}/*.js|" for i in range(900)] + [f"@@||host{i}.example.com^free^" for i in range(0, 9000, 90)]
+    rules = url_filter.parse_rules(lines)
+    assert len(rules) == 10_000
+    urls = [f"http://{'www.' * (i % 2)}host{i * 7}.example.com/{'free' if i % 3 else 'x'}/" for i in range(400)] + [f"http://h/path{i}/{'a' * 40_000 if i == 3 else 'a'}.js" for i in range(100)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.verdict, r.pattern) for r in url_filter.judge(pages, rules).collect()}
+    compiled = [(re.compile(r.regex), r.name, r.verdict) for r in rules]
+    for i, u in enumerate(urls):
+        hits = [(name, v) for regex, name, v in compiled if regex.search(u.split("://", 1)[1])]
+        assert got[i] == ((max(hits)[1], max(hits)[0]) if hits else ("allow", None)), (i, u, hits)

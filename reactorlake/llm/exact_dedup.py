@@ -33,19 +33,24 @@ SALTS = 32
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> DataFrame:
-    """id, norm, digest, salt and, with ``carry``, the whole row."""
+    """id, norm, digest, salt and, with ``carry``, the whole row (its text only where it
+    differs from ``norm``, which travels anyway) and a mark of the text that tells equal ids apart."""
     base = docs.select(
         F.col(id_col).alias("id"),
         F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"),
-        *([F.struct("*").alias("row"), text_of(text_col).alias("raw")] if carry else []),
+        *([F.struct("*").alias("row"), F.md5(text_of(text_col).cast("binary")).alias("mark")] if carry else []),
     )
+    if carry:
+        text = F.col("row")[text_col]
+        other = ~F.col("norm").eqNullSafe(text)
+        base = base.withColumn("row", F.struct(F.col("row").withField(text_col, F.when(other, text)).alias("row"), other.alias("other")))
     return base.withColumns({"digest": F.sha2("norm", 256), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
 
 
 def _combine(keyed: DataFrame, carry: bool) -> DataFrame:
     """One row per distinct text: digest, norm, keep_id (or the winning row), group_size, salts."""
     if carry:
-        rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "raw")
+        rank = F.struct(F.col("id").isNull().alias("no_id"), "id", "mark")
         salted = keyed.groupBy("digest", "salt", "norm").agg(F.min_by("row", rank).alias("row"), F.min(rank).alias("rank"))
         return salted.groupBy("digest", "norm").agg(F.min_by("row", "rank").alias("row"))
     salted = keyed.groupBy("digest", "salt", "norm").agg(F.min("id").alias("id"), F.count("*").alias("n"))
@@ -56,7 +61,9 @@ def _combine(keyed: DataFrame, carry: bool) -> DataFrame:
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The row with the smallest id of each group of equal texts, with all its columns."""
-    return _combine(_keyed(docs, id_col, text_col, True), True).select("row.*")
+    won = _combine(_keyed(docs, id_col, text_col, True), True)
+    row = F.col("row.row").withField(text_col, F.when(F.col("row.other"), F.col("row.row")[text_col]).otherwise(F.col("norm")))
+    return won.select(row.alias("row")).select("row.*")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import ctypes
 import math
 import pathlib
@@ -76,10 +78,27 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+_SCOPE: contextvars.ContextVar[str | None] = contextvars.ContextVar("llm_stage_scope", default=None)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Stages written inside the block are deleted when it ends, but for those written with ``keep``."""
+    root = fresh_folder(spark, "scope")
+    token = _SCOPE.set(root)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stage(df: DataFrame, label: str, compression: str = "snappy", keep: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: later steps and
     lost executors read files instead of recomputing the plan."""
-    path = fresh_folder(df.sparkSession, label)
+    root = _SCOPE.get()
+    path = f"{root}/{label}-{uuid.uuid4().hex}" if root and not keep else fresh_folder(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import map_arrow, slices, stage, table, text_of
+from reactorlake.llm.common import map_arrow, scope, slices, stage, table, text_of
 from reactorlake.llm.shingles import shingle_sets
 
 WIDTH = 5
@@ -154,16 +154,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     from reactorlake.llm import linking
 
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = linking.set_rows(base, WIDTH)
-    sets = stage(linking.set_classes(rows), "minhash-classes")
-    reps = sets.filter("id = rep")
-    marks = fingerprints(base.join(reps.select("id"), "id", "left_semi"), "id", "text")
-    bits = [F.lit(0).cast("long").alias(c) for c in linking.SKETCH]
-    keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.lit(linking.PLAIN).alias("kind"), *bits)
-    about = rows.select("id", "sig", "n", F.lit(0).alias("u"), "wide").join(reps.select("id", "sig"), ["id", "sig"], "left_semi")
-    found = linking.link_classes(stage(keys, "minhash-bands"), about, lambda ids: linking.sets_of(ids, base, WIDTH), percent)
-    out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("component", "rep", "id").alias("class_id"))
+    with scope(docs.sparkSession):
+        rows = linking.set_rows(base, WIDTH)
+        sets = stage(linking.set_classes(rows), "minhash-classes")
+        reps = sets.filter("id = rep")
+        marks = fingerprints(base.join(reps.select("id"), "id", "left_semi"), "id", "text")
+        bits = [F.lit(0).cast("long").alias(c) for c in linking.SKETCH]
+        keys = marks.select(F.explode("bands").alias("key"), "id", F.lit(0).alias("pos"), F.lit(0).alias("n"), F.lit(0).alias("u"), F.lit(linking.PLAIN).alias("kind"), *bits)
+        about = rows.select("id", "sig", "n", F.lit(0).alias("u"), "wide").join(reps.select("id", "sig"), ["id", "sig"], "left_semi")
+        found = linking.link_classes(stage(keys, "minhash-bands"), about, lambda ids: linking.sets_of(ids, base, WIDTH), percent)
+        out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        return stage(out.select(F.col("id").alias(id_col), F.coalesce("component", "rep", "id").alias("class_id")), "minhash-links", keep=True)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reactorlake.llm.common import release, ship, stage, table, text_of
+from reactorlake.llm.common import release, scope, ship, stage, table, text_of
 from reactorlake.llm.linking import WIDE, digest, link_classes, postings, set_classes, sketch
 from reactorlake.llm.runs import ANSWERS, KEY_BITS, RUNS, answers, batches_of, copies_of, key_runs, layout, marked, scan_runs, with_copies
 from reactorlake.llm.shingles import scramble, shingle_sets
@@ -123,14 +123,16 @@ def indexed_sets(base: DataFrame, width: int, percent: int, frequent: int) -> Da
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, frequent: int = FREQUENT) -> DataFrame:
     """One row per document: id, n_shingles, component_id. Ids must be integers."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = indexed_sets(base, width, percent, frequent)
-    sets = stage(set_classes(rows), "ngram-reps")
-    indexed = rows.filter("grams IS NOT NULL AND id IS NOT NULL")
-    about = indexed.select("id", "sig", "n", "u", "wide").join(sets.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
-    grams = indexed.select("id", "grams")
-    found = link_classes(postings(rows, sets), about, lambda ids: grams.join(ids, "id", "left_semi"), percent)
-    out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+    with scope(docs.sparkSession):
+        rows = indexed_sets(base, width, percent, frequent)
+        sets = stage(set_classes(rows), "ngram-reps")
+        indexed = rows.filter("grams IS NOT NULL AND id IS NOT NULL")
+        about = indexed.select("id", "sig", "n", "u", "wide").join(sets.filter("id = rep").select("id", "sig"), ["id", "sig"], "left_semi")
+        grams = indexed.select("id", "grams")
+        found = link_classes(postings(rows, sets), about, lambda ids: grams.join(ids, "id", "left_semi"), percent)
+        out = sets.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+        out = out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
+        return stage(out, "ngram-links", keep=True)
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

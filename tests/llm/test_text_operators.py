@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reactorlake.llm import exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, runs, suffix_dedup
+from reactorlake.llm import common, exact_dedup, minhash, mixing, ngram_join, packing, pii, quality, runs, suffix_dedup
 from tests.llm import brute
 from tests.llm.conftest import ROWS
 
@@ -434,3 +434,15 @@ def test_next_documents_with_null_and_repeated_ids(spark, monkeypatch):
         want.append((i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
     got = [(r.doc_id, r.edited_sha256) for r in minhash.edited_fingerprints(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_stages_of_a_join_are_deleted(spark, odd):
+    import os
+
+    def folders():
+        root = common.shared_root(spark).removeprefix("file:")
+        return set(os.listdir(f"{root}/llm")) if os.path.isdir(f"{root}/llm") else set()
+
+    before = folders()
+    links = ngram_join.link(odd)
+    assert {n.rsplit("-", 1)[0] for n in folders() - before} == {"ngram-links"} and links.count() == odd.count()

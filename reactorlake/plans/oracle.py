@@ -505,6 +505,10 @@ SQL: dict[str, str] = {
         f"""SELECT {_d('date')} AS period, facility_id AS facility, name AS "facilityName" FROM raw_fac
             WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}'"""
     ),
+    "landed_range_indexed": _q(
+        f"""SELECT {_d('date')} AS period, facility_id AS facility, name AS "facilityName" FROM raw_fac
+            WHERE date BETWEEN DATE '{Q.DATE_FROM}' AND DATE '{Q.DATE_TO}'"""
+    ),
     "quarantine_bad_dates": _q(
         f"""SELECT * FROM (SELECT CASE WHEN dayofyear(date) % 71 = 0 THEN strftime(date, '%Y-%m') ELSE {_d('date')} END AS period,
                    facility_id AS facility,

@@ -22,7 +22,7 @@ from reactorlake.errors import ProcessingError
 from reactorlake.functions.dates import parse_date
 from reactorlake.operators.clean import REQUIRED, coercion_failures, drop_name, quarantine, transform_records
 from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, merge_latest
-from reactorlake.schemas import DATASETS, PAGE_SIZE
+from reactorlake.schemas import DATASETS, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, page_infos, page_states, pages_in, read_pages, records_from_pages
 from reactorlake.sources.tables import MONTH_COL, Warehouse, materialize, stage_scope, with_month
@@ -124,7 +124,7 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
         unbound = F.count(F.when(F.col("start").isNull(), 1)) > 0
         first = old.groupBy("run").agg(F.when(~unbound, F.min("start")).alias("first")).withColumn("seen", F.lit(True))
         again = old.join(infos.select("run", "file").distinct(), ["run", "file"], "left_anti")
-        infos = infos.unionByName(again.select("run", "file", "offset", "broken", "total", "n", F.col("state").alias("was")))
+        infos = infos.unionByName(again.select("run", "file", "offset", "broken", "total", "n", "low", "high", F.col("state").alias("was")))
         infos = infos.join(first, "run", "left").withColumn("start", F.when(F.col("seen"), F.col("first")).otherwise(bound)).drop("first", "seen")
     else:
         infos = infos.withColumn("start", bound)
@@ -146,6 +146,17 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
     return Batch(rows, states.join(touched, ["run", "file"], "left_semi"), rejected(records, public))
 
 
+def landed_between(spark: SparkSession, landing: Landing, public: str, wh: Warehouse, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
+    """S3 over what refreshes have read: the kept raw records of an inclusive date range. Only
+    files with a page that reaches into the range are opened (``state.pages_between``)."""
+    path = landing.us if public == "us" else landing.facility
+    chosen = materialize(S.pages_between(wh, DATASETS[public].storage, start, end), f"{public}-between")
+    pages = _pages_in(spark, path, chosen, landing.multi_line)
+    if pages is None:
+        return spark.createDataFrame([], RAW_RECORD_SCHEMA)
+    return filter_period(records_from_pages(pages_in(pages, chosen)), start, end).select(*RAW_RECORD_SCHEMA.names)
+
+
 def rejected(records: DataFrame, public: str) -> DataFrame:
     """What a refresh does not store, and numbers it stores as NULL, with the reason."""
     early = F.coalesce(parse_date("period") < F.col("start"), F.lit(False))

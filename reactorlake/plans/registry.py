@@ -694,6 +694,18 @@ def landed_range(spark, sf):
     return L.landed_records(spark, root, D.parse_date_arg(DATE_FROM), D.parse_date_arg(DATE_TO)).select("period", "facility", "facilityName")
 
 
+def landed_range_indexed(spark, sf):
+    """S3 after a refresh: only the files with pages of the range are opened (pages land in date order here)."""
+    root = _root(spark)
+    landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
+    raw = A.raw_facility_records(spark, sf)
+    L.page_envelopes(raw, [F.col("period"), F.col("facility")], GAP_PAGE).repartitionByRange(16, "offset").write.json(f"{landing.facility}/run-1")
+    wh = Warehouse(spark, f"{root}/warehouse")
+    RF.refresh(spark, landing, wh)
+    found = RF.landed_between(spark, landing, "facility", wh, D.parse_date_arg(DATE_FROM), D.parse_date_arg(DATE_TO))
+    return found.select("period", "facility", "facilityName")
+
+
 def quarantine_bad_dates(spark, sf):
     """Records with a shortened date, a missing capacity, a missing name, or several of these."""
     raw = A.raw_facility_records(spark, sf)
@@ -883,4 +895,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "series_all_long": series_all_long,
     "series_by_date": series_by_date,
     "upsert_changes": upsert_changes,
+    "landed_range_indexed": landed_range_indexed,
 }

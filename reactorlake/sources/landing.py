@@ -101,8 +101,13 @@ def pages_of(raw: DataFrame, root: str) -> DataFrame:
 
 
 def page_infos(pages: DataFrame) -> DataFrame:
-    """What the stop rules need of each page: ``run, file, offset, total, n, broken``."""
-    return pages.groupBy("run", "file", "offset", "broken").agg(F.max("total").alias("total"), F.max(F.size("data")).alias("n"))
+    """What the stop rules and the page index need of each page: ``run, file, offset, total, n, broken``
+    and the first and last date of its records (``low, high``)."""
+    dates = F.transform("data", lambda r: parse_date(r["period"]))
+    dated = pages.withColumns({"_low": F.array_min(dates), "_high": F.array_max(dates)})
+    return dated.groupBy("run", "file", "offset", "broken").agg(
+        F.max("total").alias("total"), F.max(F.size("data")).alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high")
+    )
 
 
 def page_plan(spark: SparkSession, total: int, page_size: int = PAGE_SIZE) -> DataFrame:

@@ -80,6 +80,8 @@ PROGRESS_SCHEMA = T.StructType(
         T.StructField("broken", T.StringType()),
         T.StructField("state", T.StringType()),
         T.StructField("start", T.DateType()),
+        T.StructField("low", T.DateType()),
+        T.StructField("high", T.DateType()),
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
@@ -99,7 +101,18 @@ def load_progress(wh: Warehouse, dataset: str) -> DataFrame:
 
 def save_progress(wh: Warehouse, dataset: str, pages: DataFrame) -> None:
     """Add a reading: all pages of every file that was read or whose pages changed their state."""
-    wh.append_log(f"progress/{dataset}", pages.withColumn("updated_at", F.current_timestamp()), PROGRESS_SCHEMA, _newest_reading)
+    blank = {c: F.lit(None).cast("date") for c in ("low", "high") if c not in pages.columns}
+    wh.append_log(f"progress/{dataset}", pages.withColumns({**blank, "updated_at": F.current_timestamp()}), PROGRESS_SCHEMA, _newest_reading)
+
+
+def pages_between(wh: Warehouse, dataset: str, start: _dt.date | None, end: _dt.date | None) -> DataFrame:
+    """S3: the kept pages whose records reach into the inclusive range, from the recorded first and last dates."""
+    cond = F.col("state") == "kept"
+    if start is not None:
+        cond = cond & (F.col("high") >= F.lit(start))
+    if end is not None:
+        cond = cond & (F.col("low") <= F.lit(end))
+    return load_progress(wh, dataset).where(cond)
 
 
 def held_files(wh: Warehouse, dataset: str) -> DataFrame:

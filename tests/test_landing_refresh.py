@@ -392,7 +392,7 @@ def test_broken_pages_are_reported_and_tried_again(spark, scratch):
         write_page(f"{root}/fac/r1/p{i}.json", i, [_fac(i + 1, "F1", "A")], 4)
     whole = open(f"{root}/fac/r1/p1.json").read()
     open(f"{root}/fac/r1/p1.json", "w").write(whole[: len(whole) // 2])
-    open(f"{root}/fac/r1/empty.json", "w").close()
+    open(f"{root}/fac/r1/empty.json", "w").write(" \n")  # Spark's listing shows no file of length 0
     os.makedirs(f"{root}/fac/r2")
     open(f"{root}/fac/r2/p0.json", "w").write('{"offset": 0, "error": "busy"}')
     with pytest.raises(ProcessingError):
@@ -463,3 +463,25 @@ def test_many_refreshes_leave_few_files(spark, scratch):
     count = sum(len([f for f in files if not f.startswith((".", "_"))]) for _, _, files in os.walk(f"{root}/wh"))
     assert count < 40 and len(wh.log_parts("progress/facility_outages")) < 8
     assert S.load_progress(wh, "facility_outages").count() == 30 and S.load_state(wh)["facility_outages"] == dt.date(2024, 1, 30)
+
+
+def test_a_range_opens_only_files_that_reach_into_it(spark, scratch, monkeypatch):
+    root = _local(scratch)
+    landing = RF.Landing(f"{scratch}/fac", f"{scratch}/none", page_size=2)
+    wh = Warehouse(spark, f"{scratch}/wh")
+    for i in range(4):
+        write_page(f"{root}/fac/r1/p{i}.json", 2 * i, [_fac(2 * i + 1, "F1", "A"), _fac(2 * i + 2, "F1", "A")], 8)
+    write_page(f"{root}/fac/r1/p5.json", 10, [_fac(4, "F1", "past the total")], 8)
+    RF.refresh(spark, landing, wh)
+    read = []
+
+    def spy(session, path, files=None, multi_line=False, real=RF.read_pages):
+        read.append(sorted(os.path.basename(f) for f in files or ["all"]))
+        return real(session, path, files, multi_line)
+
+    monkeypatch.setattr(RF, "read_pages", spy)
+    day = lambda n: dt.date(2024, 1, n)
+    between = lambda a, b: sorted(int(r["period"][-2:]) for r in RF.landed_between(spark, landing, "facility", wh, a, b).collect())
+    assert between(day(4), day(5)) == [4, 5] and read == [["p1.json", "p2.json"]]
+    assert between(day(8), None) == [8] and between(None, day(1)) == [1] and read[1:] == [["p3.json"], ["p0.json"]]
+    assert between(day(20), None) == [] and len(read) == 3

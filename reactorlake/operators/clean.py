@@ -76,13 +76,12 @@ def quarantine(df: DataFrame, required: list[str]) -> DataFrame:
     )
 
 
-def coercion_failures(df: DataFrame, required: list[str]) -> DataFrame:
-    """The valid records' numeric texts that P4 turns into NULL, one row per
-    failing field (``field``: its source name, ``text``: what it held)."""
+def failed_numbers(df: DataFrame) -> Column:
+    """The numeric texts of a raw record that P4 turns into NULL, as structs (``field``: its source name, ``text``)."""
     back = {v: k for k, v in COLUMN_MAPPING.items()}
-    names = [back.get(c, c) for c in NUMERIC_COLUMNS]
+    names = [n for n in (back.get(c, c) for c in NUMERIC_COLUMNS) if n in df.columns]
     failed = [F.when(_present(c) & coerce_double(c).isNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("text"))) for c in names]
-    return df.where(is_valid(required)).withColumn("_failed", F.explode(F.array_compact(F.array(*failed)))).select("*", "_failed.*").drop("_failed")
+    return F.array_compact(F.array(*failed))
 
 
 def validation_counts(df: DataFrame, required: list[str]) -> DataFrame:

@@ -15,12 +15,12 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.errors import ProcessingError
 from reactorlake.functions.dates import parse_date
-from reactorlake.operators.clean import REQUIRED, coercion_failures, drop_name, quarantine, transform_records
+from reactorlake.operators.clean import REQUIRED, drop_name, failed_numbers, missing_fields, transform_records
 from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, merge_latest
 from reactorlake.schemas import DATASETS, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources import state as S
@@ -140,8 +140,7 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
             pages = materialize(pages.unionByName(late), f"{public}-late-pages")
     records = records_from_pages(pages_in(pages, kept)).join(states.select("run", "start").distinct(), "run", "left")
     records = materialize(records, f"{public}-records")
-    inside = filter_period(records, F.col("start"))
-    rows = materialize(transform_records(inside, public), f"{public}-batch")
+    rows = transform_records(filter_period(records, F.col("start")), public)
     touched = states.where(~F.col("was").eqNullSafe(F.col("state"))).select("run", "file").distinct()
     return Batch(rows, states.join(touched, ["run", "file"], "left_semi"), rejected(records, public))
 
@@ -159,21 +158,18 @@ def landed_between(spark: SparkSession, landing: Landing, public: str, wh: Wareh
 
 def rejected(records: DataFrame, public: str) -> DataFrame:
     """What a refresh does not store, and numbers it stores as NULL, with the reason."""
+    def entry(kind: str, reason: Column, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), reason.alias("reason"), value.cast("string").alias("value"))
+
     early = F.coalesce(parse_date("period") < F.col("start"), F.lit(False))
-    late, inside = records.where(early), records.where(~early)
-    missing = quarantine(inside, REQUIRED[public])
-
-    def listed(df: DataFrame, kind: str, reason, value) -> DataFrame:
-        place = [F.col(f"seq.{c}").alias(c) for c in ("file", "offset", "pos")]
-        return df.select(F.lit(kind).alias("kind"), reason.alias("reason"), "period", "facility", value.cast("string").alias("value"), "run", *place)
-
-    none = F.lit(None).cast("string")
-    numbers = coercion_failures(inside, REQUIRED[public])
-    return (
-        listed(late, "late", F.concat(F.lit("before "), F.col("start").cast("string")), none)
-        .unionByName(listed(missing, "missing", F.col("missing_fields"), none))
-        .unionByName(listed(numbers, "number", F.col("field"), F.col("text")))
+    missing, none = missing_fields(REQUIRED[public]), F.lit(None).cast("string")
+    why = (  # one scan: a record is late, else incomplete, else may hold numbers that are none
+        F.when(early, F.array(entry("late", F.concat(F.lit("before "), F.col("start").cast("string")), none)))
+        .when(F.size(missing) > 0, F.array(entry("missing", F.array_join(missing, ", "), none)))
+        .otherwise(F.transform(failed_numbers(records), lambda f: entry("number", f["field"], f["text"])))
     )
+    place = [F.col(f"seq.{c}").alias(c) for c in ("file", "offset", "pos")]
+    return records.withColumn("why", F.explode(why)).select("why.*", "period", "facility", "run", *place)
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:

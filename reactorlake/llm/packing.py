@@ -35,7 +35,7 @@ MAX_LENGTH = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words whose ids a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 _LOADED: dict[str, Vocabulary] = {}
 

@@ -12,7 +12,7 @@ like size merge, and each batch is scanned against all levels by binary search:
 1. scan of the suffixes: those met in one batch and one document only can't be
    in a repeated string and are dropped (over nine tenths of a clean corpus);
 2. scan of every window around the others: the smallest document id of each
-   window's content, so removal is exact.
+   window's content, compared by 64-bit hashes among the windows of one range.
 
 Batches are written once and read again for each pass; between passes travel
 sorted keys, bits, the contexts of shared suffixes and masks, never all windows.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -277,14 +278,133 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert quality.fit(nothing, labels).prior == 0.5 and quality.score(nothing, model).count() == 0
 
 
-def test_passage_scores_do_not_depend_on_their_batch():
+def test_passage_scores_do_not_depend_on_their_batch(monkeypatch):
     import pyarrow as pa
 
     texts = [t for _, t, *_ in ROWS]
-    x, first = quality.passages(pa.array(texts))
+    found = quality.Passages.of(pa.array(texts))
+    x = np.concatenate(list(found.blocks()))
     for i, t in enumerate(texts):
-        alone, _ = quality.passages(pa.array([t], pa.string()))
-        assert np.allclose(x[first[i] : first[i + 1]], alone)
+        alone = quality.Passages.of(pa.array([t], pa.string()))
+        assert np.array_equal(x[found.first[i] : found.first[i + 1]], np.concatenate(list(alone.blocks())))
+    monkeypatch.setattr(quality, "BLOCK_WORDS", 150)
+    assert len(list(found.blocks())) > 100 and np.array_equal(np.concatenate(list(found.blocks())), x)
+
+
+def test_passage_features_equal_a_plain_count():
+    import pyarrow as pa
+
+    words = "Ab ab, ÀB 12 ab ab a-Z".split()
+    got = next(quality.Passages.of(pa.array([" ".join(words)])).blocks())[0]
+    kinds = Counter(int(quality._CLASS[b]) for w in words for b in w.encode())
+    total = sum(kinds.values())
+    lengths = [len(w.encode()) for w in words]
+    want = [kinds[k] / total for k in range(quality.CLASSES)]
+    want += [np.log1p(7), np.mean(lengths), np.std(lengths), 1 / 7, 1 / 7, 6 / 7]
+    mask, low = 2**64 - 1, [w.encode().lower() for w in words]
+    found = [[0] * quality.BUCKETS, [0] * quality.BUCKETS]
+    for w in low:
+        h = sum((c + 1) * pow(0x9E3779B97F4A7C15, i + 1, 2**64) for i, c in enumerate(w)) & mask
+        found[0][((h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & mask) >> 32 & 127] += 1
+        for i in range(len(w) - 2):
+            found[1][(int.from_bytes(w[i : i + 3], "big") * 0x94D049BB133111EB & mask) >> 32 & 127] += 1
+    want += [np.sqrt(n / sum(f)) for f in found for n in f]
+    assert np.allclose(got, want)
+
+
+def _small_bags(rng, n=12):
+    bags = [rng.normal(size=(rng.integers(1, 5), quality.N_FEATURES)).astype(np.float32) for _ in range(n)]
+    return bags, (rng.random(n) < 0.5).astype(float)
+
+
+def test_forward_equals_a_plain_version(monkeypatch):
+    from math import exp, tanh
+
+    monkeypatch.setattr(quality, "EPOCHS", 2)
+    bags, labels = _small_bags(np.random.default_rng(3))
+    labels[:2] = 0, 1
+    model = quality.train(bags, labels)
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    layer = lambda x, m, b: [dot(x, [row[j] for row in m]) + b[j] for j in range(len(b))]
+    want = []
+    for bag in bags:
+        hs, ss = [], []
+        for x in bag.tolist():
+            x = [min(6, max(-6, (v - m) / s)) for v, m, s in zip(x, w["mean"], w["scale"], strict=True)]
+            h = [tanh(v) for v in layer(x, w["W"], w["b"])]
+            gated = [tanh(t) / (1 + exp(-u)) for t, u in zip(layer(h, w["V"], w["bv"]), layer(h, w["U"], w["bu"]), strict=True)]
+            hs.append(h)
+            ss.append(exp(dot(gated, w["a"])))
+        z = [sum(s * h[j] for s, h in zip(ss, hs, strict=True)) / sum(ss) for j in range(quality.HIDDEN)]
+        want.append(1 / (1 + exp(-(dot(z, w["c"]) + w["c0"]))))
+    f = model.encode(np.concatenate(bags))
+    first = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    assert np.allclose(model.pool(f["h"], f["s"], first)["p"], want)
+
+
+def test_gradients_equal_differences(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 1)
+    rng = np.random.default_rng(5)
+    bags, labels = _small_bags(rng)
+    labels[:2] = 0, 1
+    model = quality.train(bags, labels)
+    x, first = np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    share = rng.random(len(bags))
+
+    def loss():
+        f = model.encode(x)
+        p = model.pool(f["h"], f["s"], first)["p"]
+        return -(share * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum()
+
+    for k, grad in model.gradients(x, first, labels, share).items():
+        base = model.weights[k].copy()
+        for at in rng.integers(0, base.size, 5):
+            sides = []
+            for move in (1e-5, -1e-5):
+                model.weights[k] = np.array(base)
+                model.weights[k].reshape(-1)[at] += move
+                sides.append(loss())
+            model.weights[k] = base
+            assert np.isclose(np.asarray(grad).reshape(-1)[at], (sides[0] - sides[1]) / 2e-5, rtol=1e-4, atol=1e-7), k
+
+
+def test_one_passage_decides_and_has_the_attention():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    usual, bad = [f"word{i:03d}" for i in range(300)], [f"grim{i:03d}" for i in range(40)]
+
+    def document(label):
+        parts = [rng.choice(usual, quality.PASSAGE).tolist() for _ in range(int(rng.integers(4, 9)))]
+        at = int(rng.integers(len(parts)))
+        if not label:
+            parts[at][::2] = rng.choice(bad, quality.PASSAGE // 2).tolist()
+        return " ".join(w for p in parts for w in p), at
+
+    labels = np.arange(600) % 2
+    made = [document(label) for label in labels]
+    found = quality.Passages.of(pa.array([t for t, _ in made]))
+    model = quality.train([found.sample(i, quality.TRAIN_PASSAGES) for i in range(400)], labels[:400].astype(float))
+    p = model.score(found)[400:]
+    assert np.mean((p >= 0.5) == labels[400:]) > 0.95
+    parts = [model.encode(b) for b in found.blocks()]
+    att = model.pool(np.concatenate([f["h"] for f in parts]), np.concatenate([f["s"] for f in parts]), found.first)["att"]
+    top = [int(np.argmax(att[found.first[i] : found.first[i + 1]])) == made[i][1] for i in range(400, 600) if not labels[i]]
+    assert np.mean(top) > 0.9
+
+
+def test_fit_takes_one_bounded_text_for_an_id(spark, monkeypatch):
+    rows = [(1, f"good text number {i}") for i in range(200)] + [(2, "BAD!!! TEXT!!! " * 20_000), (4, None), (5, "other good text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (4, 1), (5, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "held_out", lambda c: F.lit(False))
+    monkeypatch.setattr(quality, "train", lambda bags, labels: seen.append(([b.shape for b in bags], labels.tolist(), bags[0].tobytes())))
+    quality.fit(docs, labels)
+    quality.fit(docs.repartition(2), labels)
+    assert seen[0][0] == [(1, quality.N_FEATURES), (quality.TRAIN_PASSAGES, quality.N_FEATURES), (1, quality.N_FEATURES), (1, quality.N_FEATURES)]
+    assert seen[0][1] == [1, 0, 1, 1] and seen[0] == seen[1]
 
 
 # --- repeated strings --------------------------------------------------------

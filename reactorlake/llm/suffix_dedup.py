@@ -12,7 +12,8 @@ like size merge, and each batch is scanned against all levels by binary search:
 1. scan of the suffixes: those met in one batch and one document only can't be
    in a repeated string and are dropped (over nine tenths of a clean corpus);
 2. scan of every window around the others: the smallest document id of each
-   window's content, compared by 64-bit hashes among the windows of one range.
+   window's content. Windows of a range meet by 64-bit hash; a byte is removed only
+   if the bytes are equal too, and windows whose hashes clash are compared by bytes alone.
 
 Batches are written once and read again for each pass; between passes travel
 sorted keys, bits, the contexts of shared suffixes and masks, never all windows.
@@ -99,6 +100,16 @@ def rolling(data: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int = MATCH) -> np.ndarray:
+    """Whether the strings of ``size`` (8 or more) bytes at places ``a`` and ``b`` are equal."""
+    equal = np.ones(len(a), bool)
+    if len(a):
+        eights = np.ndarray((len(data) - 7,), np.uint64, np.ascontiguousarray(data), strides=(1,))
+        for at in (*range(0, size - 7, 8), size - 8):
+            equal &= eights[a + at] == eights[b + at]
+    return equal
+
+
 def suffixes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> dict[str, np.ndarray]:
     """The kept suffixes of a batch: key, doc (number in the batch), lo and n (the
     windows lo .. lo + n - 1 keep it), and the hashes of its first and last window."""
@@ -155,9 +166,12 @@ def _contexts(ranges: int) -> Callable:
             doc_id = ids[s["doc"]]
             order = np.lexsort((s["n"], s["last"], s["first"]))
             same = np.concatenate([[True], np.any([s[k][order][1:] != s[k][order][:-1] for k in ("first", "last", "n")], axis=0)])
-            least = np.minimum.reduceat(doc_id[order], np.flatnonzero(same))[np.cumsum(same) - 1]
-            settled = np.empty(len(pick), bool)
-            settled[order] = doc_id[order] > least
+            order = order[np.lexsort((doc_id[order], np.cumsum(same)))]
+            best = order[np.flatnonzero(same)[np.cumsum(same) - 1]]
+            settled = np.zeros(len(pick), bool)
+            maybe = doc_id[order] > doc_id[best]
+            own, other, more = s["lo"][order[maybe]], s["lo"][best[maybe]], s["n"][order[maybe]] - 1
+            settled[order[maybe]] = same_bytes(data, own, other) & same_bytes(data, own + more, other + more)
             order = np.argsort(s["key"], kind="stable")
             for r, a, b in ranges_of(s["key"][order], ranges):
                 part = order[a:b]
@@ -172,25 +186,55 @@ def _contexts(ranges: int) -> Callable:
 
 def _masks(group: pd.DataFrame) -> pd.DataFrame:
     """One range: for each context the windows whose content starts in a smaller id."""
-    levels, opened, out = Levels(np.minimum), [], []
+    opened, raws, size = [], [], 0
     for row in group.itertuples():
         lo, n, ids = unpack(row.lo, np.int64), unpack(row.n, np.uint8).astype(np.int64), unpack(row.id, np.int64)
         raw = np.frombuffer(zstandard.decompress(row.context), np.uint8) if len(lo) else np.empty(0, np.uint8)
         sizes = n + MATCH - 1
         at = np.repeat(np.cumsum(sizes) - sizes, n) + count_up(n)
         windows = rolling(raw, (MATCH,))[0][at] if len(lo) else np.empty(0, np.uint64)
-        owner = np.repeat(ids, n)
-        levels.add(windows, owner)
-        opened.append((row.batch, lo, n, windows, owner, unpack(row.done_lo, np.int64), unpack(row.done_n, np.uint8).astype(np.int64)))
-    for batch, lo, n, windows, owner, done_lo, done_n in opened:
-        gone = levels.scan(windows, NO_ID) < owner
-        removed = np.concatenate([(np.repeat(lo, n) + count_up(n))[gone], np.repeat(done_lo, done_n) + count_up(done_n)])
+        opened.append((row.batch, windows, np.repeat(ids, n), at + size, np.repeat(lo, n) + count_up(n), unpack(row.done_lo, np.int64), unpack(row.done_n, np.uint8).astype(np.int64)))
+        raws.append(raw)
+        size += len(raw)
+    data, owner, place = np.concatenate(raws), np.concatenate([o[2] for o in opened]), np.concatenate([o[3] for o in opened])
+    by_id = np.argsort(owner, kind="stable")
+    rank = np.empty(len(by_id), np.int64)
+    rank[by_id] = np.arange(len(by_id))
+    levels, first = Levels(np.minimum), 0
+    for _, windows, *_ in opened:
+        levels.add(windows, rank[first : first + len(windows)])
+        first += len(windows)
+    found, clashes = [], []
+    for _, windows, own, at, *_ in opened:
+        best = by_id[levels.scan(windows, NO_ID)] if len(windows) else np.empty(0, np.int64)
+        gone = owner[best] < own
+        equal = same_bytes(data, at[gone], place[best[gone]])
+        clashes.append(np.unique(windows[gone][~equal]))
+        found.append(gone)
+    clashing = np.unique(np.concatenate(clashes))
+    if len(clashing):
+        _settle_clashes(data, clashing, opened, found)
+    out = []
+    for (batch, _, _, _, starts, done_lo, done_n), gone in zip(opened, found, strict=True):
+        removed = np.concatenate([starts[gone], np.repeat(done_lo, done_n) + count_up(done_n)])
         if len(removed):
             removed.sort()
             out.append((batch, pack(np.diff(removed, prepend=0))))
     return pd.DataFrame(out, columns=["batch", "removed"])
 
 
+def _settle_clashes(data: np.ndarray, clashing: np.ndarray, opened: list[tuple], found: list[np.ndarray]) -> None:
+    """Decide the windows of clashing hashes anew, by their bytes."""
+    least: dict[bytes, int] = {}
+    hits = [np.flatnonzero(np.isin(windows, clashing)) for _, windows, *_ in opened]
+    for (_, _, own, at, *_), hit in zip(opened, hits, strict=True):
+        for a, i in zip(at[hit].tolist(), own[hit].tolist(), strict=True):
+            content = data[a : a + MATCH].tobytes()
+            least[content] = min(least.get(content, i), i)
+    for (_, _, own, at, *_), hit, gone in zip(opened, hits, found, strict=True):
+        gone[hit] = [least[data[a : a + MATCH].tobytes()] < i for a, i in zip(at[hit].tolist(), own[hit].tolist(), strict=True)]
+
+
 def _cut(left: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
     """The last pass, a batch and its removed windows to one row per document."""
     out = []

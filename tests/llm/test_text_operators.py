@@ -438,6 +438,33 @@ def test_suffixes_do_not_depend_on_pieces(monkeypatch):
     assert sorted(w for _, w in whole) == [*range(30, 2951), *range(3000, 8951)]
 
 
+@pytest.mark.parametrize("bits", [1, 3, 64])
+def test_clashing_hashes_never_remove(monkeypatch, bits):
+    import pandas as pd
+    import zstandard
+
+    rng = np.random.default_rng(bits)
+    letters = lambda n: "".join(rng.choice(list("abcdef"), n))
+    shared = [letters(90), letters(60), letters(50)]
+    rows = [(i, letters(40) + shared[i % 3] + letters(int(rng.integers(0, 40))) + shared[0][: 40 + i]) for i in (5, 3, 9, 1, 8, 2, 7, 4)]
+    rolling = suffix_dedup.rolling
+    monkeypatch.setattr(suffix_dedup, "rolling", lambda data, sizes: [h >> np.uint64(64 - bits) for h in rolling(data, sizes)])
+    left, notes = [], []
+    for batch, part in enumerate((rows[:3], rows[3:])):
+        texts = [t.encode() for _, t in part]
+        row = (batch, [i for i, _ in part], [len(t) for t in texts], zstandard.compress(b"".join(texts)), sum(map(len, texts)))
+        left.append(pd.DataFrame([row], columns=["batch", "ids", "lengths", "data", "size"]))
+        keys = len(np.unique(suffix_dedup.suffixes(*runs.layout(next(left[-1].itertuples()))[:3])["key"]))
+        notes.append(pd.DataFrame([(batch, 0, zstandard.compress(bytes([1]) * keys), keys, None)], columns=["batch", "span", "answer", "n", "copies"]))
+    contexts = pd.concat([suffix_dedup._contexts(1)(a, b) for a, b in zip(left, notes, strict=True)])
+    masks = suffix_dedup._masks(contexts).assign(copies=None)
+    got = {}
+    for a in left:
+        for r in suffix_dedup._cut(a, masks[masks.batch == a.batch[0]]).itertuples():
+            got[r.id] = (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)
+    assert got == {k[0]: v for k, v in brute.repeats(rows).items()} and sum(v[1] for v in got.values()) > 300
+
+
 def test_repeats_odd_rows(odd, nothing):
     rows = suffix_dedup.remove_repeats(odd.filter("doc_id IS NULL OR doc_id NOT IN (6, 7)"), with_text=True).collect()
     want = brute.repeats([(i, t) for i, t, *_ in ROWS if i not in (6, 7)])

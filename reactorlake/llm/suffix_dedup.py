@@ -186,30 +186,39 @@ def _contexts(ranges: int) -> Callable:
 
 def _masks(group: pd.DataFrame) -> pd.DataFrame:
     """One range: for each context the windows whose content starts in a smaller id."""
-    opened, raws, size = [], [], 0
+    opened, raws, contexts, size = [], [], [], 0
     for row in group.itertuples():
         lo, n, ids = unpack(row.lo, np.int64), unpack(row.n, np.uint8).astype(np.int64), unpack(row.id, np.int64)
         raw = np.frombuffer(zstandard.decompress(row.context), np.uint8) if len(lo) else np.empty(0, np.uint8)
-        sizes = n + MATCH - 1
-        at = np.repeat(np.cumsum(sizes) - sizes, n) + count_up(n)
-        windows = rolling(raw, (MATCH,))[0][at] if len(lo) else np.empty(0, np.uint64)
-        opened.append((row.batch, windows, np.repeat(ids, n), at + size, np.repeat(lo, n) + count_up(n), unpack(row.done_lo, np.int64), unpack(row.done_n, np.uint8).astype(np.int64)))
+        sizes, step = n + MATCH - 1, count_up(n)
+        begin = np.cumsum(sizes) - sizes
+        windows = rolling(raw, (MATCH,))[0][np.repeat(begin, n) + step] if len(lo) else np.empty(0, np.uint64)
+        opened.append((row.batch, windows, np.repeat(ids, n), np.repeat(begin + size, n) + step, np.repeat(lo, n) + step, unpack(row.done_lo, np.int64), unpack(row.done_n, np.uint8).astype(np.int64)))
         raws.append(raw)
+        contexts.append((ids, begin + size, n))
         size += len(raw)
-    data, owner, place = np.concatenate(raws), np.concatenate([o[2] for o in opened]), np.concatenate([o[3] for o in opened])
-    by_id = np.argsort(owner, kind="stable")
+    data = np.concatenate(raws)
+    ids, begin, n = (np.concatenate(c) for c in zip(*contexts, strict=True))
+    by_id = np.argsort(ids, kind="stable")
     rank = np.empty(len(by_id), np.int64)
     rank[by_id] = np.arange(len(by_id))
+    ids, begin = ids[by_id], begin[by_id]
+    # a window's value: the rank of its context by id, then its place there (under 256); the least is a window of the smallest id
     levels, first = Levels(np.minimum), 0
-    for _, windows, *_ in opened:
-        levels.add(windows, rank[first : first + len(windows)])
-        first += len(windows)
+    for (_, windows, *_), (own, _, m) in zip(opened, contexts, strict=True):
+        levels.add(windows, np.repeat(rank[first : first + len(own)] * 256, m) + count_up(m))
+        first += len(own)
     found, clashes = [], []
     for _, windows, own, at, *_ in opened:
-        best = by_id[levels.scan(windows, NO_ID)] if len(windows) else np.empty(0, np.int64)
-        gone = owner[best] < own
-        equal = same_bytes(data, at[gone], place[best[gone]])
-        clashes.append(np.unique(windows[gone][~equal]))
+        best = levels.scan(windows, NO_ID)
+        gone = ids[best >> 8] < own if len(own) else np.empty(0, bool)
+        best, at = best[gone], at[gone]
+        other = begin[best >> 8] + (best & 255)
+        # neighbouring windows that meet neighbours form runs of under MATCH windows: the first and the last cover all bytes
+        start = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(other) != 1)])) if len(at) else np.empty(0, np.int64)
+        stop = np.append(start[1:], len(at)) - 1 if len(at) else start
+        equal = same_bytes(data, at[start], other[start]) & same_bytes(data, at[stop], other[stop])
+        clashes.append(np.unique(windows[gone][np.repeat(~equal, stop - start + 1)]))
         found.append(gone)
     clashing = np.unique(np.concatenate(clashes))
     if len(clashing):

@@ -36,18 +36,25 @@ def _present(field: str) -> Column:
 BAD_DATE = "period (not a date)"
 
 
-def _bad_date() -> Column:
-    """A present ``period`` that is no ``yyyy-MM-dd`` date: the record has no usable key."""
-    return _present("period") & parse_date("period").isNull()
+def _source_numbers(df: DataFrame) -> dict[str, str]:
+    """Numeric columns by the source name of their texts, as far as ``df`` has them."""
+    back = {v: k for k, v in COLUMN_MAPPING.items()}
+    return {back.get(c, c): c for c in NUMERIC_COLUMNS if back.get(c, c) in df.columns}
+
+
+def parse_once(df: DataFrame) -> DataFrame:
+    """Raw records with their parsed date and numbers (``_date``, ``_<column>``) beside the texts, for
+    the functions below that take a ``day`` or ``parsed``: each text is parsed once for all of them."""
+    return df.withColumns({"_date": parse_date("period"), **{f"_{c}": coerce_double(f) for f, c in _source_numbers(df).items()}})
 
 
-def is_valid(required: list[str]) -> Column:
+def is_valid(required: list[str], day: Column | None = None) -> Column:
     """P1 predicate: every required field present, and a required period a date;
     no requirements -> always true."""
     if not required:
         return F.lit(True)
     present = reduce(lambda a, b: a & b, [_present(f) for f in required])
-    return present & parse_date("period").isNotNull() if "period" in required else present
+    return present & (parse_date("period") if day is None else day).isNotNull() if "period" in required else present
 
 
 def validate_records(df: DataFrame, required: list[str]) -> DataFrame:
@@ -55,13 +62,14 @@ def validate_records(df: DataFrame, required: list[str]) -> DataFrame:
     return df.where(is_valid(required))
 
 
-def missing_fields(required: list[str]) -> Column:
+def missing_fields(required: list[str], day: Column | None = None) -> Column:
     """Names of the failing required fields, in requirement order, then the bad date."""
     if not required:
         return F.array().cast("array<string>")
     checks = [F.when(~_present(f), F.lit(f)).otherwise(F.lit(None).cast("string")) for f in required]
     if "period" in required:
-        checks.append(F.when(_bad_date(), F.lit(BAD_DATE)))
+        # a present period that is no ``yyyy-MM-dd`` date: the record has no usable key
+        checks.append(F.when(_present("period") & (parse_date("period") if day is None else day).isNull(), F.lit(BAD_DATE)))
     return F.array_compact(F.array(*checks))
 
 
@@ -76,14 +84,21 @@ def quarantine(df: DataFrame, required: list[str]) -> DataFrame:
     )
 
 
-def failed_numbers(df: DataFrame) -> Column:
+def _fails(field: str, column: str, parsed: bool) -> Column:
+    return _present(field) & (F.col(f"_{column}") if parsed else coerce_double(field)).isNull()
+
+
+def failed_numbers(df: DataFrame, parsed: bool = False) -> Column:
     """The numeric texts of a raw record that P4 turns into NULL, as structs (``field``: its source name, ``text``)."""
-    back = {v: k for k, v in COLUMN_MAPPING.items()}
-    names = [n for n in (back.get(c, c) for c in NUMERIC_COLUMNS) if n in df.columns]
-    failed = [F.when(_present(c) & coerce_double(c).isNull(), F.struct(F.lit(c).alias("field"), F.col(c).alias("text"))) for c in names]
+    failed = [F.when(_fails(f, c, parsed), F.struct(F.lit(f).alias("field"), F.col(f).alias("text"))) for f, c in _source_numbers(df).items()]
     return F.array_compact(F.array(*failed))
 
 
+def any_failed_number(df: DataFrame, parsed: bool = False) -> Column:
+    """Whether ``failed_numbers`` lists any."""
+    return reduce(lambda a, b: a | b, [_fails(f, c, parsed) for f, c in _source_numbers(df).items()], F.lit(False))
+
+
 def validation_counts(df: DataFrame, required: list[str]) -> DataFrame:
     """A5: total and valid record counts in one pass."""
     return df.agg(
@@ -131,6 +146,13 @@ def transform_records(df: DataFrame, dataset: str, keep: tuple[str, ...] = ("seq
     )
 
 
+def project_parsed(dataset: str) -> list[Column]:
+    """P3-P5 over ``parse_once``: the columns of a valid record as they are stored."""
+    source = {v: k for k, v in COLUMN_MAPPING.items()}
+    parsed = {"date", *NUMERIC_COLUMNS}
+    return [F.col(f"_{f.name}" if f.name in parsed else source.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in OUTPUT_SCHEMA[dataset].fields]
+
+
 def drop_name(df: DataFrame) -> DataFrame:
     """The fact table keeps no name once the dimension is cut out."""
     return df.drop("facility_name")

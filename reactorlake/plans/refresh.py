@@ -19,12 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reactorlake.errors import ProcessingError
-from reactorlake.functions.dates import parse_date
-from reactorlake.operators.clean import REQUIRED, drop_name, failed_numbers, missing_fields, transform_records
-from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, merge_latest
+from reactorlake.operators.clean import OUTPUT_SCHEMA, REQUIRED, any_failed_number, drop_name, failed_numbers, is_valid, missing_fields, parse_once, project_parsed
+from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, latest, merge_latest, upsert
 from reactorlake.schemas import DATASETS, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, page_infos, page_states, pages_in, read_pages, records_from_pages
+from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, ordered_records, page_infos, page_places, page_states, pages_in, place_of, read_pages, records_from_pages, with_seq
 from reactorlake.sources.tables import MONTH_COL, Warehouse, materialize, stage_scope, with_month
 
 FULL = "full"
@@ -64,11 +63,13 @@ def choose_mode(wh: Warehouse) -> str:
 
 @dataclass(frozen=True)
 class Batch:
-    """What a refresh reads of one landing: transformed records, the pages' states, and what it rejects."""
+    """What a refresh reads of one landing: transformed records with their order (``ord``), the pages'
+    states, what it rejects, and the places of the pages that ``ord`` counts (``landing.page_places``)."""
 
     rows: DataFrame
     pages: DataFrame
     rejected: DataFrame
+    places: DataFrame
 
 
 #: File names that Spark's reader is given; of more new files, their whole landing is read and filtered.
@@ -138,11 +139,15 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
         late = _pages_in(spark, path, kept.where(F.col("was").isNotNull()), landing.multi_line)
         if late is not None:
             pages = materialize(pages.unionByName(late), f"{public}-late-pages")
-    records = records_from_pages(pages_in(pages, kept)).join(states.select("run", "start").distinct(), "run", "left")
-    records = materialize(records, f"{public}-records")
-    rows = transform_records(filter_period(records, F.col("start")), public)
+    pages = pages_in(pages, kept)
+    starts = states.select("run", "start").distinct()
+    places = materialize(page_places(pages).join(starts, "run", "left"), f"{public}-places")
+    # Texts are parsed once, by the stage that the rows and the rejects both read; it
+    # names a record's page by number, so neither run nor file go through the merge with every row.
+    records = materialize(_checked(ordered_records(pages, places), public), f"{public}-records")
+    rows = records.where("stored").select(*[f.name for f in OUTPUT_SCHEMA[public].fields], "ord")
     touched = states.where(~F.col("was").eqNullSafe(F.col("state"))).select("run", "file").distinct()
-    return Batch(rows, states.join(touched, ["run", "file"], "left_semi"), rejected(records, public))
+    return Batch(rows, states.join(touched, ["run", "file"], "left_semi"), rejected(records, places), places.drop("start"))
 
 
 def landed_between(spark: SparkSession, landing: Landing, public: str, wh: Warehouse, start: _dt.date | None = None, end: _dt.date | None = None) -> DataFrame:
@@ -156,20 +161,41 @@ def landed_between(spark: SparkSession, landing: Landing, public: str, wh: Wareh
     return filter_period(records_from_pages(pages_in(pages, chosen)), start, end).select(*RAW_RECORD_SCHEMA.names)
 
 
-def rejected(records: DataFrame, public: str) -> DataFrame:
-    """What a refresh does not store, and numbers it stores as NULL, with the reason."""
+def _checked(records: DataFrame, public: str) -> DataFrame:
+    """P1-P5, P2, D12 in one pass over raw records with ``start`` and ``ord``: the columns to store and whether
+    they are, and why a record (``period``, ``facility``) is rejected or has numbers that it is stored without."""
     def entry(kind: str, reason: Column, value: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), reason.alias("reason"), value.cast("string").alias("value"))
 
-    early = F.coalesce(parse_date("period") < F.col("start"), F.lit(False))
-    missing, none = missing_fields(REQUIRED[public]), F.lit(None).cast("string")
-    why = (  # one scan: a record is late, else incomplete, else may hold numbers that are none
-        F.when(early, F.array(entry("late", F.concat(F.lit("before "), F.col("start").cast("string")), none)))
-        .when(F.size(missing) > 0, F.array(entry("missing", F.array_join(missing, ", "), none)))
-        .otherwise(F.transform(failed_numbers(records), lambda f: entry("number", f["field"], f["text"])))
+    raw, none = parse_once(records), F.lit(None).cast("string")
+    early = F.coalesce(F.col("_date") < F.col("start"), F.lit(False))
+    raw = raw.withColumns({"_early": early, "_valid": is_valid(REQUIRED[public], F.col("_date")), "_failed": any_failed_number(raw, True)})
+    why = (  # a record is late, else incomplete, else may hold numbers that are none
+        F.when(F.col("_early"), F.array(entry("late", F.concat(F.lit("before "), F.col("start").cast("string")), none)))
+        .when(~F.col("_valid"), F.array(entry("missing", F.array_join(missing_fields(REQUIRED[public], F.col("_date")), ", "), none)))
+        .when(F.col("_failed"), F.transform(failed_numbers(records, True), lambda f: entry("number", f["field"], f["text"])))
     )
-    place = [F.col(f"seq.{c}").alias(c) for c in ("file", "offset", "pos")]
-    return records.withColumn("why", F.explode(why)).select("why.*", "period", "facility", "run", *place)
+    odd = F.col("_early") | ~F.col("_valid") | F.col("_failed")
+    report = [F.when(odd, F.col(c)).alias(c) for c in ("period", "facility")]
+    return raw.select(*project_parsed(public), "ord", (~F.col("_early") & F.col("_valid")).alias("stored"), *report, why.alias("why"))
+
+
+def rejected(records: DataFrame, places: DataFrame) -> DataFrame:
+    """What a refresh does not store, and numbers it stores as NULL, with the reason."""
+    odd = place_of(records.where(F.col("why").isNotNull()).select("why", "period", "facility", "ord"), places.select("page", "run", "file", "offset"))
+    return odd.withColumn("why", F.explode("why")).select("why.*", "period", "facility", "run", "file", "offset", "pos")
+
+
+def _latest(rows: DataFrame, storage: str, places: DataFrame | None) -> DataFrame:
+    """The last landed row of each merge key, with ``seq``; rows of a landing come with ``ord`` and their pages' places."""
+    if places is None:
+        return last_wins(rows, MERGE_KEYS[storage], keep_seq=True)
+    return with_seq(latest(rows, MERGE_KEYS[storage], "ord"), places)
+
+
+def _names(rows: DataFrame, places: DataFrame | None) -> DataFrame:
+    """One name per id, the last landed one, with ``seq``."""
+    return dimension_from_batch(rows) if places is None else with_seq(dimension_from_batch(rows, "ord"), places)
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
@@ -194,10 +220,10 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
     tables: dict[str, DataFrame] = {}
     if fac is not None:
         # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
-        tables["plants"] = dimension_from_batch(fac.rows)
-        tables["facility"] = drop_name(last_wins(fac.rows, MERGE_KEYS["facility_outages"], keep_seq=True))  # D9
+        tables["plants"] = _names(fac.rows, fac.places)
+        tables["facility"] = _latest(drop_name(fac.rows), "facility_outages", fac.places)  # D9
     if us is not None:
-        tables["us"] = last_wins(us.rows, MERGE_KEYS["us_outages"], keep_seq=True)
+        tables["us"] = _latest(us.rows, "us_outages", us.places)
     counts = {d.storage: 0 for d in DATASETS.values()}
     for name in DATASETS:
         storage = DATASETS[name].storage
@@ -236,17 +262,17 @@ def _count_and_newest(df: DataFrame) -> tuple[int, _dt.date | None]:
     return df.agg(F.count(F.lit(1)), F.max("date")).first()
 
 
-def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) -> tuple[int, int, _dt.date | None]:
-    """Merge one transformed facility batch (with ``seq``) into the facts and
+def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame, places: DataFrame | None = None) -> tuple[int, int, _dt.date | None]:
+    """Merge one transformed facility batch (with ``seq``, or ``ord`` and places) into the facts and
     the dimension in landing order, then publish. An absent table is created from the batch (M1);
     only months in which the batch changes something are rewritten, into new folders. An
     empty batch changes nothing and returns zero rows. Rows count after the
     last-wins dedupe, as in a full load."""
-    facts = materialize(drop_name(last_wins(fac, MERGE_KEYS["facility_outages"], keep_seq=True)), "facts-batch")
+    facts = materialize(_latest(drop_name(fac), "facility_outages", places), "facts-batch")
     n_rows, batch_max = _count_and_newest(facts)
     if n_rows == 0:
         return 0, 0, None
-    plants = materialize(dimension_from_batch(fac), "plants-batch")
+    plants = materialize(_names(fac, places), "plants-batch")
     if not wh.base_exists("facility_outages"):
         wh.overwrite_base("facility", facts)
     else:
@@ -256,7 +282,8 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
         months = _months(news)
         if months:  # a replayed or older batch rewrites nothing
             current = wh.load_base("facility", months=months, with_seq=True)
-            wh.replace_months("facility", merge_latest(current, news, MERGE_KEYS["facility_outages"]), months)
+            # what is left of the batch is newer than the stored row of its key: a plain upsert
+            wh.replace_months("facility", upsert(current, news, MERGE_KEYS["facility_outages"]), months)
     if not wh.base_exists("plants"):
         wh.overwrite_base("plants", plants)
     else:
@@ -266,10 +293,10 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame) ->
     return n_rows, plants.count(), batch_max
 
 
-def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame) -> tuple[int, _dt.date | None]:
+def apply_us_batch(spark: SparkSession, wh: Warehouse, us: DataFrame, places: DataFrame | None = None) -> tuple[int, _dt.date | None]:
     """Merge one transformed national batch in landing order; the small table is rewritten whole.
     An empty batch changes nothing and returns zero rows."""
-    us = materialize(last_wins(us, MERGE_KEYS["us_outages"], keep_seq=True), "us-upsert")
+    us = materialize(_latest(us, "us_outages", places), "us-upsert")
     n_rows, batch_max = _count_and_newest(us)
     if n_rows == 0:
         return 0, None
@@ -298,11 +325,11 @@ def incremental_refresh(
     counts = {"facility_outages": 0, "us_outages": 0, "plants": 0}
     marks: dict[str, _dt.date | None] = {}
     if fac is not None:
-        counts["facility_outages"], counts["plants"], newest = apply_facility_batch(spark, wh, fac.rows)
+        counts["facility_outages"], counts["plants"], newest = apply_facility_batch(spark, wh, fac.rows, fac.places)
         if counts["facility_outages"]:
             marks["facility_outages"] = newest
     if us is not None:
-        counts["us_outages"], newest = apply_us_batch(spark, wh, us.rows)
+        counts["us_outages"], newest = apply_us_batch(spark, wh, us.rows, us.places)
         if counts["us_outages"]:
             marks["us_outages"] = newest
     S.save_state(wh, marks)  # D11: state after publish; plants' watermark untouched (A2)

@@ -534,7 +534,7 @@ def _root(spark) -> str:
 
 def _wide(fac: DataFrame, names: DataFrame, folder: str, times: float, first_offset: int, total: int) -> None:
     raw = A.raw_records_from(fac.withColumn("outage", F.col("outage") * times), names)
-    L.page_envelopes(raw, None, PAGE_SIZE, first_offset, total).write.json(folder)
+    L.land(L.page_envelopes(raw, None, PAGE_SIZE, first_offset, total), folder)
 
 
 def incremental_flat_landing(spark, sf):

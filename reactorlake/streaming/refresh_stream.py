@@ -63,9 +63,9 @@ def start_refresh_stream(
         start = None if mark is None else mark - _dt.timedelta(days=lateness_days)
         batch = judge(session, landing, landing_path, dataset, staged, listed, S.load_progress(wh, storage), start)
         if dataset == "facility":
-            n_rows, _, batch_max = apply_facility_batch(session, wh, batch.rows)
+            n_rows, _, batch_max = apply_facility_batch(session, wh, batch.rows, batch.places)
         else:
-            n_rows, batch_max = apply_us_batch(session, wh, batch.rows)
+            n_rows, batch_max = apply_us_batch(session, wh, batch.rows, batch.places)
         if n_rows:
             marks = {storage: batch_max}
             if dataset == "facility" and S.load_state(wh).get("plants") is None:

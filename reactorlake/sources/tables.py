@@ -105,7 +105,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     scope = _STAGE_ROOT.get()
     name = f"{label}-{uuid.uuid4().hex}"
     path = f"{scope}/{name}" if scope else shared_root(spark, f"_stage/{name}")
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").option("compression", "zstd").parquet(path)  # written once, read a few times: smaller than snappy
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,7 +24,7 @@ from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds,
 from reactorlake.schemas import DATASETS, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources import state as S
 from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, ordered_records, page_infos, page_places, page_states, pages_in, place_of, read_pages, records_from_pages, with_seq
-from reactorlake.sources.tables import MONTH_COL, Warehouse, materialize, stage_scope, with_month
+from reactorlake.sources.tables import MONTH_COL, Warehouse, empty_frame, materialize, newest_date, stage_scope, with_month
 
 FULL = "full"
 INCREMENTAL = "incremental"
@@ -115,7 +115,7 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
     ``listed`` are the files read; one without any page is broken. A run that was read before
     keeps the date bound of its first reading; a new one starts at ``start``.
     """
-    infos = page_infos(pages)
+    infos = materialize(page_infos(pages), f"{public}-infos")  # read several times below
     nothing = listed.join(infos.select("file").distinct(), "file", "left_anti").select("run", "file", F.lit("no page in the file").alias("broken"))
     infos = infos.unionByName(nothing, allowMissingColumns=True).withColumn("was", F.lit(None).cast("string"))
     bound = F.lit(start).cast("date")
@@ -157,7 +157,7 @@ def landed_between(spark: SparkSession, landing: Landing, public: str, wh: Wareh
     chosen = materialize(S.pages_between(wh, DATASETS[public].storage, start, end), f"{public}-between")
     pages = _pages_in(spark, path, chosen, landing.multi_line)
     if pages is None:
-        return spark.createDataFrame([], RAW_RECORD_SCHEMA)
+        return empty_frame(spark, RAW_RECORD_SCHEMA)
     return filter_period(records_from_pages(pages_in(pages, chosen)), start, end).select(*RAW_RECORD_SCHEMA.names)
 
 
@@ -199,7 +199,7 @@ def _names(rows: DataFrame, places: DataFrame | None) -> DataFrame:
 
 
 def _empty(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], DATASETS[name].schema)
+    return empty_frame(spark, DATASETS[name].schema)
 
 
 def summary(spark: SparkSession, mode: str, counts: dict[str, int]) -> DataFrame:
@@ -234,9 +234,9 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
             wh.overwrite_base(name, _empty(spark, name))
     marks = {}
     if fac is not None:
-        marks["facility_outages"] = marks["plants"] = _newest(wh.load_base("facility"))
+        marks["facility_outages"] = marks["plants"] = _newest(wh, "facility_outages")
     if us is not None:
-        marks["us_outages"] = _newest(wh.load_base("us"))
+        marks["us_outages"] = _newest(wh, "us_outages")
     S.save_state(wh, marks, replace=True)
     _record(wh, fac, us)
     return counts
@@ -249,13 +249,13 @@ def _record(wh: Warehouse, fac: Batch | None, us: Batch | None) -> None:
             S.save_progress(wh, storage, batch.pages)
 
 
-def _newest(df: DataFrame) -> _dt.date | None:
-    return df.agg(F.max("date")).first()[0]
+def _newest(wh: Warehouse, storage: str) -> _dt.date | None:
+    return newest_date(wh.base_parts(storage) or {})
 
 
 def _months(batch: DataFrame) -> list[str]:
     """Months touched by a batch: bounded by the batch's date span."""
-    return [r[0] for r in with_month(batch).select(MONTH_COL).distinct().collect()]
+    return [r[0] for r in with_month(batch.select("date").distinct()).select(MONTH_COL).distinct().collect()]
 
 
 def _count_and_newest(df: DataFrame) -> tuple[int, _dt.date | None]:
@@ -268,17 +268,18 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame, pla
     only months in which the batch changes something are rewritten, into new folders. An
     empty batch changes nothing and returns zero rows. Rows count after the
     last-wins dedupe, as in a full load."""
-    facts = materialize(_latest(drop_name(fac), "facility_outages", places), "facts-batch")
-    n_rows, batch_max = _count_and_newest(facts)
-    if n_rows == 0:
+    facts = _latest(drop_name(fac), "facility_outages", places)
+    touched = _months(fac)
+    if not touched:
         return 0, 0, None
     plants = materialize(_names(fac, places), "plants-batch")
     if not wh.base_exists("facility_outages"):
-        wh.overwrite_base("facility", facts)
+        n_rows, batch_max = wh.overwrite_base("facility", facts), _newest(wh, "facility_outages")
     else:
-        current = wh.load_base("facility", months=_months(facts), with_seq=True)  # only the touched months are read
-        kinds = change_kinds(current, facts, MERGE_KEYS["facility_outages"])
-        news = materialize(kinds.where(~F.col("kind").isin(SAME, OLDER)).drop("kind"), "facts-news")
+        current = wh.load_base("facility", months=touched, with_seq=True)  # only the touched months are read
+        kinds = materialize(change_kinds(current, facts, MERGE_KEYS["facility_outages"]), "facts-kinds")
+        n_rows, batch_max = _count_and_newest(kinds)
+        news = kinds.where(~F.col("kind").isin(SAME, OLDER)).drop("kind")
         months = _months(news)
         if months:  # a replayed or older batch rewrites nothing
             current = wh.load_base("facility", months=months, with_seq=True)

@@ -501,8 +501,7 @@ def _land(spark, sf, root: str) -> RF.Landing:
 
 
 def _land_increment(spark, sf, root: str) -> None:
-    fac = A.facility_outages(spark, sf)
-    raw = A.raw_records_from(A.increment(fac), A.plants(spark, sf))
+    raw = A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf))
     L.write_pages(raw, f"{root}/landing/facility/batch-0002")
 
 
@@ -534,7 +533,7 @@ def _root(spark) -> str:
 
 def _wide(fac: DataFrame, names: DataFrame, folder: str, times: float, first_offset: int, total: int) -> None:
     raw = A.raw_records_from(fac.withColumn("outage", F.col("outage") * times), names)
-    L.land(L.page_envelopes(raw, None, PAGE_SIZE, first_offset, total), folder)
+    L.land(L.page_texts(raw, None, PAGE_SIZE, first_offset, total), folder)
 
 
 def incremental_flat_landing(spark, sf):
@@ -560,8 +559,7 @@ def _late_run(spark, sf, wh_root: str) -> tuple[RF.Landing, Warehouse]:
 
 
 def _land_run_10(spark, sf, landing: RF.Landing) -> None:
-    fac = A.facility_outages(spark, sf)
-    L.write_pages(A.raw_records_from(A.increment(fac), A.plants(spark, sf)), f"{landing.facility}/run-10")
+    L.write_pages(A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf)), f"{landing.facility}/run-10")
 
 
 def incremental_late_run(spark, sf):
@@ -593,10 +591,10 @@ def incremental_gap_filled(spark, sf):
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
     wh = Warehouse(spark, f"{root}/warehouse")
-    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "gap-pages")
-    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{landing.facility}/run-1")
+    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "gap-pages")
+    L.land(pages.where(F.col("offset") != GAP_PAGE), f"{landing.facility}/run-1")
     RF.refresh(spark, landing, wh)
-    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{landing.facility}/run-1")
+    L.land(pages.where(F.col("offset") == GAP_PAGE), f"{landing.facility}/run-1", "append")
     RF.refresh(spark, landing, wh)
     return _text_dates(wh.load_snapshot("facility"), "date")
 
@@ -606,13 +604,13 @@ def incremental_reread_run(spark, sf):
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
     wh = Warehouse(spark, f"{root}/warehouse")
-    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "reread-pages")
-    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{landing.facility}/run-1")
+    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "reread-pages")
+    L.land(pages.where(F.col("offset") != GAP_PAGE), f"{landing.facility}/run-1")
     RF.refresh(spark, landing, wh)
     fixes = A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf))
     L.write_pages(fixes, f"{landing.facility}/run-2", page_size=GAP_PAGE)
     RF.refresh(spark, landing, wh, lookback_days=ALL_DAYS)
-    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{landing.facility}/run-1")
+    L.land(pages.where(F.col("offset") == GAP_PAGE), f"{landing.facility}/run-1", "append")
     RF.refresh(spark, landing, wh)
     return _text_dates(wh.load_snapshot("facility"), "date")
 
@@ -633,12 +631,12 @@ def landed_broken_pages(spark, sf):
     """What a refresh records of a run whose second page of three is cut off and whose third has no response."""
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
-    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "broken-pages")
-    pages.write.json(f"{landing.facility}/run-1")
-    turn, text = F.pmod(F.floor(F.col("offset") / GAP_PAGE), F.lit(3)), F.to_json(F.struct("offset", "response"))
+    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "broken-pages")
+    L.land(pages, f"{landing.facility}/run-1")
+    turn, text = F.pmod(F.floor(F.col("offset") / GAP_PAGE), F.lit(3)), F.col("value")
     error = F.to_json(F.struct("offset", F.lit("busy").alias("error")))
     cut = F.when(turn == 1, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).when(turn == 2, error).otherwise(text)
-    pages.select(cut.alias("value")).write.text(f"{landing.facility}/run-2")
+    L.land(pages.select(cut.alias("value")), f"{landing.facility}/run-2")
     wh = Warehouse(spark, f"{root}/warehouse")
     RF.refresh(spark, landing, wh)
     read = S.load_progress(wh, "facility_outages")
@@ -699,7 +697,8 @@ def landed_range_indexed(spark, sf):
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
     raw = A.raw_facility_records(spark, sf)
-    L.page_envelopes(raw, [F.col("period"), F.col("facility")], GAP_PAGE).repartitionByRange(16, "offset").write.json(f"{landing.facility}/run-1")
+    texts = L.page_texts(raw, [F.col("period"), F.col("facility")], GAP_PAGE)
+    texts.repartitionByRange(16, "offset").select("value").write.text(f"{landing.facility}/run-1")  # few large files: not compressed, so that they can be split
     wh = Warehouse(spark, f"{root}/warehouse")
     RF.refresh(spark, landing, wh)
     found = RF.landed_between(spark, landing, "facility", wh, D.parse_date_arg(DATE_FROM), D.parse_date_arg(DATE_TO))
@@ -780,11 +779,11 @@ def stream_gap_filled(spark, sf):
     from reactorlake.streaming.refresh_stream import run_available
 
     root = shared_root(spark)
-    pages = materialize(L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE), "stream-gap-pages")
+    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "stream-gap-pages")
     wh = Warehouse(spark, f"{root}/warehouse")
-    pages.where(F.col("offset") != GAP_PAGE).write.json(f"{root}/landing/run-1")
+    L.land(pages.where(F.col("offset") != GAP_PAGE), f"{root}/landing/run-1")
     run_available(spark, f"{root}/landing", "facility", wh, page_size=GAP_PAGE)
-    pages.where(F.col("offset") == GAP_PAGE).write.mode("append").json(f"{root}/landing/run-1")
+    L.land(pages.where(F.col("offset") == GAP_PAGE), f"{root}/landing/run-1", "append")
     run_available(spark, f"{root}/landing", "facility", wh, page_size=GAP_PAGE)
     return _text_dates(wh.load_snapshot("facility"), "date")
 

@@ -105,12 +105,14 @@ def page_infos(pages: DataFrame) -> DataFrame:
     and the first and last date of its records (``low, high``)."""
     # Texts of ten characters that are dates order as their dates do, so only the ends are parsed; where
     # a page holds other texts, or an end is no date, all its periods are.
-    periods, dates = F.col("data")["period"], F.transform("data", lambda r: parse_date(r["period"]))
-    ends = pages.withColumns({"_plain": F.forall(periods, lambda p: p.isNull() | (F.length(p) == 10)), "_low": parse_date(F.array_min(periods)), "_high": parse_date(F.array_max(periods))})
+    # Of the records only the periods are read.
+    periods, dates = F.col("_periods"), F.transform("_periods", parse_date)
+    paged = pages.withColumn("_periods", F.col("data")["period"])
+    ends = paged.withColumns({"_plain": F.forall(periods, lambda p: p.isNull() | (F.length(p) == 10)), "_low": parse_date(F.array_min(periods)), "_high": parse_date(F.array_max(periods))})
     plain = F.col("_plain") & F.col("_low").isNotNull() & F.col("_high").isNotNull()
     dated = ends.withColumns({"_low": F.when(plain, F.col("_low")).otherwise(F.array_min(dates)), "_high": F.when(plain, F.col("_high")).otherwise(F.array_max(dates))})
     return dated.groupBy("run", "file", "offset", "broken").agg(
-        F.max("total").alias("total"), F.max(F.size("data")).alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high")
+        F.max("total").alias("total"), F.max(F.size("_periods")).alias("n"), F.min("_low").alias("low"), F.max("_high").alias("high")
     )
 
 
@@ -253,17 +255,28 @@ def page_envelopes(
     their current partitions) and grouped into pages of exactly ``page_size``
     rows (each group is bounded by the page size).
     """
-    order = order or []
-    numbered = number_pages(records.select(*RECORD_FIELDS, *[c for c in records.columns if c not in RECORD_FIELDS]), order, page_size)
+    offset, total, data = _paged(records, F.struct(*RECORD_FIELDS), order, page_size, first_offset, total)
+    return data.select(offset, F.struct(total, F.col("data")).alias("response"))
+
+
+def page_texts(
+    records: DataFrame, order: list | None = None, page_size: int = PAGE_SIZE, first_offset: int = 0, total: int | None = None
+) -> DataFrame:
+    """``page_envelopes`` as text: ``offset`` and the page's JSON (``value``), for pages that are staged before they are
+    landed. Records become text before they are gathered, so a page is gathered as a list of texts instead of nested rows."""
+    offset, total, data = _paged(records, F.to_json(F.struct(*RECORD_FIELDS)), order, page_size, first_offset, total)
+    parts = F.lit('{"offset":'), offset.cast("string"), F.lit(',"response":{"total":"'), total, F.lit('","data":['), F.array_join("data", ","), F.lit("]}}")
+    return data.select(offset, F.concat(*parts).alias("value"))
+
+
+def _paged(records: DataFrame, rec: Column, order: list | None, page_size: int, first_offset: int, total: int | None) -> tuple[Column, Column, DataFrame]:
+    """The offset and the reported total of each page, and the pages with their records (as ``rec``) in ``data``."""
+    numbered = number_pages(records.select(*RECORD_FIELDS, *[c for c in records.columns if c not in RECORD_FIELDS]), order or [], page_size)
     # counted on the stored numbering, so that the records are not computed a second time
     reported = numbered.select(F.count(F.lit(1)).cast("string")).scalar() if total is None else F.lit(str(total))
-    pages = numbered.groupBy("page_no").agg(
-        F.sort_array(F.collect_list(F.struct("page_pos", F.struct(*RECORD_FIELDS).alias("rec")))).alias("_recs")
-    )
-    return pages.select(
-        (F.col("page_no") * F.lit(page_size) + F.lit(first_offset)).cast("bigint").alias("offset"),
-        F.struct(reported.alias("total"), F.transform("_recs", lambda x: x["rec"]).alias("data")).alias("response"),
-    )
+    pages = numbered.groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("page_pos", rec.alias("rec")))).alias("_recs"))
+    offset = (F.col("page_no") * F.lit(page_size) + F.lit(first_offset)).cast("bigint").alias("offset")
+    return offset, reported.alias("total"), pages.select("page_no", F.transform("_recs", lambda x: x["rec"]).alias("data"))
 
 
 def write_pages(records: DataFrame, path: str, order: list | None = None, page_size: int = PAGE_SIZE, mode: str = "error") -> None:
@@ -272,6 +285,8 @@ def write_pages(records: DataFrame, path: str, order: list | None = None, page_s
 
 
 def land(pages: DataFrame, path: str, mode: str = "error") -> None:
-    """Land page envelopes as gzipped JSON lines: field names repeat in every record, so the text is several
-    times the data. Each writing task's file is then read by one task."""
-    pages.write.mode(mode).option("compression", "gzip").json(path)
+    """Land page envelopes, or their ``page_texts``, as gzipped JSON lines: field names repeat in every record, so the text
+    is several times the data, and the fastest level takes most of that away. Each writing task's file is then read by one task."""
+    texts = "value" in pages.columns
+    writer = pages.select(["value"] if texts else pages.columns).write.mode(mode).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+    (writer.text if texts else writer.json)(path)

@@ -109,6 +109,11 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    """A frame without rows that the planner knows to be empty: no task, and no Python worker, runs for it."""
+    return spark.range(1).limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 # ---------------------------------------------------------------------------
 # Filesystem helpers (Hadoop FileSystem, so any cluster filesystem works)
 # ---------------------------------------------------------------------------
@@ -246,10 +251,16 @@ def read_parts(
         names = [m for m in names if months is None or m in set(months)]
     folders = [parts[m]["folder"] for m in names if parts[m]["rows"]]
     if not folders:
-        return spark.createDataFrame([], schema)
+        return empty_frame(spark, schema)
     return spark.read.schema(schema).parquet(*folders)
 
 
+def newest_date(parts: dict[str, dict]) -> _dt.date | None:
+    """The newest date of a table, from its manifest."""
+    days = [d for part in parts.values() for d, n in part["days"].items() if n and d != "None"]
+    return _dt.date.fromisoformat(max(days)) if days else None
+
+
 def rows_per_date(parts: dict[str, dict], date_from: _dt.date | None = None, date_to: _dt.date | None = None) -> dict[_dt.date, int] | None:
     """Rows of each date within the bounds, from a manifest; None where it does not know (rows without a date)."""
     if any("days" not in part or "None" in part["days"] for part in parts.values()):
@@ -311,7 +322,7 @@ class Warehouse:
 
     def load_log(self, log: str, schema: T.StructType) -> DataFrame:
         folders = [part["folder"] for _, part in sorted(self.log_parts(log).items())]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else empty_frame(self.spark, schema)
 
     def append_log(self, log: str, rows: DataFrame, schema: T.StructType, newest: Callable[[DataFrame], DataFrame] | None = None) -> None:
         """Add rows. From ``LOG_FOLDERS`` folders on they are written together as one, reduced

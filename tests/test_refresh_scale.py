@@ -71,3 +71,63 @@ def test_page_infos_bounds_with_odd_periods(spark):
     pages = spark.createDataFrame([("r", "f", 0, i, 9, [(p, "1", "n", "1", "1", "1") for p in ps], None) for i, ps in enumerate(odd)], f"run string, file string, at bigint, offset bigint, total bigint, data array<struct<{RECORD.replace(' ', ':').replace(',:', ',')}>>, broken string")
     got = {r["offset"]: (str(r["low"]), str(r["high"])) for r in L.page_infos(pages).collect()}
     assert got == {0: ("2024-01-05", "2024-03-01"), 1: ("2024-02-02",) * 2, 2: ("2024-02-02",) * 2, 3: ("2024-02-01",) * 2, 4: ("2023-12-31",) * 2, 5: ("None",) * 2, 6: ("None",) * 2, 7: ("2024-04-04", "2024-05-05")}
+
+
+def test_page_texts_are_the_envelopes_json(spark):
+    rows = [("2024-01-01", "1", 'a "quoted" \\ näme\n', "1.5", "", None), (None, None, None, None, None, None), ("2024-01-03", "é", "", "n/a", "2", "3"), ("2024-01-04", "4", "d", "1", "2", "3")]
+    records = spark.createDataFrame(rows, RECORD).coalesce(1)
+    for order in (None, [F.col("facility")]):
+        for total in (None, 99):
+            plain = L.page_envelopes(records, order, 3, 6, total).select("offset", F.to_json(F.struct("offset", "response")).alias("value"))
+            assert sorted(map(tuple, L.page_texts(records, order, 3, 6, total).collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_empty_frames_need_no_task(spark):
+    from pyspark.sql import types as T
+
+    from reactorlake.schemas import FACILITY_SCHEMA, SEQ_SCHEMA
+    from reactorlake.sources.tables import empty_frame
+
+    schema = T.StructType([*FACILITY_SCHEMA.fields, T.StructField("seq", SEQ_SCHEMA)])
+    empty = empty_frame(spark, schema)
+    assert [(f.name, f.dataType) for f in empty.schema.fields] == [(f.name, f.dataType) for f in schema.fields]
+    assert empty.collect() == [] and "LocalTableScan <empty>" in empty._jdf.queryExecution().executedPlan().toString()
+
+
+def test_page_infos_read_only_periods(spark, tmp_path):
+    L.write_pages(_records(spark, 10), f"{tmp_path}/landing/run-1", page_size=4)
+    infos = L.page_infos(materialize(L.read_pages(spark, f"{tmp_path}/landing"), "test-pages"))
+    assert sorted((r["offset"], r["n"]) for r in infos.collect()) == [(0, 4), (4, 4), (8, 2)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = infos.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "data:array<struct<period:string>>" in plan
+
+
+def test_a_batch_is_staged_once(spark, scratch, monkeypatch):
+    """The merge stages its rows once, with what they do; a first load stages none."""
+    from reactorlake.plans import refresh as RF
+    from reactorlake.sources.tables import Warehouse
+
+    labels = []
+    monkeypatch.setattr(RF, "materialize", lambda df, label: labels.append(label) or materialize(df, label))
+    wh = Warehouse(spark, f"{scratch}/wh")
+    landing = RF.Landing(f"{scratch}/landing", f"{scratch}/none", page_size=4)
+    L.write_pages(_records(spark, 10), f"{scratch}/landing/run-1", page_size=4)
+    RF.full_refresh(spark, landing, wh)
+    L.write_pages(_records(spark, 12).withColumn("outage", F.lit("7")), f"{scratch}/landing/run-2", page_size=4)
+    labels.clear()
+    counts = RF.incremental_refresh(spark, landing, wh, lookback_days=400)
+    assert [x for x in labels if x.startswith("facts")] == ["facts-kinds"] and counts["facility_outages"] == 12
+    got = wh.load_snapshot("facility")
+    assert got.count() == 12 and [r["outage"] for r in got.select("outage").distinct().collect()] == [7.0]
+    assert str(RF._newest(wh, "facility_outages")) == "2024-01-12"
+    labels.clear()
+    first = Warehouse(spark, f"{scratch}/first")
+    pages = materialize(L.read_pages(spark, f"{scratch}/landing"), "test-pages")
+    batch = RF.judge(spark, landing, f"{scratch}/landing", "facility", pages, L.landed_files(spark, f"{scratch}/landing"), None, None)
+    n, plants, newest = RF.apply_facility_batch(spark, first, batch.rows, batch.places)
+    assert (n, plants, str(newest)) == (12, 12, "2024-01-12") and not [x for x in labels if x.startswith("facts")]
+    assert RF.apply_facility_batch(spark, first, batch.rows.where("false"), batch.places) == (0, 0, None)

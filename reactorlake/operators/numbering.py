@@ -48,13 +48,17 @@ def number_rows(
     # writes them to the shared folder: the stored values fix the numbering,
     # so the counting pass and the numbering pass agree even when a task or an
     # executor is lost and the upstream is recomputed.
-    tagged = materialize(
-        ranged.withColumn("_part", F.spark_partition_id()).withColumn(
-            "_pos",
-            F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _RECORD_BITS),
-        ),
-        "numbering",
-    )
+    return number_tagged(tag_rows(ranged, "numbering"), index_col)
+
+
+def tag_rows(df: DataFrame, label: str) -> DataFrame:
+    """Stage rows with their partition's index and their position in it (``_part``, ``_pos``)."""
+    pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _RECORD_BITS)
+    return materialize(df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", pos), label)
+
+
+def number_tagged(tagged: DataFrame, index_col: str) -> DataFrame:
+    """Add ``index_col`` to tagged rows; of each partition they may be the first ones only."""
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     starts = counts.select(
         "_part",

@@ -193,6 +193,19 @@ def _latest(rows: DataFrame, storage: str, places: DataFrame | None) -> DataFram
     return with_seq(latest(rows, MERGE_KEYS[storage], "ord"), places)
 
 
+#: Up to so many pages their places (some hundred bytes each) are sent to every task.
+BROADCAST_PLACES = 100_000
+
+
+def _write_facts(wh: Warehouse, rows: DataFrame, places: DataFrame | None) -> int:
+    """The facts made of the last landed row of each key; their number. Rows travel with ``ord``, a number, and get
+    ``seq``, which holds names, where they are written, unless that needs a shuffle."""
+    if places is None or places.count() > BROADCAST_PLACES:
+        return wh.overwrite_base("facility", _latest(rows, "facility_outages", places))
+    near = F.broadcast(places)
+    return wh.overwrite_base("facility", latest(rows, MERGE_KEYS["facility_outages"], "ord"), lambda df: with_seq(df, near))
+
+
 def _names(rows: DataFrame, places: DataFrame | None) -> DataFrame:
     """One name per id, the last landed one, with ``seq``."""
     return dimension_from_batch(rows) if places is None else with_seq(dimension_from_batch(rows, "ord"), places)
@@ -221,13 +234,16 @@ def full_refresh(spark: SparkSession, landing: Landing, wh: Warehouse) -> dict[s
     if fac is not None:
         # One name per id, the last landed one (decided before the key dedupe drops ``seq``)
         tables["plants"] = _names(fac.rows, fac.places)
-        tables["facility"] = _latest(drop_name(fac.rows), "facility_outages", fac.places)  # D9
+        tables["facility"] = drop_name(fac.rows)
     if us is not None:
         tables["us"] = _latest(us.rows, "us_outages", us.places)
     counts = {d.storage: 0 for d in DATASETS.values()}
     for name in DATASETS:
         storage = DATASETS[name].storage
-        if name in tables:
+        if name == "facility" and name in tables:
+            counts[storage] = _write_facts(wh, tables[name], fac.places)  # D9
+            wh.publish(name)
+        elif name in tables:
             counts[storage] = wh.overwrite_base(name, tables[name])
             wh.publish(name)  # S10: an empty table keeps the older snapshot
         elif not wh.base_exists(storage):
@@ -268,14 +284,14 @@ def apply_facility_batch(spark: SparkSession, wh: Warehouse, fac: DataFrame, pla
     only months in which the batch changes something are rewritten, into new folders. An
     empty batch changes nothing and returns zero rows. Rows count after the
     last-wins dedupe, as in a full load."""
-    facts = _latest(drop_name(fac), "facility_outages", places)
     touched = _months(fac)
     if not touched:
         return 0, 0, None
     plants = materialize(_names(fac, places), "plants-batch")
     if not wh.base_exists("facility_outages"):
-        n_rows, batch_max = wh.overwrite_base("facility", facts), _newest(wh, "facility_outages")
+        n_rows, batch_max = _write_facts(wh, drop_name(fac), places), _newest(wh, "facility_outages")
     else:
+        facts = _latest(drop_name(fac), "facility_outages", places)
         current = wh.load_base("facility", months=touched, with_seq=True)  # only the touched months are read
         kinds = materialize(change_kinds(current, facts, MERGE_KEYS["facility_outages"]), "facts-kinds")
         n_rows, batch_max = _count_and_newest(kinds)

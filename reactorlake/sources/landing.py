@@ -23,10 +23,11 @@ import datetime as _dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reactorlake.functions.dates import parse_date
 from reactorlake.functions.numbers import array_or_empty, text_to_long
-from reactorlake.operators.numbering import number_pages, number_rows
+from reactorlake.operators.numbering import number_pages, number_rows, number_tagged, tag_rows
 from reactorlake.schemas import CORRUPT, LANDED_SCHEMA, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources.tables import _fs_path, materialize
 
@@ -34,6 +35,7 @@ KEPT, HELD, IGNORED, BROKEN = "kept", "held", "ignored", "broken"
 ROOT_RUN = "."
 
 RECORD_FIELDS = RAW_RECORD_SCHEMA.names
+PAGE_DATA = T.ArrayType(RAW_RECORD_SCHEMA)
 
 
 def _file_name(path: Column) -> Column:
@@ -251,32 +253,70 @@ def page_envelopes(
 ) -> DataFrame:
     """Records as source pages (``offset, response``), used to build landings from tables.
 
-    Rows are numbered without a global window (in ``order`` if given, else in
-    their current partitions) and grouped into pages of exactly ``page_size``
-    rows (each group is bounded by the page size).
+    Rows are numbered without a global window (in ``order`` if given, else any) and
+    put into pages of exactly ``page_size`` rows (each page is held as a whole).
     """
-    offset, total, data = _paged(records, F.struct(*RECORD_FIELDS), order, page_size, first_offset, total)
-    return data.select(offset, F.struct(total, F.col("data")).alias("response"))
+    pages, count = _ordered_pages(records, order, page_size) if order else _pages(records, page_size)
+    reported = count.cast("string") if total is None else F.lit(str(total))
+    offset = (F.col("page_no") * F.lit(page_size) + F.lit(first_offset)).cast("bigint").alias("offset")
+    return pages.select(offset, F.struct(reported.alias("total"), F.col("data")).alias("response"))
 
 
 def page_texts(
     records: DataFrame, order: list | None = None, page_size: int = PAGE_SIZE, first_offset: int = 0, total: int | None = None
 ) -> DataFrame:
-    """``page_envelopes`` as text: ``offset`` and the page's JSON (``value``), for pages that are staged before they are
-    landed. Records become text before they are gathered, so a page is gathered as a list of texts instead of nested rows."""
-    offset, total, data = _paged(records, F.to_json(F.struct(*RECORD_FIELDS)), order, page_size, first_offset, total)
-    parts = F.lit('{"offset":'), offset.cast("string"), F.lit(',"response":{"total":"'), total, F.lit('","data":['), F.array_join("data", ","), F.lit("]}}")
-    return data.select(offset, F.concat(*parts).alias("value"))
+    """``page_envelopes`` as text: ``offset`` and the page's JSON (``value``), for pages that are staged before they are landed."""
+    pages = page_envelopes(records, order, page_size, first_offset, total)
+    return pages.select("offset", F.to_json(F.struct("offset", "response")).alias("value"))
 
 
-def _paged(records: DataFrame, rec: Column, order: list | None, page_size: int, first_offset: int, total: int | None) -> tuple[Column, Column, DataFrame]:
-    """The offset and the reported total of each page, and the pages with their records (as ``rec``) in ``data``."""
+def _ordered_pages(records: DataFrame, order: list | None, page_size: int) -> tuple[DataFrame, Column]:
+    """Pages (``page_no, data``) of the records in ``order`` (without one: as they come), and their number of records."""
     numbered = number_pages(records.select(*RECORD_FIELDS, *[c for c in records.columns if c not in RECORD_FIELDS]), order or [], page_size)
     # counted on the stored numbering, so that the records are not computed a second time
-    reported = numbered.select(F.count(F.lit(1)).cast("string")).scalar() if total is None else F.lit(str(total))
-    pages = numbered.groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("page_pos", rec.alias("rec")))).alias("_recs"))
-    offset = (F.col("page_no") * F.lit(page_size) + F.lit(first_offset)).cast("bigint").alias("offset")
-    return offset, reported.alias("total"), pages.select("page_no", F.transform("_recs", lambda x: x["rec"]).alias("data"))
+    count = numbered.select(F.count(F.lit(1))).scalar()
+    # without the exchange first, lists would be gathered on both sides of it, and sorted and spilled beyond a few pages a task
+    rows = numbered.select("page_no", "page_pos", *RECORD_FIELDS).repartition("page_no")
+    pages = rows.groupBy("page_no").agg(F.sort_array(F.collect_list(F.struct("page_pos", F.struct(*RECORD_FIELDS).alias("rec")))).alias("_recs"))
+    return pages.select("page_no", F.transform("_recs", lambda x: x["rec"]).alias("data")), count
+
+
+def _pages(records: DataFrame, page_size: int) -> tuple[DataFrame, Column]:
+    """``_ordered_pages`` for any order: every task cuts its own rows into pages, so no record is shuffled but those of
+    the rests, less than a page for each task, which make up the last pages together."""
+    cut = records.select(*RECORD_FIELDS).mapInArrow(_cutter(page_size), T.StructType([T.StructField("data", PAGE_DATA)]))
+    staged = tag_rows(cut.withColumn("n", F.size("data")), "pages-cut")
+    count = staged.select(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    whole = staged.where(F.col("n") == page_size)
+    wholes = whole.select(F.count(F.lit(1))).scalar()
+    rest, _ = _ordered_pages(staged.where(F.col("n") < page_size).select(F.inline("data")), None, page_size)
+    pages = number_tagged(whole, "page_no").select("page_no", "data")
+    return pages.unionByName(rest.withColumn("page_no", F.col("page_no") + wholes)), count
+
+
+def _cutter(page_size: int):
+    """For ``mapInArrow``: a task's rows as lists of ``page_size`` rows; what is left at its end is one shorter list."""
+
+    def cut(batches):
+        import pyarrow as pa
+
+        held, n = [], 0
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, page_size - n)
+                held, n, at = [*held, part], n + part.num_rows, at + part.num_rows
+                if n == page_size:
+                    yield page(pa, held, n)
+                    held, n = [], 0
+        if n:
+            yield page(pa, held, n)
+
+    def page(pa, held, n):
+        rows = pa.concat_arrays([b.to_struct_array() for b in held])
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), rows)], ["data"])
+
+    return cut
 
 
 def write_pages(records: DataFrame, path: str, order: list | None = None, page_size: int = PAGE_SIZE, mode: str = "error") -> None:

@@ -37,10 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reactorlake.errors import DataNotFoundError, ProcessingError
+from reactorlake.functions.dates import format_month
 from reactorlake.schemas import DATASETS, SEQ_SCHEMA, Dataset, resolve
 
 MONTH_COL = "ym"
 SEQ_COL = "seq"
+#: The landing order as one number, while a refresh merges its rows.
+ORD_COL = "ord"
 #: The single part of a table without months.
 WHOLE = "all"
 #: What Spark raises for files that are gone or can't be read (and broken JSON of a manifest).
@@ -196,18 +199,21 @@ def drop_old_manifests(spark: SparkSession, path: str, keep: int = 2, held: set[
 
 
 def with_month(df: DataFrame) -> DataFrame:
-    return df.withColumn(MONTH_COL, F.date_format("date", "yyyy-MM"))
+    return df.withColumn(MONTH_COL, format_month("date"))
 
 
-def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Dataset) -> dict[str, dict]:
+def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Dataset, finish: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, dict]:
     """Write ``df`` into a new folder and return its manifest parts. The landing
     order (``seq``) is stored with the rows where there is one; readers of the public columns never open it.
+    Rows with ``ord`` instead get their ``seq`` from ``finish``, which must not move them: after they were gathered by month.
 
     Facts are gathered by month with a rebalance hint (AQE splits a large month and
     merges small ones; nothing is sampled, so the plan runs once) and sorted by
     facility and date inside it, so row groups can be skipped by either.
     """
-    rows = df.select(*dataset.schema.names, *[c for c in (SEQ_COL,) if c in df.columns])
+    rows = df.select(*dataset.schema.names, *[c for c in (SEQ_COL, ORD_COL) if c in df.columns])
+    if finish and not dataset.partition_by_month:
+        rows = finish(rows)
     if not dataset.partition_by_month:
         rows.write.mode("error").option("compression", "snappy").parquet(folder)
         written = spark.read.schema(dataset.schema).parquet(folder)
@@ -215,7 +221,8 @@ def write_parts(spark: SparkSession, folder: str, df: DataFrame, dataset: Datase
             return {WHOLE: {"folder": folder, "rows": written.count()}}
         days = {str(r["date"]): r["count"] for r in written.groupBy("date").count().collect()}  # one row per date
         return {WHOLE: {"folder": folder, "rows": sum(days.values()), "days": days}}
-    laid = with_month(rows).hint("rebalance", MONTH_COL).sortWithinPartitions(MONTH_COL, *[F.col(k) for k in reversed(dataset.keys)])
+    laid = with_month(rows).hint("rebalance", MONTH_COL)
+    laid = (finish(laid) if finish else laid).sortWithinPartitions(MONTH_COL, *[F.col(k) for k in reversed(dataset.keys)])
     laid.write.mode("error").partitionBy(MONTH_COL).option("compression", "snappy").parquet(folder)
     schema = T.StructType([*dataset.schema.fields, T.StructField(MONTH_COL, T.StringType())])
     parts: dict[str, dict] = {}
@@ -430,10 +437,10 @@ class Warehouse:
         return held
 
     # S9
-    def overwrite_base(self, name: str, df: DataFrame) -> int:
-        """Replace a base table; its number of rows."""
+    def overwrite_base(self, name: str, df: DataFrame, finish: Callable[[DataFrame], DataFrame] | None = None) -> int:
+        """Replace a base table (``finish``: see ``write_parts``); its number of rows."""
         ds = resolve(name)
-        parts = write_parts(self.spark, self.new_folder(ds.storage), df, ds)
+        parts = write_parts(self.spark, self.new_folder(ds.storage), df, ds, finish)
         switch_manifest(self.spark, self.base_dir(ds.storage), parts)
         return sum(p["rows"] for p in parts.values())
 

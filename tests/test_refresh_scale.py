@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from reactorlake.functions import dates as D
 from reactorlake.operators.upsert import dimension_from_batch, last_wins, latest
 from reactorlake.sources import landing as L
 from reactorlake.sources.tables import materialize
@@ -131,3 +133,68 @@ def test_a_batch_is_staged_once(spark, scratch, monkeypatch):
     n, plants, newest = RF.apply_facility_batch(spark, first, batch.rows, batch.places)
     assert (n, plants, str(newest)) == (12, 12, "2024-01-12") and not [x for x in labels if x.startswith("facts")]
     assert RF.apply_facility_batch(spark, first, batch.rows.where("false"), batch.places) == (0, 0, None)
+
+
+@pytest.mark.parametrize("page_size", [1, 3, 4, 50])
+def test_pages_of_any_order_shuffle_no_whole_page(spark, page_size):
+    """Each task cuts its own rows into pages; only the rests are put together, so every page but the last is full."""
+    records = _records(spark, 41).repartition(5).union(_records(spark, 0))
+    pages = L.page_envelopes(records, None, page_size)
+    rows = sorted(pages.collect(), key=lambda p: p["offset"])
+    assert [p["offset"] for p in rows] == list(range(0, 41, page_size)) and {p["response"]["total"] for p in rows} == {"41"}
+    assert {len(p["response"]["data"]) for p in rows[:-1]} <= {page_size} and 0 < len(rows[-1]["response"]["data"]) <= page_size
+    assert sorted(tuple(r) for p in rows for r in p["response"]["data"]) == sorted(map(tuple, records.collect()))
+    cut = L._cutter(page_size)
+    assert cut(iter([])) is not None and list(cut(iter([]))) == []
+    assert L.page_envelopes(_records(spark, 0), None, page_size).collect() == []
+
+
+def test_whole_pages_are_not_gathered_again(spark):
+    """Pages that one task has cut meet no list aggregate and no exchange by page."""
+    pages, _ = L._pages(_records(spark, 41).repartition(5), 3)
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    whole = plan[: plan.index("collect_list")]
+    assert "MapInArrow" not in plan and plan.count("collect_list") <= 2 and "n#" in whole
+
+
+def test_dates_are_parsed_as_the_format_does(spark):
+    texts = ["2024-01-05", "2024-02-30", "2024-1-5", " 2024-01-5", "2024-01-5 ", "2024-01-5T", "2024-01-05\n", "2024-01-0\n", "0000-01-01", "9999-12-31", "+12024-01-05", "-2024-01-05", "12024-01-05", "٢٠٢٤-٠١-٠٥", "", None, "2024/01/05", "1582-10-10", "0001-01-01"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.parse_date("t").alias("a"), F.try_to_date("t", D.DATE_FORMAT).alias("b")).select("t", F.col("a").eqNullSafe(F.col("b")).alias("same")).collect()
+    assert [r["t"] for r in got if not r["same"]] == []
+    days = spark.sql("select explode(array(date'2024-01-05', date'0001-02-03', date'9999-12-31', date'-0044-03-15', date'+12024-01-05', null)) as d")
+    for r in days.select(D.format_date("d").alias("a"), F.date_format("d", "yyyy-MM-dd").alias("b"), D.format_month("d").alias("c"), F.date_format("d", "yyyy-MM").alias("e")).collect():
+        assert (r["a"], r["c"]) == (r["b"], r["e"])
+
+
+def test_sums_are_those_of_decimals(spark):
+    """Plain prices are summed as whole numbers; the others, nulls and large ones as decimals: the same doubles either way."""
+    from reactorlake.sources.adapter import _daily
+
+    prices = [901.0, 0.285, 0.1, 1.005, 33.335, -5.25, -0.005, 21474836.47, 21474836.48, 1e13 + 0.25, 104949.5, None, 0.0]
+    discounts = [0.04, 0.1, 0.005, None, 0.0, 1.0, 99.99, -0.07]
+    rows = [(f"{i}-{j}", p, d) for i, p in enumerate(prices) for j, d in enumerate(discounts)]
+    rows += [("all", p, d) for _, p, d in rows] + [("plain", p, d) for _, p, d in rows if p in (901.0, 104949.5) and d] + [("many", 21474836.47, 99.99)] * 3000
+    df = spark.createDataFrame(rows, "k string, l_extendedprice double, l_discount double")
+    price, discount = F.col("l_extendedprice").cast("decimal(18,2)"), F.col("l_discount").cast("decimal(4,2)")
+    old = df.groupBy("k").agg(F.sum(price).cast("double").alias("capacity"), F.sum(price * discount).cast("double").alias("outage"))
+    old = old.withColumn("percent_outage", F.try_divide(F.col("outage") * F.lit(100.0), F.col("capacity")))
+    assert sorted(map(str, _daily(df, [F.col("k")]).collect())) == sorted(map(str, old.collect()))
+
+
+def test_facts_travel_without_names(spark, scratch, monkeypatch):
+    """``seq`` joins the rows after they were gathered by month, or before when there are too many places: the same table."""
+    from reactorlake.plans import refresh as RF
+    from reactorlake.sources.tables import SEQ_COL, Warehouse
+
+    landing = RF.Landing(f"{scratch}/landing", f"{scratch}/none", page_size=4)
+    for run in ("run-1", "run-2"):
+        L.write_pages(_records(spark, 30).withColumn("outage", F.lit(run[-1])), f"{scratch}/landing/{run}", page_size=4)
+    got = []
+    for limit in (RF.BROADCAST_PLACES, 0):
+        monkeypatch.setattr(RF, "BROADCAST_PLACES", limit)
+        wh = Warehouse(spark, f"{scratch}/wh-{limit}")
+        RF.refresh(spark, landing, wh)
+        table = wh.load_base("facility", with_seq=True)
+        assert table.where(F.col(SEQ_COL).isNull()).isEmpty() and {r["outage"] for r in table.select("outage").collect()} == {2.0}
+        got.append(sorted(map(str, table.collect())))
+    assert got[0] == got[1] and len(got[0]) == 30

@@ -51,10 +51,10 @@ def number_rows(
     return number_tagged(tag_rows(ranged, "numbering"), index_col)
 
 
-def tag_rows(df: DataFrame, label: str) -> DataFrame:
-    """Stage rows with their partition's index and their position in it (``_part``, ``_pos``)."""
+def tag_rows(df: DataFrame, label: str, row_records: int = 1) -> DataFrame:
+    """Stage rows (``row_records``: see ``materialize``) with their partition's index and their position in it (``_part``, ``_pos``)."""
     pos = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), _RECORD_BITS)
-    return materialize(df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", pos), label)
+    return materialize(df.withColumn("_part", F.spark_partition_id()).withColumn("_pos", pos), label, row_records)
 
 
 def number_tagged(tagged: DataFrame, index_col: str) -> DataFrame:

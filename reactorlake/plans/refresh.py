@@ -23,7 +23,7 @@ from reactorlake.operators.clean import OUTPUT_SCHEMA, REQUIRED, any_failed_numb
 from reactorlake.operators.upsert import MERGE_KEYS, OLDER, SAME, change_kinds, dimension_from_batch, last_wins, latest, merge_latest, upsert
 from reactorlake.schemas import DATASETS, PAGE_SIZE, RAW_RECORD_SCHEMA
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, ordered_records, page_infos, page_places, page_states, pages_in, place_of, read_pages, records_from_pages, with_seq
+from reactorlake.sources.landing import BROKEN, KEPT, filter_period, landed_files, ordered_records, page_infos, page_places, page_states, pages_in, place_of, read_pages, records_from_pages, stage_pages, with_seq
 from reactorlake.sources.tables import MONTH_COL, Warehouse, empty_frame, materialize, newest_date, stage_scope, with_month
 
 FULL = "full"
@@ -105,7 +105,7 @@ def _read(spark: SparkSession, landing: Landing, path: str, public: str, wh: War
         todo, raw = files, read_pages(spark, path, None, landing.multi_line)
     # The JSON is parsed once into the shared checkpoint folder: the stop rules and
     # the records read the stage, and lost executors re-read it.
-    return judge(spark, landing, path, public, materialize(raw, f"{public}-pages"), todo, known, start)
+    return judge(spark, landing, path, public, stage_pages(raw, f"{public}-pages", landing.page_size), todo, known, start)
 
 
 def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages: DataFrame, listed: DataFrame, known: DataFrame | None, start: _dt.date | None) -> Batch:
@@ -138,7 +138,7 @@ def judge(spark: SparkSession, landing: Landing, path: str, public: str, pages:
     if known is not None:  # pages read before that only now are kept: their gap is filled
         late = _pages_in(spark, path, kept.where(F.col("was").isNotNull()), landing.multi_line)
         if late is not None:
-            pages = materialize(pages.unionByName(late), f"{public}-late-pages")
+            pages = stage_pages(pages.unionByName(late), f"{public}-late-pages", landing.page_size)
     pages = pages_in(pages, kept)
     starts = states.select("run", "start").distinct()
     places = materialize(page_places(pages).join(starts, "run", "left"), f"{public}-places")

@@ -102,6 +102,11 @@ def pages_of(raw: DataFrame, root: str) -> DataFrame:
     )
 
 
+def stage_pages(pages: DataFrame, label: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """``materialize`` for pages of about ``page_size`` records, or their texts: tasks hold some of them at a time."""
+    return materialize(pages, label, page_size)
+
+
 def page_infos(pages: DataFrame) -> DataFrame:
     """What the stop rules and the page index need of each page: ``run, file, offset, total, n, broken``
     and the first and last date of its records (``low, high``)."""
@@ -244,7 +249,7 @@ def landed_records(
 ) -> DataFrame:
     """S1 + S3 + S5: the raw records the source would have returned. The JSON is
     parsed once, into a stage that the stop rules and the records both read."""
-    pages = materialize(read_pages(spark, path, None, multi_line), "pages")
+    pages = stage_pages(read_pages(spark, path, None, multi_line), "pages", page_size)
     return filter_period(records_from_pages(kept_pages(pages, page_size)), start, end).drop("run")
 
 
@@ -285,7 +290,7 @@ def _pages(records: DataFrame, page_size: int) -> tuple[DataFrame, Column]:
     """``_ordered_pages`` for any order: every task cuts its own rows into pages, so no record is shuffled but those of
     the rests, less than a page for each task, which make up the last pages together."""
     cut = records.select(*RECORD_FIELDS).mapInArrow(_cutter(page_size), T.StructType([T.StructField("data", PAGE_DATA)]))
-    staged = tag_rows(cut.withColumn("n", F.size("data")), "pages-cut")
+    staged = tag_rows(cut.withColumn("n", F.size("data")), "pages-cut", page_size)
     count = staged.select(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     whole = staged.where(F.col("n") == page_size)
     wholes = whole.select(F.count(F.lit(1))).scalar()

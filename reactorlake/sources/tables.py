@@ -95,7 +95,14 @@ def stage_scope(spark: SparkSession):
             fs.delete(p, True)
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+#: Records that a row group of a stage holds where a row is a list of records: Spark's reader takes up to 4,096 rows of a
+#: row group at once, whatever they hold, and its writer looks at the size of a row group after the first hundred only.
+GROUP_RECORDS = 50_000
+#: Bytes of such a row group, where rows hold more records than they should.
+GROUP_BYTES = 8 << 20
+
+
+def materialize(df: DataFrame, label: str = "stage", row_records: int = 1) -> DataFrame:
     """Cut lineage by writing ``df`` once as parquet into a fresh folder under
     the shared checkpoint folder and reading it back.
 
@@ -103,12 +110,19 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     recomputes the plan to write the files), the plan runs exactly once; the
     result is a plain columnar scan, so later steps prune columns and lost
     executors re-read files instead of recomputing the upstream.
+
+    ``row_records``: how many records a row holds (a page of them, or its text). Row groups of such rows are kept
+    small, so that a task holds some pages at a time and not all pages of its file.
     """
     spark = df.sparkSession
     scope = _STAGE_ROOT.get()
     name = f"{label}-{uuid.uuid4().hex}"
     path = f"{scope}/{name}" if scope else shared_root(spark, f"_stage/{name}")
-    df.write.mode("error").option("compression", "zstd").parquet(path)  # written once, read a few times: smaller than snappy
+    writer = df.write.mode("error").option("compression", "zstd")  # written once, read a few times: smaller than snappy
+    if row_records > 1:
+        few = {"parquet.block.row.count.limit": max(1, GROUP_RECORDS // row_records), "parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1}
+        writer = writer.options(**few)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

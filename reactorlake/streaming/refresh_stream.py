@@ -20,8 +20,8 @@ from pyspark.sql.streaming import StreamingQuery
 from reactorlake.plans.refresh import Landing, apply_facility_batch, apply_us_batch, judge
 from reactorlake.schemas import CORRUPT, LANDED_SCHEMA, PAGE_SIZE
 from reactorlake.sources import state as S
-from reactorlake.sources.landing import _root_name, pages_of
-from reactorlake.sources.tables import Warehouse, materialize, stage_scope
+from reactorlake.sources.landing import _root_name, pages_of, stage_pages
+from reactorlake.sources.tables import Warehouse, stage_scope
 
 _STATE_NAME = {"facility": "facility_outages", "us": "us_outages"}
 
@@ -57,7 +57,7 @@ def start_refresh_stream(
 
     def apply_batch(batch_pages: DataFrame) -> None:
         session, storage = batch_pages.sparkSession, _STATE_NAME[dataset]
-        staged = materialize(batch_pages, f"{dataset}-stream-pages")
+        staged = stage_pages(batch_pages, f"{dataset}-stream-pages", page_size)
         listed = staged.select("run", "file").distinct()
         mark = None if lateness_days is None else S.load_state(wh)[storage]
         start = None if mark is None else mark - _dt.timedelta(days=lateness_days)

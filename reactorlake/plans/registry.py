@@ -30,7 +30,7 @@ from reactorlake.schemas import DATASETS, PAGE_SIZE
 from reactorlake.sources import adapter as A
 from reactorlake.sources import landing as L
 from reactorlake.sources import state as S
-from reactorlake.sources.tables import Warehouse, materialize, shared_root
+from reactorlake.sources.tables import Warehouse, shared_root
 
 # Fixed query parameters (shared with the SQL twins).
 DATE_FROM = "1996-03-01"
@@ -591,7 +591,7 @@ def incremental_gap_filled(spark, sf):
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
     wh = Warehouse(spark, f"{root}/warehouse")
-    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "gap-pages")
+    pages = L.stage_pages(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "gap-pages", GAP_PAGE)
     L.land(pages.where(F.col("offset") != GAP_PAGE), f"{landing.facility}/run-1")
     RF.refresh(spark, landing, wh)
     L.land(pages.where(F.col("offset") == GAP_PAGE), f"{landing.facility}/run-1", "append")
@@ -604,7 +604,7 @@ def incremental_reread_run(spark, sf):
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
     wh = Warehouse(spark, f"{root}/warehouse")
-    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "reread-pages")
+    pages = L.stage_pages(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "reread-pages", GAP_PAGE)
     L.land(pages.where(F.col("offset") != GAP_PAGE), f"{landing.facility}/run-1")
     RF.refresh(spark, landing, wh)
     fixes = A.raw_records_from(A.increment(A.facility_outages(spark, sf)), A.plants(spark, sf))
@@ -631,7 +631,7 @@ def landed_broken_pages(spark, sf):
     """What a refresh records of a run whose second page of three is cut off and whose third has no response."""
     root = _root(spark)
     landing = RF.Landing(f"{root}/landing", f"{root}/none", page_size=GAP_PAGE)
-    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "broken-pages")
+    pages = L.stage_pages(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "broken-pages", GAP_PAGE)
     L.land(pages, f"{landing.facility}/run-1")
     turn, text = F.pmod(F.floor(F.col("offset") / GAP_PAGE), F.lit(3)), F.col("value")
     error = F.to_json(F.struct("offset", F.lit("busy").alias("error")))
@@ -659,7 +659,7 @@ def held_pages(spark, sf):
     pages = L.page_envelopes(A.raw_facility_records(spark, sf), None, GAP_PAGE).where(F.col("offset") != GAP_PAGE)
     root = f"{_root(spark)}/landing"
     pages.write.json(f"{root}/run-1")
-    return L.page_states(materialize(L.read_pages(spark, root), "held-pages"), GAP_PAGE).groupBy("state").agg(F.count("*").alias("pages"))
+    return L.page_states(L.stage_pages(L.read_pages(spark, root), "held-pages", GAP_PAGE), GAP_PAGE).groupBy("state").agg(F.count("*").alias("pages"))
 
 
 def last_wins_by_page(spark, sf):
@@ -779,7 +779,7 @@ def stream_gap_filled(spark, sf):
     from reactorlake.streaming.refresh_stream import run_available
 
     root = shared_root(spark)
-    pages = materialize(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "stream-gap-pages")
+    pages = L.stage_pages(L.page_texts(A.raw_facility_records(spark, sf), None, GAP_PAGE), "stream-gap-pages", GAP_PAGE)
     wh = Warehouse(spark, f"{root}/warehouse")
     L.land(pages.where(F.col("offset") != GAP_PAGE), f"{root}/landing/run-1")
     run_available(spark, f"{root}/landing", "facility", wh, page_size=GAP_PAGE)

@@ -37,6 +37,8 @@ PASSAGE = 64
 TRAIN_DOCS, TRAIN_PASSAGES = 6000, 16
 BUCKETS = 128
 BLOCK_WORDS = 200_000
+#: Passages that are scored at once.
+PIECE = 64
 HIDDEN, ATTENTION = 24, 12
 EPOCHS, BATCH, RATE = 40, 256, 0.01
 #: Fold that is held out: crc32 of the id as text, modulo FOLDS.
@@ -176,8 +178,15 @@ class Model:
     def score(self, found: Passages) -> np.ndarray:
         if not self.weights:
             return np.full(len(found.first) - 1, self.prior)
-        parts = [(f["h"], f["s"]) for f in map(self.encode, found.blocks())]
-        return self.pool(np.concatenate([h for h, _ in parts]), np.concatenate([s for _, s in parts]), found.first)["p"]
+        parts = [self._encode_alike(x) for x in found.blocks()]
+        z = self.pool(np.concatenate([h for h, _ in parts]), np.concatenate([s for _, s in parts]), found.first)["z"]
+        return 1 / (1 + np.exp(-((z * self.weights["c"]).sum(1) + self.weights["c0"])))
+
+    def _encode_alike(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hidden layers and attention scores by pieces of one shape: products of other shapes differ in the last digits."""
+        n = len(x)
+        f = self.encode(np.pad(x, ((0, -n % PIECE), (0, 0))).reshape(-1, PIECE, x.shape[1]))
+        return f["h"].reshape(-1, HIDDEN)[:n], f["s"].reshape(-1)[:n]
 
     def gradients(self, x: np.ndarray, first: np.ndarray, labels: np.ndarray, share: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the log losses of the documents, weighted by ``share``."""
